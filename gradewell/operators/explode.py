@@ -59,3 +59,16 @@ def dedupe_last(df: DataFrame, key: str, order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in (key, order)]
     return (df.groupBy(key).agg(w.alias("_last"))
             .select(key, F.col(f"_last.{order}").alias(order), *[F.col(f"_last.{c}").alias(c) for c in rest]))
+
+
+def tasks_from_responses(responses: DataFrame) -> DataFrame:
+    """Long answers -> task rows (``results`` map in answer order), the JSONL task shape.
+
+    Used for the derived corpus only; JSONL input already arrives in this shape.
+    A group holds the answers of one task (one per model), never more.
+    """
+    entries = F.array_sort(F.collect_list(F.struct("pos", "model", "response")))
+    return responses.groupBy("idx").agg(
+        F.max("programming_language").alias("programming_language"),
+        F.max("instruction").alias("instruction"),
+        F.map_from_entries(F.transform(entries, lambda e: F.struct(e["model"], e["response"]))).alias("results"))

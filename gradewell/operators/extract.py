@@ -38,14 +38,21 @@ def extract_std(response: Column) -> Column:
 
 
 # --- X3: simplicity --------------------------------------------------------
-SIM_START_WORDS = ("def ", "class ", "import ", "from ", "public ", "private ", "#include", "using ", "int ", "void ")
+# Line starts that open code when no fence is present.
+SIM_START_PY = ("def ", "class ", "import ", "from ", "if ", "for ", "while ")
+SIM_START_CJ = ("public ", "private ", "class ", "import ", "package ", "#include", "void ", "int ")
 
 
-def extract_sim(response: Column, start_words=SIM_START_WORDS) -> Column:
-    """All ``(lang)?`` fenced blocks joined (not stripped); else suffix from the first keyword line."""
-    blocks = _join_all(response, r"(?i)```(?:python|java|cpp|c\+\+)?\s*\n(.*?)```".replace("(.*?)", "([\\s\\S]*?)"))
-    suffix = _suffix_from_first(response, lambda l: _starts_any(strip(l), start_words))
-    return F.coalesce(blocks, suffix)
+def extract_sim(response: Column, lang: Column) -> Column:
+    """All fenced blocks (optional ``lang`` tag, case-insensitive) joined, not stripped;
+    else the text from the first line that starts like code; else ''."""
+    py = _join_all(response, r"(?i)```(?:python)?[\s\n]*([\s\S]*?)```")
+    java = _join_all(response, r"(?i)```(?:java)?[\s\n]*([\s\S]*?)```")
+    cpp = _join_all(response, r"(?i)```(?:c\+\+)?[\s\n]*([\s\S]*?)```")
+    blocks = F.when(lang == "java", java).when(lang == "c++", cpp).otherwise(py)
+    suffix = F.when(lang == "python", _suffix_from_first(response, lambda l: _starts_any(strip(l), SIM_START_PY))) \
+        .otherwise(_suffix_from_first(response, lambda l: _starts_any(strip(l), SIM_START_CJ)))
+    return F.when(~nonempty(response), F.lit("")).otherwise(F.coalesce(blocks, suffix, F.lit("")))
 
 
 def _starts_any(c: Column, words) -> Column:
@@ -53,3 +60,32 @@ def _starts_any(c: Column, words) -> Column:
     for w in words:
         out = out | c.startswith(w)
     return out
+
+
+# --- X5: robustness --------------------------------------------------------
+CODE_LIKE = r"(?U)\b(def|class|if|for|while|return|import|function)\b|[{}\[\]();=]"
+
+
+def _rob_lines(response: Column) -> Column:
+    """Line filter: code-like lines start a run; a run keeps non-blank lines;
+    once more than three lines are kept, a blank line ends the run."""
+    init = F.struct(F.lit(False).alias("on"), F.lit(0).alias("n"),
+                    F.array().cast("array<string>").alias("out"))
+
+    def step(acc, l):
+        like = l.rlike(CODE_LIKE)
+        blank = strip(l) == ""
+        take = like | (acc["on"] & ~blank)
+        on = F.when(like, True).when(acc["on"] & blank & (acc["n"] > 3), False).otherwise(acc["on"])
+        return F.struct(on.alias("on"), (acc["n"] + F.when(take, 1).otherwise(0)).alias("n"),
+                        F.when(take, F.concat(acc["out"], F.array(l))).otherwise(acc["out"]).alias("out"))
+
+    kept = F.aggregate(lines(response), init, step)["out"]
+    return F.when(F.size(kept) > 0, F.array_join(kept, NL)).otherwise(F.lit(""))
+
+
+def extract_rob(response: Column) -> Column:
+    """First fence pair (optional tag) stripped; else the line filter; '' when nothing."""
+    pat = r"(?s)```(?:python|java|cpp|c\+\+)?\s*([\s\S]*?)```"
+    first = F.when(response.rlike(pat), strip(F.regexp_extract(response, pat, 1)))
+    return F.when(~nonempty(response), F.lit("")).otherwise(F.coalesce(first, _rob_lines(response)))

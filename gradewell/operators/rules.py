@@ -87,3 +87,10 @@ def std_rules_df(spark: SparkSession) -> DataFrame:
         T.StructField("pattern", T.StringType()), T.StructField("penalty", T.StringType()),
         T.StructField("reason", T.StringType())])
     return spark.createDataFrame(rows, schema).withColumn("penalty", F.col("penalty").cast("decimal(3,1)"))
+
+
+# Task keys that receive a fixed 0 per dimension.
+FUN_BLOCKLIST = [41, 55, 61, 67, 71, 77, 82, 94]
+ROB_BLOCKLIST = [41, 55, 61, 67, 71, 77, 82, 94]
+EFF_BLOCKLIST = [833]
+COM_BLOCKLIST = [833]

@@ -94,3 +94,153 @@ GROUP BY s.lang, r.rule_no"""
 
 def indent_break_counts() -> str:
     return _std_base() + f"SELECT idx, model, {sql_indent_breaks('code')} AS indent_breaks FROM std_scored"
+
+
+# --- shared text helpers ------------------------------------------------------
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def sql_count(code: str, sub: str) -> str:
+    return f"CAST((length({code}) - length(replace({code}, {q(sub)}, ''))) // {len(sub)} AS BIGINT)"
+
+
+def sql_starts_any(x: str, words) -> str:
+    return "(" + " OR ".join(f"starts_with({x}, {q(w)})" for w in words) + ")"
+
+
+def sql_suffix_from_first(col: str, line_pred) -> str:
+    ls = f"string_split({col}, {N})"
+    hits = f"list_filter(range(1, len({ls}) + 1), lambda i: {line_pred(f'{ls}[i]')})"
+    return f"CASE WHEN len({hits}) > 0 THEN array_to_string(list_slice({ls}, {hits}[1], len({ls})), {N}) END"
+
+
+def nonempty_sql(col: str) -> str:
+    return f"({col} IS NOT NULL AND {col} <> '')"
+
+
+# --- simplicity -----------------------------------------------------------------
+def _sim_base() -> str:
+    from gradewell.operators.extract import SIM_START_CJ, SIM_START_PY
+    from gradewell.operators.metrics import CC_WORDS_CJ, CC_WORDS_PY
+
+    def blocks(tag):
+        return sql_join_all("response", f"(?i)```(?:{tag})?[\\s\\n]*([\\s\\S]*?)```")
+
+    py_sfx = sql_suffix_from_first("response", lambda l: sql_starts_any(sql_strip(l), SIM_START_PY))
+    cj_sfx = sql_suffix_from_first("response", lambda l: sql_starts_any(sql_strip(l), SIM_START_CJ))
+    ls = "string_split(code, chr(10))"
+    loc = (f"greatest(1, len(list_filter({ls}, lambda l: {sql_strip('l')} <> '' AND NOT starts_with({sql_strip('l')}, '#') "
+           f"AND NOT starts_with({sql_strip('l')}, '//') AND NOT starts_with({sql_strip('l')}, '/*'))))")
+
+    def cc(words):
+        return "1 + " + " + ".join(f"{sql_count('code', ' ' + w + ' ')} + {sql_count('code', w + ' ')}" for w in words)
+
+    return oracle_with(f"""
+sim_t AS (
+  SELECT idx, max(CASE WHEN model = 'base' THEN CASE
+      WHEN contains(coalesce(response, ''), '```java') OR contains(coalesce(response, ''), 'import java.') THEN 'java'
+      WHEN contains(coalesce(response, ''), '```c++') OR contains(coalesce(response, ''), '#include') THEN 'c++'
+      ELSE 'python' END END) AS bl
+  FROM responses GROUP BY idx),
+sim_r AS (
+  SELECT r.idx, r.pos, r.model, coalesce(t.bl, 'python') AS programming_language, r.response
+  FROM responses r JOIN sim_t t ON r.idx = t.idx),
+sim_c AS (
+  SELECT *, CASE WHEN NOT {nonempty_sql('response')} THEN '' ELSE coalesce(
+      CASE programming_language WHEN 'java' THEN {blocks('java')} WHEN 'c++' THEN {blocks('c\\+\\+')} ELSE {blocks('python')} END,
+      CASE WHEN programming_language = 'python' THEN {py_sfx} ELSE {cj_sfx} END, '') END AS code
+  FROM sim_r),
+sim_m AS (
+  SELECT *, CAST({loc} AS BIGINT) AS loc,
+    CAST(CASE WHEN programming_language = 'python' THEN {cc(CC_WORDS_PY)}
+         WHEN programming_language IN ('java', 'c++') THEN {cc(CC_WORDS_CJ)} ELSE 1 END AS BIGINT) AS cc
+  FROM sim_c),
+sim_h AS (SELECT *, greatest(1.0, CAST(45 * loc - 428 AS DOUBLE)) AS hv FROM sim_m),
+sim_mi AS (
+  SELECT *, greatest(0.0, least(100.0, 171.0 - 5.2 * ln(greatest(hv, 1.0)) - 0.23 * greatest(cc, 1)
+      - 16.2 * ln(greatest(loc, 1)))) AS mi
+  FROM sim_h),
+sim_s AS (
+  SELECT *, CASE WHEN {nonempty_sql('response')} AND code <> '' THEN round(6 * CASE WHEN mi >= 85 THEN 5.0 WHEN mi >= 65 THEN 4.0
+      WHEN mi >= 50 THEN 3.0 WHEN mi >= 30 THEN 2.0 ELSE 1.0 END, 1) ELSE 0.0 END AS score
+  FROM sim_mi)""")
+
+
+def score_simplicity() -> str:
+    return _sim_base() + "SELECT idx, pos, model, programming_language, CAST(score AS DOUBLE) AS score FROM sim_s"
+
+
+def simplicity_metrics() -> str:
+    return _sim_base() + "SELECT idx, model, loc, cc, round(hv, 6) AS hv, round(mi, 6) AS mi FROM sim_s"
+
+
+# --- robustness -------------------------------------------------------------------
+def sql_rob_lines(col: str) -> str:
+    like = "regexp_matches(l, '\\b(def|class|if|for|while|return|import|function)\\b|[{}\\[\\]();=]')"
+    blank = f"({sql_strip('l')} = '')"
+    take = f"({like} OR (acc.on AND NOT {blank}))"
+    step = (f"{{'on': CASE WHEN {like} THEN true WHEN acc.on AND {blank} AND acc.n > 3 THEN false ELSE acc.on END, "
+            f"'n': acc.n + CASE WHEN {take} THEN 1 ELSE 0 END, "
+            f"'out': CASE WHEN {take} THEN list_append(acc.out, l) ELSE acc.out END}}")
+    kept = (f"list_reduce(string_split({col}, {N}), lambda acc, l: {step}, "
+            f"{{'on': false, 'n': 0, 'out': []::VARCHAR[]}}).out")
+    return f"CASE WHEN len({kept}) > 0 THEN array_to_string({kept}, {N}) ELSE '' END"
+
+
+def sql_extract_rob(col: str = "response") -> str:
+    pat = q(r"```(?:python|java|cpp|c\+\+)?\s*([\s\S]*?)```")
+    return (f"CASE WHEN NOT {nonempty_sql(col)} THEN '' WHEN regexp_matches({col}, {pat}) "
+            f"THEN {sql_strip(f'regexp_extract({col}, {pat}, 1)')} ELSE {sql_rob_lines(col)} END")
+
+
+def sql_lang_feature_vote(code: str) -> str:
+    from gradewell.operators.metrics import FEATURES
+
+    def n(lang):
+        return "(" + " + ".join(f"CASE WHEN contains({code}, {q(f)}) THEN 1 ELSE 0 END" for f in FEATURES[lang]) + ")"
+    p, j, c = n("python"), n("java"), n("cpp")
+    return f"""CASE WHEN {code} IS NULL OR {code} = '' THEN 'unknown'
+      WHEN greatest({p}, {j}, {c}) < 2 THEN CASE
+        WHEN contains({code}, 'def ') OR contains({code}, 'import ') OR contains({code}, 'print(') THEN 'python'
+        WHEN contains({code}, 'public class') OR contains({code}, 'public static void main') THEN 'java'
+        WHEN contains({code}, '#include') OR contains({code}, 'int main()') THEN 'cpp' ELSE 'unknown' END
+      WHEN {p} >= {j} AND {p} >= {c} THEN 'python' WHEN {j} >= {c} THEN 'java' ELSE 'cpp' END"""
+
+
+def sql_mi_estimate(code: str, words: str) -> str:
+    return (f"round(greatest(0.0, least(100.0 - (len(string_split({code}, {N})) * 0.2 "
+            f"+ len(regexp_extract_all({code}, '({words})', 1)) * 0.5), 100.0)), 1)")
+
+
+def robustness_components() -> str:
+    from gradewell.operators.metrics import MI_WORDS
+    fld = "coalesce(programming_language, '')"
+    detect = (f"(lower({fld}) = '' OR {fld} = 'python或Java或C++' OR contains(lower({fld}), 'python') "
+              f"OR contains(lower({fld}), 'java') OR contains(lower({fld}), 'c++'))")
+    eh = """CASE lang WHEN 'python' THEN CASE WHEN contains(code, 'try:') AND contains(code, 'except')
+          THEN 20 + CASE WHEN contains(code, 'finally:') THEN 10 ELSE 0 END ELSE 0 END
+        WHEN 'java' THEN CASE WHEN contains(code, 'try {') AND contains(code, 'catch')
+          THEN 20 + CASE WHEN contains(code, 'finally') THEN 10 ELSE 0 END ELSE 0 END
+        WHEN 'cpp' THEN CASE WHEN contains(code, 'try {') AND contains(code, 'catch') THEN 25 ELSE 0 END ELSE 0 END"""
+    cmp_ = "CASE WHEN contains(code, 'if ') AND (contains(code, ' < ') OR contains(code, ' > ') OR contains(code, ' == ')) THEN 10 ELSE 0 END"
+    iv = f"""CASE lang WHEN 'python' THEN (CASE WHEN contains(code, 'isinstance(') OR contains(code, 'type(') THEN 10 ELSE 0 END) + {cmp_}
+        WHEN 'java' THEN (CASE WHEN contains(code, 'null') AND contains(code, 'if') THEN 10 ELSE 0 END) + {cmp_}
+        WHEN 'cpp' THEN (CASE WHEN contains(code, 'nullptr') OR contains(code, 'NULL') THEN 10 ELSE 0 END) + {cmp_} ELSE 0 END"""
+    rm = """CASE lang WHEN 'python' THEN (CASE WHEN contains(code, 'with ') THEN 15 ELSE 0 END) + (CASE WHEN contains(code, '.close()') THEN 10 ELSE 0 END)
+        WHEN 'java' THEN (CASE WHEN contains(code, 'try (') THEN 15 ELSE 0 END) + (CASE WHEN contains(code, '.close()') THEN 10 ELSE 0 END)
+        WHEN 'cpp' THEN (CASE WHEN contains(code, 'delete ') OR contains(code, 'delete[]') THEN 15 ELSE 0 END)
+          + (CASE WHEN contains(code, 'unique_ptr') OR contains(code, 'shared_ptr') THEN 10 ELSE 0 END) ELSE 0 END"""
+    bal = (f"({sql_count('code', '{')} = {sql_count('code', '}')} AND {sql_count('code', '(')} = {sql_count('code', ')')})")
+    return oracle_with(f"""
+rob_c AS (SELECT idx, pos, model, programming_language, response, {sql_extract_rob()} AS code FROM responses),
+rob_l AS (
+  SELECT *, CASE WHEN l0 IN ('c++', 'c', 'cpp') THEN 'cpp' WHEN l0 IN ('python', 'java') THEN l0 ELSE 'unknown' END AS lang
+  FROM (SELECT *, CASE WHEN {detect} THEN {sql_lang_feature_vote('code')} ELSE lower({fld}) END AS l0 FROM rob_c))""") + f"""
+SELECT idx, pos, model, programming_language, lang, code,
+  length({sql_strip('code')}) < 20 AS too_short,
+  CAST({eh} AS INTEGER) AS error_handling, CAST({iv} AS INTEGER) AS input_validation, CAST({rm} AS INTEGER) AS resource_mgmt,
+  {sql_mi_estimate('code', MI_WORDS['python_fallback'])} AS mi_python_fallback,
+  CASE WHEN {bal} THEN {sql_mi_estimate('code', MI_WORDS['java_parsed'])} ELSE {sql_mi_estimate('code', MI_WORDS['short'])} END AS mi_java,
+  {sql_mi_estimate('code', MI_WORDS['short'])} AS mi_cpp
+FROM rob_l"""

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradewell.plans import oracle as O
 from gradewell.plans import standardization as STD
+from gradewell.plans import simplicity as SIM
+from gradewell.plans import robustness as ROB
+from gradewell.operators.explode import tasks_from_responses
 from gradewell.sources.corpus import responses
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +20,16 @@ def _on_responses(fn) -> Builder:
     return lambda spark, sf_dir: fn(responses(spark, sf_dir))
 
 
+def _on_tasks(fn) -> Builder:
+    return lambda spark, sf_dir: fn(tasks_from_responses(responses(spark, sf_dir)))
+
+
+def _sim_metrics(tasks):
+    from pyspark.sql import functions as F
+    m = SIM.simplicity_metrics(tasks)
+    return m.select("idx", "model", "loc", "cc", F.round("hv", 6).alias("hv"), F.round("mi", 6).alias("mi"))
+
+
 REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "responses": (lambda spark, sf: responses(spark, sf),
                   lambda: O.oracle_with() + "SELECT * FROM responses"),
@@ -24,6 +37,9 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "standardization_report": (_on_responses(STD.standardization_report), O.standardization_report),
     "rule_hits": (_on_responses(STD.rule_violations), O.rule_violations),
     "indent_breaks": (_on_responses(STD.indent_break_counts), O.indent_break_counts),
+    "score_simplicity": (_on_tasks(SIM.score_simplicity), O.score_simplicity),
+    "simplicity_metrics": (_on_tasks(_sim_metrics), O.simplicity_metrics),
+    "robustness_components": (_on_responses(ROB.robustness_components), O.robustness_components),
 }
 
 
