@@ -244,3 +244,48 @@ SELECT idx, pos, model, programming_language, lang, code,
   CASE WHEN {bal} THEN {sql_mi_estimate('code', MI_WORDS['java_parsed'])} ELSE {sql_mi_estimate('code', MI_WORDS['short'])} END AS mi_java,
   {sql_mi_estimate('code', MI_WORDS['short'])} AS mi_cpp
 FROM rob_l"""
+
+
+# --- efficiency -------------------------------------------------------------------
+def efficiency_inputs() -> str:
+    from gradewell.plans.efficiency import (CPP_METHOD, CPP_OUT, EFF_BARE, EFF_LINE_START, EFF_TAGGED, GUESS,
+                                            JAVA_METHOD, JAVA_OUT, PARAMS, RETURN, STATEMENT_PATTERNS)
+
+    def guess(code):
+        return "CASE " + " ".join(f"WHEN regexp_matches({code}, {q(p)}) THEN '{lg}'" for lg, p in GUESS) + " ELSE '' END"
+
+    ls = f"string_split(response, {N})"
+    hits = (f"list_filter(range(1, len({ls}) + 1), lambda i: regexp_matches({ls}[i], {q(EFF_LINE_START[0])}) "
+            f"OR regexp_matches({ls}[i], {q(EFF_LINE_START[1])}))")
+    suffix = f"array_to_string(list_slice({ls}, {hits}[1], len({ls})), {N})"
+
+    def cnt(p):
+        return f"CAST(len(regexp_extract_all(code, {q(p)}, 0)) AS BIGINT)"
+
+    stmts = " + ".join(cnt(p) for p in STATEMENT_PATTERNS)
+    ps = f"regexp_extract_all(code, {q(PARAMS)}, 0)"
+    max_in = (f"CAST(coalesce(list_max(list_transform(list_filter({ps}, lambda p: regexp_replace(p, '^[()]+|[()]+$', '', 'g') <> ''), "
+              f"lambda p: {sql_count('p', ',')} + 1)), 0) AS BIGINT)")
+    loc = (f"CAST(len(list_filter(string_split({sql_strip('code')}, {N}), lambda l: {sql_strip('l')} <> '' "
+           f"AND NOT regexp_matches(l, '^\\s*[{{}}()\\[\\]]*\\s*$'))) AS BIGINT)")
+    return oracle_with(f"""
+eff_x AS (
+  SELECT idx, pos, model, programming_language, response,
+    CASE WHEN response IS NULL THEN {{'code': '', 'tag': ''}}
+      WHEN regexp_matches(response, {q(EFF_TAGGED)}) THEN {{'code': regexp_extract(response, {q(EFF_TAGGED)}, 2),
+                                                        'tag': lower(regexp_extract(response, {q(EFF_TAGGED)}, 1))}}
+      WHEN regexp_matches(response, {q(EFF_BARE)}) THEN {{'code': regexp_extract(response, {q(EFF_BARE)}, 1), 'tag': ''}}
+      WHEN len({hits}) > 0 THEN {{'code': {suffix}, 'tag': {guess(suffix)}}}
+      ELSE {{'code': '', 'tag': ''}} END AS x
+  FROM responses),
+eff_l AS (
+  SELECT idx, pos, model, programming_language, response, x.code AS code, x.tag AS tag,
+    lower(CASE WHEN (CASE WHEN x.tag <> '' THEN x.tag ELSE coalesce(programming_language, 'python') END) = ''
+      THEN {guess('x.code')} ELSE (CASE WHEN x.tag <> '' THEN x.tag ELSE coalesce(programming_language, 'python') END) END) AS lang
+  FROM eff_x)""") + f"""
+SELECT *, CASE WHEN lang = 'python' THEN 'python' WHEN lang = 'java' THEN 'java' WHEN lang IN ('cpp', 'c++') THEN 'cpp'
+    ELSE 'base' END AS analyzer,
+  {loc} AS loc, {cnt(JAVA_METHOD)} AS java_methods, {cnt(CPP_METHOD)} AS cpp_methods,
+  {stmts} AS regex_statements, {max_in} AS regex_max_inputs,
+  {cnt(JAVA_OUT)} + {cnt(RETURN)} AS java_outputs, {cnt(CPP_OUT)} + {cnt(RETURN)} AS cpp_outputs
+FROM eff_l"""

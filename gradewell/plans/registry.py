@@ -10,6 +10,7 @@ from gradewell.plans import oracle as O
 from gradewell.plans import standardization as STD
 from gradewell.plans import simplicity as SIM
 from gradewell.plans import robustness as ROB
+from gradewell.plans import efficiency as EFF
 from gradewell.operators.explode import tasks_from_responses
 from gradewell.sources.corpus import responses
 
@@ -40,6 +41,8 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "score_simplicity": (_on_tasks(SIM.score_simplicity), O.score_simplicity),
     "simplicity_metrics": (_on_tasks(_sim_metrics), O.simplicity_metrics),
     "robustness_components": (_on_responses(ROB.robustness_components), O.robustness_components),
+    "efficiency_inputs": (_on_responses(EFF.efficiency_inputs), O.efficiency_inputs),
+    "score_efficiency": (_on_responses(EFF.score_efficiency), None),
 }
 
 
