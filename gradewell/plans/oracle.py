@@ -289,3 +289,118 @@ SELECT *, CASE WHEN lang = 'python' THEN 'python' WHEN lang = 'java' THEN 'java'
   {stmts} AS regex_statements, {max_in} AS regex_max_inputs,
   {cnt(JAVA_OUT)} + {cnt(RETURN)} AS java_outputs, {cnt(CPP_OUT)} + {cnt(RETURN)} AS cpp_outputs
 FROM eff_l"""
+
+
+# --- comment ------------------------------------------------------------------------
+def _sql_list(words) -> str:
+    return "[" + ", ".join(q(w) for w in words) + "]"
+
+
+def _sql_longest(lst: str) -> str:
+    return (f"list_reduce({lst}, lambda acc, x: CASE WHEN acc IS NULL OR length(x) > length(acc) THEN x ELSE acc END, "
+            f"NULL::VARCHAR)")
+
+
+def _sql_splitlines(c: str) -> str:
+    parts = f"string_split_regex({c}, '\\r\\n|\\r|\\n')"
+    return (f"(CASE WHEN {c} = '' THEN []::VARCHAR[] WHEN {parts}[-1] = '' THEN list_slice({parts}, 1, len({parts}) - 1) "
+            f"ELSE {parts} END)")
+
+
+def _sql_runs(ls: str, marker: str) -> str:
+    flags = f"list_transform({ls}, lambda l: starts_with({sql_strip('l')}, {q(marker)}))"
+    starts = (f"list_filter(range(1, len({ls}) + 1), lambda i: {flags}[i] AND (i = 1 OR NOT {flags}[greatest(i - 1, 1)]))")
+    stop = f"coalesce(list_position(list_slice({flags}, s + 1, len({ls})), false), 0)"
+    length = f"(CASE WHEN {stop} = 0 THEN len({ls}) - s + 1 ELSE {stop} END)"
+    body = f"list_slice({ls}, s, s + {length} - 1)"
+    text = (f"array_to_string(list_transform({body}, lambda l: {sql_strip(f'substr(l, strpos(l, {q(marker)}) + {len(marker)})')}), ' ')")
+    runs = f"list_transform({starts}, lambda s: {{'text': {text}, 'n': {length}, 's': s}})"
+    return f"list_filter({runs}, lambda r: NOT (r.s = 1 AND r.n >= 2))"
+
+
+def _sql_extract_com(col: str) -> str:
+    from gradewell.plans.comment import CODE_LIKE_COM, FENCE_PATTERNS
+    text = f"coalesce({col}, 'None')"
+    cands = [sql_strip(_sql_longest(f"regexp_extract_all({text}, {q(p)}, 1)")) for p in FENCE_PATTERNS]
+    ls = f"string_split({text}, {N})"
+    ind = f"list_filter(range(2, len({ls}) + 1), lambda i: starts_with({ls}[i], '    ') OR starts_with({ls}[i], chr(9)))"
+    cands.append(sql_strip(f"CASE WHEN len({ind}) > 0 THEN array_to_string(list_slice({ls}, {ind}[1], len({ls})), {N}) END"))
+    st = f"list_filter(range(2, len({ls}) + 1), lambda i: NOT starts_with({ls}[i], '```'))"
+    bl = f"list_filter(range(2, len({ls}) + 1), lambda i: {ls}[i] = '')"
+    cands.append(sql_strip(f"CASE WHEN len({st}) > 0 AND len({bl}) > 0 AND {bl}[-1] > {st}[1] "
+                           f"THEN array_to_string(list_slice({ls}, {st}[1], {bl}[-1] - 1), {N}) || {N} END"))
+    like = " OR ".join(f"regexp_matches(l, {q(p.replace('(?U)', ''))})" for p in CODE_LIKE_COM)
+    step = (f"{{'on': CASE WHEN {like} THEN true WHEN {sql_strip('l')} = '' THEN false ELSE acc.on END, "
+            f"'out': CASE WHEN ({like}) OR (acc.on AND {sql_strip('l')} <> '') THEN list_append(acc.out, l) ELSE acc.out END}}")
+    kept = f"list_reduce({ls}, lambda acc, l: {step}, {{'on': false, 'out': []::VARCHAR[]}}).out"
+    lines_fb = f"CASE WHEN len({kept}) > 0 THEN array_to_string({kept}, {N}) END"
+    ladder = " ".join(f"WHEN {c} IS NOT NULL AND {c} <> '' THEN {c}" for c in cands)
+    found = f"CASE {ladder} ELSE {lines_fb} END"
+    return f"CASE WHEN {text} = '' THEN NULL ELSE {sql_strip(f'regexp_replace({found}, {q(chr(40) + "?i" + chr(41) + "^(python|java|cpp)" + chr(10))}, {q("")})')} END"
+
+
+def _com_base() -> str:
+    from gradewell.plans.comment import COM_ALIASES, CPP_KEYWORDS, JAVA_KEYWORDS, PYTHON_KEYWORDS
+    alias = "CASE lower(coalesce(programming_language, '')) " + " ".join(
+        f"WHEN {q(k)} THEN {q(v)}" for k, v in COM_ALIASES.items()) + " ELSE 'python' END"
+    ls = _sql_splitlines("code")
+    py_blocks = "regexp_extract_all(code, '(''''''[\\s\\S]*?''''''|\"\"\"[\\s\\S]*?\"\"\")', 1)"
+    py_txt = f"list_transform({py_blocks}, lambda b: regexp_replace(regexp_replace(b, '^''+|''+$', '', 'g'), '^\"+|\"+$', '', 'g'))"
+    cj_blocks = "regexp_extract_all(code, '(/\\*[\\s\\S]*?\\*/|/\\*\\*[\\s\\S]*?\\*/)', 1)"
+    cj_txt = f"list_transform({cj_blocks}, lambda b: {sql_strip(chr(114) + 'egexp_replace(b, ' + q('^[/*]+|[/*]+$') + ', ' + q('') + ', ' + q('g') + ')')})"
+    inline = f"list_filter({ls}, lambda l: NOT starts_with({sql_strip('l')}, '#') AND contains(l, '#'))"
+    inline_txt = f"list_transform({inline}, lambda l: {sql_strip('substr(l, strpos(l, chr(35)) + 1)')})"
+
+    def blines(bs):
+        return f"list_sum(list_transform({bs}, lambda b: len(string_split(b, {N}))))"
+    py_runs, cj_runs = _sql_runs(ls, "#"), _sql_runs(ls, "//")
+    py_comments = f"list_concat({py_txt}, list_transform({py_runs}, lambda r: r.text), {inline_txt})"
+    cj_comments = f"list_concat({cj_txt}, list_transform({cj_runs}, lambda r: r.text))"
+    py_n = f"coalesce({blines(py_blocks)}, 0) + coalesce(list_sum(list_transform({py_runs}, lambda r: r.n)), 0) + len({inline})"
+    cj_n = f"coalesce({blines(cj_blocks)}, 0) + coalesce(list_sum(list_transform({cj_runs}, lambda r: r.n)), 0)"
+    pc = ("CASE WHEN lang = 'python' THEN regexp_replace(regexp_replace(regexp_replace(code, '#.*', '', 'g'), "
+          "'''''''[\\s\\S]*?''''''', '', 'g'), '\"\"\"[\\s\\S]*?\"\"\"', '', 'g') "
+          "ELSE regexp_replace(regexp_replace(regexp_replace(code, '//.*', '', 'g'), '/\\*[\\s\\S]*?\\*/', '', 'g'), "
+          "'/\\*\\*[\\s\\S]*?\\*/', '', 'g') END")
+    allp = ("list_distinct(list_concat(regexp_extract_all(pc, '[a-zA-Z][a-z]*', 0), "
+            "regexp_extract_all(replace(pc, '_', ' '), '[a-zA-Z]+', 0), regexp_extract_all(pc, '[A-Z]+(?:[a-z]+)?', 0), "
+            "regexp_extract_all(pc, '\\b[a-zA-Z_][a-zA-Z0-9_]*\\b', 0)))")
+    kw = (f"CASE WHEN lang = 'java' THEN {_sql_list(JAVA_KEYWORDS)} WHEN lang = 'cpp' THEN {_sql_list(CPP_KEYWORDS)} "
+          f"ELSE {_sql_list(PYTHON_KEYWORDS)} END")
+    terms = ("list_distinct(list_transform(list_filter(flatten(list_transform(comments, lambda c: "
+             f"regexp_split_to_array({sql_strip('c')}, '\\s+'))), lambda w: w <> ''), lambda w: lower(w)))")
+    return oracle_with(f"""
+com_c AS (SELECT idx, pos, model, programming_language, response, {alias} AS lang, {_sql_extract_com('response')} AS code
+  FROM responses),
+com_m AS (
+  SELECT *, CASE WHEN lang = 'python' THEN {py_comments} ELSE {cj_comments} END AS comments,
+    CAST(CASE WHEN lang = 'python' THEN {py_n} ELSE {cj_n} END AS INTEGER) AS comment_lines, {pc} AS pc
+  FROM com_c),
+com_i AS (
+  SELECT *, CASE WHEN pc = '' OR pc IS NULL THEN []::VARCHAR[] ELSE list_filter({allp}, lambda x: NOT list_contains({kw}, x)) END AS ids,
+    {terms} AS terms
+  FROM com_m),
+com_s AS (
+  SELECT *, len(list_distinct(list_concat(terms, ids))) AS nu, len(list_intersect(terms, ids)) AS ni,
+    CASE WHEN len(comments) = 0 THEN 0.0 ELSE list_sum(list_transform(comments, lambda c: CASE WHEN length(c) <= 2 THEN 0.0
+      WHEN length(c) <= 30 THEN (length(c) - 2) / 28.0 ELSE 1.0 END)) / len(comments) END AS avg_cls
+  FROM com_i)""")
+
+
+def comment_metrics() -> str:
+    return _com_base() + """SELECT idx, pos, model, programming_language, lang, code,
+  CASE WHEN code IS NOT NULL THEN comment_lines END AS comment_lines,
+  CASE WHEN code IS NOT NULL THEN CAST(len(comments) AS INTEGER) END AS n_comments,
+  CASE WHEN code IS NOT NULL THEN CAST(len(ids) AS INTEGER) END AS n_identifiers,
+  CASE WHEN code IS NOT NULL THEN CAST(len(terms) AS INTEGER) END AS n_terms,
+  CASE WHEN code IS NOT NULL THEN round(CASE WHEN nu = 0 THEN 1.0 ELSE ni / nu END, 3) END AS cic,
+  CASE WHEN code IS NOT NULL THEN round(avg_cls, 3) END AS cls
+FROM com_s"""
+
+
+def score_comment() -> str:
+    from gradewell.operators.rules import COM_BLOCKLIST
+    return _com_base() + f"""SELECT idx, pos, model, coalesce(programming_language, 'python') AS programming_language,
+  CASE WHEN idx IN ({', '.join(map(str, COM_BLOCKLIST))}) THEN 0.0 WHEN code IS NULL OR code = '' THEN 0.0
+    ELSE round((0.7 * round(CASE WHEN nu = 0 THEN 1.0 ELSE ni / nu END, 3) + 0.3 * round(avg_cls, 3)) * 30, 1) END AS score
+FROM com_s"""

@@ -11,6 +11,7 @@ from gradewell.plans import standardization as STD
 from gradewell.plans import simplicity as SIM
 from gradewell.plans import robustness as ROB
 from gradewell.plans import efficiency as EFF
+from gradewell.plans import comment as COM
 from gradewell.operators.explode import tasks_from_responses
 from gradewell.sources.corpus import responses
 
@@ -43,6 +44,8 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "robustness_components": (_on_responses(ROB.robustness_components), O.robustness_components),
     "efficiency_inputs": (_on_responses(EFF.efficiency_inputs), O.efficiency_inputs),
     "score_efficiency": (_on_responses(EFF.score_efficiency), None),
+    "comment_metrics": (_on_responses(COM.comment_metrics), O.comment_metrics),
+    "score_comment": (_on_responses(COM.score_comment), O.score_comment),
 }
 
 
