@@ -118,3 +118,40 @@ def efficiency_facts(facts: DataFrame) -> DataFrame:
         F.coalesce(F.max(inputs), F.lit(0)).cast("long").alias("max_inputs"),
         F.coalesce(F.max(outputs), F.lit(0)).cast("long").alias("max_outputs"),
         (F.count_if(k.isin(*BRANCH_KINDS)) + 1).alias("cc"))
+
+
+# Node kinds used by the maintainability index on facts.
+OPERATOR_KINDS = ["BinOp", "UnaryOp", "BoolOp", "Compare", "AugAssign"]
+OPERAND_KINDS = ["Name", "Constant"]
+DECISION_KINDS = ["If", "IfExp", "For", "AsyncFor", "While", "ExceptHandler", "Assert", "comprehension"]
+STMT_KINDS = ["FunctionDef", "AsyncFunctionDef", "ClassDef", "Return", "Delete", "Assign", "AugAssign", "AnnAssign",
+              "For", "AsyncFor", "While", "If", "With", "AsyncWith", "Raise", "Try", "Assert", "Import", "ImportFrom",
+              "Global", "Nonlocal", "Expr", "Pass", "Break", "Continue", "Match", "TryStar", "TypeAlias"]
+
+
+def maintainability_facts(facts: DataFrame, comment_lines: DataFrame) -> DataFrame:
+    """Per answer: parses and a maintainability index from the published formula
+    ``max(0, (171 - 5.2 ln V - 0.23 G - 16.2 ln L + 50 sin(sqrt(2.46 * radians(C)))) * 100 / 171)``
+    with V = Halstead volume (operator / operand nodes), G = 1 + decision nodes,
+    L = statements, C = comment lines as a percentage of L.
+
+    ``comment_lines``: (idx, model, n_comment_lines)."""
+    k = F.col("kind")
+    agg = facts.groupBy("idx", "model").agg(
+        (F.count_if(k.isin("SyntaxError", "ParseError")) == 0).alias("parses"),
+        F.count_if(k.isin(*OPERATOR_KINDS)).alias("n1_total"),
+        F.count_distinct(F.when(k.isin(*OPERATOR_KINDS), k)).alias("n1"),
+        F.count_if(k.isin(*OPERAND_KINDS)).alias("n2_total"),
+        F.count_distinct(F.when(k.isin(*OPERAND_KINDS), F.coalesce(F.col("name"), k))).alias("n2"),
+        (F.count_if(k.isin(*DECISION_KINDS)) + 1).alias("g"),
+        F.count_if(k.isin(*STMT_KINDS)).alias("lloc"))
+    j = agg.join(comment_lines, ["idx", "model"], "left")
+    n, big_n = F.col("n1") + F.col("n2"), F.col("n1_total") + F.col("n2_total")
+    volume = F.when(n > 0, big_n * F.log2(n)).otherwise(F.lit(0.0))
+    lloc = F.col("lloc").cast("double")
+    c = F.when(lloc > 0, F.coalesce(F.col("n_comment_lines"), F.lit(0)) / lloc * 100).otherwise(F.lit(0.0))
+    raw = (F.lit(171.0) - F.lit(5.2) * F.ln(volume) - F.lit(0.23) * F.col("g") - F.lit(16.2) * F.ln(lloc)
+           + F.lit(50.0) * F.sin(F.sqrt(F.lit(2.46) * F.radians(c))))
+    mi = F.when((volume <= 0) | (lloc <= 0), F.lit(100.0)) \
+        .otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw * 100 / 171)))
+    return j.select("idx", "model", "parses", F.when(F.col("parses"), mi).alias("mi"))

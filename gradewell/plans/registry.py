@@ -42,6 +42,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "score_simplicity": (_on_tasks(SIM.score_simplicity), O.score_simplicity),
     "simplicity_metrics": (_on_tasks(_sim_metrics), O.simplicity_metrics),
     "robustness_components": (_on_responses(ROB.robustness_components), O.robustness_components),
+    "score_robustness": (_on_responses(ROB.score_robustness_full), None),
     "efficiency_inputs": (_on_responses(EFF.efficiency_inputs), O.efficiency_inputs),
     "score_efficiency": (_on_responses(EFF.score_efficiency), None),
     "comment_metrics": (_on_responses(COM.comment_metrics), O.comment_metrics),

@@ -46,10 +46,16 @@ def robustness_components(responses: DataFrame) -> DataFrame:
         mi_estimate(c, MI_WORDS["short"]).alias("mi_cpp"))
 
 
-def score_robustness(responses: DataFrame, py_facts: DataFrame | None = None) -> DataFrame:
+def score_robustness(responses: DataFrame, py_facts: DataFrame | None = None,
+                     comp: DataFrame | None = None) -> DataFrame:
     """Final score. ``py_facts`` (idx, model, parses, mi) supplies the Python-parse branch;
     without it every Python answer takes the syntax-error estimate."""
-    comp = robustness_components(responses)
+    comp = robustness_components(responses) if comp is None else comp
+    # A NULL answer extracts to '' and scores 0 like any answer without code; the
+    # text itself never crosses the join below.
+    comp = comp.select("idx", "pos", "model", "programming_language", "lang", (F.col("code") == "").alias("no_code"),
+                       "too_short", "error_handling", "input_validation", "resource_mgmt", "mi_python_fallback",
+                       "mi_java", "mi_cpp")
     if py_facts is not None:
         comp = comp.join(py_facts.select("idx", "model", "parses", F.col("mi").alias("mi_parsed")),
                          ["idx", "model"], "left")
@@ -61,12 +67,32 @@ def score_robustness(responses: DataFrame, py_facts: DataFrame | None = None) ->
           .when(lg == "java", F.col("mi_java")).otherwise(F.col("mi_cpp")))
     rob = F.least(F.lit(50) + F.col("error_handling") + F.col("input_validation") + F.col("resource_mgmt"), F.lit(100))
     final = F.round((mi + rob) / 2 / 100 * 30, 1)
-    is_str = F.col("response").isNotNull()
     blocked = F.col("idx").isin(*ROB_BLOCKLIST)
-    score = (F.when(blocked, 0.0).when(~is_str, 0.0).when(F.col("code") == "", 0.0)
+    score = (F.when(blocked, 0.0).when(F.col("no_code"), 0.0)
              .when(F.col("too_short"), 0.0).when(lg == "unknown", 0.0).when(mi <= 0, 0.0).otherwise(final))
     return comp.select("idx", "pos", "model", "programming_language", score.alias("score"))
 
 
-def robustness_report(responses: DataFrame, py_facts: DataFrame | None = None) -> DataFrame:
-    return regroup(score_robustness(responses, py_facts))
+def python_mi(responses: DataFrame, comp: DataFrame | None = None) -> DataFrame:
+    """(idx, model, parses, mi) for the answers the robustness score reads as Python."""
+    from gradewell.functions.text import lines
+    from gradewell.operators.facts import code_facts, maintainability_facts
+    comp = robustness_components(responses) if comp is None else comp
+    comp = comp.filter((F.col("lang") == "python") & (F.col("code") != ""))
+    comp = comp.select("idx", "model", "code")
+    comments = comp.select("idx", "model", F.size(F.filter(lines(F.col("code")), lambda l: strip(l).startswith("#")))
+                           .alias("n_comment_lines"))
+    return maintainability_facts(code_facts(comp), comments)
+
+
+def score_robustness_full(responses: DataFrame) -> DataFrame:
+    """Components are computed once and cut from their lineage (reliable checkpoint in the
+    shared checkpoint dir): the score, the facts stage and the comment counts all read them."""
+    from gradewell.session import checkpoint_dir
+    checkpoint_dir(responses.sparkSession)
+    comp = robustness_components(responses).checkpoint(eager=True)
+    return score_robustness(responses, python_mi(responses, comp), comp)
+
+
+def robustness_report(responses: DataFrame) -> DataFrame:
+    return regroup(score_robustness_full(responses))
