@@ -404,3 +404,115 @@ def score_comment() -> str:
   CASE WHEN idx IN ({', '.join(map(str, COM_BLOCKLIST))}) THEN 0.0 WHEN code IS NULL OR code = '' THEN 0.0
     ELSE round((0.7 * round(CASE WHEN nu = 0 THEN 1.0 ELSE ni / nu END, 3) + 0.3 * round(avg_cls, 3)) * 30, 1) END AS score
 FROM com_s"""
+
+
+# --- functionality --------------------------------------------------------------------
+def _fun_any(c: str, subs) -> str:
+    return "(" + " OR ".join(f"contains({c}, {q(x)})" for x in subs) + ")"
+
+
+def _fun_components_cte() -> str:
+    from gradewell.plans.functionality import (COVERAGE_DANGER, DANGER, FENCE_TAGS, GUARD_WORDS, LINE_START_WORDS)
+    tags = "(" + ", ".join(q(t) for t in FENCE_TAGS) + ")"
+    r1, r2 = q(r"(?s)```(?:python|java|cpp|c\+\+)?\n(.*?)\n```"), q(r"(?s)```(.*?)```")
+    r = "response"
+    c1 = (f"CASE WHEN contains({r}, '```') AND regexp_matches({r}, {r1}) THEN {sql_strip(f'regexp_extract({r}, {r1}, 1)')} "
+          f"WHEN contains({r}, '```') AND regexp_matches({r}, {r2}) THEN {sql_strip(f'regexp_extract({r}, {r2}, 1)')} END")
+    parts = f"string_split({r}, '```')"
+    inner = f"list_slice({parts}, 2, len({parts}) - 1)"
+    cand = (f"list_filter(list_transform({inner}, lambda p: CASE WHEN NOT {sql_strip('p')} IN {tags} AND contains(p, {N}) "
+            f"AND {sql_strip(f'split_part(p, {N}, 1)')} IN {tags} THEN {sql_strip(f'substr(p, strpos(p, {N}) + 1)')} END), "
+            f"lambda x: x IS NOT NULL)")
+    block = f"CASE WHEN contains({r}, '```') AND len({parts}) >= 3 AND len({cand}) > 0 THEN {cand}[1] END"
+    ls = f"string_split({r}, {N})"
+    hit = f"list_filter(range(1, len({ls}) + 1), lambda i: {_fun_any(f'{ls}[i]', LINE_START_WORDS)})"
+    suffix = (f"CASE WHEN {_fun_any(r, ['def ', 'class ', 'public class', '#include'])} AND len({hit}) > 0 "
+              f"THEN array_to_string(list_slice({ls}, {hit}[1], len({ls})), {N}) END")
+    whole = f"CASE WHEN length({r}) > 20 AND length({r}) < 5000 AND {_fun_any(r, ['def', 'class', 'function'])} THEN {r} END"
+    fb = (f"CASE WHEN NOT {nonempty_sql(r)} OR contains({r}, 'Feature not available') OR starts_with({r}, 'Error:') THEN NULL "
+          f"WHEN ({block}) IS NOT NULL THEN {block} ELSE coalesce({suffix}, {whole}) END")
+    known = (f"(model IN ('gpt', 'claude', 'deepseek', 'qwen') AND length({r}) > 50 AND {_fun_any(r, ['def ', 'class ', 'if '])})")
+    code = (f"CASE WHEN {nonempty_sql(f'({c1})')} THEN {c1} WHEN {nonempty_sql(f'({fb})')} THEN {fb} "
+            f"WHEN {known} THEN {r} END")
+    det = ("CASE WHEN " + _fun_any("code", ["```java", "import java.", "public class"]) + " THEN 'java' WHEN "
+           + _fun_any("code", ["```c++", "#include"]) + " THEN 'cpp' WHEN " + _fun_any("code", ["```python", "def "])
+           + " THEN 'python' END")
+
+    def pick(p):
+        return f"coalesce(nullif(regexp_extract(code, {q(p)}, 1), ''), 'solution')"
+    fl = f"coalesce({det}, task_lang)"
+    fname = (f"CASE WHEN {fl} = 'python' THEN {pick(r'def\s+(\w+)')} "
+             f"WHEN {fl} = 'java' THEN {pick(r'(?:public\s+)?(?:static\s+)?(?:\w+)\s+(\w+)\s*\(')} "
+             f"WHEN {fl} IN ('cpp', 'c++') THEN {pick(r'(?:\w+)\s+(\w+)\s*\(')} ELSE 'solution' END")
+    return f"""
+fun_t AS (
+  SELECT idx, max(lower(coalesce(programming_language, 'python'))) AS l0,
+    max(CASE WHEN model = 'base' THEN 1 ELSE 0 END) AS has_base,
+    max(CASE WHEN model = 'base' THEN coalesce(response, '') END) AS base
+  FROM responses GROUP BY idx),
+fun_r AS (
+  SELECT r.idx, r.pos, r.model, r.response, coalesce(r.instruction, '') AS instruction,
+    CASE WHEN t.l0 = 'python' AND t.has_base = 1 AND (contains(t.base, '```java') OR contains(t.base, 'import java.')) THEN 'java'
+         WHEN t.l0 = 'python' AND t.has_base = 1 AND (contains(t.base, '```c++') OR contains(t.base, '#include')) THEN 'cpp'
+         ELSE t.l0 END AS task_lang
+  FROM responses r JOIN fun_t t ON r.idx = t.idx),
+fun_x AS (SELECT idx, pos, model, task_lang, instruction, {code} AS code FROM fun_r),
+fun_c AS (
+  SELECT idx, pos, model, task_lang, {_fun_any('lower(instruction)', GUARD_WORDS)} AS instr_guard,
+    {nonempty_sql('code')} AS has_code, {det} AS detected,
+    (contains(lower(code), 'division by zero') OR contains(code, 'ZeroDivisionError')) AS divzero,
+    length(code) > 5000 AS too_long,
+    {_fun_any('code', DANGER['python'])} AS danger_python, {_fun_any('code', DANGER['cpp'])} AS danger_cpp,
+    {_fun_any('code', DANGER['java'])} AS danger_java, {_fun_any('code', COVERAGE_DANGER)} AS coverage_danger,
+    {fname} AS func_name
+  FROM fun_x)"""
+
+
+def functionality_components() -> str:
+    return oracle_with(_fun_components_cte()) + "SELECT * FROM fun_c"
+
+
+def _semantic_cte() -> str:
+    return """
+sem AS (
+  SELECT r.idx, r.model,
+    CASE WHEN a.embedding IS NULL OR b.embedding IS NULL THEN 0.5
+      ELSE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) END AS semantic
+  FROM responses r LEFT JOIN embeddings a ON a.vec_id = r.idx * 4 + r.pos
+    LEFT JOIN embeddings b ON b.vec_id = r.idx * 4 + r.pos + 1)"""
+
+
+def semantic_similarity() -> str:
+    return oracle_with(_semantic_cte()) + "SELECT idx, model, round(semantic, 6) AS semantic FROM sem"
+
+
+def pass_rates() -> str:
+    return oracle_with("") + """SELECT idx, model, avg(CAST(passed AS DOUBLE)) AS pass_rate, bool_and(ran) AS ran
+FROM case_outcomes GROUP BY idx, model"""
+
+
+def score_functionality() -> str:
+    from gradewell.operators.rules import FUN_BLOCKLIST
+    blk = ", ".join(map(str, FUN_BLOCKLIST))
+    return oracle_with(_fun_components_cte() + "," + _semantic_cte() + """,
+rates AS (SELECT idx, model, avg(CAST(passed AS DOUBLE)) AS pass_rate, bool_and(ran) AS ran FROM case_outcomes GROUP BY idx, model),
+fun_j AS (
+  SELECT c.*, s.semantic, p.pass_rate, p.ran,
+    coalesce(last_value(CASE WHEN c.has_code THEN c.detected END IGNORE NULLS) OVER (PARTITION BY c.idx ORDER BY c.pos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), c.task_lang) AS lang,
+    coalesce(last_value(CASE WHEN c.has_code THEN c.detected END IGNORE NULLS) OVER (PARTITION BY c.idx ORDER BY c.pos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), c.task_lang) AS final_lang,
+    bool_or(c.instr_guard) OVER (PARTITION BY c.idx) AS guard
+  FROM fun_c c LEFT JOIN sem s ON c.idx = s.idx AND c.model = s.model
+    LEFT JOIN rates p ON c.idx = p.idx AND c.model = p.model),
+fun_k AS (
+  SELECT *, lang IN ('python', 'cpp', 'c++', 'java') AND NOT (CASE WHEN lang = 'python' THEN danger_python
+    WHEN lang = 'cpp' THEN danger_cpp WHEN lang = 'java' THEN danger_java ELSE false END) AS runnable
+  FROM fun_j)""") + f"""
+SELECT idx, pos, model,
+  CASE WHEN idx IN ({blk}) OR guard THEN task_lang ELSE final_lang END AS programming_language,
+  CASE WHEN idx IN ({blk}) THEN 0.0 WHEN guard THEN 15.0 WHEN NOT has_code THEN 0.0 WHEN divzero THEN 10.0 WHEN too_long THEN 10.0
+    ELSE round((0.4 * semantic + 0.3 * CASE WHEN runnable THEN coalesce(pass_rate, 0.0) ELSE 0.0 END
+      + 0.2 * CASE WHEN lang = 'python' AND NOT coverage_danger THEN 0.5 ELSE 0.0 END
+      + 0.1 * CAST(CASE WHEN runnable THEN coalesce(ran, false) ELSE false END AS DOUBLE)) * 30, 1) END AS score
+FROM fun_k"""

@@ -12,8 +12,9 @@ from gradewell.plans import simplicity as SIM
 from gradewell.plans import robustness as ROB
 from gradewell.plans import efficiency as EFF
 from gradewell.plans import comment as COM
+from gradewell.plans import functionality as FUN
 from gradewell.operators.explode import tasks_from_responses
-from gradewell.sources.corpus import responses
+from gradewell.sources.corpus import responses, case_outcomes
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,18 @@ def _sim_metrics(tasks):
     return m.select("idx", "model", "loc", "cc", F.round("hv", 6).alias("hv"), F.round("mi", 6).alias("mi"))
 
 
+def _fun_semantic(spark, sf_dir):
+    from pyspark.sql import functions as F
+    s = FUN.semantic_similarity(spark, sf_dir, responses(spark, sf_dir).select("idx", "pos", "model"))
+    return s.select("idx", "model", F.round("semantic", 6).alias("semantic"))
+
+
+def _fun_score(spark, sf_dir):
+    r = responses(spark, sf_dir)
+    sem = FUN.semantic_similarity(spark, sf_dir, r.select("idx", "pos", "model"))
+    return FUN.score_functionality(tasks_from_responses(r), sem, case_outcomes(spark, sf_dir))
+
+
 REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "responses": (lambda spark, sf: responses(spark, sf),
                   lambda: O.oracle_with() + "SELECT * FROM responses"),
@@ -45,6 +58,11 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "score_robustness": (_on_responses(ROB.score_robustness_full), None),
     "efficiency_inputs": (_on_responses(EFF.efficiency_inputs), O.efficiency_inputs),
     "score_efficiency": (_on_responses(EFF.score_efficiency), None),
+    "functionality_components": (_on_tasks(FUN.functionality_components), O.functionality_components),
+    "semantic_similarity": (_fun_semantic, O.semantic_similarity),
+    "pass_rate": (lambda spark, sf: FUN.pass_rates(case_outcomes(spark, sf)), O.pass_rates),
+    "score_functionality": (_fun_score, O.score_functionality),
+    "test_case_plan": (_on_tasks(FUN.test_case_plan), None),
     "comment_metrics": (_on_responses(COM.comment_metrics), O.comment_metrics),
     "score_comment": (_on_responses(COM.score_comment), O.score_comment),
 }
