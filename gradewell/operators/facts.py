@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 FACT_SCHEMA = ("idx long, model string, node_id int, parent_id int, func_id int, class_id int, "
-               "kind string, name string, n_args int, has_value boolean, ctx string, base string")
+               "kind string, name string, n_args int, has_value boolean, ctx string, base string, parent_kind string")
 _COLS = ["idx", "model", "node_id", "parent_id", "func_id", "class_id", "kind", "name",
-         "n_args", "has_value", "ctx", "base"]
+         "n_args", "has_value", "ctx", "base", "parent_kind"]
 
 
 def _name_of(node) -> str | None:
@@ -57,14 +57,14 @@ def walk_facts(idx, model, code):
     try:
         tree = ast.parse(code)
     except SyntaxError:
-        return [(idx, model, -1, -1, -1, -1, "SyntaxError", None, None, None, None, None)]
+        return [(idx, model, -1, -1, -1, -1, "SyntaxError", None, None, None, None, None, None)]
     except Exception:  # noqa: BLE001 - e.g. null bytes, recursion depth
-        return [(idx, model, -1, -1, -1, -1, "ParseError", None, None, None, None, None)]
+        return [(idx, model, -1, -1, -1, -1, "ParseError", None, None, None, None, None, None)]
     out = []
-    stack = [(tree, -1, -1, -1)]
+    stack = [(tree, -1, -1, -1, None)]
     nid = 0
     while stack:
-        node, parent, func, cls = stack.pop()
+        node, parent, func, cls, parent_kind = stack.pop()
         me = nid
         nid += 1
         base = None
@@ -73,12 +73,12 @@ def walk_facts(idx, model, code):
         ctx = type(node.ctx).__name__ if hasattr(node, "ctx") else None
         has_value = getattr(node, "value", None) is not None if isinstance(node, ast.Return) else None
         out.append((idx, model, me, parent, func, cls, type(node).__name__, _name_of(node),
-                    _n_args(node), has_value, ctx, base))
+                    _n_args(node), has_value, ctx, base, parent_kind))
         child_func = me if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else func
         child_cls = me if isinstance(node, ast.ClassDef) else cls
         kids = list(ast.iter_child_nodes(node))
         for k in reversed(kids):
-            stack.append((k, me, child_func, child_cls))
+            stack.append((k, me, child_func, child_cls, type(node).__name__))
     return out
 
 

@@ -516,3 +516,32 @@ SELECT idx, pos, model,
       + 0.2 * CASE WHEN lang = 'python' AND NOT coverage_danger THEN 0.5 ELSE 0.0 END
       + 0.1 * CAST(CASE WHEN runnable THEN coalesce(ran, false) ELSE false END AS DOUBLE)) * 30, 1) END AS score
 FROM fun_k"""
+
+
+# --- modularity -----------------------------------------------------------------------
+def modularity_inputs() -> str:
+    from gradewell.plans.modularity import API_WORDS, CPP_INCLUDE, JAVA_IMPORT, MOD_ALIASES, MOD_FENCES, PY_IMPORT_RE
+    alias = ("CASE WHEN lower(coalesce(programming_language, '')) = '' THEN 'python' ELSE CASE lower(programming_language) "
+             + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in MOD_ALIASES.items()) + " ELSE 'python' END END")
+    ladder = []
+    for p in MOD_FENCES:
+        best = _sql_longest(f"regexp_extract_all(coalesce(response, ''), {q(p)}, 1)")
+        ladder.append(f"WHEN {best} IS NOT NULL AND length({sql_strip(best)}) > 10 AND contains({best}, {N}) THEN {sql_strip(best)}")
+    code = "CASE " + " ".join(ladder) + " ELSE '' END"
+    cl = f"list_filter(string_split(code, {N}), lambda l: {sql_strip('l')} <> '' AND NOT starts_with({sql_strip('l')}, '#'))"
+    mi = f"coalesce(list_max(list_transform({cl}, lambda l: length(l) - length(regexp_replace(l, '^\\s+', '')))), 0)"
+    funcs = "len(regexp_extract_all(code, 'def\\s+\\w+\\s*\\(', 0))"
+    classes = "len(regexp_extract_all(code, 'class\\s+\\w+', 0))"
+    factor = (f"(CASE WHEN len({cl}) < 20 THEN 0.85 WHEN len({cl}) > 100 THEN 1.05 ELSE 1.0 END) "
+              f"* (CASE WHEN {mi} > 16 THEN 0.95 ELSE 1.0 END) "
+              f"* (CASE WHEN {funcs} > 5 OR {classes} > 2 THEN 1.08 WHEN {funcs} <= 1 AND {classes} = 0 THEN 0.9 ELSE 1.0 END)")
+    py_imp = (f"list_distinct(list_filter(list_concat(regexp_extract_all(code, {q(PY_IMPORT_RE)}, 1), "
+              f"regexp_extract_all(code, {q(PY_IMPORT_RE)}, 2)), lambda x: x <> ''))")
+    return oracle_with(f"""
+mod_c AS (SELECT idx, pos, model, programming_language, {alias} AS lang, {code} AS code FROM responses)""") + f"""
+SELECT *, round(CAST({factor} AS DOUBLE), 6) AS factor,
+  CAST(len(list_distinct(regexp_extract_all(code, {q(JAVA_IMPORT)}, 1))) AS BIGINT) AS java_ce,
+  CAST(len(list_distinct(regexp_extract_all(code, {q(CPP_INCLUDE)}, 1))) AS BIGINT) AS cpp_ce,
+  CAST(len({py_imp}) AS BIGINT) AS py_regex_ce,
+  CAST({funcs} AS BIGINT) AS def_count, regexp_matches(code, {q(API_WORDS)}) AS api_words
+FROM mod_c"""

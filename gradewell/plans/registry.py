@@ -13,6 +13,7 @@ from gradewell.plans import robustness as ROB
 from gradewell.plans import efficiency as EFF
 from gradewell.plans import comment as COM
 from gradewell.plans import functionality as FUN
+from gradewell.plans import modularity as MOD
 from gradewell.operators.explode import tasks_from_responses
 from gradewell.sources.corpus import responses, case_outcomes
 
@@ -63,6 +64,8 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "pass_rate": (lambda spark, sf: FUN.pass_rates(case_outcomes(spark, sf)), O.pass_rates),
     "score_functionality": (_fun_score, O.score_functionality),
     "test_case_plan": (_on_tasks(FUN.test_case_plan), None),
+    "modularity_inputs": (_on_responses(MOD.modularity_inputs), O.modularity_inputs),
+    "score_modularity": (_on_responses(MOD.score_modularity), None),
     "comment_metrics": (_on_responses(COM.comment_metrics), O.comment_metrics),
     "score_comment": (_on_responses(COM.score_comment), O.score_comment),
 }
