@@ -14,6 +14,8 @@ from gradewell.plans import efficiency as EFF
 from gradewell.plans import comment as COM
 from gradewell.plans import functionality as FUN
 from gradewell.plans import modularity as MOD
+from gradewell.plans import scorecard as SC
+from gradewell.sources import jsonl as J
 from gradewell.operators.explode import tasks_from_responses
 from gradewell.sources.corpus import responses, case_outcomes
 
@@ -46,6 +48,16 @@ def _fun_score(spark, sf_dir):
     return FUN.score_functionality(tasks_from_responses(r), sem, case_outcomes(spark, sf_dir))
 
 
+def _corpus_lines(spark, sf_dir):
+    return J.task_lines(tasks_from_responses(responses(spark, sf_dir)))
+
+
+def _scan_lenient(spark, sf_dir):
+    t = J.scan_lenient(_corpus_lines(spark, sf_dir))
+    from pyspark.sql import functions as F
+    return t.select("index", "programming_language", "instruction", F.size("results").alias("n_models"))
+
+
 REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "responses": (lambda spark, sf: responses(spark, sf),
                   lambda: O.oracle_with() + "SELECT * FROM responses"),
@@ -66,6 +78,10 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "test_case_plan": (_on_tasks(FUN.test_case_plan), None),
     "modularity_inputs": (_on_responses(MOD.modularity_inputs), O.modularity_inputs),
     "score_modularity": (_on_responses(MOD.score_modularity), None),
+    "scorecard": (SC.scorecard, None),
+    "model_ranking": (SC.model_ranking, None),
+    "scan_lenient": (_scan_lenient, None),
+    "scan_quarantine": (lambda spark, sf: J.scan_counts(_corpus_lines(spark, sf)), None),
     "comment_metrics": (_on_responses(COM.comment_metrics), O.comment_metrics),
     "score_comment": (_on_responses(COM.score_comment), O.score_comment),
 }
