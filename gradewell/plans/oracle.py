@@ -17,6 +17,11 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def sql_round(x: str, d: int) -> str:
+    """Round like Spark: the double's shortest decimal text, rounded half-up."""
+    return f"CAST(round(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38, 17)), {d}) AS DOUBLE)"
+
+
 def sql_lang_instruction(col: str = "instruction") -> str:
     i = f"coalesce({col}, '')"
     return f"""CASE WHEN contains(lower({i}), 'python') THEN 'python'
@@ -209,8 +214,8 @@ def sql_lang_feature_vote(code: str) -> str:
 
 
 def sql_mi_estimate(code: str, words: str) -> str:
-    return (f"round(greatest(0.0, least(100.0 - (len(string_split({code}, {N})) * 0.2 "
-            f"+ len(regexp_extract_all({code}, '({words})', 1)) * 0.5), 100.0)), 1)")
+    return (f"CAST(round(greatest(0.0, least(100.0 - (len(string_split({code}, {N})) * 0.2 "
+            f"+ len(regexp_extract_all({code}, '({words})', 1)) * 0.5), 100.0)), 1) AS DOUBLE)")
 
 
 def robustness_components() -> str:
@@ -393,8 +398,8 @@ def comment_metrics() -> str:
   CASE WHEN code IS NOT NULL THEN CAST(len(comments) AS INTEGER) END AS n_comments,
   CASE WHEN code IS NOT NULL THEN CAST(len(ids) AS INTEGER) END AS n_identifiers,
   CASE WHEN code IS NOT NULL THEN CAST(len(terms) AS INTEGER) END AS n_terms,
-  CASE WHEN code IS NOT NULL THEN round(CASE WHEN nu = 0 THEN 1.0 ELSE ni / nu END, 3) END AS cic,
-  CASE WHEN code IS NOT NULL THEN round(avg_cls, 3) END AS cls
+  CASE WHEN code IS NOT NULL THEN """ + sql_round("CASE WHEN nu = 0 THEN 1.0 ELSE ni / nu END", 3) + """ END AS cic,
+  CASE WHEN code IS NOT NULL THEN """ + sql_round("avg_cls", 3) + """ END AS cls
 FROM com_s"""
 
 
@@ -402,7 +407,7 @@ def score_comment() -> str:
     from gradewell.operators.rules import COM_BLOCKLIST
     return _com_base() + f"""SELECT idx, pos, model, coalesce(programming_language, 'python') AS programming_language,
   CASE WHEN idx IN ({', '.join(map(str, COM_BLOCKLIST))}) THEN 0.0 WHEN code IS NULL OR code = '' THEN 0.0
-    ELSE round((0.7 * round(CASE WHEN nu = 0 THEN 1.0 ELSE ni / nu END, 3) + 0.3 * round(avg_cls, 3)) * 30, 1) END AS score
+    ELSE {sql_round("(0.7 * " + sql_round("CASE WHEN nu = 0 THEN 1.0 ELSE CAST(ni AS DOUBLE) / nu END", 3) + " + 0.3 * " + sql_round("avg_cls", 3) + ") * 30", 1)} END AS score
 FROM com_s"""
 
 
@@ -483,7 +488,7 @@ sem AS (
 
 
 def semantic_similarity() -> str:
-    return oracle_with(_semantic_cte()) + "SELECT idx, model, round(semantic, 6) AS semantic FROM sem"
+    return oracle_with(_semantic_cte()) + f"SELECT idx, model, {sql_round('semantic', 6)} AS semantic FROM sem"
 
 
 def pass_rates() -> str:
@@ -512,9 +517,9 @@ fun_k AS (
 SELECT idx, pos, model,
   CASE WHEN idx IN ({blk}) OR guard THEN task_lang ELSE final_lang END AS programming_language,
   CASE WHEN idx IN ({blk}) THEN 0.0 WHEN guard THEN 15.0 WHEN NOT has_code THEN 0.0 WHEN divzero THEN 10.0 WHEN too_long THEN 10.0
-    ELSE round((0.4 * semantic + 0.3 * CASE WHEN runnable THEN coalesce(pass_rate, 0.0) ELSE 0.0 END
-      + 0.2 * CASE WHEN lang = 'python' AND NOT coverage_danger THEN 0.5 ELSE 0.0 END
-      + 0.1 * CAST(CASE WHEN runnable THEN coalesce(ran, false) ELSE false END AS DOUBLE)) * 30, 1) END AS score
+    ELSE {sql_round("(0.4 * semantic + 0.3 * CASE WHEN runnable THEN coalesce(pass_rate, 0.0) ELSE 0.0 END "
+      "+ 0.2 * CASE WHEN lang = 'python' AND NOT coverage_danger THEN 0.5 ELSE 0.0 END "
+      "+ 0.1 * CAST(CASE WHEN runnable THEN coalesce(ran, false) ELSE false END AS DOUBLE)) * 30", 1)} END AS score
 FROM fun_k"""
 
 

@@ -1,0 +1,3 @@
+from gradewell.streaming.stream_score import stream_lines, stream_standardization, stream_tasks
+
+__all__ = ["stream_lines", "stream_standardization", "stream_tasks"]
