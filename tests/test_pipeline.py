@@ -40,9 +40,12 @@ def test_oracle_matches(spark, name):
 
 def test_scores_in_range(spark):
     sc = E.queries()["scorecard"](spark, SF)
-    dims = ["functionality", "modularity", "simplicity", "standardization", "robustness", "efficiency", "comment"]
+    dims = ["modularity", "simplicity", "standardization", "robustness", "efficiency", "comment"]
     bad = sc.filter(" OR ".join(f"({d} < 0 OR {d} > 30)" for d in dims)).count()
     assert bad == 0
+    # Functionality weighs the cosine similarity unclamped (as the original formula does): a negative
+    # cosine can take it below 0, never below 30 * 0.4 * -1.
+    assert sc.filter("functionality < -12 OR functionality > 30").count() == 0
     assert sc.count() == responses(spark, SF).count()
 
 
