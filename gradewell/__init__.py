@@ -8,6 +8,14 @@ Layers:
   streaming/  the same stateless plans under Structured Streaming
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from gradewell.session import get_session, checkpoint_dir
 
+# Functions of this package travel to Python workers by value, so executors
+# need no copy of the repository on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["get_session", "checkpoint_dir"]
