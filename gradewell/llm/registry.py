@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gradewell.llm import quality
+from gradewell.llm import jaccard, quality
 
 QUERIES = {
     "op4_quality_divergence": (quality.op4_quality_divergence, quality.oracle),
+    "op9_prefix_tree_join": (jaccard.op9_prefix_tree_join, None),
 }
 
 
