@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gradewell.llm import jaccard, quality
+from gradewell.llm import decontaminate, jaccard, quality
 
 QUERIES = {
+    "op2_qgram_lemma": (decontaminate.op2_qgram_lemma, None),
     "op4_quality_divergence": (quality.op4_quality_divergence, quality.oracle),
     "op9_prefix_tree_join": (jaccard.op9_prefix_tree_join, None),
 }
