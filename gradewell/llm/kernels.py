@@ -72,10 +72,11 @@ def slices(batches, limit: int = BLOCK):
             at = end
 
 
-def words(data: np.ndarray, off: np.ndarray, fold: bool = True):
-    """(start, end, hash, per-document word offsets) of all words; words end at documents' ends."""
+def words(data: np.ndarray, off: np.ndarray, fold: bool = True, ws: np.ndarray = WS):
+    """(start, end, hash, per-document word offsets) of all words, split at the bytes of ``ws``
+    and at documents' ends."""
     n = len(data)
-    solid = ~WS[data]
+    solid = ~ws[data]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     prev = np.empty(n, bool)
@@ -114,6 +115,12 @@ def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray, fold: bool) -> np.
     return mix(total[e] - total[s] + ln.astype(np.uint64) * ORDER[63])
 
 
+def word_hash(word: str) -> int:
+    """The hash that ``words`` gives a word (with folding)."""
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return int(span_hash(raw, np.array([0]), np.array([len(raw)]), True)[0])
+
+
 def ngrams(h: np.ndarray, woff: np.ndarray, n: int):
     """(hash, per-document offsets) of the word n-grams; a document of 1 to n-1 words gives
     the whole sequence as one."""
