@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from gradewell.llm import decontaminate, jaccard, pii, quality
+from gradewell.llm import decontaminate, huffman, jaccard, packing, pii, quality
 
 QUERIES = {
     "op2_qgram_lemma": (decontaminate.op2_qgram_lemma, None),
     "op4_quality_divergence": (quality.op4_quality_divergence, quality.oracle),
+    "op5_canonical_huffman": (huffman.op5_canonical_huffman, None),
+    "op7_hierarchical_packing": (packing.op7_hierarchical_packing, None),
     "op8_deobfuscated_pii": (pii.op8_deobfuscated_pii, None),
     "op9_prefix_tree_join": (jaccard.op9_prefix_tree_join, None),
 }
