@@ -16,6 +16,8 @@ words is one n-gram). Two documents link when 100 * |intersection| >= percent *
   cannot reach the overlap that its smallest set would need, or when the pair also
   meets under an earlier token. A trie is left at its first link, so a group of m
   near copies costs about m walks and emits m - 1 links, not m^2.
+* Whole sets travel late: the same walk goes first over a trie of the tokens at the front
+  alone, and only sets that may still link with another one of the group follow.
 * A token group of more than ``block`` sets is dealt into blocks by salt; every pair
   of blocks meets, so no pair is lost and no task holds more than two blocks.
 
@@ -152,8 +154,9 @@ class _Node:
         self.run, self.kids, self.ends, self.lo, self.hi = run, {}, [], size, size
 
 
-def _insert(root: _Node, tokens: np.ndarray, name) -> None:
-    size, rest, node = len(tokens), tokens, root
+def _insert(root: _Node, tokens: np.ndarray, name, size: int) -> None:
+    """Add the ordered tokens, all or the first, of a set of ``size`` tokens."""
+    rest, node = tokens, root
     while True:
         node.lo, node.hi = min(node.lo, size), max(node.hi, size)
         if not len(rest):
@@ -202,6 +205,50 @@ def _first_link(root: _Node, x: np.ndarray, token: int, percent: int):
     return None
 
 
+def may_link(names, sizes, prefixes, token: int, percent: int) -> list:
+    """Of the sets of one group, known by their sizes and first tokens, those that could
+    link with another one that they first meet under ``token``."""
+    token, root, out = np.uint64(token), _Node(prefixes[0][:0], sizes[0]), []
+    for i, (n, x) in enumerate(zip(sizes, prefixes)):
+        _insert(root, x, i, n)
+    for i, (nx, x) in enumerate(zip(sizes, prefixes)):
+        walk = [(root, 0, 0, 0)]
+        while walk:
+            node, depth, overlap, used = walk.pop()
+            run = node.run
+            if len(run):
+                at = np.searchsorted(x, run)
+                hit = x[np.minimum(at, len(x) - 1)] == run
+                if bool((hit & (run < token)).any()):
+                    continue
+                known = len(run) if at[-1] < len(x) else int(np.searchsorted(run, x[-1], "right"))
+                overlap += int(hit.sum())
+                depth += known
+                used = int(at[known - 1]) + int(hit[known - 1]) if known else used
+            else:
+                known = 0
+            need = -(-percent * (nx + node.lo) // (100 + percent))
+            if overlap + min(node.hi - depth, nx - used) < need:
+                continue
+            if known < len(run):
+                # beyond what is known of this set: any other set below will do
+                below = [node]
+                while below:
+                    b = below.pop()
+                    if any(k != i for k, _ in b.ends):
+                        break
+                    below.extend(b.kids.values())
+                else:
+                    continue
+                out.append(names[i])
+                break
+            if any(k != i and overlap + min(n - depth, nx - used) >= -(-percent * (nx + n) // (100 + percent)) for k, n in node.ends):
+                out.append(names[i])
+                break
+            walk.extend((kid, depth, overlap, used) for kid in node.kids.values())
+    return out
+
+
 def trie_links(names, sets, token: int, percent: int):
     """Links (a, b) that join the sets of one group into its components."""
     tries: list[tuple[_Node, list]] = []
@@ -220,33 +267,44 @@ def trie_links(names, sets, token: int, percent: int):
             for t in found:
                 if t[0] is not home:
                     for n2, x2 in t[1]:
-                        _insert(home, x2, n2)
+                        _insert(home, x2, n2, len(x2))
                     members += t[1]
         else:
             home, members = _Node(x[:0], len(x)), []
-        _insert(home, x, name)
+        _insert(home, x, name, len(x))
         members.append((name, x))
         tries = [*rest, (home, members)]
 
 
+def _groups(batches):
+    """((token, block), columns of its rows without the key) of sorted rows."""
+    key, rows = None, []
+    for batch in batches:
+        for t, blk, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if key is not None and (t, blk) != key:
+                yield key, list(zip(*rows))
+                rows = []
+            key = (t, blk)
+            rows.append(rest)
+    if key is not None:
+        yield key, list(zip(*rows))
+
+
+def _screen(percent: int):
+    def run(batches):
+        for (t, blk), (ids, sizes, prefixes) in _groups(batches):
+            own = [np.array(p, np.int64).view(np.uint64) for p in prefixes]
+            left = may_link(ids, sizes, own, t, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([t] * len(left), [blk] * len(left), left)], ["token", "block", "rep"])
+    return run
+
+
 def _join(percent: int):
     def run(batches):
-        key, names, sets = None, [], []
-
-        def done():
-            links = list(trie_links(names, sets, key[0], percent))
-            a, b = zip(*links) if links else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        for batch in batches:
-            for t, blk, i, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if key is not None and (t, blk) != key:
-                    yield done()
-                    names, sets = [], []
-                key = (t, blk)
-                names.append(i)
-                sets.append(np.frombuffer(s, np.uint64))
-        if key is not None:
-            yield done()
+        for (t, _), (ids, sets) in _groups(batches):
+            found = list(trie_links(ids, [np.frombuffer(x, np.uint64) for x in sets], t, percent))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
 
@@ -259,12 +317,14 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, heavy, block:
     salt = F.pmod(F.xxhash64("rep", "token"), c)
     other = F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
     places = (post.join(shared, "token").select("rep", "token", c.alias("c"), salt.alias("s"), other.alias("o"))
-              .select("rep", F.struct("token", (F.least("s", "o") * F.col("c") + F.greatest("s", "o")).alias("block")).alias("place"))
-              .groupBy("rep").agg(F.collect_list("place").alias("places")))  # at most a prefix of one document
-    sets = (docs.join(places, docs["doc_id"] == places["rep"]).select("doc_id", "text", "places")
+              .select("rep", "token", (F.least("s", "o") * F.col("c") + F.greatest("s", "o")).alias("block")))
+    key = ["token", "block"]
+    dealt = lambda df, last: df.repartition(partitions(spark), *key).sortWithinPartitions(*key, last)
+    screened = dealt(places.join(reps, "rep").select(*key, "rep", "n", "prefix"), "rep").mapInArrow(_screen(percent), "token long, block long, rep long")
+    wanted = screened.groupBy("rep").agg(F.collect_list(F.struct(*key)).alias("places"))  # at most a prefix of one document
+    sets = (docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "places")
             .mapInArrow(_members(n, heavy), "token long, block long, id long, tokens binary"))
-    return (sets.repartition(partitions(spark), "token", "block").sortWithinPartitions("token", "block", "id")
-            .mapInArrow(_join(percent), "a long, b long"))
+    return dealt(sets, "id").mapInArrow(_join(percent), "a long, b long")
 
 
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
