@@ -4,10 +4,11 @@ A document's set holds its distinct word n-grams (A-Z folded; a text of fewer
 words is one n-gram). Two documents link when 100 * |intersection| >= percent *
 |union|. The result is one row per document with its class (connected component).
 
-* One 64-bit token per n-gram is also its place in the global order: six bits of
-  log2 of its document count, then 58 hash bits. Frequent n-grams come last. Counts
-  are gathered over all documents, but only n-grams that repeat within a task are
-  shipped; the order steers work, it never decides a link.
+* One 64-bit token per n-gram is also its place in the global order: six bits of class,
+  then 58 hash bits. A fixed share of the hash space comes first (1.5 times the share of
+  a set that can differ), and within it n-grams by their exact count over all sets, rare
+  ones first; the rest of the space needs no counts. So the counting shuffle carries
+  that share only, and shared passages stand late in the order.
 * Equal sets are one class by a 128-bit sum; one member stands for the class.
 * Two sets that link share a token among their first n - ceil(percent * n / 100) + 1.
   Sets that share such a token meet in its group, where each component found so far
@@ -37,24 +38,18 @@ from pyspark.sql import functions as F
 from gradewell.llm import kernels as K
 from gradewell.llm.common import components, cut, documents, partitions, store
 
-HEAVY_LIMIT = 1 << 20     # entries of the broadcast list of frequent n-grams (16 bytes each)
-HEAVY_LEAST = 50          # n-grams below this count share the lightest class
-WINDOW = 4 << 20          # n-grams counted together in a task before repeated ones are shipped
-BLOCK = 3000              # sets of one token that one task joins
+BLOCK = 3000  # sets of one token that one task joins
 
 
-def _sets(text_column, n: int, heavy=None):
-    """(ordered tokens, offsets) of the documents' sets; plain hashes if heavy is None."""
+HASH = np.uint64((1 << 58) - 1)
+
+
+def _sets(text_column, n: int):
+    """(58-bit hashes, offsets) of the documents' sets, each in ascending order."""
     data, off = K.buffer(text_column)
     _, _, h, woff = K.words(data, off)
     val, goff = K.ngrams(h, woff, n)
     val >>= np.uint64(6)
-    if heavy is not None and len(heavy[0]):
-        keys, classes, seen = heavy
-        hit = np.flatnonzero(seen[val & np.uint64(len(seen) - 1)])
-        at = np.minimum(np.searchsorted(keys, val[hit]), len(keys) - 1)
-        ok = keys[at] == val[hit]
-        val[hit[ok]] |= classes[at[ok]] << np.uint64(58)
     for a, b in zip(goff[:-1].tolist(), goff[1:].tolist()):
         val[a:b].sort()
     if len(val) == 0:
@@ -66,81 +61,87 @@ def _sets(text_column, n: int, heavy=None):
     return val[fresh], np.concatenate(([0], np.cumsum(fresh)))[goff]
 
 
-def _count_heavy(n: int):
-    def run(batches):
-        held, size = [], 0
+def front(percent: int) -> int:
+    """The hashes below this are the counted share of the space."""
+    return min(1 << 58, (1 << 58) * 3 * (100 - percent) // 200)
 
-        def flush():
-            v, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= 3
-            return pa.RecordBatch.from_arrays([pa.array(v[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["h", "c"])
-        for b in K.slices(batches):
-            val, _ = _sets(b.column("text"), n)
-            held.append(val)
-            size += len(val)
-            if size >= WINDOW:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-    return run
+
+def _prefix_size(n, percent: int):
+    return n - (percent * n + 99) // 100 + 1
 
 
-def frequent(docs: DataFrame, n: int):
-    """(hashes, log2 classes, byte filter) of the frequent n-grams, at most HEAVY_LIMIT of them."""
-    counts = (docs.select("text").mapInArrow(_count_heavy(n), "h long, c long")
-              .groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_LEAST))
-    counts = cut(counts)
-    least, left = HEAVY_LEAST, 0
-    by = {r[0]: r[1] for r in counts.groupBy(F.floor(F.log2("c")).alias("k")).count().collect()}
-    for k in sorted(by, reverse=True):
-        if left + by[k] > HEAVY_LIMIT:
-            least = max(least, 2 ** (k + 1))
-            break
-        left += by[k]
-    rows = counts.where(F.col("c") >= least).toPandas()
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    h, c = h[order], rows["c"].to_numpy(np.int64)[order]
-    classes = np.minimum(np.log2(np.maximum(c, 1)).astype(np.uint64), np.uint64(62)) + np.uint64(1)
-    seen = np.zeros(1 << 22, bool)
-    seen[h & np.uint64(len(seen) - 1)] = True
-    return h, classes, seen
-
-
-def _signatures(n: int, percent: int, heavy):
+def _signatures(n: int, percent: int):
     def run(batches):
+        limit = np.uint64(front(percent))
         for b in K.slices(batches):
-            val, off = _sets(b.column("text"), n, heavy.value)
+            val, off = _sets(b.column("text"), n)
             size = np.diff(off)
             sums = []
             for salt in (1, 2):
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(val ^ K.ORDER[60 + salt]))))
                 sums.append((total[off[1:]] - total[off[:-1]]).view(np.int64))
-            p = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
-            prefix = K.string_list(val[K.ragged(off[:-1], p)].view(np.int64), np.concatenate(([0], np.cumsum(p))), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), prefix],
-                                             ["doc_id", "n", "s1", "s2", "prefix"])
+            counted = np.concatenate(([0], np.cumsum(val < limit)))[off]
+            p = np.where(size > 0, np.maximum(_prefix_size(size, percent), np.diff(counted)), 0)
+            head = K.string_list(val[K.ragged(off[:-1], p)].view(np.int64), np.concatenate(([0], np.cumsum(p))), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), head],
+                                             ["doc_id", "n", "s1", "s2", "head"])
+    return run
+
+
+def _tokens(val: np.ndarray, known, percent: int) -> np.ndarray:
+    """Tokens of hashes, in global order; known: (hash, count) of those that several sets share."""
+    cls = np.where(val < np.uint64(front(percent)), np.uint64(0), np.uint64(62))
+    if known:
+        h, m = np.array([k["token"] for k in known], np.int64).view(np.uint64), np.array([k["m"] for k in known], np.float64)
+        order = np.argsort(h)
+        h, m = h[order], m[order]
+        at = np.minimum(np.searchsorted(h, val), len(h) - 1)
+        hit = (h[at] == val) & (cls == 0)
+        cls[hit] = 1 + np.minimum(4 * np.log2(m[at[hit]]), 60).astype(np.uint64)
+    return np.sort((cls << np.uint64(58)) | val)
+
+
+def _places(percent: int, block: int):
+    """The groups of each set: its shared tokens among the first that count, and their blocks."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for rep, n, head, known in zip(*(b.column(k).to_pylist() for k in ("rep", "n", "head", "known"))):
+                prefix = _tokens(np.array(head, np.int64).view(np.uint64), known, percent)[:_prefix_size(n, percent)]
+                count = {k["token"]: k["m"] for k in known}
+                shown = prefix.view(np.int64).tolist()
+                for t, h in zip(shown, (prefix & HASH).view(np.int64).tolist()):
+                    c = -(-count.get(h, 0) // block)
+                    s = int(K.mix(np.array([rep ^ t], np.int64).view(np.uint64))[0] % np.uint64(c)) if c > 1 else 0
+                    rows += [(t, min(s, o) * c + max(s, o), rep, n, shown) for o in range(c)]
+                if len(rows) > 2000:
+                    yield _place_batch(rows)
+                    rows = []
+            yield _place_batch(rows)
     return run
 
 
-def _members(n: int, heavy):
+def _place_batch(rows):
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], ["token", "block", "rep", "n", "prefix"])
+
+
+def _members(n: int, percent: int):
     """The set of each document, once for every token group it goes to."""
     def run(batches):
         for b in K.slices(batches, 1 << 20):
-            val, off = _sets(b.column("text"), n, heavy.value)
-            ids, places = b.column("doc_id").to_pylist(), b.column("places").to_pylist()
+            val, off = _sets(b.column("text"), n)
             rows = []
-            for i, where in enumerate(places):
-                own = val[off[i]:off[i + 1]]
+            for i, (name, where, known) in enumerate(zip(*(b.column(k).to_pylist() for k in ("doc_id", "places", "known")))):
+                own = _tokens(val[off[i]:off[i + 1]], known, percent)
                 if not len(own):
                     continue
                 tok = np.array([w["token"] for w in where], np.int64).view(np.uint64)
                 at = np.minimum(np.searchsorted(own, tok), len(own) - 1)
                 raw = own.tobytes()
-                rows += [(w["token"], w["block"], ids[i], raw) for w, ok in zip(where, own[at] == tok) if ok]
-            for k in range(0, len(rows), 2000):
-                t, blk, i, s = zip(*rows[k:k + 2000])
+                rows += [(w["token"], w["block"], name, raw) for w, ok in zip(where, own[at] == tok) if ok]
+            for k in range(0, len(rows), 500):
+                t, blk, i, s = zip(*rows[k:k + 500])
                 yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(blk, pa.int64()), pa.array(i, pa.int64()),
                                                   pa.array(s, pa.binary())], ["token", "block", "id", "tokens"])
     return run
@@ -208,7 +209,7 @@ def _first_link(root: _Node, x: np.ndarray, token: int, percent: int):
 def may_link(names, sizes, prefixes, token: int, percent: int) -> list:
     """Of the sets of one group, known by their sizes and first tokens, those that could
     link with another one that they first meet under ``token``."""
-    token, root, out = np.uint64(token), _Node(prefixes[0][:0], sizes[0]), []
+    token, root, out = np.uint64(token % 2**64), _Node(prefixes[0][:0], sizes[0]), []
     for i, (n, x) in enumerate(zip(sizes, prefixes)):
         _insert(root, x, i, n)
     for i, (nx, x) in enumerate(zip(sizes, prefixes)):
@@ -252,7 +253,7 @@ def may_link(names, sizes, prefixes, token: int, percent: int) -> list:
 def trie_links(names, sets, token: int, percent: int):
     """Links (a, b) that join the sets of one group into its components."""
     tries: list[tuple[_Node, list]] = []
-    token = np.uint64(token)
+    token = np.uint64(token % 2**64)
     for name, x in zip(names, sets):
         found, rest = [], []
         for t in tries:
@@ -308,39 +309,34 @@ def _join(percent: int):
     return run
 
 
-def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, heavy, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between class representatives that span all components."""
+def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between class representatives (rep, n, head) that span all components."""
     spark = docs.sparkSession
-    post = reps.select("rep", F.explode("prefix").alias("token"))
+    post = reps.select("rep", F.explode("head").alias("token"))
     shared = post.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    c = F.ceil(F.col("m") / block)
-    salt = F.pmod(F.xxhash64("rep", "token"), c)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
-    places = (post.join(shared, "token").select("rep", "token", c.alias("c"), salt.alias("s"), other.alias("o"))
-              .select("rep", "token", (F.least("s", "o") * F.col("c") + F.greatest("s", "o")).alias("block")))
+    known = cut(post.join(shared, "token").groupBy("rep").agg(F.collect_list(F.struct("token", "m")).alias("known")))  # of one document
     key = ["token", "block"]
     dealt = lambda df, last: df.repartition(partitions(spark), *key).sortWithinPartitions(*key, last)
-    screened = dealt(places.join(reps, "rep").select(*key, "rep", "n", "prefix"), "rep").mapInArrow(_screen(percent), "token long, block long, rep long")
-    wanted = screened.groupBy("rep").agg(F.collect_list(F.struct(*key)).alias("places"))  # at most a prefix of one document
-    sets = (docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "places")
-            .mapInArrow(_members(n, heavy), "token long, block long, id long, tokens binary"))
+    placed = reps.join(known, "rep").mapInArrow(_places(percent, block), "token long, block long, rep long, n long, prefix array<long>")
+    screened = dealt(placed, "rep").mapInArrow(_screen(percent), "token long, block long, rep long")
+    wanted = screened.groupBy("rep").agg(F.collect_list(F.struct(*key)).alias("places")).join(known, "rep")
+    sets = (docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "places", "known")
+            .mapInArrow(_members(n, percent), "token long, block long, id long, tokens binary"))
     return dealt(sets, "id").mapInArrow(_join(percent), "a long, b long")
 
 
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
-    heavy = spark.sparkContext.broadcast(frequent(docs, n))
-    base = store(docs.mapInArrow(_signatures(n, percent, heavy), "doc_id long, n long, s1 long, s2 long, prefix array<long>"), "sets")
+    base = store(docs.mapInArrow(_signatures(n, percent), "doc_id long, n long, s1 long, s2 long, head array<long>"), "sets")
     key = ["n", "s1", "s2"]
-    reps = (base.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-            .where("rep IS NOT NULL"))
-    found = components(cut(links(docs, reps, n, percent, heavy, block)))
+    reps = (base.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
+            .where("rep IS NOT NULL").select("rep", "n", "head"))
+    found = components(cut(links(docs, reps, n, percent, block)))
     named = (base.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
              .join(found, F.col("rep") == F.col("node"), "left")
              .select(*key, F.coalesce("component", "rep").alias("component")))
-    return (base.drop("prefix").join(named, key, "left")
+    return (base.drop("head").join(named, key, "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")))
 
