@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from gradewell.llm import decontaminate, huffman, jaccard, packing, pii, quality
+from gradewell.llm import decontaminate, huffman, jaccard, langid, packing, pii, quality, toxicity
 
 QUERIES = {
+    "op1_noisy_or_toxicity": (toxicity.op1_noisy_or_toxicity, None),
     "op2_qgram_lemma": (decontaminate.op2_qgram_lemma, None),
+    "op3_ftrl_language": (langid.op3_ftrl_language, None),
     "op4_quality_divergence": (quality.op4_quality_divergence, quality.oracle),
     "op5_canonical_huffman": (huffman.op5_canonical_huffman, None),
     "op7_hierarchical_packing": (packing.op7_hierarchical_packing, None),
