@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradewell.llm import decontaminate, huffman, jaccard, langid, packing, pii, quality, toxicity
+from gradewell.llm import decontaminate, huffman, jaccard, langid, lm, packing, pii, quality, repeats, toxicity
 
 QUERIES = {
     "op1_noisy_or_toxicity": (toxicity.op1_noisy_or_toxicity, None),
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_ftrl_language": (langid.op3_ftrl_language, None),
     "op4_quality_divergence": (quality.op4_quality_divergence, quality.oracle),
     "op5_canonical_huffman": (huffman.op5_canonical_huffman, None),
+    "op6_interval_tree_repeats": (repeats.op6_interval_tree_repeats, None),
     "op7_hierarchical_packing": (packing.op7_hierarchical_packing, None),
     "op8_deobfuscated_pii": (pii.op8_deobfuscated_pii, None),
     "op9_prefix_tree_join": (jaccard.op9_prefix_tree_join, None),
+    "op10_elias_fano_lm": (lm.op10_elias_fano_lm, None),
 }
 
 
