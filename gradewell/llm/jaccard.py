@@ -5,10 +5,11 @@ words is one n-gram). Two documents link when 100 * |intersection| >= percent *
 |union|. The result is one row per document with its class (connected component).
 
 * One 64-bit token per n-gram is also its place in the global order: six bits of class,
-  then 58 hash bits. A fixed share of the hash space comes first (1.5 times the share of
-  a set that can differ), and within it n-grams by their exact count over all sets, rare
-  ones first; the rest of the space needs no counts. So the counting shuffle carries
-  that share only, and shared passages stand late in the order.
+  four of length (long words first, as n-grams of short words are often shared by
+  chance), then 54 hash bits. The first n-grams in the order of length, a share of
+  ``COUNTED`` times what a set can differ by, are put in the order of their exact counts
+  over all sets, rare ones first; the others follow uncounted. So the counting shuffle
+  carries that share only, and shared passages stand late.
 * Equal sets are one class by a 128-bit sum; one member stands for the class.
 * Two sets that link share a token among their first n - ceil(percent * n / 100) + 1.
   Sets that share such a token meet in its group, where each component found so far
@@ -25,7 +26,7 @@ words is one n-gram). Two documents link when 100 * |intersection| >= percent *
 Defined cases: null, empty or blank text has the empty set, n_shingles 0 and its own
 doc_id as component; repeated rows give repeated result rows; rows that share a
 doc_id count as linked; a null doc_id gets its class's smallest id, or null; further
-columns are ignored. Chances of a wrong verdict by a 58-bit clash: about 2^-40 a pair.
+columns are ignored. Chances of a wrong verdict by a 54-bit clash: about 2^-36 a pair.
 """
 
 from __future__ import annotations
@@ -36,20 +37,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.llm import kernels as K
-from gradewell.llm.common import components, cut, documents, partitions, store
+from gradewell.llm.common import components, cut, documents, partitions, release, store
 
 BLOCK = 3000  # sets of one token that one task joins
 
 
+COUNTED = 1.8
 HASH = np.uint64((1 << 58) - 1)
 
 
+def _lengths(start, end, woff, n: int):
+    """Length class, 0 to 15 (0: longest words), of the n-grams in the order of K.ngrams."""
+    upto = np.concatenate(([0], np.cumsum(end - start)))
+    cnt = np.diff(woff)
+    out = np.where(cnt >= n, cnt - n + 1, (cnt > 0).astype(cnt.dtype))
+    first = K.ragged(woff[:-1], out)
+    last = np.minimum(first + n, np.repeat(woff[1:], out))
+    return 15 - np.minimum((upto[last] - upto[first]) * 3 // (2 * (last - first)), 15)
+
+
 def _sets(text_column, n: int):
-    """(58-bit hashes, offsets) of the documents' sets, each in ascending order."""
+    """(58 bits of length class and hash, offsets) of the documents' sets, each in ascending order."""
     data, off = K.buffer(text_column)
-    _, _, h, woff = K.words(data, off)
+    start, end, h, woff = K.words(data, off)
     val, goff = K.ngrams(h, woff, n)
-    val >>= np.uint64(6)
+    val = (val >> np.uint64(10)) | (_lengths(start, end, woff, n).astype(np.uint64) << np.uint64(54))
     for a, b in zip(goff[:-1].tolist(), goff[1:].tolist()):
         val[a:b].sort()
     if len(val) == 0:
@@ -61,18 +73,37 @@ def _sets(text_column, n: int):
     return val[fresh], np.concatenate(([0], np.cumsum(fresh)))[goff]
 
 
-def front(percent: int) -> int:
-    """The hashes below this are the counted share of the space."""
-    return min(1 << 58, (1 << 58) * 3 * (100 - percent) // 200)
+def _count_lengths(n: int):
+    def run(batches):
+        total = np.zeros(16, np.int64)
+        for b in K.slices(batches):
+            data, off = K.buffer(b.column("text"))
+            start, end, _, woff = K.words(data, off)
+            total += np.bincount(_lengths(start, end, woff, n), minlength=16)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(16)), pa.array(total)], ["k", "c"])
+    return run
+
+
+def front(docs: DataFrame, n: int, percent: int) -> int:
+    """The hashes below this are counted: the share COUNTED * (1 - percent / 100) of all n-grams."""
+    rows = docs.select("text").mapInArrow(_count_lengths(n), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()
+    count = {r["k"]: r["c"] for r in rows}
+    left = COUNTED * (1 - percent / 100) * sum(count.values())
+    for k in range(16):
+        c = count.get(k, 0)
+        if c and left < c:
+            return (k << 54) + int((1 << 54) * left / c)
+        left -= c
+    return 16 << 54
 
 
 def _prefix_size(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _signatures(n: int, percent: int):
+def _signatures(n: int, percent: int, below: int):
     def run(batches):
-        limit = np.uint64(front(percent))
+        limit = np.uint64(below)
         for b in K.slices(batches):
             val, off = _sets(b.column("text"), n)
             size = np.diff(off)
@@ -88,9 +119,9 @@ def _signatures(n: int, percent: int):
     return run
 
 
-def _tokens(val: np.ndarray, known, percent: int) -> np.ndarray:
+def _tokens(val: np.ndarray, known, below: int) -> np.ndarray:
     """Tokens of hashes, in global order; known: (hash, count) of those that several sets share."""
-    cls = np.where(val < np.uint64(front(percent)), np.uint64(0), np.uint64(62))
+    cls = np.where(val < np.uint64(below), np.uint64(0), np.uint64(62))
     if known:
         h, m = np.array([k["token"] for k in known], np.int64).view(np.uint64), np.array([k["m"] for k in known], np.float64)
         order = np.argsort(h)
@@ -101,13 +132,13 @@ def _tokens(val: np.ndarray, known, percent: int) -> np.ndarray:
     return np.sort((cls << np.uint64(58)) | val)
 
 
-def _places(percent: int, block: int):
+def _places(percent: int, block: int, below: int):
     """The groups of each set: its shared tokens among the first that count, and their blocks."""
     def run(batches):
         for b in batches:
             rows = []
             for rep, n, head, known in zip(*(b.column(k).to_pylist() for k in ("rep", "n", "head", "known"))):
-                prefix = _tokens(np.array(head, np.int64).view(np.uint64), known, percent)[:_prefix_size(n, percent)]
+                prefix = _tokens(np.array(head, np.int64).view(np.uint64), known, below)[:_prefix_size(n, percent)]
                 count = {k["token"]: k["m"] for k in known}
                 shown = prefix.view(np.int64).tolist()
                 for t, h in zip(shown, (prefix & HASH).view(np.int64).tolist()):
@@ -126,14 +157,14 @@ def _place_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], ["token", "block", "rep", "n", "prefix"])
 
 
-def _members(n: int, percent: int):
+def _members(n: int, below: int):
     """The set of each document, once for every token group it goes to."""
     def run(batches):
         for b in K.slices(batches, 1 << 20):
             val, off = _sets(b.column("text"), n)
             rows = []
             for i, (name, where, known) in enumerate(zip(*(b.column(k).to_pylist() for k in ("doc_id", "places", "known")))):
-                own = _tokens(val[off[i]:off[i + 1]], known, percent)
+                own = _tokens(val[off[i]:off[i + 1]], known, below)
                 if not len(own):
                     continue
                 tok = np.array([w["token"] for w in where], np.int64).view(np.uint64)
@@ -309,30 +340,34 @@ def _join(percent: int):
     return run
 
 
-def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, below: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between class representatives (rep, n, head) that span all components."""
     spark = docs.sparkSession
     post = reps.select("rep", F.explode("head").alias("token"))
     shared = post.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     known = cut(post.join(shared, "token").groupBy("rep").agg(F.collect_list(F.struct("token", "m")).alias("known")))  # of one document
+    release(spark)
     key = ["token", "block"]
     dealt = lambda df, last: df.repartition(partitions(spark), *key).sortWithinPartitions(*key, last)
-    placed = reps.join(known, "rep").mapInArrow(_places(percent, block), "token long, block long, rep long, n long, prefix array<long>")
+    placed = reps.join(known, "rep").mapInArrow(_places(percent, block, below), "token long, block long, rep long, n long, prefix array<long>")
     screened = dealt(placed, "rep").mapInArrow(_screen(percent), "token long, block long, rep long")
     wanted = screened.groupBy("rep").agg(F.collect_list(F.struct(*key)).alias("places")).join(known, "rep")
     sets = (docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "places", "known")
-            .mapInArrow(_members(n, percent), "token long, block long, id long, tokens binary"))
+            .mapInArrow(_members(n, below), "token long, block long, id long, tokens binary"))
     return dealt(sets, "id").mapInArrow(_join(percent), "a long, b long")
 
 
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = store(docs.mapInArrow(_signatures(n, percent), "doc_id long, n long, s1 long, s2 long, head array<long>"), "sets")
+    below = front(docs, n, percent)
+    base = store(docs.mapInArrow(_signatures(n, percent, below), "doc_id long, n long, s1 long, s2 long, head array<long>"), "sets")
     key = ["n", "s1", "s2"]
     reps = (base.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
             .where("rep IS NOT NULL").select("rep", "n", "head"))
-    found = components(cut(links(docs, reps, n, percent, block)))
+    edges = cut(links(docs, reps, n, percent, below, block))
+    release(docs.sparkSession)
+    found = components(edges)
     named = (base.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
              .join(found, F.col("rep") == F.col("node"), "left")
              .select(*key, F.coalesce("component", "rep").alias("component")))
