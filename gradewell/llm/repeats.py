@@ -6,8 +6,11 @@ A byte is removed if a string of ``length`` bytes that covers it also starts ear
 1. Anchors: of every window of ``length`` bytes the place with the least hash of
    ``gram`` bytes, leftmost on ties. Equal windows have equal anchors at equal places,
    so all that can repeat meets under an anchor's hash; about one place in forty is one.
-2. Only anchors seen twice go on. A task sends one row for an anchor that it holds more
-   often; those rows spread by salt, so a passage that every document holds is no hot key.
+2. Only anchors that may share a window with another go on. Every window reaches half of
+   its bytes besides the anchor to the right of it or to the left, so two anchors that
+   share one agree in a print of that much right or left context. What a task sees to be
+   repeated goes on spread by salt, and one row for each pair of prints stands for it, so
+   a passage that every document holds is no hot key.
 3. An anchor's record is its suffix, up to the end of its last window, and the bytes
    before it, back to its first window. Equal records of a task are sent once; the later
    ones are spans already.
@@ -43,15 +46,24 @@ FIRST = -(1 << 63)
 INVERSE = pow(int(K.BASE), -1, 1 << 64)
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the ``gram`` bytes at every place."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(K.BYTE[data] * K.powers(n), out=total[1:])
-    back = np.full(max(0, n - gram + 1), INVERSE, np.uint64)
-    if len(back):
+class Spans:
+    """Hashes of byte spans."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(K.BYTE[data] * K.powers(n), out=self.total[1:])
+        back = np.full(n + 1, INVERSE, np.uint64)
         back[0] = 1
-    return K.mix((total[gram:] - total[:len(back)]) * np.multiply.accumulate(back))
+        self.back = np.multiply.accumulate(back)
+
+    def grams(self, gram: int) -> np.ndarray:
+        """Of the ``gram`` bytes at every place."""
+        m = max(0, len(self.total) - gram)
+        return K.mix((self.total[gram:] - self.total[:m]) * self.back[:m])
+
+    def of(self, start, end) -> np.ndarray:
+        return K.mix((self.total[end] - self.total[start]) * self.back[start])
 
 
 def window_least(h: np.ndarray, w: int) -> np.ndarray:
@@ -77,11 +89,13 @@ def window_least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
-    """(hash, document, place, first start, last start) of the anchors; places in ``data``."""
+    """(hash, document, place, first start, last start, prints of the right and left context,
+    0 for none) of the anchors; places in ``data``."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none.astype(np.uint64), none, none, none, none
-    h = gram_hashes(data, gram)
+        return none.astype(np.uint64), none, none, none, none, none, none
+    spans = Spans(data)
+    h = spans.grams(gram)
     at = window_least(h, length - gram + 1)
     start = np.arange(len(at))
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[:len(at)]
@@ -89,59 +103,70 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
     start, at, doc = start[ok], at[ok], doc[ok]
     head = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))) if len(at) else none
     last = np.append(head[1:], len(at))[:len(head)] - 1
-    return h[at[head]], doc[head], at[head], start[head], start[last]
-
-
-ASKS, TOLD, SENT = 0, 1, 2  # seen once here; stands for those sent; known to be repeated
+    at, doc, s1, s2 = at[head], doc[head], start[head], start[last]
+    half = (length - gram) // 2
+    prints = []
+    for a, b, ok in ((at, at + gram + half, s2 + length >= at + gram + half), (at - half, at + gram, s1 <= at - half)):
+        v = np.zeros(len(at), np.int64)
+        v[ok] = 1 + (spans.of(a[ok], b[ok]) % np.uint64(65535)).astype(np.int64)
+        prints.append(v)
+    return h[at], doc, at, s1, s2, *prints
+
+
+ASKS, TOLD, SENT = 0, 1, 2  # not repeated here; stands for those sent; known to be repeated
+
+
+def shared(a: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Which rows share their anchor and one of their prints with another row."""
+    out = np.zeros(len(a), bool)
+    for p in (prints >> 16, prints & 65535):
+        key = K.mix(a.view(np.uint64)) + p.astype(np.uint64)
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        out |= (count[inverse] > 1) & (p > 0)
+    return out
 
 
 def _anchor_rows(length: int, gram: int):
     def run(batches):
         for b in K.slices(batches):
             data, off = K.buffer(b.column("text"))
-            h, doc, at, s1, s2 = anchors(data, off, length, gram)
-            names = b.column("d").to_numpy()
-            _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-            many = count[inverse] > 1
-            first = np.zeros(len(h), bool)
-            first[np.unique(h[many], return_index=True)[1]] = True
-            rep = np.flatnonzero(many)[first[:int(many.sum())]] if many.any() else np.zeros(0, np.int64)
-            h = h.view(np.int64)
+            h, doc, at, s1, s2, right, left = anchors(data, off, length, gram)
+            a, prints, names = h.view(np.int64), (right << 16) | left, b.column("d").to_numpy()
+            sent = shared(a, prints)
+            many = np.flatnonzero(sent)
+            _, first = np.unique(K.mix(h[many]) ^ prints[many].astype(np.uint64), return_index=True)
+            rep = many[first]
             place = ((at - off[doc]) << 32) | ((at - s1) << 16) | (s2 - s1)
-            kind = np.where(many, SENT, ASKS)
-            cols = (np.concatenate((h, h[rep])), np.concatenate((names[doc], names[doc[rep]])), np.concatenate((place, place[rep])),
-                    np.concatenate((kind, np.full(len(rep), TOLD))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "d", "place", "kind"])
+            kind = (prints << 2) | np.where(sent, SENT, ASKS)
+            cols = ((a, a[rep]), (names[doc], names[doc[rep]]), (place, place[rep]), (kind, (prints[rep] << 2) | TOLD))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["a", "d", "place", "kind"])
     return run
 
 
 def _repeated(batches):
-    """Rows of anchors that occur twice; rows that ask or tell come sorted by anchor."""
+    """Rows that were sent, and rows that ask and share a print with another row of their
+    anchor; those come sorted by anchor."""
     held = None
     for b in batches:
-        a, d, place, kind = (b.column(k).to_numpy() for k in ("a", "d", "place", "kind"))
-        sent = kind == SENT
+        cols = [b.column(k).to_numpy() for k in ("a", "d", "place", "kind")]
+        sent = cols[3] & 3 == SENT
         if sent.any():
-            yield _occurrences(a[sent], d[sent], place[sent])
-        a, d, place, kind = a[~sent], d[~sent], place[~sent], kind[~sent]
+            yield _occurrences(*(c[sent] for c in cols[:3]))
+        cols = [c[~sent] for c in cols]
         if held is not None:
-            a, d, place, kind = (np.concatenate(x) for x in zip(held, (a, d, place, kind)))
-        if not len(a):
-            continue
-        # the last row waits for its neighbour; a told anchor stays until its rows have passed
-        twice = np.zeros(len(a), bool)
-        twice[1:] = a[1:] == a[:-1]
-        twice[:-1] |= twice[1:]
-        told = kind == TOLD
-        keep = (twice | (kind == 3)) & ~told
-        out = keep.copy()
-        out[-1] = False
-        yield _occurrences(a[out], d[out], place[out])
-        last = slice(len(a) - 1, len(a))
-        k = np.array([TOLD if told[-1] else 3 if keep[-1] else ASKS])
-        held = (a[last], d[last], place[last], k)
-    if held is not None and held[3][0] == 3:
-        yield _occurrences(*held[:3])
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        # the last anchor waits for the rest of its rows
+        done = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+        held = [c[done:] for c in cols]
+        yield _asked([c[:done] for c in cols])
+    if held is not None:
+        yield _asked(held)
+
+
+def _asked(cols):
+    a, d, place, kind = cols
+    keep = shared(a, kind >> 2) & (kind & 3 == ASKS)
+    return _occurrences(a[keep], d[keep], place[keep])
 
 
 def _occurrences(a, d, place):
@@ -300,11 +325,11 @@ def _cut(batches):
 
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Spans (d, s, e) to remove, in bytes; docs: (d, doc_id, text) with d the id, nulls as the least number."""
+    """Spans (d, s, e) to remove, in bytes; docs: (d, text) with d the id, nulls as the least number."""
     n = partitions(docs.sparkSession)
     rows = docs.select("d", "text").mapInArrow(_anchor_rows(length, gram), "a long, d long, place long, kind long")
-    salt = F.when(F.col("kind") == SENT, F.col("d")).otherwise(F.lit(0))
-    seen = (rows.repartition(n, "a", salt).sortWithinPartitions("a", F.desc("kind"))
+    salt = F.when(F.col("kind").bitwiseAND(3) == SENT, F.col("d")).otherwise(F.lit(0))
+    seen = (rows.repartition(n, "a", salt).sortWithinPartitions("a")
             .mapInArrow(_repeated, "a long, d long, place long"))
     places = seen.groupBy("d").agg(F.collect_list(F.struct("a", "place")).alias("places"))  # of one document
     records = docs.join(places, "d").select("d", "text", "places").mapInArrow(_records(length), "a long, suffix binary, left binary, d long, at long")
@@ -314,9 +339,10 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("d"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("d"), "text")
     spans = repeat_spans(own, length, gram).groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return own.join(spans, "d", "left").select("doc_id", "text", "spans").mapInArrow(
+    doc_id = F.when(F.col("d") != FIRST, F.col("d")).alias("doc_id")
+    return own.join(spans, "d", "left").select(doc_id, "text", "spans").mapInArrow(  # the texts' exchange serves both joins
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
