@@ -12,11 +12,12 @@ def explode_models(tasks: DataFrame, results_col: str = "results") -> DataFrame:
     """One row per (task, model) in the JSON key order of ``results``.
 
     ``posexplode`` over ``map_entries`` keeps the order the map was parsed in;
-    a repeated model key keeps its last occurrence (a Python dict's behaviour).
+    a repeated model key keeps its first place with its last value (a Python dict's behaviour).
     Row-local: no shuffle.
     """
     e = F.map_entries(F.col(results_col))
-    keep_last = F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda y: y["key"] == x["key"]))
+    keys = F.array_distinct(F.transform(e, lambda x: x["key"]))
+    keep_last = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(e, lambda y: y["key"] == k), -1)["value"].alias("value")))
     others = [c for c in tasks.columns if c != results_col]
     return (tasks.select(*others, F.posexplode(keep_last).alias("pos", "entry"))
             .select(*others, F.col("pos").cast("int").alias("pos"),
@@ -37,11 +38,13 @@ def regroup(scores: DataFrame, value: str = "score", lang: str = "programming_la
     """Back to one row per task: ``results`` = map model -> score in answer order.
 
     One shuffle on ``idx``; the rows moved are (idx, pos, model, score) only,
-    never the answer text, and a group holds one entry per model answer.
+    never the answer text, and a group holds one entry per model answer. Answers
+    without a score (null) have no entry, but their task stays, with an empty map.
     """
     g = scores.groupBy("idx").agg(
         F.max(lang).alias("programming_language"),
-        F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("model"), F.col(value).alias("v")))).alias("entries"))
+        F.array_sort(F.filter(F.collect_list(F.struct(F.col("pos"), F.col("model"), F.col(value).alias("v"))),
+                              lambda e: e["v"].isNotNull())).alias("entries"))
     entries = _known_first(F.col("entries")) if known_models_only else F.col("entries")
     results = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["model"], e["v"])))
     return g.select("idx", "programming_language", results.alias("results"))
@@ -55,10 +58,10 @@ def flatten_known(regrouped: DataFrame) -> DataFrame:
 
 def dedupe_last(df: DataFrame, key: str, order: str) -> DataFrame:
     """Keep the last row per key (a later line overwrites an earlier one)."""
-    w = F.max(F.struct(F.col(order), *[F.col(c) for c in df.columns if c not in (key, order)]))
     rest = [c for c in df.columns if c not in (key, order)]
-    return (df.groupBy(key).agg(w.alias("_last"))
-            .select(key, F.col(f"_last.{order}").alias(order), *[F.col(f"_last.{c}").alias(c) for c in rest]))
+    last = F.max_by(F.struct(*rest), F.col(order)) if rest else F.lit(None)  # orders by ``order`` alone: maps are fine
+    return (df.groupBy(key).agg(F.max(order).alias(order), last.alias("_last"))
+            .select(key, order, *[F.col("_last")[c].alias(c) for c in rest]))
 
 
 def tasks_from_responses(responses: DataFrame) -> DataFrame:

@@ -66,22 +66,50 @@ def _starts_any(c: Column, words) -> Column:
 CODE_LIKE = r"(?U)\b(def|class|if|for|while|return|import|function)\b|[{}\[\]();=]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def paragraphs(text: Column) -> Column:
+    """Runs of non-blank lines, each newline-joined (linear: one pass and one split)."""
+    flat = F.array_join(F.transform(lines(text), lambda l: F.when(strip(l) == "", F.lit("")).otherwise(l)), NL)
+    return F.filter(F.transform(F.split(flat, r"\n{2,}"), lambda p: F.btrim(p, F.lit(NL))), lambda p: p != "")
+
+
+def from_first(paragraph: Column, like) -> Column:
+    """The lines of a paragraph from the first one that ``like`` accepts; no lines if none."""
+    def tail(ls):
+        return let(F.array_position(F.transform(ls, like), F.lit(True)).cast("int"), lambda at: F.when(
+            at > 0, F.slice(ls, at, F.size(ls))).otherwise(F.array().cast("array<string>")))
+    return let(F.split(paragraph, NL, -1), tail)
+
+
 def _rob_lines(response: Column) -> Column:
-    """Line filter: code-like lines start a run; a run keeps non-blank lines;
-    once more than three lines are kept, a blank line ends the run."""
-    init = F.struct(F.lit(False).alias("on"), F.lit(0).alias("n"),
-                    F.array().cast("array<string>").alias("out"))
-
-    def step(acc, l):
-        like = l.rlike(CODE_LIKE)
-        blank = strip(l) == ""
-        take = like | (acc["on"] & ~blank)
-        on = F.when(like, True).when(acc["on"] & blank & (acc["n"] > 3), False).otherwise(acc["on"])
-        return F.struct(on.alias("on"), (acc["n"] + F.when(take, 1).otherwise(0)).alias("n"),
-                        F.when(take, F.concat(acc["out"], F.array(l))).otherwise(acc["out"]).alias("out"))
-
-    kept = F.aggregate(lines(response), init, step)["out"]
-    return F.when(F.size(kept) > 0, F.array_join(kept, NL)).otherwise(F.lit(""))
+    """Line filter: code-like lines start a run; a run keeps non-blank lines; once more than
+    three lines are kept, a blank line ends the run.
+
+    In paragraphs: nothing before the first code-like line; whole paragraphs while three or
+    fewer lines are kept; then each paragraph from its first code-like line on. As each
+    paragraph has a line, only the three after the first need their sizes."""
+    def n_lines(p):
+        return F.coalesce(F.regexp_count(p, F.lit(NL)) + 1, F.lit(0))
+
+    def kept(ps, tails, first):
+        n1 = F.size(F.get(tails, first))
+        n2 = n1 + n_lines(F.get(ps, first + 1))
+        n3 = n2 + n_lines(F.get(ps, first + 2))
+        whole = first + F.when(n1 > 3, 0).when(n2 > 3, 1).when(n3 > 3, 2).otherwise(3)  # the last paragraph kept whole
+        return let(whole, lambda last: F.concat(
+            F.slice(tails, first + 1, F.lit(1)),
+            F.transform(F.slice(ps, first + 2, last - first), lambda p: F.array(p)),
+            F.slice(tails, last + 2, F.size(tails))))
+
+    def filtered(ps):
+        return let(F.transform(ps, lambda p: from_first(p, lambda l: l.rlike(CODE_LIKE))), lambda tails: let(
+            F.array_position(F.transform(tails, lambda t: F.size(t) > 0), F.lit(True)).cast("int") - 1,
+            lambda first: F.when(first >= 0, F.array_join(F.flatten(kept(ps, tails, first)), NL)).otherwise(F.lit(""))))
+    return let(paragraphs(response), filtered)
 
 
 def extract_rob(response: Column) -> Column:

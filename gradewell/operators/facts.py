@@ -18,9 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 FACT_SCHEMA = ("idx long, model string, node_id int, parent_id int, func_id int, class_id int, "
-               "kind string, name string, n_args int, has_value boolean, ctx string, base string, parent_kind string")
+               "kind string, name string, n_args int, has_value boolean, ctx string, base string, parent_kind string, "
+               "func_path array<int>")
 _COLS = ["idx", "model", "node_id", "parent_id", "func_id", "class_id", "kind", "name",
-         "n_args", "has_value", "ctx", "base", "parent_kind"]
+         "n_args", "has_value", "ctx", "base", "parent_kind", "func_path"]
+
+
+CHUNK = 20_000
 
 
 def _name_of(node) -> str | None:
@@ -53,18 +57,19 @@ def _n_args(node) -> int | None:
 
 
 def walk_facts(idx, model, code):
-    """Rows for one answer: a depth-first walk carrying the enclosing function and class."""
+    """Rows for one answer: a depth-first walk carrying the enclosing functions (all of
+    them, so that a nested function's nodes count for the outer ones too) and class."""
     try:
         tree = ast.parse(code)
     except SyntaxError:
-        return [(idx, model, -1, -1, -1, -1, "SyntaxError", None, None, None, None, None, None)]
+        return [(idx, model, -1, -1, -1, -1, "SyntaxError", None, None, None, None, None, None, [])]
     except Exception:  # noqa: BLE001 - e.g. null bytes, recursion depth
-        return [(idx, model, -1, -1, -1, -1, "ParseError", None, None, None, None, None, None)]
+        return [(idx, model, -1, -1, -1, -1, "ParseError", None, None, None, None, None, None, [])]
     out = []
-    stack = [(tree, -1, -1, -1, None)]
+    stack = [(tree, -1, [], -1, None)]
     nid = 0
     while stack:
-        node, parent, func, cls, parent_kind = stack.pop()
+        node, parent, path, cls, parent_kind = stack.pop()
         me = nid
         nid += 1
         base = None
@@ -72,13 +77,13 @@ def walk_facts(idx, model, code):
             base = node.value.id
         ctx = type(node.ctx).__name__ if hasattr(node, "ctx") else None
         has_value = getattr(node, "value", None) is not None if isinstance(node, ast.Return) else None
-        out.append((idx, model, me, parent, func, cls, type(node).__name__, _name_of(node),
-                    _n_args(node), has_value, ctx, base, parent_kind))
-        child_func = me if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else func
+        out.append((idx, model, me, parent, path[-1] if path else -1, cls, type(node).__name__, _name_of(node),
+                    _n_args(node), has_value, ctx, base, parent_kind, path))
+        child_path = [*path, me] if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else path
         child_cls = me if isinstance(node, ast.ClassDef) else cls
         kids = list(ast.iter_child_nodes(node))
         for k in reversed(kids):
-            stack.append((k, me, child_func, child_cls, type(node).__name__))
+            stack.append((k, me, child_path, child_cls, type(node).__name__))
     return out
 
 
@@ -88,7 +93,10 @@ def _facts_batches(batches):
         for idx, model, code in zip(pdf["idx"], pdf["model"], pdf["code"]):
             if code is None or code == "":
                 continue
-            rows.extend(walk_facts(int(idx), model, code))
+            rows.extend(walk_facts(None if pd.isna(idx) else int(idx), model, code))
+            if len(rows) >= CHUNK:  # node rows of many answers never wait for the whole batch
+                yield pd.DataFrame(rows, columns=_COLS)
+                rows = []
         yield pd.DataFrame(rows, columns=_COLS)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradewell.functions.text import NL, lines, nonempty, splitlines, strip
 from gradewell.operators.explode import regroup
+from gradewell.operators.extract import from_first, paragraphs
 from gradewell.operators.rules import COM_BLOCKLIST
 
 # Language aliases of the comment scorer (alias -> family).
@@ -73,15 +74,7 @@ def _com_lines(text: Column) -> Column:
     """Code-like lines start a run, non-blank lines continue it, a blank line ends it."""
     def like(l):
         return l.rlike(CODE_LIKE_COM[0]) | l.rlike(CODE_LIKE_COM[1]) | l.rlike(CODE_LIKE_COM[2])
-    init = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, l):
-        lk = like(l)
-        blank = strip(l) == ""
-        take = lk | (acc["on"] & ~blank)
-        on = F.when(lk, True).when(blank, False).otherwise(acc["on"])
-        return F.struct(on.alias("on"), F.when(take, F.concat(acc["out"], F.array(l))).otherwise(acc["out"]).alias("out"))
-    kept = F.aggregate(lines(text), init, step)["out"]
+    kept = F.flatten(F.transform(paragraphs(text), lambda p: from_first(p, like)))
     return F.when(F.size(kept) > 0, F.array_join(kept, NL))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradewell.functions.text import lines, strip
 from gradewell.operators.explode import regroup
 from gradewell.operators.facts import code_facts
+from gradewell.session import checkpoint_dir
 
 # Fence patterns tried in order (longest match of the first that qualifies).
 MOD_FENCES = [r"(?s)```(?:python|java|cpp|c\+\+|javascript|js|.*?)?\s*\n([\s\S]*?)\n\s*```",
@@ -41,8 +42,10 @@ def _longest(arr: Column) -> Column:
 def extract_mod(response: Column) -> Column:
     """First fence pattern whose longest match is >10 chars stripped and spans a newline; else ''."""
     out = None
+    # A pattern needs two fences; an open one would make its lazy parts try every pair of places.
+    text = F.when(F.regexp_count(response, F.lit("```")) > 1, response).otherwise(F.lit(""))
     for p in MOD_FENCES:
-        best = _longest(F.regexp_extract_all(F.coalesce(response, F.lit("")), F.lit(p), 1))
+        best = _longest(F.regexp_extract_all(text, F.lit(p), 1))
         ok = best.isNotNull() & (F.length(strip(best)) > 10) & best.contains("\n")
         out = F.when(ok, strip(best)) if out is None else out.when(ok, strip(best))
     return out.otherwise(F.lit(""))
@@ -90,9 +93,11 @@ def python_structure(facts: DataFrame) -> DataFrame:
     meth = facts.filter((k == "FunctionDef") & (F.col("parent_kind") == "ClassDef")) \
         .select("idx", "model", F.col("parent_id").alias("class_id"), F.col("node_id").alias("fid"))
     attrs = facts.filter((k == "Attribute") & (F.col("base") == "self")) \
-        .groupBy("idx", "model", F.col("func_id").alias("fid")).agg(F.collect_set("name").alias("attrs"))
+        .select("idx", "model", "name", F.explode("func_path").alias("fid")) \
+        .groupBy("idx", "model", "fid").agg(F.collect_set("name").alias("attrs"))
     loads = facts.filter((k == "Name") & (F.col("ctx") == "Load")) \
-        .groupBy("idx", "model", F.col("func_id").alias("fid")).agg(F.collect_set("name").alias("loads"))
+        .select("idx", "model", "name", F.explode("func_path").alias("fid")) \
+        .groupBy("idx", "model", "fid").agg(F.collect_set("name").alias("loads"))
     funcs = facts.filter(k == "FunctionDef").select("idx", "model", F.col("node_id").alias("fid"))
     m = meth.join(attrs, ["idx", "model", "fid"], "left") \
         .groupBy("idx", "model", "class_id") \
@@ -105,10 +110,10 @@ def python_structure(facts: DataFrame) -> DataFrame:
                                 F.col("name"))).alias("ce"),
         F.count_if(k == "ClassDef").alias("n_classes"))
     per_class = m.select("idx", "model", F.size("ms").alias("n_methods"), _disjoint_share(F.col("ms"), 0.0).alias("lcom2"))
-    cls_agg = per_class.groupBy("idx", "model").agg(F.sum("n_methods").alias("class_methods"), F.avg("lcom2").alias("lcom2_classes"))
+    cls_agg = per_class.groupBy("idx", "model").agg(F.sum("n_methods").alias("class_methods"), F.sum("lcom2").alias("lcom2_sum"))
     out = base.join(cls_agg, ["idx", "model"], "left").join(f, ["idx", "model"], "left")
     return out.select("idx", "model", "parses", "ce", "n_classes", F.coalesce("class_methods", F.lit(0)).alias("class_methods"),
-                      F.when(F.col("n_classes") > 0, F.coalesce("lcom2_classes", F.lit(0.0)))
+                      F.when(F.col("n_classes") > 0, F.coalesce("lcom2_sum", F.lit(0.0)) / F.col("n_classes"))
                       .otherwise(_disjoint_share(F.coalesce(F.col("fs"), F.array().cast("array<array<string>>")), 0.3))
                       .alias("lcom2"))
 
@@ -141,7 +146,8 @@ def lcom2_band(v: Column) -> Column:
 def score_modularity(responses: DataFrame) -> DataFrame:
     inp = modularity_inputs(responses)
     py = inp.filter((F.col("lang") == "python") & (F.col("code") != "")).select("idx", "model", "code")
-    st = python_structure(code_facts(py))
+    checkpoint_dir(responses.sparkSession)
+    st = python_structure(code_facts(py).checkpoint())  # five aggregations read the facts; the trees are walked once
     j = inp.select("idx", "pos", "model", "programming_language", "lang", (F.col("code") == "").alias("no_code"),
                    "factor", "java_ce", "cpp_ce", "py_regex_ce", "def_count", "api_words") \
         .join(st, ["idx", "model"], "left")

@@ -71,7 +71,11 @@ def score_standardization(responses: DataFrame) -> DataFrame:
 
 def standardization_report(responses: DataFrame) -> DataFrame:
     """Per-task output (known models in fixed order), one column per model."""
-    return flatten_known(regroup(score_standardization(responses), known_models_only=True))
+    scored = score_standardization(responses)
+    skipped = responses.filter(~nonempty(F.col("response"))).select(
+        "idx", "pos", "model", F.coalesce(F.col("programming_language"), lang_instruction(F.col("instruction"))).alias("programming_language"),
+        F.lit(None).cast("double").alias("score"))
+    return flatten_known(regroup(scored.unionByName(skipped), known_models_only=True))
 
 
 def rule_violations(responses: DataFrame) -> DataFrame:

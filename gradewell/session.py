@@ -46,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         key = sc.applicationId
         if key not in _LOCAL_CKPT:
             _LOCAL_CKPT[key] = tempfile.mkdtemp(prefix="gradewell-ckpt-")
@@ -70,6 +72,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         return os.path.exists(path)
 
 
+def file_signature(spark: SparkSession, path: str) -> str:
+    """Length and modification time of a file or folder and what it holds, by Hadoop's
+    FileSystem, so that a changed input is noticed on any store."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hp):
+        return "missing"
+    summary, status = fs.getContentSummary(hp), fs.getFileStatus(hp)
+    return f"{summary.getLength()}:{summary.getFileCount()}:{status.getModificationTime()}"
+
+
 def materialize(spark: SparkSession, df, name: str):
     """Write ``df`` once as Parquet under the shared checkpoint dir and read it back.
 

@@ -10,11 +10,10 @@ oracle), which is why it stays SQL: both engines see identical rows.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewell.session import materialize
+from gradewell.session import file_signature, materialize
 from gradewell.sources.tables import read_table
 
 # The corpus definition (portable SQL, `documents` as input).
@@ -96,10 +95,9 @@ def _corpus_sql(spark: SparkSession, sf_dir: str, final: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def _key(sf_dir: str) -> str:
-    p = os.path.join(sf_dir, "documents.parquet")
-    st = os.stat(p) if os.path.exists(p) else None
-    sig = f"{os.path.abspath(sf_dir)}:{st.st_size if st else 0}:{st.st_mtime_ns if st else 0}"
+def _key(spark: SparkSession, sf_dir: str) -> str:
+    """Names the stored corpus by its input and its definition, so neither can change unnoticed."""
+    sig = f"{sf_dir}:{file_signature(spark, f'{sf_dir}/documents.parquet')}:{CORPUS_CTES}"
     return hashlib.sha1(sig.encode()).hexdigest()[:12]
 
 
@@ -110,7 +108,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder; every plan then starts from a plain scan of it.
     """
     df = _corpus_sql(spark, sf_dir, "SELECT * FROM responses")
-    return materialize(spark, df, f"corpus/responses-{_key(sf_dir)}")
+    return materialize(spark, df, f"corpus/responses-{_key(spark, sf_dir)}")
 
 
 def case_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

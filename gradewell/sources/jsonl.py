@@ -8,7 +8,7 @@ VARIANT parse only to tell malformed JSON from valid JSON.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 TASK_SCHEMA = T.StructType([
     T.StructField("index", T.StringType()), T.StructField("id", T.StringType()),
@@ -16,6 +16,7 @@ TASK_SCHEMA = T.StructType([
     T.StructField("code_language", T.StringType()), T.StructField("code-instruction", T.StringType()),
     T.StructField("instruction", T.StringType()),
     T.StructField("results", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("_corrupt_record", T.StringType()),
 ])
 
 
@@ -33,14 +34,26 @@ def with_line_ordinal(lines: DataFrame) -> DataFrame:
 def classify(lines: DataFrame) -> DataFrame:
     """Adds ``parsed`` (typed struct) and ``reason``: ok / blank / malformed / bad_shape."""
     v = F.col("value")
-    blank = F.trim(v) == ""
-    malformed = F.try_parse_json(v).isNull()
-    parsed = F.from_json(v, TASK_SCHEMA)
+    blank = v.rlike(r"(?U)^\s*$")
+    parsed = F.from_json(v, TASK_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    # What the typed parser reads is fine (a repeated key too, which VARIANT refuses); of the rest
+    # VARIANT tells broken JSON from valid JSON of another shape.
+    malformed = F.coalesce(F.col("parsed._corrupt_record").isNotNull(), F.lit(True)) & F.try_parse_json(v).isNull()
     return lines.select("*", parsed.alias("parsed")).select(
         "*", F.when(blank, "blank").when(malformed, "malformed")
         .when(F.col("parsed.results").isNull(), "bad_shape").otherwise("ok").alias("reason"))
 
 
+def instruction_of(parsed) -> Column:
+    """The task's instruction: an empty ``code-instruction`` falls through to ``instruction``."""
+    return F.coalesce(F.nullif(parsed["code-instruction"], F.lit("")), parsed["instruction"])
+
+
+def index_json(js: Column) -> Column:
+    """Writes a leading all-digit ``index`` as a JSON number ("007" as 7)."""
+    return F.regexp_replace(js, r'^\{"index":"0*([0-9]+)"', '{"index":$1')
+
+
 def scan_lenient(lines: DataFrame) -> DataFrame:
     """Valid task rows only: idx (index, else id, else line number), language field, instruction, results."""
     c = classify(lines if "line_no" in lines.columns else with_line_ordinal(lines)).filter(F.col("reason") == "ok")
@@ -48,7 +61,7 @@ def scan_lenient(lines: DataFrame) -> DataFrame:
     lang = F.coalesce(p["programming_language"], p["language"], p["code_language"])
     return c.select(F.coalesce(p["index"], p["id"], F.col("line_no").cast("string")).alias("index"),
                     F.lower(lang).alias("programming_language"),
-                    F.coalesce(p["code-instruction"], p["instruction"]).alias("instruction"),
+                    instruction_of(p).alias("instruction"),
                     p["results"].alias("results"), "line_no")
 
 
@@ -88,13 +101,13 @@ def task_lines(tasks: DataFrame) -> DataFrame:
     """Tasks -> JSONL ``value`` lines (index written as a number when it is all digits)."""
     js = F.to_json(F.struct(F.col("idx").cast("string").alias("index"), "programming_language",
                             F.col("instruction").alias("code-instruction"), "results"))
-    return tasks.select(F.regexp_replace(js, r'^\{"index":"([0-9]+)"', '{"index":$1').alias("value"))
+    return tasks.select(index_json(js).alias("value"))
 
 
 def result_lines(regrouped: DataFrame) -> DataFrame:
     """(idx, programming_language, results map) -> output JSON lines, index as number when all digits."""
     js = F.to_json(F.struct(F.col("idx").cast("string").alias("index"), "programming_language", "results"))
-    return regrouped.select(F.regexp_replace(js, r'^\{"index":"([0-9]+)"', '{"index":$1').alias("value"))
+    return regrouped.select(index_json(js).alias("value"))
 
 
 def sink_jsonl(regrouped: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradewell.operators.explode import explode_models
 from gradewell.plans.standardization import score_standardization
-from gradewell.sources.jsonl import classify
+from gradewell.sources.jsonl import classify, instruction_of
 
 
-def stream_lines(spark: SparkSession, in_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+def stream_lines(spark: SparkSession, in_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
     return (spark.readStream.option("pathGlobFilter", "*.jsonl")
             .option("maxFilesPerTrigger", max_files_per_trigger).text(in_dir))
 
@@ -27,8 +27,8 @@ def stream_tasks(lines: DataFrame) -> DataFrame:
                                 F.count_if(F.col("reason") == "malformed").alias("malformed"))
     p = F.col("parsed")
     return c.filter(F.col("reason") == "ok").select(
-        F.col("parsed.index").cast("long").alias("idx"), p["programming_language"].alias("programming_language"),
-        F.coalesce(p["code-instruction"], p["instruction"]).alias("instruction"), p["results"].alias("results"))
+        F.col("parsed.index").alias("idx"), p["programming_language"].alias("programming_language"),
+        instruction_of(p).alias("instruction"), p["results"].alias("results"))
 
 
 def stream_standardization(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
