@@ -43,10 +43,15 @@ def sql_extract_std(col: str = "response") -> str:
             f"{sql_join_all(col, r'```([\s\S]*?)```')}, {col})")
 
 
+def unicode_words(pattern: str) -> str:
+    """RE2's ``\\w`` is ASCII; the rules mean any letter, mark, digit or connector."""
+    return pattern.replace(r"\w", r"[\p{L}\p{M}\p{Nd}\p{Pc}]")
+
+
 def sql_rule_penalty(code: str, lang: str) -> str:
     parts = []
     for lg, rules in STD_RULES.items():
-        s = " + ".join(f"(CASE WHEN regexp_matches({code}, {q(p)}) THEN {pen} ELSE 0.0 END)" for p, pen, _ in rules)
+        s = " + ".join(f"(CASE WHEN regexp_matches({code}, {q(unicode_words(p))}) THEN {pen} ELSE 0.0 END)" for p, pen, _ in rules)
         parts.append(f"WHEN {lang} = '{lg}' THEN ({s})")
     return f"CAST(CASE {' '.join(parts)} ELSE 0.0 END AS DECIMAL(6,1))"
 
@@ -89,7 +94,7 @@ def rule_violations() -> str:
     rows = []
     for lg, rules in STD_RULES.items():
         for n, (p, pen, _) in enumerate(rules, start=1):
-            rows.append(f"('{lg}', {n}, {q(p)}, {pen})")
+            rows.append(f"('{lg}', {n}, {q(unicode_words(p))}, {pen})")
     return _std_base() + f"""SELECT s.lang, r.rule_no, count(*) AS n_answers, CAST(sum(r.penalty) AS DOUBLE) AS penalty_total
 FROM std_scored s JOIN (VALUES {', '.join(rows)}) r(lang, rule_no, pattern, penalty)
   ON s.lang = r.lang AND regexp_matches(s.code, r.pattern)
@@ -550,3 +555,27 @@ SELECT *, round(CAST({factor} AS DOUBLE), 6) AS factor,
   CAST(len({py_imp}) AS BIGINT) AS py_regex_ce,
   CAST({funcs} AS BIGINT) AS def_count, regexp_matches(code, {q(API_WORDS)}) AS api_words
 FROM mod_c"""
+
+
+TASKS = "SELECT idx, max(programming_language) AS programming_language, max(instruction) AS instruction, count(*) AS n FROM responses GROUP BY idx"
+
+
+def test_case_plan() -> str:
+    from gradewell.plans.functionality import TEST_KINDS
+    low = "lower(coalesce(instruction, ''))"
+    kind = " ".join(f"WHEN {_fun_any(low, words)} THEN {q(k)}" for k, words, _ in TEST_KINDS[:-1])
+    cases = ", ".join(f"({q(k)}, {n}, {q(i)}, {q(e)}, {'true' if i.startswith('[') else 'false'})"
+                      for k, _, rows in TEST_KINDS for n, (i, e) in enumerate(rows))
+    return oracle_with() + f"""SELECT t.idx, t.kind, c.case_no, c.input, c.expected, c.is_list
+FROM (SELECT idx, CASE {kind} ELSE 'basic' END AS kind FROM ({TASKS})) t
+JOIN (VALUES {cases}) c(kind, case_no, input, expected, is_list) USING (kind)"""
+
+
+def scan_lenient() -> str:
+    return oracle_with() + f"""SELECT CAST(idx AS VARCHAR) AS index, lower(programming_language) AS programming_language, instruction,
+  CAST(n AS INT) AS n_models FROM ({TASKS})"""
+
+
+def scan_counts() -> str:
+    return oracle_with() + f"""SELECT count(*) AS total, CAST(0 AS BIGINT) AS blank, CAST(0 AS BIGINT) AS malformed,
+  CAST(0 AS BIGINT) AS bad_shape, count(*) AS ok FROM ({TASKS})"""

@@ -75,13 +75,13 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "semantic_similarity": (_fun_semantic, O.semantic_similarity),
     "pass_rate": (lambda spark, sf: FUN.pass_rates(case_outcomes(spark, sf)), O.pass_rates),
     "score_functionality": (_fun_score, O.score_functionality),
-    "test_case_plan": (_on_tasks(FUN.test_case_plan), None),
+    "test_case_plan": (_on_tasks(FUN.test_case_plan), O.test_case_plan),
     "modularity_inputs": (_on_responses(MOD.modularity_inputs), O.modularity_inputs),
     "score_modularity": (_on_responses(MOD.score_modularity), None),
     "scorecard": (SC.scorecard, None),
     "model_ranking": (SC.model_ranking, None),
-    "scan_lenient": (_scan_lenient, None),
-    "scan_quarantine": (lambda spark, sf: J.scan_counts(_corpus_lines(spark, sf)), None),
+    "scan_lenient": (_scan_lenient, O.scan_lenient),
+    "scan_quarantine": (lambda spark, sf: J.scan_counts(_corpus_lines(spark, sf)), O.scan_counts),
     "comment_metrics": (_on_responses(COM.comment_metrics), O.comment_metrics),
     "score_comment": (_on_responses(COM.score_comment), O.score_comment),
 }

@@ -27,7 +27,8 @@ w AS (
     doc_id % 7                            AS f,
     coalesce(nullif(regexp_extract(lower(text), '([a-z]{3,})', 1), ''), 'alpha') AS w1,
     coalesce(nullif(regexp_extract(lower(text), '[a-z]{3,}[^a-z]+([a-z]{3,})', 1), ''), 'beta') AS w2,
-    regexp_extract(text, '([A-Za-z][A-Za-z ]{4,60})', 1) AS c,
+    replace(coalesce(text, ''), chr(10), ' ') AS c,
+    coalesce(text, '') AS t,
     chr(10) AS n
   FROM documents),
 b AS (
@@ -62,12 +63,12 @@ SELECT idx, pos,
     WHEN 3 THEN 'Use recursion on ' WHEN 4 THEN 'Return the array of ' ELSE 'Write code for ' END, w1,
     CASE WHEN idx % 2 = 0 THEN concat(' in ', lang) ELSE '' END) AS instruction,
   CASE f WHEN 0 THEN code
-    WHEN 1 THEN concat('Error: ', c)
-    WHEN 2 THEN concat(c, n, '```', n, code, n, '```')
-    WHEN 3 THEN concat('```', lang, n, code, n, '```', n, c, n, '```', lang, n, '# ', w1, n, code, n, w2, n, '```')
-    WHEN 4 THEN NULL
-    WHEN 5 THEN concat(c, n, '```', lang, n, code, n, repeat(concat('# ', w1, n), 600), '```')
-    ELSE concat(c, n, '```', lang, n, code, n, '```', n, w2) END AS response
+    WHEN 1 THEN concat('Error: ', t)
+    WHEN 2 THEN concat(t, n, '```', n, code, n, '```')
+    WHEN 3 THEN concat('```', lang, n, code, n, '```', n, t, n, '```', lang, n, '# ', w1, n, code, n, w2, n, '```')
+    WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN t END
+    WHEN 5 THEN concat(w1, n, '```', lang, n, code, n, '# ', replace(t, n, concat(n, '# ')), n, '```')
+    ELSE concat(t, n, '```', lang, n, code, n, '```', n, w2) END AS response
 FROM b),
 case_outcomes AS (
 SELECT r.idx, r.model, k.case_no, (r.idx * 7 + r.pos * 3 + k.case_no * 5) % 4 <> 0 AS passed, r.idx % 11 <> 0 AS ran
