@@ -14,7 +14,7 @@ probability p0, sharpened by its context c:
   from contexts to successors, and successors (40-bit prints) made monotone by their
   context's rank. The first term of p is kept as one byte, on a logarithmic scale.
 * A look-up finds a context's rank and then the successor relative to that rank: the
-  high bits lead to a bucket by a small directory, the low bits are compared there.
+  high bits lead to a bucket by a small directory, the low bits are bisected there.
 * Tasks count within windows and ship packed counts; one task a shard merges them and
   writes the shard's file in the shared folder, under a temporary name first, so tasks
   can be repeated. Scoring tasks map the files; nothing of the model is broadcast.
@@ -62,7 +62,8 @@ def ef_encode(values: np.ndarray, universe: int) -> dict:
     bits = np.zeros(-(-(n + buckets + 128) // 64) * 64, np.uint8)
     bits[high + np.arange(n)] = 1
     words = np.packbits(bits, bitorder="little").view(np.uint64)
-    directory = np.searchsorted(high, np.arange(0, buckets + 64, 64)).astype(np.uint64)  # values below every 64th bucket
+    zeros = 64 - np.bitwise_count(words).astype(np.int64)
+    directory = np.concatenate(([0], np.cumsum(zeros)))[:-1:8]  # zeros before every eighth word
     packed = np.zeros(-(-n * low // 64) + 2, np.uint64)
     if low and n:
         kept = values & np.uint64((1 << low) - 1)
@@ -106,8 +107,28 @@ def _lows(ef, i):
     return v & np.uint64((1 << low) - 1)
 
 
+def _bucket(ef: dict, h: np.ndarray) -> np.ndarray:
+    """The bit where each bucket begins: after the (h - 1)-th zero."""
+    k = h - 1
+    block = np.maximum(np.searchsorted(ef["dir"], k, "right") - 1, 0)
+    left = k - ef["dir"][block]
+    w = block * 8
+    todo = np.flatnonzero(h > 0)
+    bit = np.zeros(len(h), np.int64)
+    while len(todo):
+        word = ef["high"][w[todo]]
+        zeros = 64 - np.bitwise_count(word).astype(np.int64)
+        here = zeros > left[todo]
+        go = todo[here]
+        bit[go] = w[go] * 64 + _zero_place(word[here], left[go]) + 1
+        todo = todo[~here]
+        left[todo] -= zeros[~here]
+        w[todo] += 1
+    return bit
+
+
 def ef_find(ef: dict, x: np.ndarray) -> np.ndarray:
-    """Index of each number, or -1."""
+    """Index of each number, or -1: the high bits name a bucket, the low bits are bisected there."""
     n, low, buckets = (int(v) for v in ef["meta"])
     out = np.full(len(x), -1, np.int64)
     if not n or not len(x):
@@ -116,33 +137,26 @@ def ef_find(ef: dict, x: np.ndarray) -> np.ndarray:
     hx = (x >> np.uint64(low)).astype(np.int64)
     ask = np.flatnonzero(hx < buckets)
     hx = hx[ask]
-    j = hx >> 6
-    bit = ef["dir"][j].astype(np.int64) + (j << 6)  # where bucket 64 j begins
-    left = hx & 63                                  # zeros to pass
-    todo = np.flatnonzero(left > 0)
-    while len(todo):
-        word = _word_at(ef["high"], bit[todo])
-        zeros = 64 - np.bitwise_count(word).astype(np.int64)
-        here = zeros >= left[todo]
-        go = todo[here]
-        bit[go] += _zero_place(word[here], left[go] - 1) + 1
-        far = todo[~here]
-        left[far] -= zeros[~here]
-        bit[far] += 64
-        todo = far
-    i = bit - hx                                    # rank of the bucket's first value
-    want = x[ask] & np.uint64((1 << low) - 1)
+    bit = _bucket(ef, hx)
+    lo = bit - hx                                   # rank of the bucket's first value
+    word = _word_at(ef["high"], bit)
+    ones = np.where(~word == 0, 64, np.bitwise_count(word & ~(word + np.uint64(1))).astype(np.int64))
+    long = np.flatnonzero(ones == 64)
+    if len(long):
+        ones[long] = _bucket(ef, hx[long] + 1) - 1 - bit[long]
+    some = np.flatnonzero(ones)
+    ask, lo, hi, want = ask[some], lo[some], (lo + ones)[some], (x[ask] & np.uint64((1 << low) - 1))[some]
+    end = hi.copy()
     todo = np.arange(len(ask))
     while len(todo):
-        b = bit[todo]
-        one = (ef["high"][b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
-        todo = todo[one == 1]                       # the bucket goes on
-        got = _lows(ef, i[todo])
-        hit = got == want[todo]
-        out[ask[todo[hit]]] = i[todo[hit]]
-        todo = todo[got < want[todo]]
-        bit[todo] += 1
-        i[todo] += 1
+        mid = (lo[todo] + hi[todo]) >> 1
+        less = _lows(ef, mid) < want[todo]
+        lo[todo[less]] = mid[less] + 1
+        hi[todo[~less]] = mid[~less]
+        todo = todo[lo[todo] < hi[todo]]
+    ok = np.flatnonzero(lo < end)
+    ok = ok[_lows(ef, lo[ok]) == want[ok]]
+    out[ask[ok]] = lo[ok]
     return out
 
 
