@@ -18,8 +18,8 @@ words is one n-gram). Two documents link when 100 * |intersection| >= percent *
   cannot reach the overlap that its smallest set would need, or when the pair also
   meets under an earlier token. A trie is left at its first link, so a group of m
   near copies costs about m walks and emits m - 1 links, not m^2.
-* Whole sets travel late: the same walk goes first over a trie of the tokens at the front
-  alone, and only sets that may still link with another one of the group follow.
+* Whole sets travel late: a group sees their first tokens alone at first, and only sets
+  whose overlap there leaves room for a link with another one follow.
 * A token group of more than ``block`` sets is dealt into blocks by salt; every pair
   of blocks meets, so no pair is lost and no task holds more than two blocks.
 
@@ -239,45 +239,33 @@ def _first_link(root: _Node, x: np.ndarray, token: int, percent: int):
 
 def may_link(names, sizes, prefixes, token: int, percent: int) -> list:
     """Of the sets of one group, known by their sizes and first tokens, those that could
-    link with another one that they first meet under ``token``."""
-    token, root, out = np.uint64(token % 2**64), _Node(prefixes[0][:0], sizes[0]), []
-    for i, (n, x) in enumerate(zip(sizes, prefixes)):
-        _insert(root, x, i, n)
-    for i, (nx, x) in enumerate(zip(sizes, prefixes)):
-        walk = [(root, 0, 0, 0)]
-        while walk:
-            node, depth, overlap, used = walk.pop()
-            run = node.run
-            if len(run):
-                at = np.searchsorted(x, run)
-                hit = x[np.minimum(at, len(x) - 1)] == run
-                if bool((hit & (run < token)).any()):
-                    continue
-                known = len(run) if at[-1] < len(x) else int(np.searchsorted(run, x[-1], "right"))
-                overlap += int(hit.sum())
-                depth += known
-                used = int(at[known - 1]) + int(hit[known - 1]) if known else used
-            else:
-                known = 0
-            need = -(-percent * (nx + node.lo) // (100 + percent))
-            if overlap + min(node.hi - depth, nx - used) < need:
-                continue
-            if known < len(run):
-                # beyond what is known of this set: any other set below will do
-                below = [node]
-                while below:
-                    b = below.pop()
-                    if any(k != i for k, _ in b.ends):
-                        break
-                    below.extend(b.kids.values())
-                else:
-                    continue
-                out.append(names[i])
-                break
-            if any(k != i and overlap + min(n - depth, nx - used) >= -(-percent * (nx + n) // (100 + percent)) for k, n in node.ends):
-                out.append(names[i])
-                break
-            walk.extend((kid, depth, overlap, used) for kid in node.kids.values())
+    link with another one that they first meet under ``token``.
+
+    Shared first tokens are counted through the group's own inverted lists. Of two sets
+    the one whose prefix ends first is known up to there, so what the prefixes share
+    and the rest of that set bound the overlap."""
+    n, m = np.asarray(sizes, np.int64), len(names)
+    p = np.array([len(x) for x in prefixes], np.int64)
+    tok = np.concatenate(prefixes)
+    doc = np.repeat(np.arange(m), p)
+    order = np.argsort(tok, kind="stable")
+    tok, doc = tok[order], doc[order]
+    head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+    run = np.diff(np.append(head, len(tok)))
+    keys, last = tok[head], np.array([x[-1] for x in prefixes], np.uint64)
+    at_token = np.uint64(token % 2**64)
+    out = []
+    for i, x in enumerate(prefixes):
+        k = np.searchsorted(keys, x)
+        k = k[run[k] > 1]
+        early = int(np.searchsorted(keys[k], at_token))
+        met = np.bincount(doc[K.ragged(head[k[:early]], run[k[:early]])], minlength=m)
+        c = np.bincount(doc[K.ragged(head[k[early:]], run[k[early:]])], minlength=m)
+        bound = c + np.where(last[i] <= last, np.minimum(n[i] - p[i], n - c), np.minimum(n[i] - c, n - p))
+        ok = (met == 0) & (c > 0) & (bound >= -(-percent * (n[i] + n) // (100 + percent)))
+        ok[i] = False
+        if ok.any():
+            out.append(names[i])
     return out
 
 

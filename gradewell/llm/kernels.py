@@ -129,7 +129,7 @@ def ngrams(h: np.ndarray, woff: np.ndarray, n: int):
     val = np.zeros(m, np.uint64)
     for k in range(n):
         part = np.zeros(m, np.uint64)
-        part[:m - k] = h[k:] if k else h
+        part[:max(0, m - k)] = h[k:]
         val += part * ORDER[k]
     val = mix(val)
     out_cnt = np.where(cnt >= n, cnt - n + 1, (cnt > 0).astype(cnt.dtype))

@@ -212,7 +212,10 @@ def keep_documents(docs: DataFrame, params: Params = Params()) -> DataFrame:
     while any(c.startswith(q) for c in docs.columns):
         q += "_"
     refs = references(docs.select("lang", "text"), params)
-    return divergence(docs, refs, params, q).where(F.col(q + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # The row number keeps the optimizer from moving the filter below the projections, where
+    # it would write each column's whole derivation out again wherever it is named.
+    judged = divergence(docs, refs, params, q).withColumn(q + "row", F.monotonically_increasing_id())
+    return judged.where(F.col(q + "kept") & (F.col(q + "row") >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
