@@ -30,11 +30,11 @@ def test_indent_breaks(spark):
 
 
 def test_std_score_exact_decimal(spark):
-    # python: "def f(x):" hits rule 1 (0.5); "x = 1" hits rule 2 (0.3) -> 10 - 0.8 = 9.2 -> 27.6
+    # python: only rule 1 (0.5) hits -> 9.5 * 3
     code = "def f(x):\n    return x"
     got = spark.createDataFrame([(code, "python")], "c string, l string") \
         .select(STD.std_score(F.col("c"), F.col("l")).alias("s")).first()["s"]
-    assert got == 28.5  # only rule 1 hits: 9.5 * 3
+    assert got == 28.5
 
 
 def test_mi_bands(spark):
