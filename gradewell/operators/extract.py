@@ -32,6 +32,7 @@ def _suffix_from_first(c: Column, line_pred) -> Column:
 # --- X4: standardization ---------------------------------------------------
 def extract_std(response: Column) -> Column:
     """All tagged newline-delimited blocks, else all fence pairs, else the whole answer."""
+    # The two fence patterns.
     tagged = _join_all(response, r"```(?:python|java|cpp|c\+\+)?\n([\s\S]*?)\n```")
     bare = _join_all(response, r"```([\s\S]*?)```")
     return F.when(~nonempty(response), F.lit("")).otherwise(F.coalesce(tagged, bare, response))
@@ -63,6 +64,7 @@ def _starts_any(c: Column, words) -> Column:
 
 
 # --- X5: robustness --------------------------------------------------------
+# Fixed value: what makes a line look like code.
 CODE_LIKE = r"(?U)\b(def|class|if|for|while|return|import|function)\b|[{}\[\]();=]"
 
 

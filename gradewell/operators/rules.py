@@ -2,7 +2,7 @@
 
 Each table is a small Python literal. Plans compile them into literal
 ``CASE`` / ``rlike`` expressions (one regex compile per task, row-local, no
-join), and ``as_dataframe`` exposes them as broadcastable tables for the
+join), and ``std_rules_df`` exposes them as broadcastable tables for the
 reports that group by rule.
 """
 

@@ -24,21 +24,32 @@ COM_ALIASES = {
 }
 
 # Language keywords removed from the identifier sets.
-JAVA_KEYWORDS = """abstract assert boolean break byte case catch char class const continue default do double else
-enum extends final finally float for goto if implements import instanceof int interface long native new null
-package private protected public return short static strictfp super switch synchronized this throw throws
-transient try void volatile while""".split()
-CPP_KEYWORDS = """alignas alignof and and_eq asm auto bitand bitor bool break case catch char char16_t char32_t class
-compl concept const consteval constexpr constinit continue co_await co_return decltype default delete do double
-dynamic_cast else enum explicit export extern false final float for friend goto if import inline int long mutable
-namespace new noexcept not not_eq nullptr operator or or_eq private protected public reflexpr register
-reinterpret_cast requires return short signed sizeof static static_assert static_cast struct switch synchronized
-template this throw throws true try typedef typeid typename union unsigned using virtual void volatile
-wchar_t while""".split()
-PYTHON_KEYWORDS = """False None True and as assert async await break class continue def del elif else except finally
-for from global if import in is lambda nonlocal not or pass raise return try while with yield""".split()
+JAVA_KEYWORDS = [
+    "abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class", "const", "continue",
+    "default", "do", "double", "else", "enum", "extends", "final", "finally", "float", "for", "goto", "if",
+    "implements", "import", "instanceof", "int", "interface", "long", "native", "new", "null", "package",
+    "private", "protected", "public", "return", "short", "static", "strictfp", "super", "switch", "synchronized",
+    "this", "throw", "throws", "transient", "try", "void", "volatile", "while",
+]
+CPP_KEYWORDS = [
+    "alignas", "alignof", "and", "and_eq", "asm", "auto", "bitand", "bitor", "bool", "break", "case", "catch",
+    "char", "char16_t", "char32_t", "class", "compl", "concept", "const", "consteval", "constexpr", "constinit",
+    "continue", "co_await", "co_return", "decltype", "default", "delete", "do", "double", "dynamic_cast", "else",
+    "enum", "explicit", "export", "extern", "false", "final", "float", "for", "friend", "goto", "if", "import",
+    "inline", "int", "long", "mutable", "namespace", "new", "noexcept", "not", "not_eq", "nullptr", "operator",
+    "or", "or_eq", "private", "protected", "public", "reflexpr", "register", "reinterpret_cast", "requires",
+    "return", "short", "signed", "sizeof", "static", "static_assert", "static_cast", "struct", "switch",
+    "synchronized", "template", "this", "throw", "throws", "true", "try", "typedef", "typeid", "typename", "union",
+    "unsigned", "using", "virtual", "void", "volatile", "wchar_t", "while",
+]
+PYTHON_KEYWORDS = [
+    "False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del",
+    "elif", "else", "except", "finally", "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal",
+    "not", "or", "pass", "raise", "return", "try", "while", "with", "yield",
+]
 KEYWORDS = {"java": JAVA_KEYWORDS, "cpp": CPP_KEYWORDS, "python": PYTHON_KEYWORDS}
 
+# Fence patterns in order, and what makes a line look like code.
 FENCE_PATTERNS = [r"```[\s\S]*?\n([\s\S]*?)```", r"```([\s\S]*?)```", r"`{3,}([\s\S]*?)`{3,}"]
 CODE_LIKE_COM = [r"(?U)\b(def|class|if|for|while|return|import|function|print|var|let|const)\b", r"[{}\[\]();=]",
                  r"^\s*[a-zA-Z_][a-zA-Z0-9_]*\s*[=:]"]
@@ -198,6 +209,22 @@ def comment_metrics(responses: DataFrame) -> DataFrame:
                     F.round(cic, 3).alias("cic"), F.round(avg_cls, 3).alias("cls"))
 
 
+def ccrs(comment_lines: Column, total_lines: Column) -> Column:
+    """Score of the share r of comment lines: (r / .2)^3 below .2, 1 up to .3, then e^(-5 (r - .3)); 0 without lines."""
+    r = comment_lines / total_lines
+    return (F.when(total_lines == 0, F.lit(0.0)).when(r < 0.2, F.pow(r / 0.2, F.lit(3.0))).when(r <= 0.3, F.lit(1.0))
+            .otherwise(F.exp(-5 * (r - 0.3))))
+
+
+def comment_ratio(responses: DataFrame) -> DataFrame:
+    """M25 per answer: comment lines, all lines, and their ratio score (0 without code)."""
+    m = comment_metrics(responses)
+    total = F.coalesce(F.size(splitlines(F.col("code"))), F.lit(0))
+    m = m.select("idx", "model", F.coalesce("comment_lines", F.lit(0)).alias("comment_lines"),
+                 F.when(F.col("code").isNull(), 0).otherwise(total).alias("total_lines"))
+    return m.select("*", F.round(ccrs(F.col("comment_lines"), F.col("total_lines")), 6).alias("ccrs"))
+
+
 def score_comment(responses: DataFrame) -> DataFrame:
     m = comment_metrics(responses)
     raw = F.round((F.lit(0.7) * F.col("cic") + F.lit(0.3) * F.col("cls")) * 30, 1)

@@ -98,6 +98,21 @@ def ecc_score(ecc: Column) -> Column:
                    .otherwise(F.lit(30.0) - ((ecc - F.lit(0.5)) / F.lit(2.5)) * F.lit(20.0)), 1)
 
 
+def risk_level(ecc: Column) -> Column:
+    return F.when(ecc < 1, "low").when(ecc < 2, "medium").otherwise("high")
+
+
+def regex_ecc(responses: DataFrame) -> DataFrame:
+    """M13-M16 for Java and C++ answers: the enhanced complexity, its risk level and its score."""
+    a = F.col("analyzer")
+    inp = efficiency_inputs(responses).filter(a.isin("java", "cpp"))
+    num = F.when(a == "java", F.col("java_methods") + F.col("java_outputs")).otherwise(F.col("cpp_methods") + F.col("cpp_outputs"))
+    total = num + F.col("regex_statements") + F.col("regex_max_inputs")
+    inp = inp.select("idx", "model", "analyzer", F.when(F.col("loc") == 0, F.lit(0.0)).otherwise(total / F.col("loc")).alias("ecc"))
+    return inp.select("idx", "model", "analyzer", F.round("ecc", 6).alias("ecc"), risk_level(F.col("ecc")).alias("risk"),
+                      ecc_score(F.col("ecc")).alias("ecc_score"))
+
+
 def score_efficiency(responses: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Final score. Python answers join their syntax facts; unknown languages score 30."""
     inp = efficiency_inputs(responses)

@@ -196,3 +196,9 @@ def test_case_plan(tasks: DataFrame) -> DataFrame:
         kind = F.when(cond, k) if kind is None else kind.when(cond, k)
     t = tasks.select("idx", kind.otherwise("basic").alias("kind"))
     return t.join(F.broadcast(cases), "kind").select("idx", "kind", "case_no", "input", "expected", "is_list")
+
+
+def mean_pool(vectors: DataFrame, key: str = "label", vector: str = "embedding") -> DataFrame:
+    """The mean of a group's vectors, one row per place (partial sums before the shuffle; no vector is gathered)."""
+    x = vectors.select(key, F.posexplode(vector).alias("dim", "x"))
+    return x.groupBy(key, "dim").agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))

@@ -579,3 +579,38 @@ def scan_lenient() -> str:
 def scan_counts() -> str:
     return oracle_with() + f"""SELECT count(*) AS total, CAST(0 AS BIGINT) AS blank, CAST(0 AS BIGINT) AS malformed,
   CAST(0 AS BIGINT) AS bad_shape, count(*) AS ok FROM ({TASKS})"""
+
+
+def comment_ratio() -> str:
+    total = f"CASE WHEN code IS NULL THEN 0 ELSE len({_sql_splitlines('code')}) END"
+    return f"""SELECT idx, model, comment_lines, total_lines, {sql_round("CASE WHEN total_lines = 0 THEN 0.0 WHEN r < 0.2 THEN power(r / 0.2, 3.0) WHEN r <= 0.3 THEN 1.0 ELSE exp(-5 * (r - 0.3)) END", 6)} AS ccrs
+FROM (SELECT *, comment_lines / nullif(total_lines, 0)::DOUBLE AS r
+  FROM (SELECT idx, model, coalesce(comment_lines, 0) AS comment_lines, CAST({total} AS INTEGER) AS total_lines FROM ({comment_metrics()})))"""
+
+
+def regex_ecc() -> str:
+    score = sql_round("CASE WHEN ecc >= 3 THEN 10.0 WHEN ecc <= 0.5 THEN 30.0 ELSE 30.0 - ((ecc - 0.5) / 2.5) * 20.0 END", 1)
+    return f"""SELECT idx, model, analyzer, {sql_round("ecc", 6)} AS ecc,
+  CASE WHEN ecc < 1 THEN 'low' WHEN ecc < 2 THEN 'medium' ELSE 'high' END AS risk, {score} AS ecc_score
+FROM (SELECT idx, model, analyzer, CASE WHEN loc = 0 THEN 0.0 ELSE (regex_statements + regex_max_inputs
+    + CASE WHEN analyzer = 'java' THEN java_methods + java_outputs ELSE cpp_methods + cpp_outputs END) / loc::DOUBLE END AS ecc
+  FROM ({efficiency_inputs()}) WHERE analyzer IN ('java', 'cpp'))"""
+
+
+def mean_pool() -> str:
+    return """SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(x), 4) AS mean FROM (
+  SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY label, dim"""
+
+
+def explode_models() -> str:
+    return oracle_with() + "SELECT idx, pos, model, response FROM responses"
+
+
+def regroup_scores() -> str:
+    return f"""SELECT idx, CAST(count(score) AS INTEGER) AS n_models, string_agg(model, ',' ORDER BY pos) AS models, sum(score) AS total
+FROM ({score_standardization()}) GROUP BY idx"""
+
+
+def dedupe_last() -> str:
+    return oracle_with() + """SELECT model, max(idx) AS idx, max_by(response, idx) AS response, max_by(pos, idx) AS pos
+FROM (SELECT model, idx, coalesce(response, '') AS response, pos FROM responses) GROUP BY model"""

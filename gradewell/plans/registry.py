@@ -16,8 +16,9 @@ from gradewell.plans import functionality as FUN
 from gradewell.plans import modularity as MOD
 from gradewell.plans import scorecard as SC
 from gradewell.sources import jsonl as J
-from gradewell.operators.explode import tasks_from_responses
+from gradewell.operators.explode import dedupe_last, explode_models, regroup, tasks_from_responses
 from gradewell.sources.corpus import responses, case_outcomes
+from gradewell.sources.tables import read_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,20 @@ def _fun_score(spark, sf_dir):
     return FUN.score_functionality(tasks_from_responses(r), sem, case_outcomes(spark, sf_dir))
 
 
+def _regrouped(spark, sf_dir):
+    from pyspark.sql import functions as F
+    g = regroup(STD.score_standardization(responses(spark, sf_dir)))
+    r = F.col("results")
+    return g.select("idx", F.size(r).alias("n_models"), F.array_join(F.map_keys(r), ",").alias("models"),
+                    F.aggregate(F.map_values(r), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+def _last_answers(spark, sf_dir):
+    from pyspark.sql import functions as F
+    r = responses(spark, sf_dir).select("model", "idx", F.coalesce("response", F.lit("")).alias("response"), "pos")
+    return dedupe_last(r, "model", "idx")
+
+
 def _corpus_lines(spark, sf_dir):
     return J.task_lines(tasks_from_responses(responses(spark, sf_dir)))
 
@@ -83,6 +98,13 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "scan_lenient": (_scan_lenient, O.scan_lenient),
     "scan_quarantine": (lambda spark, sf: J.scan_counts(_corpus_lines(spark, sf)), O.scan_counts),
     "comment_metrics": (_on_responses(COM.comment_metrics), O.comment_metrics),
+    "comment_ratio": (_on_responses(COM.comment_ratio), O.comment_ratio),
+    "regex_ecc": (_on_responses(EFF.regex_ecc), O.regex_ecc),
+    "mean_pool": (lambda spark, sf: FUN.mean_pool(read_table(spark, sf, "embeddings")), O.mean_pool),
+    "explode_models": (lambda spark, sf: explode_models(tasks_from_responses(responses(spark, sf))).select("idx", "pos", "model", "response"),
+                       O.explode_models),
+    "regroup": (_regrouped, O.regroup_scores),
+    "dedupe_last": (_last_answers, O.dedupe_last),
     "score_comment": (_on_responses(COM.score_comment), O.score_comment),
 }
 
