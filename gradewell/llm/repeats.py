@@ -130,16 +130,16 @@ def _anchor_rows(length: int, gram: int):
     def run(batches):
         for b in K.slices(batches):
             data, off = K.buffer(b.column("text"))
-            h, doc, at, s1, s2, right, left = anchors(data, off, length, gram)
+            h, doc, at, _, _, right, left = anchors(data, off, length, gram)
             a, prints, names = h.view(np.int64), (right << 16) | left, b.column("d").to_numpy()
             sent = shared(a, prints)
             many = np.flatnonzero(sent)
             _, first = np.unique(K.mix(h[many]) ^ prints[many].astype(np.uint64), return_index=True)
             rep = many[first]
-            place = ((at - off[doc]) << 32) | ((at - s1) << 16) | (s2 - s1)
+            place = at - off[doc]
             kind = (prints << 2) | np.where(sent, SENT, ASKS)
             cols = ((a, a[rep]), (names[doc], names[doc[rep]]), (place, place[rep]), (kind, (prints[rep] << 2) | TOLD))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["a", "d", "place", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["a", "d", "at", "kind"])
     return run
 
 
@@ -148,10 +148,10 @@ def _repeated(batches):
     anchor; those come sorted by anchor."""
     held = None
     for b in batches:
-        cols = [b.column(k).to_numpy() for k in ("a", "d", "place", "kind")]
+        cols = [b.column(k).to_numpy() for k in ("a", "d", "at", "kind")]
         sent = cols[3] & 3 == SENT
         if sent.any():
-            yield _occurrences(*(c[sent] for c in cols[:3]))
+            yield _occurrences(*(c[sent] for c in cols[1:3]))
         cols = [c[~sent] for c in cols]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols)]
@@ -164,38 +164,40 @@ def _repeated(batches):
 
 
 def _asked(cols):
-    a, d, place, kind = cols
+    a, d, at, kind = cols
     keep = shared(a, kind >> 2) & (kind & 3 == ASKS)
-    return _occurrences(a[keep], d[keep], place[keep])
+    return _occurrences(d[keep], at[keep])
 
 
-def _occurrences(a, d, place):
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, d, place)], ["a", "d", "place"])
+def _occurrences(d, at):
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, at)], ["d", "at"])
 
 
-def _records(length: int):
-    """Records (a, suffix, left, d, at) and, with an empty suffix, spans (d, at .. a)."""
+def _records(length: int, gram: int):
+    """Records (a, suffix, left, d, at) and, with an empty suffix, spans (d, at .. a). Anchors
+    are worked out anew, as that costs less than carrying them along."""
     def run(batches):
         for b in K.slices(batches):
             data, off = K.buffer(b.column("text"))
-            raw = data.tobytes()
-            found = {}
+            raw, names = data.tobytes(), b.column("d").to_numpy()
+            h, doc, at, s1, s2, _, _ = anchors(data, off, length, gram)
+            lists = b.column("places")
+            wanted = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            go = np.flatnonzero(np.isin((doc << 40) | (at - off[doc]), (owner << 40) | wanted))
+            found: dict = {}
             spans = set()
-            for i, (d, places) in enumerate(zip(b.column("d").to_pylist(), b.column("places").to_pylist())):
-                base, end = off[i], off[i + 1]
-                for x in places:
-                    at, left, more = x["place"] >> 32, (x["place"] >> 16) & 65535, x["place"] & 65535
-                    to = at - left + more + length
-                    if base + to > end:
-                        continue  # a place of another text under the same doc_id
-                    key = (x["a"], raw[base + at:base + to], raw[base + at - left:base + at])
-                    old = found.get(key)
-                    if old is None:
-                        found[key] = (d, at)
-                    elif old != (d, at):
-                        late = max(old, (d, at))
-                        found[key] = min(old, (d, at))
-                        spans.add((late[0], late[1] - left, late[1] - left + more + length))
+            base = off[doc[go]]
+            for a, d, p, x, y in zip(h[go].view(np.int64).tolist(), names[doc[go]].tolist(), (at[go] - base).tolist(),
+                                     zip(s1[go].tolist(), (s2[go] + length).tolist()), at[go].tolist()):
+                key = (a, raw[y:x[1]], raw[x[0]:y])
+                old = found.get(key)
+                if old is None:
+                    found[key] = (d, p)
+                elif old != (d, p):
+                    late = max(old, (d, p))
+                    found[key] = min(old, (d, p))
+                    spans.add((late[0], late[1] - (y - x[0]), late[1] + x[1] - y))
             rows = [(a, s, x, d, at) for (a, s, x), (d, at) in found.items()]
             rows += [(e, b"", b"", d, s) for d, s, e in spans]
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
@@ -270,7 +272,9 @@ def _spans(length: int):
                         name, at = records[i][2:]
                         if (name, at) != first:
                             d.append(name), s.append(at - left), e.append(at + right)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, s, e)], ["d", "s", "e"])
+            code = (np.array(s, np.int64) << BITS) | (np.array(e, np.int64) - np.array(s, np.int64))
+            d, code = np.unique(np.stack((np.array(d, np.int64), code)), axis=1) if len(s) else (code, code)
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(code)], ["d", "span"])
     return run
 
 
@@ -295,6 +299,9 @@ def _by_anchor(batches):
         yield [(False, rows)]
 
 
+BITS = 24  # of a span's length in its code
+
+
 def merged(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
@@ -312,7 +319,7 @@ def _cut(batches):
         rows = []
         for i, spans in enumerate(b.column("spans").to_pylist()):
             text = raw[off[i]:off[i + 1]]
-            gone = [(s, min(e, len(text))) for s, e in merged((x["s"], x["e"]) for x in spans or ()) if s < len(text)]
+            gone = [(s, min(e, len(text))) for s, e in merged((x >> BITS, (x >> BITS) + (x & ((1 << BITS) - 1))) for x in spans or ()) if s < len(text)]
             kept, at = [], 0
             for s, e in gone:
                 kept.append(text[at:s])
@@ -325,22 +332,22 @@ def _cut(batches):
 
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Spans (d, s, e) to remove, in bytes; docs: (d, text) with d the id, nulls as the least number."""
+    """Spans to remove as (d, start << BITS | length), in bytes; docs: (d, text) with d the id, nulls as the least number."""
     n = partitions(docs.sparkSession)
-    rows = docs.select("d", "text").mapInArrow(_anchor_rows(length, gram), "a long, d long, place long, kind long")
+    rows = docs.select("d", "text").mapInArrow(_anchor_rows(length, gram), "a long, d long, at long, kind long")
     salt = F.when(F.col("kind").bitwiseAND(3) == SENT, F.col("d")).otherwise(F.lit(0))
     seen = (rows.repartition(n, "a", salt).sortWithinPartitions("a")
-            .mapInArrow(_repeated, "a long, d long, place long"))
-    places = seen.groupBy("d").agg(F.collect_list(F.struct("a", "place")).alias("places"))  # of one document
-    records = docs.join(places, "d").select("d", "text", "places").mapInArrow(_records(length), "a long, suffix binary, left binary, d long, at long")
+            .mapInArrow(_repeated, "d long, at long"))
+    places = seen.groupBy("d").agg(F.collect_list("at").alias("places"))  # of one document
+    records = docs.join(places, "d").select("d", "text", "places").mapInArrow(_records(length, gram), "a long, suffix binary, left binary, d long, at long")
     spread = F.when(F.length("suffix") > 0, F.lit(0)).otherwise(F.col("d"))
-    return records.repartition(n, "a", spread).sortWithinPartitions("a", "suffix").mapInArrow(_spans(length), "d long, s long, e long")
+    return records.repartition(n, "a", spread).sortWithinPartitions("a", "suffix").mapInArrow(_spans(length), "d long, span long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("d"), "text")
-    spans = repeat_spans(own, length, gram).groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeat_spans(own, length, gram).groupBy("d").agg(F.collect_list("span").alias("spans"))
     doc_id = F.when(F.col("d") != FIRST, F.col("d")).alias("doc_id")
     return own.join(spans, "d", "left").select(doc_id, "text", "spans").mapInArrow(  # the texts' exchange serves both joins
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
