@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM collect, so that Spark's cleaner drops the shuffle files of plans
-    that nothing refers to any more (they would stay until the driver happens to collect)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    that nothing refers to any more (they would stay until the driver happens to collect). It
+    takes two turns: the first frees the plans, the second what only they referred to."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -18,8 +18,10 @@ words is one n-gram). Two documents link when 100 * |intersection| >= percent *
   cannot reach the overlap that its smallest set would need, or when the pair also
   meets under an earlier token. A trie is left at its first link, so a group of m
   near copies costs about m walks and emits m - 1 links, not m^2.
-* Whole sets travel late: a group sees their first tokens alone at first, and only sets
-  whose overlap there leaves room for a link with another one follow.
+* Two rounds: the first joins the groups of each set's two rarest shared tokens, which makes
+  most families one component. The second goes through all groups where components still
+  meet; there whole sets travel late: a group sees their first tokens alone at first, and only
+  sets whose overlap leaves room for a link with another component follow.
 * A token group of more than ``block`` sets is dealt into blocks by salt; every pair
   of blocks meets, so no pair is lost and no task holds more than two blocks.
 
@@ -132,29 +134,56 @@ def _tokens(val: np.ndarray, known, below: int) -> np.ndarray:
     return np.sort((cls << np.uint64(58)) | val)
 
 
-def _places(percent: int, block: int, below: int):
-    """The groups of each set: its shared tokens among the first that count, and their blocks."""
+def _prefix(n, head, known, percent: int, below: int) -> np.ndarray:
+    return _tokens(np.array(head, np.int64).view(np.uint64), known, below)[:_prefix_size(n, percent)]
+
+
+def _places(percent: int, block: int, below: int, first: int | None):
+    """The groups of each set: its shared tokens, all or the ``first`` ones, among those that
+    count, and their blocks."""
     def run(batches):
         for b in batches:
             rows = []
             for rep, n, head, known in zip(*(b.column(k).to_pylist() for k in ("rep", "n", "head", "known"))):
-                prefix = _tokens(np.array(head, np.int64).view(np.uint64), known, below)[:_prefix_size(n, percent)]
-                count = {k["token"]: k["m"] for k in known}
-                shown = prefix.view(np.int64).tolist()
-                for t, h in zip(shown, (prefix & HASH).view(np.int64).tolist()):
+                prefix = _prefix(n, head, known, percent, below)
+                count, taken = {k["token"]: k["m"] for k in known}, 0
+                for t, h in zip(prefix.view(np.int64).tolist(), (prefix & HASH).view(np.int64).tolist()):
                     c = -(-count.get(h, 0) // block)
+                    if not c:
+                        continue
                     s = int(K.mix(np.array([rep ^ t], np.int64).view(np.uint64))[0] % np.uint64(c)) if c > 1 else 0
-                    rows += [(t, min(s, o) * c + max(s, o), rep, n, shown) for o in range(c)]
+                    rows += [(t, min(s, o) * c + max(s, o), rep) for o in range(c)]
+                    taken += 1
+                    if taken == first:
+                        break
+            yield _rows(rows, ["token", "block", "rep"])
+    return run
+
+
+def _fronts(percent: int, below: int):
+    """The first tokens of each set that others share, once for every place."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for rep, n, head, known, comp, places in zip(*(b.column(k).to_pylist() for k in ("rep", "n", "head", "known", "comp", "places"))):
+                prefix = _prefix(n, head, known, percent, below)
+                own = np.isin(prefix & HASH, np.array([k["token"] for k in known], np.int64).view(np.uint64))
+                shown = prefix[own].view(np.int64).tolist()
+                last = int(prefix[-1:].view(np.int64)[0])
+                rows += [(w["token"], w["block"], rep, n, comp, len(prefix), last, shown) for w in places]
                 if len(rows) > 2000:
-                    yield _place_batch(rows)
+                    yield _rows(rows, FRONT)
                     rows = []
-            yield _place_batch(rows)
+            yield _rows(rows, FRONT)
     return run
 
 
-def _place_batch(rows):
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], ["token", "block", "rep", "n", "prefix"])
+FRONT = ["token", "block", "rep", "n", "comp", "p", "last", "prefix"]
+
+
+def _rows(rows, names):
+    kinds = [pa.list_(pa.int64()) if k == "prefix" else pa.int64() for k in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(names), kinds)], names)
 
 
 def _members(n: int, below: int):
@@ -237,33 +266,34 @@ def _first_link(root: _Node, x: np.ndarray, token: int, percent: int):
     return None
 
 
-def may_link(names, sizes, prefixes, token: int, percent: int) -> list:
-    """Of the sets of one group, known by their sizes and first tokens, those that could
-    link with another one that they first meet under ``token``.
+def may_link(names, sizes, fronts, ends, comps, token: int, percent: int) -> list:
+    """Of the sets of one group, known by their sizes, the shared ones of their first tokens and
+    (number, last) of these, those that could link with a set of another component that they
+    first meet under ``token``.
 
     Shared first tokens are counted through the group's own inverted lists. Of two sets
     the one whose prefix ends first is known up to there, so what the prefixes share
     and the rest of that set bound the overlap."""
     n, m = np.asarray(sizes, np.int64), len(names)
-    p = np.array([len(x) for x in prefixes], np.int64)
-    tok = np.concatenate(prefixes)
-    doc = np.repeat(np.arange(m), p)
+    p, last = (np.array(x, np.int64) for x in ends)
+    last, comps = last.view(np.uint64), np.asarray(comps)
+    tok = np.concatenate(fronts)
+    doc = np.repeat(np.arange(m), [len(x) for x in fronts])
     order = np.argsort(tok, kind="stable")
     tok, doc = tok[order], doc[order]
     head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
     run = np.diff(np.append(head, len(tok)))
-    keys, last = tok[head], np.array([x[-1] for x in prefixes], np.uint64)
+    keys = tok[head]
     at_token = np.uint64(token % 2**64)
     out = []
-    for i, x in enumerate(prefixes):
+    for i, x in enumerate(fronts):
         k = np.searchsorted(keys, x)
         k = k[run[k] > 1]
         early = int(np.searchsorted(keys[k], at_token))
         met = np.bincount(doc[K.ragged(head[k[:early]], run[k[:early]])], minlength=m)
         c = np.bincount(doc[K.ragged(head[k[early:]], run[k[early:]])], minlength=m)
         bound = c + np.where(last[i] <= last, np.minimum(n[i] - p[i], n - c), np.minimum(n[i] - c, n - p))
-        ok = (met == 0) & (c > 0) & (bound >= -(-percent * (n[i] + n) // (100 + percent)))
-        ok[i] = False
+        ok = (comps != comps[i]) & (met == 0) & (c > 0) & (bound >= -(-percent * (n[i] + n) // (100 + percent)))
         if ok.any():
             out.append(names[i])
     return out
@@ -312,9 +342,9 @@ def _groups(batches):
 
 def _screen(percent: int):
     def run(batches):
-        for (t, blk), (ids, sizes, prefixes) in _groups(batches):
-            own = [np.array(p, np.int64).view(np.uint64) for p in prefixes]
-            left = may_link(ids, sizes, own, t, percent)
+        for (t, blk), (ids, sizes, comps, p, last, fronts) in _groups(batches):
+            own = [np.array(x, np.int64).view(np.uint64) for x in fronts]
+            left = may_link(ids, sizes, own, (p, last), comps, t, percent)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([t] * len(left), [blk] * len(left), left)], ["token", "block", "rep"])
     return run
 
@@ -335,14 +365,35 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, below: int, bl
     shared = post.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     known = cut(post.join(shared, "token").groupBy("rep").agg(F.collect_list(F.struct("token", "m")).alias("known")))  # of one document
     release(spark)
-    key = ["token", "block"]
-    dealt = lambda df, last: df.repartition(partitions(spark), *key).sortWithinPartitions(*key, last)
-    placed = reps.join(known, "rep").mapInArrow(_places(percent, block, below), "token long, block long, rep long, n long, prefix array<long>")
-    screened = dealt(placed, "rep").mapInArrow(_screen(percent), "token long, block long, rep long")
-    wanted = screened.groupBy("rep").agg(F.collect_list(F.struct(*key)).alias("places")).join(known, "rep")
-    sets = (docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "places", "known")
-            .mapInArrow(_members(n, below), "token long, block long, id long, tokens binary"))
-    return dealt(sets, "id").mapInArrow(_join(percent), "a long, b long")
+    key, group = ["token", "block"], "token long, block long"
+    mine = cut(reps.join(known, "rep"))
+
+    def dealt(df, last):
+        return df.repartition(partitions(spark), *key).sortWithinPartitions(*key, last)
+
+    def joined(places):
+        """Links within the groups of (token, block, rep), by tries of the whole sets."""
+        wanted = places.groupBy("rep").agg(F.collect_list(F.struct(*key)).alias("places")).join(known, "rep")  # of one document
+        sets = (docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "places", "known")
+                .mapInArrow(_members(n, below), group + ", id long, tokens binary"))
+        out = cut(dealt(sets, "id").mapInArrow(_join(percent), "a long, b long"))
+        release(spark)
+        return out
+
+    # First round: the rarest shared tokens of each set alone; most families become one component.
+    few = mine.mapInArrow(_places(percent, block, below, 2), group + ", rep long")
+    met = few.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    early = joined(few.join(met, key))
+    comp = components(early)
+    # Second round: every place, where sets of different components still meet.
+    every = cut(mine.mapInArrow(_places(percent, block, below, None), group + ", rep long")
+                .join(comp, F.col("rep") == F.col("node"), "left").select(*key, "rep", F.coalesce("component", "rep").alias("comp")))
+    mixed = every.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*key)
+    left = every.join(mixed, key).groupBy("rep", "comp").agg(F.collect_list(F.struct(*key)).alias("places"))
+    fronts = mine.join(left, "rep").mapInArrow(_fronts(percent, below), ", ".join(f"{k} {'array<long>' if k == 'prefix' else 'long'}" for k in FRONT))
+    screened = cut(dealt(fronts, "rep").mapInArrow(_screen(percent), group + ", rep long"))
+    release(spark)
+    return early.unionAll(joined(screened))
 
 
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -353,9 +404,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK)
     key = ["n", "s1", "s2"]
     reps = (base.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
             .where("rep IS NOT NULL").select("rep", "n", "head"))
-    edges = cut(links(docs, reps, n, percent, below, block))
-    release(docs.sparkSession)
-    found = components(edges)
+    found = components(links(docs, reps, n, percent, below, block))
     named = (base.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
              .join(found, F.col("rep") == F.col("node"), "left")
              .select(*key, F.coalesce("component", "rep").alias("component")))

@@ -125,8 +125,9 @@ def test_trie_links_find_all_components():
         for a, b in links:
             parent[root(a)] = root(b)
         comp[1] = [root(i) for i in range(len(sets))]
-        may = set(jaccard.may_link(range(len(sets)), [len(s) for s in sets],
-                                   [s[:jaccard._prefix_size(len(s), percent)] for s in sets], 0, percent))
+        front = [s[:jaccard._prefix_size(len(s), percent)] for s in sets]
+        ends = [len(x) for x in front], [int(x[-1]) for x in front]
+        may = set(jaccard.may_link(range(len(sets)), [len(s) for s in sets], front, ends, range(len(sets)), 0, percent))
         for a in range(len(sets)):
             for b in range(a):
                 i = len(np.intersect1d(sets[a], sets[b]))
