@@ -44,7 +44,7 @@ from gradewell.llm.common import components, cut, documents, partitions, release
 BLOCK = 3000  # sets of one token that one task joins
 
 
-COUNTED = 1.8
+COUNTED = 1.6
 HASH = np.uint64((1 << 58) - 1)
 
 
@@ -362,7 +362,8 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, below: int, bl
     """Links (a, b) between class representatives (rep, n, head) that span all components."""
     spark = docs.sparkSession
     post = reps.select("rep", F.explode("head").alias("token"))
-    shared = post.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = cut(post.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    release(spark)
     known = cut(post.join(shared, "token").groupBy("rep").agg(F.collect_list(F.struct("token", "m")).alias("known")))  # of one document
     release(spark)
     key, group = ["token", "block"], "token long, block long"
