@@ -18,7 +18,7 @@ words is one n-gram). Two documents link when 100 * |intersection| >= percent *
   cannot reach the overlap that its smallest set would need, or when the pair also
   meets under an earlier token. A trie is left at its first link, so a group of m
   near copies costs about m walks and emits m - 1 links, not m^2.
-* Two rounds: the first joins the groups of each set's two rarest shared tokens, which makes
+* Two rounds: the first joins the groups of each set's rarest shared token, which makes
   most families one component. The second goes through all groups where components still
   meet; there whole sets travel late: a group sees their first tokens alone at first, and only
   sets whose overlap leaves room for a link with another component follow.
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.llm import kernels as K
-from gradewell.llm.common import components, cut, documents, partitions, release, store
+from gradewell.llm.common import components, cut, discard, documents, partitions, release, store
 
 BLOCK = 3000  # sets of one token that one task joins
 
@@ -358,8 +358,9 @@ def _join(percent: int):
     return run
 
 
-def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, below: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between class representatives (rep, n, head) that span all components."""
+def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, below: int, block: int = BLOCK, heads: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between class representatives (rep, n, head) that span all components.
+    heads: the stored table that ``reps`` reads, deleted once it is not needed any more."""
     spark = docs.sparkSession
     post = reps.select("rep", F.explode("head").alias("token"))
     shared = cut(post.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
@@ -368,6 +369,9 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, below: int, bl
     release(spark)
     key, group = ["token", "block"], "token long, block long"
     mine = cut(reps.join(known, "rep"))
+    if heads is not None:
+        discard(heads)
+    release(spark)
 
     def dealt(df, last):
         return df.repartition(partitions(spark), *key).sortWithinPartitions(*key, last)
@@ -381,8 +385,8 @@ def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, below: int, bl
         release(spark)
         return out
 
-    # First round: the rarest shared tokens of each set alone; most families become one component.
-    few = mine.mapInArrow(_places(percent, block, below, 2), group + ", rep long")
+    # First round: the rarest shared token of each set alone; most families become one component.
+    few = mine.mapInArrow(_places(percent, block, below, 1), group + ", rep long")
     met = few.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     early = joined(few.join(met, key))
     comp = components(early)
@@ -401,15 +405,16 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK)
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     below = front(docs, n, percent)
-    base = store(docs.mapInArrow(_signatures(n, percent, below), "doc_id long, n long, s1 long, s2 long, head array<long>"), "sets")
+    heads = store(docs.mapInArrow(_signatures(n, percent, below), "doc_id long, n long, s1 long, s2 long, head array<long>"), "sets")
+    base = store(heads.drop("head"), "signatures")
     key = ["n", "s1", "s2"]
-    reps = (base.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
+    reps = (heads.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
             .where("rep IS NOT NULL").select("rep", "n", "head"))
-    found = components(links(docs, reps, n, percent, below, block))
+    found = components(links(docs, reps, n, percent, below, block, heads))
     named = (base.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
              .join(found, F.col("rep") == F.col("node"), "left")
              .select(*key, F.coalesce("component", "rep").alias("component")))
-    return (base.drop("head").join(named, key, "left")
+    return (base.join(named, key, "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")))
 
