@@ -37,22 +37,22 @@ b AS (
     CASE l * 10 + v
     WHEN 0 THEN concat('import ', w1, n, '# ', c, n, '# ', w2, n, 'def ', w2, '(x, y):', n,
       '    if x == y and x > 0:', n, '        print(x)  # ', w1, n, '    return x')
-    WHEN 1 THEN concat('class ', w1, ':', n, '    """', c, '"""', n, '    def set_', w1, '(self, x):', n, '        self.', w1, ' = x', n,
+    WHEN 1 THEN concat('class ', w1, ':', n, '    ', repeat('"', 3), c, repeat('"', 3), n, '    def set_', w1, '(self, x):', n, '        self.', w1, ' = x', n,
       '    def get_', w1, '(self):', n, '        return self.', w1, n, '    def ', w2, '(self):', n, '        # ', w2, n, '        return self.', w2)
-    WHEN 2 THEN concat('import os', n, 'from ', w1, ' import *', n, 'def ', w2, '(path):', n, '    try:', n, '        with open(path) as fh:', n,
+    WHEN 2 THEN concat('import os', n, 'from ', w1, ' import *', n, '# ', c, n, 'def ', w2, '(path):', n, '    try:', n, '        with open(path) as fh:', n,
       '            return isinstance(fh, str)', n, '    except:', n, '      return None', n, '    finally:', n, '        pass')
-    WHEN 3 THEN concat('def ', w1, '(x:', n, '    while True', n, '        ', w2, ' = x')
+    WHEN 3 THEN concat('def ', w1, '(x:', n, '    # ', c, n, '    while True', n, '        ', w2, ' = x')
     WHEN 10 THEN concat('import java.util.', w1, ';', n, 'public class ', w2, ' {', n, '  // ', c, n, '  // ', w1, n,
       '  public static int run(int a, int b) { return a; }', n, '}')
     WHEN 11 THEN concat('public class A {', n, '    private ', w1, ';', n, '    /* ', c, ' */', n, '    public void go(String s) {', n,
       '        try {', n, '            if (s == null) { System.out.println(s); }', n, '        } catch (Exception e) {', n,
       '        } finally { s.close(); }', n, '    }', n, '}')
-    WHEN 12 THEN concat('class ', w1, ' {', n, '   int ', w2, '(int a) {', n, '      for (int i = 0; i < a; i++) { a = a + i; }', n, '      return a;', n, '   }', n, '}')
-    WHEN 13 THEN concat('import java.io.', w1, ';', n, 'import java.io.', w1, ';', n, 'public class B { boolean x(boolean ok) { if (ok == true) { return ok; } return false; } }')
+    WHEN 12 THEN concat('class ', w1, ' {', n, '   /** ', c, ' */', n, '   int ', w2, '(int a) {', n, '      for (int i = 0; i < a; i++) { a = a + i; }', n, '      return a;', n, '   }', n, '}')
+    WHEN 13 THEN concat('import java.io.', w1, ';', n, 'import java.io.', w1, ';', n, '// ', c, n, 'public class B { boolean x(boolean ok) { if (ok == true) { return ok; } return false; } }')
     WHEN 20 THEN concat('#include <', w1, '>', n, 'using namespace std;', n, '// ', c, n, 'int ', w2, '(int a) { cout << a; return a; }')
-    WHEN 21 THEN concat('#include <memory>', n, '#define ', w1, ' 1', n, 'void ', w2, '() {', n, '  std::unique_ptr<int> p;', n, '  try { } catch (...) { throw; }', n, '}')
-    WHEN 22 THEN concat('#include <vector>', n, '#include "', w1, '.h"', n, 'int main() { int* p = nullptr; if (p == NULL) { delete p; } return 0; }')
-    ELSE concat('// ', w1, n, 'int ', w2, '(int a, int b, int c) {', n, '    while(true) { a = a + b; }', n, '}')
+    WHEN 21 THEN concat('#include <memory>', n, '#define ', w1, ' 1', n, '// ', c, n, 'void ', w2, '() {', n, '  std::unique_ptr<int> p;', n, '  try { } catch (...) { throw; }', n, '}')
+    WHEN 22 THEN concat('#include <vector>', n, '#include "', w1, '.h"', n, '/* ', c, ' */', n, 'int main() { int* p = nullptr; if (p == NULL) { delete p; } return 0; }')
+    ELSE concat('// ', w1, n, '// ', c, n, 'int ', w2, '(int a, int b, int c) {', n, '    while(true) { a = a + b; }', n, '}')
     END AS code
   FROM w),
 responses AS (
@@ -66,7 +66,7 @@ SELECT idx, pos,
     WHEN 1 THEN concat('Error: ', t)
     WHEN 2 THEN concat(t, n, '```', n, code, n, '```')
     WHEN 3 THEN concat('```', lang, n, code, n, '```', n, t, n, '```', lang, n, '# ', w1, n, code, n, w2, n, '```')
-    WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN t END
+    WHEN 4 THEN nullif(t, '')
     WHEN 5 THEN concat(w1, n, '```', lang, n, code, n, '# ', replace(t, n, concat(n, '# ')), n, '```')
     ELSE concat(t, n, '```', lang, n, code, n, '```', n, w2) END AS response
 FROM b),
