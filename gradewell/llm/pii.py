@@ -116,18 +116,26 @@ RULES = re.compile(
     rf"|(?P<dot>{_DOT}|(?<=[a-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[a-z0-9]))"
     rf"|(?P<digit>(?<!\w){_WORD}(?!\w))(?:[\x20,-]{{1,2}}(?=(?:{_WORD}(?!\w))|[0-9]))?"
     rf"|(?P<plus>(?<!\w)plus\s{{1,3}}(?=(?:{_WORD}(?!\w))|[0-9]))", re.I)
-SPELLED_HASHES = np.unique(np.array([K.word_hash(v) for w in SPELLED for v in (w, w.upper())], np.uint64))
-GAPS = K.WS.copy()
-GAPS[[ord(","), ord("-"), ord("."), ord("("), ord(")"), ord("+")]] = True
-DISGUISES = ("(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "(@", "[@", "{@", " @", "@ ", "arroba", "(dot", "[dot", "{dot", "[.", "(.", " dot ")
+# The gate in front of RULES lets through every text in which they can add a span: all with
+# "@" (an e-mail needs one, or a rule that writes one), a bracketed or spaced sign, "plus"
+# before a number, odd characters, and a spelled digit next to another digit, as every
+# number span holds four or more. All other matches of RULES rewrite words of plain prose.
+BRACKETED = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|dot|\.|punkt|punto|point)\s{0,3}[\])}>]", re.I)
+SPACED_DOT = re.compile(r"\sdot\s", re.I)
+PLUS = re.compile(rf"(?<!\w)plus\s{{1,3}}(?:{_WORD}(?!\w)|[0-9])", re.I)
+FOLDED = re.compile("[ſıİK]")  # equal ASCII letters where case is ignored
+# Words end at all but ASCII letters and digits, so spelled digits count by their ASCII parts.
+SPELLED_HASHES = np.unique(np.array([K.word_hash(x) for w in SPELLED for x in re.findall("[a-z]+", w)], np.uint64))
+GAPS = np.array([not (chr(x).isascii() and chr(x).isalnum()) for x in range(256)])
 
 
 def spelled(column) -> np.ndarray:
-    """For each text of an Arrow column, whether two spelled digits stand side by side."""
+    """For each text of an Arrow column, whether a spelled digit may stand beside a digit of any kind."""
     data, off = K.buffer(column)
-    _, _, h, woff = K.words(data, off, ws=GAPS)
+    s, e, h, woff = K.words(data, off, ws=GAPS)
     digit = np.isin(h, SPELLED_HASHES)
-    pair = np.flatnonzero(digit[1:] & digit[:-1])
+    first, last = (data[x] - np.uint8(48) < 10 for x in (s, e - 1))
+    pair = np.flatnonzero(digit[1:] & (digit[:-1] | last[:-1]) | digit[:-1] & first[1:])
     doc = np.searchsorted(woff, pair, "right") - 1
     out = np.zeros(len(off) - 1, bool)
     out[doc[pair + 1 < woff[doc + 1]]] = True
@@ -136,8 +144,10 @@ def spelled(column) -> np.ndarray:
 
 def suspicious(text: str) -> bool:
     """Whether a disguise other than spelled digits may be in the text."""
+    if "@" in text or BRACKETED.search(text) or not text.isascii() and (ODD.search(text) or FOLDED.search(text)):
+        return True
     low = text.lower()
-    return any(x in low for x in DISGUISES) or not text.isascii() and ODD.search(text) is not None
+    return "dot" in low and SPACED_DOT.search(text) is not None or "plus" in low and PLUS.search(text) is not None
 
 
 def plain_characters(text: str):
