@@ -4,8 +4,8 @@ The tokenizer's pattern never joins text across the end of a word that white spa
 follows, so a text is a sequence of independent spans: words (with the one space
 before them) and runs of white space. Each distinct span of a batch is given to the
 library's model once; texts are put together from the results by numpy. Texts with
-white space outside ASCII go through the library whole. Ids equal those of encoding
-each text whole (tests compare them); strings of special tokens are ordinary text.
+white space outside ASCII or the string of an added token (which is one id) go through
+the library whole. Ids equal those of encoding each text whole (tests compare them).
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ class Encoder:
         import public_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.table = dict(enumerate(byte_symbols()))
         self.joined_table = self.table | {0: "\0"}
@@ -114,7 +114,7 @@ class Encoder:
         count = (offset[1:] - offset[:-1])[slot]
         ids = pool[K.ragged(offset[slot], count)]
         upto = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(start, off)]
-        odd = _odd_space(data, off)
+        odd = sorted({*_odd_space(data, off), *_holding(raw, off, self.added)})
         if len(odd):
             parts = np.split(ids, upto[1:-1])
             for i in odd:
@@ -160,6 +160,18 @@ def _odd_space(data, off):
     return np.unique(np.searchsorted(off, np.flatnonzero(hit), "right") - 1).tolist()
 
 
+def _holding(raw: bytes, off, strings):
+    """Documents that hold one of the strings."""
+    for x in strings:
+        at = raw.find(x)
+        while at >= 0:
+            doc = int(np.searchsorted(off, at, "right")) - 1
+            inside = at + len(x) <= off[doc + 1]
+            if inside:
+                yield doc
+            at = raw.find(x, off[doc + 1] if inside else at + 1)
+
+
 def encoder(path: str) -> Encoder:
     """The process's encoder for a vocabulary: tasks of one worker share it and the spans it
     knows. It hangs on the library's module, as functions shipped by value have no lasting one."""
