@@ -31,7 +31,7 @@ CLASSES = ("space", "upper", "lower", "digit", "symbol", "other")
 @dataclass(frozen=True)
 class Params:
     common_words: int = 50        # words of a language's reference
-    max_languages: int = 64       # languages with a reference, most words first
+    max_languages: int = 64       # languages of the oracle's SQL only, most words first
     min_letters: int = 200        # character classes of shorter documents are not judged
     min_words: int = 50           # common words of documents with fewer letter words are not judged
     max_char_distance: float = 0.32
@@ -110,24 +110,23 @@ def _repeats(df: DataFrame, q: str) -> DataFrame:
 
 def references(docs: DataFrame, params: Params = Params()) -> dict:
     """{"chars": {lang: {class: share}}, "words": {lang: {word: share}}} over all documents
-    that have a lang. At most max_languages x (common_words + classes) figures reach the driver."""
+    that have a lang. Languages x (common_words + classes) figures reach the driver."""
     q = "_"
     known = docs.where("lang IS NOT NULL").select("lang", "text")
     chars = _counts(known, q).groupBy("lang").agg(
         *(F.sum(q + c).alias(c) for c in CLASSES), F.sum(F.size(q + "l")).alias("total"))
-    top = chars.where("total > 0").orderBy(F.desc("total"), "lang").limit(params.max_languages).collect()
-    langs = [r["lang"] for r in top]
-    if not langs:
+    top = chars.where("total > 0").orderBy(F.desc("total"), "lang").collect()
+    if not top:
         return {"chars": {}, "words": {}}
     share = lambda r: {c: r[c] / max(1, sum(r[x] for x in CLASSES)) for c in CLASSES}
     text = F.coalesce(F.col("text"), F.lit(""))
-    each = known.where(F.col("lang").isin(langs)).select(
+    each = known.select(
         "lang", F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counted = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     best = counted.withColumn("r", rank).where(F.col("r") <= params.common_words).collect()
     total = {r["lang"]: r["total"] for r in top}
-    words: dict = {x: {} for x in langs}
+    words: dict = {r["lang"]: {} for r in top}
     for r in sorted(best, key=lambda r: (r["lang"], r["r"])):
         words[r["lang"]][r["word"]] = r["n"] / total[r["lang"]]
     return {"chars": {r["lang"]: share(r) for r in top}, "words": words}
@@ -138,8 +137,18 @@ def _js_term(p, q):
     return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
 
 
-def _nearest(distances):
-    return F.least(*distances) if len(distances) > 1 else distances[0]
+def _char_table(refs: dict):
+    """One literal, an array with the class shares of each language, so that the plan does not
+    grow with their number."""
+    return F.expr("array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{c}', {float(shares[c])!r}D" for c in CLASSES) + ")" for shares in refs["chars"].values()) + ")")
+
+
+def _word_table(refs: dict):
+    """The same for the common words: the map of each language and its mass. Words are letters only."""
+    return F.expr("array(" + ", ".join(
+        "named_struct('share', map(" + ", ".join(f"'{w}', {float(v)!r}D" for w, v in shares.items())
+        + f"), 'mass', {float(sum(shares.values()))!r}D)" for shares in refs["words"].values()) + ")")
 
 
 def _with_share(table, q: str):
@@ -152,14 +161,14 @@ def divergence(docs: DataFrame, refs: dict, params: Params = Params(), q: str =
     df = _repeats(_counts(docs, q), q)
     total = sum((F.col(q + c) for c in CLASSES[1:]), F.col(q + CLASSES[0])).cast("double")
     if refs["chars"]:
-        near = []
-        for shares in refs["chars"].values():
+        def char_js(ref):
             js = F.lit(0.0)
             for c in CLASSES:
-                p, r = F.col(q + c) / total, F.lit(float(shares[c]))
+                p, r = F.col(q + c) / total, ref[c]
                 js = js + 0.5 * _js_term(p, r) + 0.5 * _js_term(r, p)
-            near.append(F.sqrt(F.greatest(js, F.lit(0.0))))
-        char = F.when(F.col(q + "n_letters") >= params.min_letters, _nearest(near))
+            return F.sqrt(F.greatest(js, F.lit(0.0)))
+
+        char = F.when(F.col(q + "n_letters") >= params.min_letters, F.array_min(F.transform(_char_table(refs), char_js)))
         common = sorted({x for d in refs["words"].values() for x in d})
         c, n = f"`{q}c`", f"size(`{q}l`)"
         df = df.withColumn(q + "c", F.sort_array(F.filter(q + "l", lambda x: x.isin(common))))
@@ -169,20 +178,21 @@ def divergence(docs: DataFrame, refs: dict, params: Params = Params(), q: str =
         s = f"`{q}s`"
         df = df.withColumn(q + "h", F.expr(
             f"transform({s}, (a, k) -> struct({c}[a] AS w, (CASE WHEN k = size({s}) - 1 THEN size({c}) ELSE {s}[k + 1] END - a) AS n))"))
-        near = []
-        for shares in refs["words"].values():
-            table = F.create_map(*(F.lit(v) for kv in shares.items() for v in (kv[0], float(kv[1]))))
-            mass = sum(shares.values())
-            found = F.filter(F.transform(q + "h", _with_share(table, q)), lambda x: x["r"].isNotNull())
+
+        def word_step(ref):
+            found = F.filter(F.transform(q + "h", _with_share(ref["share"], q)), lambda x: x["r"].isNotNull())
             step = F.aggregate(found, F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p")), lambda a, x: F.struct(
                 (a["js"] + x["p"] * F.log2(2 * x["p"] / (x["p"] + x["r"])) + x["r"] * F.log2(2 * x["r"] / (x["p"] + x["r"]))
                  - x["r"]).alias("js"), (a["p"] + x["p"]).alias("p")))
-            name = f"{q}a{len(near)}"
-            df = df.withColumn(name, step)
-            rest, left = F.greatest(1 - F.col(name)["p"], F.lit(0.0)), F.lit(max(0.0, 1 - mass))
-            js = 0.5 * (F.col(name)["js"] + F.lit(mass)) + 0.5 * _js_term(rest, left) + 0.5 * _js_term(left, rest)
-            near.append(F.sqrt(F.greatest(js, F.lit(0.0))))
-        word = F.when(F.size(q + "l") >= params.min_words, _nearest(near))
+            return F.struct(step.alias("a"), ref["mass"].alias("mass"))
+
+        def word_js(x):
+            rest, left = F.greatest(1 - x["a"]["p"], F.lit(0.0)), F.greatest(1 - x["mass"], F.lit(0.0))
+            js = 0.5 * (x["a"]["js"] + x["mass"]) + 0.5 * _js_term(rest, left) + 0.5 * _js_term(left, rest)
+            return F.sqrt(F.greatest(js, F.lit(0.0)))
+
+        df = df.withColumn(q + "a", F.transform(_word_table(refs), word_step))
+        word = F.when(F.size(q + "l") >= params.min_words, F.array_min(F.transform(q + "a", word_js)))
     else:
         char = word = F.lit(None).cast("double")
     df = df.withColumn(q + "char_distance", char).withColumn(q + "word_distance", word)
