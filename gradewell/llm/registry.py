@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradewell.llm import decontaminate, huffman, jaccard, langid, lm, packing, pii, quality, repeats, toxicity
+from gradewell.llm import clustering, collocations, decontaminate, huffman, jaccard, langid, lm, packing, pii, quality, repeats, toxicity, warc
 
 QUERIES = {
     "op1_noisy_or_toxicity": (toxicity.op1_noisy_or_toxicity, None),
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_deobfuscated_pii": (pii.op8_deobfuscated_pii, None),
     "op9_prefix_tree_join": (jaccard.op9_prefix_tree_join, None),
     "op10_elias_fano_lm": (lm.op10_elias_fano_lm, None),
+    "op11_bisector_tournament": (clustering.op11_bisector_tournament, clustering.oracle),
+    "op12_gzip_normaliser": (warc.op12_gzip_normaliser, warc.oracle),
+    "op13_stripes": (collocations.op13_stripes, collocations.oracle),
 }
 
 
