@@ -10,8 +10,8 @@ language that no longer phrase subsumes are given.
   merge elementwise. The empty prefix's stripe counts the words; its total is n.
 * Level by level: a phrase of ``least`` occurrences has parts of as many, so a stripe takes
   only words whose prefix and whose last m - 1 words may be frequent. A bitmap of hashes says so;
-  it has 16 bits a frequent phrase and ``FILTER_BITS`` (32 MB) at most, beyond which it lets
-  more through and the counts stay exact.
+  it has 16 bits a frequent phrase and 32 MB at most (``common.FILTER_BITS``), beyond which it
+  lets more through and the counts stay exact.
 * A stripe is dealt in ``SPREAD`` parts by the next word, so a prefix of a third of all
   words is no single task's; merging keeps one counter, not all stripes.
 * From a merged stripe come the extensions with their counts a; the prefix's own row adds the
@@ -40,12 +40,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewell.llm import kernels as K
-from gradewell.llm.common import documents, partitions, store
+from gradewell.llm.common import Bitmap, bitmap, documents, partitions, store
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 SPREAD = 16
 HELD = 1 << 21        # entries that a task merges before it sends them
-FILTER_BITS = 28
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[10, 11, 12, 13, *b".,;:!?"]] = True
 SPLIT = SEPARATOR.copy()
@@ -88,27 +87,6 @@ def _words(batches):
                                          ["lang", "word", "key", "n"])
 
 
-class Bitmap:
-    """Which keys may be frequent: their low bits, from rows (place >> 6, word of 64 bits)."""
-
-    def __init__(self, bits: int, at: np.ndarray, words: np.ndarray):
-        self.mask = np.uint64((1 << bits) - 1)
-        self.words = np.zeros(1 << (bits - 6), np.uint64)
-        self.words[at] = words
-
-    def __call__(self, key: np.ndarray) -> np.ndarray:
-        k = key & self.mask
-        return (self.words[k >> np.uint64(6)] >> (k & np.uint64(63))) & np.uint64(1) > 0
-
-
-def bitmap(keys: DataFrame, rows: int) -> Bitmap:
-    bits = min(FILTER_BITS, max(16, (16 * rows).bit_length()))
-    place = F.col("key").bitwiseAND((1 << bits) - 1)
-    got = (keys.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("b"))
-           .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
-    return Bitmap(bits, got["w"].to_numpy(), got["b"].to_numpy().view(np.uint64))
-
-
 def _merged(prefix, nxt, last, n):
     """Entries added up by (prefix, next), in that order."""
     order = np.lexsort((nxt, prefix))

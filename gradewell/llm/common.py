@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +39,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver's JVM collect, so that Spark's cleaner drops the shuffle files of plans
-    that nothing refers to any more (they would stay until the driver happens to collect). It
-    takes two turns: the first frees the plans, the second what only they referred to."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,6 +48,32 @@ def crc_mod(doc_id, k: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(k)
 
 
+FILTER_BITS = 28  # of the largest bitmap, 32 MB
+
+
+class Bitmap:
+    """Which 64-bit keys may be in a set, by their low bits, from rows (place of a word, word of 64 bits)."""
+
+    def __init__(self, bits: int, at: np.ndarray, words: np.ndarray):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.words = np.zeros(1 << (bits - 6), np.uint64)
+        self.words[at] = words
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        k = key & self.mask
+        return (self.words[k >> np.uint64(6)] >> (k & np.uint64(63))) & np.uint64(1) > 0
+
+
+def bitmap(keys: DataFrame, rows: int) -> Bitmap:
+    """A bitmap of the column "key" (well mixed longs) of ``rows`` rows: 16 bits a row and 32 MB at most; beyond
+    that it lets more through. It never leaves a key out."""
+    bits = min(FILTER_BITS, max(16, (16 * rows).bit_length()))
+    place = F.col("key").bitwiseAND((1 << bits) - 1)
+    got = (keys.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("b"))
+           .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
+    return Bitmap(bits, got["w"].to_numpy(), got["b"].to_numpy().view(np.uint64))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list as (node, component), component
     being the smallest node. Alternating large-star and small-star rounds; each round

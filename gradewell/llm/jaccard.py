@@ -12,23 +12,31 @@ words is one n-gram). Two documents link when 100 * |intersection| >= percent *
   carries that share only, and shared passages stand late.
 * Equal sets are one class by a 128-bit sum; one member stands for the class.
 * Two sets that link share a token among their first n - ceil(percent * n / 100) + 1.
-  Sets that share such a token meet in its group, where each component found so far
-  is a trie of ordered sets. A new set walks the tries; a walk counts the overlap
-  along the shared path once and leaves a subtree as soon as the remaining lengths
-  cannot reach the overlap that its smallest set would need, or when the pair also
-  meets under an earlier token. A trie is left at its first link, so a group of m
-  near copies costs about m walks and emits m - 1 links, not m^2.
+  Sets that share such a token meet in its group. There a screen goes first: every set has
+  the parities of its tokens' counts in a number of cells that follows its size. Cells whose
+  parities differ hold at least one token each that only one of two sets has, so pairs with more
+  such cells than their sizes allow can't link; the others do with few exceptions. Sets that are left
+  are parted by what the screen connects, and only these travel whole.
+* Each such part is a trie of ordered sets, kept as the sorted sets and their common
+  prefixes. One walk in order serves all sets of the part as queries: a run that sets share
+  is counted once, for all queries at a time, and a subtree loses those queries that the
+  remaining lengths keep from the overlap that its smallest set would need. Sets that already
+  hang together are not compared, so m near copies cost about m steps and emit m - 1 links.
 * Two rounds: the first joins the groups of each set's rarest shared token, which makes
-  most families one component. The second goes through all groups where components still
-  meet; there whole sets travel late: a group sees their first tokens alone at first, and only
-  sets whose overlap leaves room for a link with another component follow.
-* A token group of more than ``block`` sets is dealt into blocks by salt; every pair
-  of blocks meets, so no pair is lost and no task holds more than two blocks.
+  most families one component. The second goes through all groups where components still meet,
+  and screens out pairs of one component.
+* A token group of more than ``block`` sets is dealt into blocks by salt. The first round joins
+  within blocks; then one set of each component and block meets the others, again and
+  again until one block holds them. In the second round every pair of blocks meets where components
+  still differ, so no pair is lost. A part of more than ``WHOLE`` bytes is cut, and every
+  pair of its cuts meets; so a task holds two blocks of screens, or two cuts of sets, at a time.
 
 Defined cases: null, empty or blank text has the empty set, n_shingles 0 and its own
 doc_id as component; repeated rows give repeated result rows; rows that share a
-doc_id count as linked; a null doc_id gets its class's smallest id, or null; further
-columns are ignored. Chances of a wrong verdict by a 54-bit clash: about 2^-36 a pair.
+doc_id but not the set are linked by their own sets only; a null doc_id gets its class's
+smallest id, or null where no row of its class has one, and such rows keep only to their
+equals; further columns are ignored. Chances of a wrong verdict by a 54-bit clash: about
+2^-36 a pair.
 """
 
 from __future__ import annotations
@@ -39,9 +47,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.llm import kernels as K
-from gradewell.llm.common import components, cut, discard, documents, partitions, release, store
+from gradewell.llm.common import Bitmap, bitmap, components, cut, discard, documents, partitions, store
 
-BLOCK = 3000  # sets of one token that one task joins
+BLOCK = 8192       # sets of one token that one task screens
+WHOLE = 16 << 20   # bytes of whole sets in a cut of a part
+CELLS = 1 << 25    # of the table of queries and shared tokens that a walk holds
+LONGEST_SKETCH = 1 << 14
 
 
 COUNTED = 1.6
@@ -103,227 +114,309 @@ def _prefix_size(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def _apart(size, percent: int):
+    """Most tokens that are in one set only, of two that link and have ``size`` tokens together."""
+    return size - 2 * -(-percent * size // (100 + percent))
+
+
+def _cells(n: np.ndarray, percent: int) -> np.ndarray:
+    """Cells of a set's sketch: a power of two, eight times or more what an equally large set may differ by."""
+    want = np.maximum(16 * n * (100 - percent) // (100 + percent), 64)
+    return np.minimum(1 << np.ceil(np.log2(want)).astype(np.int64), LONGEST_SKETCH)
+
+
+def _sketches(val: np.ndarray, off: np.ndarray, percent: int) -> pa.Array:
+    """Parities of the tokens' counts in the cells of each set, as bits."""
+    size = np.diff(off)
+    cells = np.where(size > 0, _cells(size, percent), 0)
+    first = np.concatenate(([0], np.cumsum(cells)))
+    cell = (K.mix(val ^ K.ORDER[59]) & (np.repeat(cells, size) - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(np.repeat(first[:-1], size) + cell, minlength=int(first[-1])).astype(np.uint8) & 1
+    raw = np.packbits(odd, bitorder="little").tobytes()
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((first // 8).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _prefix_size(n, percent: int):
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _sums(val: np.ndarray, off: np.ndarray):
+    """A 128-bit sum of each set, as two numbers."""
+    for salt in (1, 2):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(val ^ K.ORDER[60 + salt]))))
+        yield (total[off[1:]] - total[off[:-1]]).view(np.int64)
+
+
 def _signatures(n: int, percent: int, below: int):
     def run(batches):
         limit = np.uint64(below)
         for b in K.slices(batches):
             val, off = _sets(b.column("text"), n)
             size = np.diff(off)
-            sums = []
-            for salt in (1, 2):
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(val ^ K.ORDER[60 + salt]))))
-                sums.append((total[off[1:]] - total[off[:-1]]).view(np.int64))
-            counted = np.concatenate(([0], np.cumsum(val < limit)))[off]
-            p = np.where(size > 0, np.maximum(_prefix_size(size, percent), np.diff(counted)), 0)
+            counted = np.diff(np.concatenate(([0], np.cumsum(val < limit)))[off])
+            p = np.where(size > 0, np.maximum(_prefix_size(size, percent), counted), 0)
             head = K.string_list(val[K.ragged(off[:-1], p)].view(np.int64), np.concatenate(([0], np.cumsum(p))), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), head],
-                                             ["doc_id", "n", "s1", "s2", "head"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(size.astype(np.int64)), *map(pa.array, _sums(val, off)),
+                                              pa.array(counted.astype(np.int64)), head, _sketches(val, off, percent)], HEADS)
     return run
 
 
+HEADS = ["doc_id", "t", "n", "s1", "s2", "counted", "head", "sketch"]
+
+
+def _maybe_shared(shared: Bitmap):
+    """(node, token, place among the first tokens) of those that may be shared."""
+    def run(batches):
+        for b in batches:
+            lists = b.column("head")
+            size = np.diff(lists.offsets.to_numpy())
+            token = lists.flatten().to_numpy()
+            ok = np.flatnonzero(shared(token.view(np.uint64)))
+            at = K.ragged(np.zeros(len(size), np.int64), size)[ok]
+            node = np.repeat(b.column("node").to_numpy(), size)[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(token[ok]), pa.array(at.astype(np.int32))], ["node", "token", "at"])
+    return run
+
+
+def _classes(val: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Tokens of counted hashes that m sets share."""
+    return ((1 + np.minimum(4 * np.log2(m), 60)).astype(np.uint64) << np.uint64(58)) | val
+
+
 def _tokens(val: np.ndarray, known, below: int) -> np.ndarray:
     """Tokens of hashes, in global order; known: (hash, count) of those that several sets share."""
-    cls = np.where(val < np.uint64(below), np.uint64(0), np.uint64(62))
+    out = np.where(val < np.uint64(below), val, val | np.uint64(62 << 58))
     if known:
         h, m = np.array([k["token"] for k in known], np.int64).view(np.uint64), np.array([k["m"] for k in known], np.float64)
         order = np.argsort(h)
         h, m = h[order], m[order]
         at = np.minimum(np.searchsorted(h, val), len(h) - 1)
-        hit = (h[at] == val) & (cls == 0)
-        cls[hit] = 1 + np.minimum(4 * np.log2(m[at[hit]]), 60).astype(np.uint64)
-    return np.sort((cls << np.uint64(58)) | val)
-
-
-def _prefix(n, head, known, percent: int, below: int) -> np.ndarray:
-    return _tokens(np.array(head, np.int64).view(np.uint64), known, below)[:_prefix_size(n, percent)]
+        hit = (h[at] == val) & (val < np.uint64(below))
+        out[hit] = _classes(val[hit], m[at[hit]])
+    return np.sort(out)
 
 
-def _places(percent: int, block: int, below: int, first: int | None):
-    """The groups of each set: its shared tokens, all or the ``first`` ones, among those that
-    count, and their blocks."""
+def _places(percent: int, block: int, below: int):
+    """The groups of each set, in the order of its tokens: the shared ones of its first tokens, each with
+    its number of blocks and the set's own."""
     def run(batches):
         for b in batches:
             rows = []
-            for rep, n, head, known in zip(*(b.column(k).to_pylist() for k in ("rep", "n", "head", "known"))):
-                prefix = _prefix(n, head, known, percent, below)
-                count, taken = {k["token"]: k["m"] for k in known}, 0
-                for t, h in zip(prefix.view(np.int64).tolist(), (prefix & HASH).view(np.int64).tolist()):
-                    c = -(-count.get(h, 0) // block)
-                    if not c:
-                        continue
-                    s = int(K.mix(np.array([rep ^ t], np.int64).view(np.uint64))[0] % np.uint64(c)) if c > 1 else 0
-                    rows += [(t, min(s, o) * c + max(s, o), rep) for o in range(c)]
-                    taken += 1
-                    if taken == first:
-                        break
-            yield _rows(rows, ["token", "block", "rep"])
+            for node, n, counted, known in zip(*(b.column(k).to_pylist() for k in ("node", "n", "counted", "known"))):
+                h = np.array([k["token"] for k in known], np.int64).view(np.uint64)
+                m = np.array([k["m"] for k in known], np.int64)
+                own = h < np.uint64(below)
+                first = np.sort(_classes(h[own], m[own].astype(np.float64)))
+                left = _prefix_size(n, percent) - (counted - len(first))  # unique ones come before
+                if left <= 0:
+                    continue
+                token = first[:left].view(np.int64).tolist()
+                token += sorted(k["token"] for k in known if k["token"] >= below and k["at"] < _prefix_size(n, percent))
+                count = {k["token"]: k["m"] for k in known}
+                for i, t in enumerate(token):
+                    blocks = -(-count[t & int(HASH)] // block)
+                    salt = int(K.mix(np.array([node ^ t], np.int64).view(np.uint64))[0] % np.uint64(blocks)) if blocks > 1 else 0
+                    rows.append((t, node, i, blocks, salt))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows)) or [()] * 5], PLACE)
     return run
 
 
-def _fronts(percent: int, below: int):
-    """The first tokens of each set that others share, once for every place."""
+PLACE = ["token", "node", "i", "blocks", "salt"]
+
+
+def _wanted_sets(n: int, percent: int, wanted: Bitmap):
+    """(doc_id, first sum, set) of the documents that may be wanted."""
     def run(batches):
         for b in batches:
-            rows = []
-            for rep, n, head, known, comp, places in zip(*(b.column(k).to_pylist() for k in ("rep", "n", "head", "known", "comp", "places"))):
-                prefix = _prefix(n, head, known, percent, below)
-                own = np.isin(prefix & HASH, np.array([k["token"] for k in known], np.int64).view(np.uint64))
-                shown = prefix[own].view(np.int64).tolist()
-                last = int(prefix[-1:].view(np.int64)[0])
-                rows += [(w["token"], w["block"], rep, n, comp, len(prefix), last, shown) for w in places]
-                if len(rows) > 2000:
-                    yield _rows(rows, FRONT)
-                    rows = []
-            yield _rows(rows, FRONT)
+            ids = b.column("doc_id").fill_null(0).to_numpy()
+            b = b.filter(pa.array(wanted(K.mix(ids.view(np.uint64)))))
+            for x in K.slices([b], 1 << 20):
+                val, off = _sets(x.column("text"), n)
+                first, _ = _sums(val, off)
+                raw = pa.BinaryArray.from_buffers(pa.binary(), x.num_rows, [None, pa.py_buffer((8 * off).astype(np.int32)), pa.py_buffer(val.tobytes())])
+                yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(first), raw], ["rep", "s1", "set"])
     return run
 
 
-FRONT = ["token", "block", "rep", "n", "comp", "p", "last", "prefix"]
+def _members(below: int):
+    """Each set in global order, once for every part it goes to."""
+    def run(batches):
+        for b in batches:
+            rows, held = [], 0
+            for node, raw, known, parts in zip(*(b.column(k).to_pylist() for k in ("node", "set", "known", "parts"))):
+                raw = _tokens(np.frombuffer(raw, np.uint64), known, below).tobytes()
+                for g in parts:
+                    rows.append((g, node, raw))
+                    held += len(raw)
+                    if held > 4 << 20:
+                        yield _named(rows)
+                        rows, held = [], 0
+            yield _named(rows)
+    return run
 
 
-def _rows(rows, names):
-    kinds = [pa.list_(pa.int64()) if k == "prefix" else pa.int64() for k in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(names), kinds)], names)
+def _named(rows):
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 3, kinds)], ["part", "node", "tokens"])
+
+
+def _folded(raw: bytes, cells: int) -> np.ndarray:
+    """A sketch as words, brought down to ``cells`` cells."""
+    w = np.frombuffer(raw, np.uint64)
+    while len(w) * 64 > cells:
+        w = w[:len(w) // 2] ^ w[len(w) // 2:]
+    return w
+
+
+def close_pairs(n: np.ndarray, sketches: list, percent: int):
+    """(i, j's) of sets, given in the order of their sizes, that their sketches let link; i < j."""
+    cells = _cells(n, percent)
+    for c in np.unique(cells):
+        a, b = np.searchsorted(cells, (c, c + 1))
+        top = int(np.searchsorted(n, 100 * n[b - 1] // percent, "right"))
+        words = np.stack([_folded(x, int(c)) for x in sketches[a:top]])
+        step = max(1, (1 << 21) // max(1, words[0].size * (top - a)))
+        for x in range(a, b, step):
+            y = min(x + step, b)
+            to = int(np.searchsorted(n, 100 * n[y - 1] // percent, "right"))
+            differ = np.bitwise_count(words[x - a:y - a, None] ^ words[None, x - a:to - a]).sum(axis=2, dtype=np.int64)
+            ok = differ <= _apart(n[x:y, None] + n[None, x:to], percent)
+            for i in range(x, y):
+                js = np.flatnonzero(ok[i - x, i - x + 1:]) + i + 1
+                if len(js):
+                    yield i, js
+
+
+def screened(n, sketches: list, comps, percent: int):
+    """Numbers of the sets that may link with one of another component, in lists of sets that may hang together."""
+    order = np.argsort(n, kind="stable")
+    n, comps, sketches = np.asarray(n, np.int64)[order], np.asarray(comps)[order], [sketches[i] for i in order]
+    label, hit = np.arange(len(n)), np.zeros(len(n), bool)
+    for i, js in close_pairs(n, sketches, percent):
+        js = js[comps[js] != comps[i]]
+        if len(js):
+            hit[i] = True
+            hit[js] = True
+            own = np.unique(label[js])
+            if len(own) > 1 or own[0] != label[i]:
+                own = np.append(own, label[i])
+                label[np.isin(label, own)] = own.min()
+    at = np.flatnonzero(hit)
+    at = at[np.argsort(label[at], kind="stable")]
+    for part in np.split(at, np.flatnonzero(np.diff(label[at])) + 1):
+        if len(part):
+            yield order[part]
 
 
-def _members(n: int, below: int):
-    """The set of each document, once for every token group it goes to."""
+def _screen(percent: int):
+    """(part, set) for the tries, from the rows of the groups in order."""
     def run(batches):
-        for b in K.slices(batches, 1 << 20):
-            val, off = _sets(b.column("text"), n)
+        for (t, block), (node, n, comp, sketch) in _groups(batches):
             rows = []
-            for i, (name, where, known) in enumerate(zip(*(b.column(k).to_pylist() for k in ("doc_id", "places", "known")))):
-                own = _tokens(val[off[i]:off[i + 1]], known, below)
-                if not len(own):
-                    continue
-                tok = np.array([w["token"] for w in where], np.int64).view(np.uint64)
-                at = np.minimum(np.searchsorted(own, tok), len(own) - 1)
-                raw = own.tobytes()
-                rows += [(w["token"], w["block"], name, raw) for w, ok in zip(where, own[at] == tok) if ok]
-            for k in range(0, len(rows), 500):
-                t, blk, i, s = zip(*rows[k:k + 500])
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(blk, pa.int64()), pa.array(i, pa.int64()),
-                                                  pa.array(s, pa.binary())], ["token", "block", "id", "tokens"])
+            for members in screened(n, sketch, comp, percent):
+                bytes_to = np.cumsum([8 * n[i] for i in members])
+                cut_of = bytes_to // WHOLE
+                last = int(cut_of[-1])
+                pairs = [(x, y) for x in range(last + 1) for y in range(x, last + 1) if last == 0 or x < y]
+                for x, y in pairs:
+                    seed = np.array([t, block, node[int(members[0])], x * (last + 1) + y], np.int64).view(np.uint64)
+                    part = int(K.mix(np.array([(K.mix(seed) * K.ORDER[:4]).sum()], np.uint64)).view(np.int64)[0])
+                    rows += [(part, node[i]) for i, c in zip(members, cut_of) if c in (x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows)) or [()] * 2], ["part", "node"])
     return run
 
 
-class _Node:
-    """A run of tokens, the sets that end after it, and the smallest and largest set below."""
-    __slots__ = ("run", "kids", "ends", "lo", "hi")
-
-    def __init__(self, run, size):
-        self.run, self.kids, self.ends, self.lo, self.hi = run, {}, [], size, size
-
-
-def _insert(root: _Node, tokens: np.ndarray, name, size: int) -> None:
-    """Add the ordered tokens, all or the first, of a set of ``size`` tokens."""
-    rest, node = tokens, root
-    while True:
-        node.lo, node.hi = min(node.lo, size), max(node.hi, size)
-        if not len(rest):
-            node.ends.append((name, size))
-            return
-        kid = node.kids.get(int(rest[0]))
-        if kid is None:
-            kid = node.kids[int(rest[0])] = _Node(rest, size)
-            kid.ends.append((name, size))
-            return
-        m = min(len(kid.run), len(rest))
-        same = kid.run[:m] == rest[:m]
-        common = m if same.all() else int(np.argmin(same))
-        if common < len(kid.run):
-            top = _Node(kid.run[:common], kid.lo)
-            top.hi = kid.hi
-            kid.run = kid.run[common:]
-            top.kids[int(kid.run[0])] = kid
-            node.kids[int(rest[0])] = top
-            kid = top
-        rest, node = rest[common:], kid
-
-
-def _first_link(root: _Node, x: np.ndarray, token: int, percent: int):
-    """A set in the trie that links with x and shares no token before ``token``, or None."""
-    nx, walk = len(x), [(root, 0, 0, 0)]
-    while walk:
-        node, depth, overlap, used = walk.pop()
-        run = node.run
-        if len(run):
-            at = np.searchsorted(x, run)
-            at_in = np.minimum(at, nx - 1)
-            hit = x[at_in] == run
-            if token and bool((hit & (run < token)).any()):
-                continue
-            overlap += int(hit.sum())
-            used = int(at[-1]) + int(hit[-1])
-            depth += len(run)
-        need = -(-percent * (nx + node.lo) // (100 + percent))
-        if overlap + min(node.hi - depth, nx - used) < need:
-            continue
-        for name, size in node.ends:
-            if 100 * overlap >= percent * (nx + size - overlap):
-                return name
-        walk.extend((kid, depth, overlap, used) for kid in node.kids.values())
-    return None
-
-
-def may_link(names, sizes, fronts, ends, comps, token: int, percent: int) -> list:
-    """Of the sets of one group, known by their sizes, the shared ones of their first tokens and
-    (number, last) of these, those that could link with a set of another component that they
-    first meet under ``token``.
-
-    Shared first tokens are counted through the group's own inverted lists. Of two sets
-    the one whose prefix ends first is known up to there, so what the prefixes share
-    and the rest of that set bound the overlap."""
-    n, m = np.asarray(sizes, np.int64), len(names)
-    p, last = (np.array(x, np.int64) for x in ends)
-    last, comps = last.view(np.uint64), np.asarray(comps)
-    tok = np.concatenate(fronts)
-    doc = np.repeat(np.arange(m), [len(x) for x in fronts])
-    order = np.argsort(tok, kind="stable")
-    tok, doc = tok[order], doc[order]
-    head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-    run = np.diff(np.append(head, len(tok)))
-    keys = tok[head]
-    at_token = np.uint64(token % 2**64)
-    out = []
-    for i, x in enumerate(fronts):
-        k = np.searchsorted(keys, x)
-        k = k[run[k] > 1]
-        early = int(np.searchsorted(keys[k], at_token))
-        met = np.bincount(doc[K.ragged(head[k[:early]], run[k[:early]])], minlength=m)
-        c = np.bincount(doc[K.ragged(head[k[early:]], run[k[early:]])], minlength=m)
-        bound = c + np.where(last[i] <= last, np.minimum(n[i] - p[i], n - c), np.minimum(n[i] - c, n - p))
-        ok = (comps != comps[i]) & (met == 0) & (c > 0) & (bound >= -(-percent * (n[i] + n) // (100 + percent)))
-        if ok.any():
-            out.append(names[i])
+def _branches(common: list[int]) -> list[list[int]]:
+    """Of sorted sets whose common prefixes with the one before are given: the depths, ascending,
+    beyond that prefix at which later sets leave each."""
+    out, stack = [[] for _ in common], []
+    for i in range(len(common) - 1, -1, -1):
+        while stack and stack[-1] > common[i]:
+            out[i].append(stack.pop())
+        out[i].reverse()
+        if not stack or stack[-1] < common[i]:
+            stack.append(common[i])
     return out
 
 
-def trie_links(names, sets, token: int, percent: int):
-    """Links (a, b) that join the sets of one group into its components."""
-    tries: list[tuple[_Node, list]] = []
-    token = np.uint64(token % 2**64)
-    for name, x in zip(names, sets):
-        found, rest = [], []
-        for t in tries:
-            other = _first_link(t[0], x, token, percent)
-            if other is None:
-                rest.append(t)
-            else:
-                found.append(t)
-                yield name, other
-        if found:
-            home, members = max(found, key=lambda t: len(t[1]))
-            for t in found:
-                if t[0] is not home:
-                    for n2, x2 in t[1]:
-                        _insert(home, x2, n2, len(x2))
-                    members += t[1]
+def trie_links(names, sets, percent: int, chunk: int = 64):
+    """Links (a, b) that join the sets of one part into its components."""
+    m = len(sets)
+    order = sorted(range(m), key=lambda i: sets[i].astype(">u8").tobytes())
+    names, sets = [names[i] for i in order], [sets[i] for i in order]
+    size = np.array([len(x) for x in sets])
+    token, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[at]
+    off = np.concatenate(([0], np.cumsum(size)))
+    columns = [column[a:b] for a, b in zip(off[:-1], off[1:])]
+    width = int((times > 1).sum())
+    common = [0] * m
+    for i in range(1, m):
+        k = min(size[i - 1], size[i])
+        same = sets[i - 1][:k] == sets[i][:k]
+        common[i] = int(k) if same.all() else int(np.argmin(same))
+    leaves = _branches(common)
+    low, high = _extremes(size, common, leaves)
+    comp = np.arange(m)
+    rows = max(1, CELLS // max(1, width))
+    for a in range(0, m, rows):  # queries a .. a + rows
+        own = np.arange(a, min(m, a + rows))
+        has = np.zeros((len(own), width), np.uint8)
+        for q in own:
+            c = columns[q]
+            has[q - a, c[c >= 0]] = 1
+        stack = [(0, own, np.zeros(len(own), np.int64))]  # (depth, queries alive, their overlaps)
+        for i in range(m):
+            while stack[-1][0] > common[i]:
+                stack.pop()
+            depth, alive, overlap = stack[-1]
+            later = (alive > i) & (comp[alive] != comp[i]) if not leaves[i] else alive > i
+            alive, overlap = alive[later], overlap[later]
+            for end, lo, hi in zip([*leaves[i], int(size[i])], low[i], high[i]):
+                if end == size[i]:
+                    later = comp[alive] != comp[i]
+                    alive, overlap = alive[later], overlap[later]
+                while depth < end and len(alive):
+                    to = min(depth + chunk, end)
+                    c = columns[i][depth:to]
+                    c = c[c >= 0]
+                    if len(c):
+                        overlap = overlap + has[alive[:, None] - a, c[None, :]].sum(axis=1, dtype=np.int64)
+                    depth = to
+                    need = -(-percent * (size[alive] + lo) // (100 + percent))
+                    ok = overlap + np.minimum(hi - depth, size[alive] - overlap) >= need
+                    alive, overlap = alive[ok], overlap[ok]
+                depth = end
+                if end < size[i]:
+                    stack.append((depth, alive, overlap))
+            link = alive[100 * overlap >= percent * (size[alive] + size[i] - overlap)]
+            for q in link:
+                if comp[q] != comp[i]:
+                    yield names[q], names[i]
+                    comp[comp == comp[q]] = comp[i]
+
+
+def _extremes(size: np.ndarray, common: list[int], leaves: list[list[int]]):
+    """Smallest and largest size of the sets below each depth of ``leaves`` and of each set itself."""
+    m = len(size)
+    low, high = [[int(s)] for s in size], [[int(s)] for s in size]
+    # from the right: of every depth at which a path is left, the sizes of what follows there
+    stack: list[list[int]] = []  # (depth, smallest, largest) of the runs to the right, deepest last
+    for i in range(m - 1, -1, -1):
+        lo = hi = int(size[i])
+        found = []
+        while stack and stack[-1][0] > common[i]:
+            depth, x, y = stack.pop()
+            lo, hi = min(lo, x), max(hi, y)
+            found.append((lo, hi))
+        found.reverse()
+        low[i] = [x for x, _ in found] + low[i]
+        high[i] = [y for _, y in found] + high[i]
+        if stack and stack[-1][0] == common[i]:
+            stack[-1][1:] = [min(lo, stack[-1][1]), max(hi, stack[-1][2])]
         else:
-            home, members = _Node(x[:0], len(x)), []
-        _insert(home, x, name, len(x))
-        members.append((name, x))
-        tries = [*rest, (home, members)]
+            stack.append([common[i], lo, hi])
+    return low, high
 
 
 def _groups(batches):
@@ -340,91 +433,138 @@ def _groups(batches):
         yield key, list(zip(*rows))
 
 
-def _screen(percent: int):
+def _join(percent: int):
     def run(batches):
-        for (t, blk), (ids, sizes, comps, p, last, fronts) in _groups(batches):
-            own = [np.array(x, np.int64).view(np.uint64) for x in fronts]
-            left = may_link(ids, sizes, own, (p, last), comps, t, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([t] * len(left), [blk] * len(left), left)], ["token", "block", "rep"])
+        part, names, sets = None, [], []
+        for b in batches:
+            out = []
+            for g, node, raw in zip(*(b.column(k).to_pylist() for k in ("part", "node", "tokens"))):
+                if g != part:
+                    out += trie_links(names, sets, percent) if len(sets) > 1 else []
+                    part, names, sets = g, [], []
+                names.append(node)
+                sets.append(np.frombuffer(raw, np.uint64))
+            yield _edges(out)
+        yield _edges(list(trie_links(names, sets, percent)) if len(sets) > 1 else [])
     return run
 
 
-def _join(percent: int):
+def _edges(found):
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+class Join:
+    """The links between the sets of a table ``nodes`` (node, rep, n, s1, counted, head, sketch) over ``docs``."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, percent: int, below: int, block: int):
+        self.spark, self.docs, self.nodes = docs.sparkSession, docs, nodes
+        self.n, self.percent, self.below, self.block = n, percent, below, block
+        shared = cut(nodes.select(F.explode("head").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+        may = bitmap(shared.select(F.col("token").alias("key")), shared.count())
+        known = nodes.select("node", "head").mapInArrow(_maybe_shared(may), "node long, token long, at int").join(shared, "token")
+        self.known = cut(known.groupBy("node").agg(F.collect_list(F.struct("token", "m", "at")).alias("known"))  # of one document
+                         .join(nodes.select("node", "rep", "s1", "n", "counted"), "node"))
+        self.places = cut(self.known.mapInArrow(_places(percent, block, below), "token long, node long, i long, blocks long, salt long"))
+
+    def _dealt(self, df: DataFrame, *key: str) -> DataFrame:
+        return df.repartition(partitions(self.spark), *key).sortWithinPartitions(*key, "node")
+
+    def within(self, groups: DataFrame) -> DataFrame:
+        """Links within groups of rows (token, block, node, comp), by screens and then by tries."""
+        rows = groups.join(self.nodes.select("node", "n", "sketch"), "node").select("token", "block", "node", "n", "comp", "sketch")
+        left = cut(self._dealt(rows, "token", "block").mapInArrow(_screen(self.percent), "part long, node long"))
+        wanted = left.groupBy("node").agg(F.collect_list("part").alias("parts")).join(self.known, "node")  # of one document
+        ids = left.select("node").distinct().join(self.known.select("node", "rep"), "node").select("rep").distinct()
+        may = bitmap(_mixed(ids), ids.count())
+        sets = (self.docs.mapInArrow(_wanted_sets(self.n, self.percent, may), "rep long, s1 long, set binary").dropDuplicates(["rep", "s1"])
+                .join(wanted, ["rep", "s1"]).mapInArrow(_members(self.below), "part long, node long, tokens binary"))
+        return cut(self._dealt(sets, "part").mapInArrow(_join(self.percent), "a long, b long"))
+
+    def components(self, edges: DataFrame) -> DataFrame:
+        return components(edges).select("node", F.col("component").alias("comp"))
+
+    def links(self) -> DataFrame:
+        """Links (a, b) between nodes that span all components."""
+        # First round: the rarest shared token of each set alone, within blocks.
+        few = self.places.where("i = 0").select("token", F.col("salt").alias("block"), "node", F.col("node").alias("comp"))
+        met = _mixed_groups(few)
+        found = self.within(few.join(met, ["token", "block"]))
+        # One set of each component and block stands for it, until one block holds them all.
+        several = self.places.where("i = 0 AND blocks > 1").select("token", "node").limit(1).count() > 0
+        while several:
+            comp = self.components(found)
+            own = few.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            heads = own.groupBy("token", "block", "comp").agg(F.min("node").alias("node")).groupBy("token", "comp").agg(F.min("node").alias("node"))
+            size = heads.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+            heads = cut(heads.join(size, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / self.block))))
+            more = self.within(heads.select("token", "block", "node", "comp"))
+            fresh = more.limit(1).count() > 0
+            several = fresh and heads.where(F.col("m") > self.block).limit(1).count() > 0
+            found = cut(found.unionAll(more))
+        # Second round: every place and pair of blocks, where sets of different components still meet.
+        comp = self.components(found)
+        every = cut(self.places.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("i"))
+        mixed = every.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        one = every.join(mixed, "token")
+        pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+                                      lambda o: F.least("salt", o) * F.col("blocks") + F.greatest("salt", o)))
+        rows = one.select("token", pairs.alias("block"), "node", "comp")
+        rows = rows.join(_mixed_groups(rows), ["token", "block"])
+        return found.unionAll(self.within(rows))
+
+
+def _mixed(ids: DataFrame) -> DataFrame:
+    """Keys of a bitmap from document ids."""
     def run(batches):
-        for (t, _), (ids, sets) in _groups(batches):
-            found = list(trie_links(ids, [np.frombuffer(x, np.uint64) for x in sets], t, percent))
-            a, b = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-    return run
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(K.mix(b.column("rep").to_numpy().view(np.uint64)).view(np.int64))], ["key"])
+    return ids.mapInArrow(run, "key long")
 
 
-def links(docs: DataFrame, reps: DataFrame, n: int, percent: int, below: int, block: int = BLOCK, heads: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) between class representatives (rep, n, head) that span all components.
-    heads: the stored table that ``reps`` reads, deleted once it is not needed any more."""
-    spark = docs.sparkSession
-    post = reps.select("rep", F.explode("head").alias("token"))
-    shared = cut(post.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    release(spark)
-    known = cut(post.join(shared, "token").groupBy("rep").agg(F.collect_list(F.struct("token", "m")).alias("known")))  # of one document
-    release(spark)
-    key, group = ["token", "block"], "token long, block long"
-    mine = cut(reps.join(known, "rep"))
-    if heads is not None:
-        discard(heads)
-    release(spark)
-
-    def dealt(df, last):
-        return df.repartition(partitions(spark), *key).sortWithinPartitions(*key, last)
-
-    def joined(places):
-        """Links within the groups of (token, block, rep), by tries of the whole sets."""
-        wanted = places.groupBy("rep").agg(F.collect_list(F.struct(*key)).alias("places")).join(known, "rep")  # of one document
-        sets = (docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "places", "known")
-                .mapInArrow(_members(n, below), group + ", id long, tokens binary"))
-        out = cut(dealt(sets, "id").mapInArrow(_join(percent), "a long, b long"))
-        release(spark)
-        return out
-
-    # First round: the rarest shared token of each set alone; most families become one component.
-    few = mine.mapInArrow(_places(percent, block, below, 1), group + ", rep long")
-    met = few.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    early = joined(few.join(met, key))
-    comp = components(early)
-    # Second round: every place, where sets of different components still meet.
-    every = cut(mine.mapInArrow(_places(percent, block, below, None), group + ", rep long")
-                .join(comp, F.col("rep") == F.col("node"), "left").select(*key, "rep", F.coalesce("component", "rep").alias("comp")))
-    mixed = every.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*key)
-    left = every.join(mixed, key).groupBy("rep", "comp").agg(F.collect_list(F.struct(*key)).alias("places"))
-    fronts = mine.join(left, "rep").mapInArrow(_fronts(percent, below), ", ".join(f"{k} {'array<long>' if k == 'prefix' else 'long'}" for k in FRONT))
-    screened = cut(dealt(fronts, "rep").mapInArrow(_screen(percent), group + ", rep long"))
-    release(spark)
-    return early.unionAll(joined(screened))
+def _mixed_groups(rows: DataFrame) -> DataFrame:
+    """Groups that hold several components."""
+    return (rows.groupBy("token", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "block"))
 
 
-def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _classified(docs: DataFrame, n: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, t (hash of the text), n, class (null for the empty set), component (its least
+    class), component_id (its least doc_id) and whether the class is the one of its component that stays."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     below = front(docs, n, percent)
-    heads = store(docs.mapInArrow(_signatures(n, percent, below), "doc_id long, n long, s1 long, s2 long, head array<long>"), "sets")
-    base = store(heads.drop("head"), "signatures")
+    heads = store(docs.mapInArrow(_signatures(n, percent, below), "doc_id long, t long, n long, s1 long, s2 long, counted long, head array<long>, sketch binary"), "sets")
+    base = store(heads.select("doc_id", "t", "n", "s1", "s2"), "signatures")
     key = ["n", "s1", "s2"]
-    reps = (heads.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
-            .where("rep IS NOT NULL").select("rep", "n", "head"))
-    found = components(links(docs, reps, n, percent, below, block, heads))
-    named = (base.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-             .join(found, F.col("rep") == F.col("node"), "left")
-             .select(*key, F.coalesce("component", "rep").alias("component")))
+    nodes = store(heads.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(
+        F.min("doc_id").alias("rep"), F.first("counted").alias("counted"), F.first("head").alias("head"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    discard(heads)
+    join = Join(docs.select("doc_id", "text"), nodes, n, percent, below, block)
+    found = components(join.links())
+    named = (nodes.select(*key, "node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = named.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("least"))
+    named = named.join(least, "component").select(*key, F.col("least.rep").alias("component_id"), (F.col("node") == F.col("least.node")).alias("stays"))
     return (base.join(named, key, "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")))
+            .select("doc_id", "t", "n", *key[1:], F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "stays"))
+
+
+def classes(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    return _classified(docs, n, percent, block).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their class; of repeated rows one
-    stays. Rows without a doc_id stay."""
-    stay = classes(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
+    """Of each component the first row of ``docs``, by doc_id and then by set and text; of repeated rows
+    one stays. Rows without words and rows without a doc_id stay."""
+    found = _classified(docs, n, percent).where("doc_id IS NOT NULL")
+    blank = found.where("n = 0").select("doc_id", "t")
+    first = found.where("stays AND doc_id = component_id").groupBy("doc_id", "s1", "s2").agg(F.min("t").alias("t")).select("doc_id", "t")
+    stay = first.unionAll(blank).distinct().select(F.col("doc_id").alias("_stay_id"), F.col("t").alias("_stay_text"))
+    own = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), own.alias("own"))
+    kept = (rows.join(stay, (F.col("own.id") == F.col("_stay_id")) & (F.col("own.t") == F.col("_stay_text")), "left_semi")
+            .dropDuplicates(["own"]).select("row.*"))
+    return kept.unionAll(docs.where("doc_id IS NULL"))
 
 
 def op9_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:

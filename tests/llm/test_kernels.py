@@ -114,7 +114,7 @@ def test_trie_links_find_all_components():
             for _ in range(4):
                 keep = rng.random(len(base)) > rng.choice([0.0, 0.05, 0.15])
                 sets.append(np.unique(np.concatenate(([np.uint64(0)], base[keep], rng.integers(0, 10**6, 2, dtype=np.uint64)))))
-        links = {(a, b) for a, b in jaccard.trie_links(range(len(sets)), sets, 0, percent)}
+        links = {(a, b) for a, b in jaccard.trie_links(range(len(sets)), sets, percent)}
         parent = list(range(len(sets)))
 
         def root(x, parent=parent):
@@ -125,14 +125,14 @@ def test_trie_links_find_all_components():
         for a, b in links:
             parent[root(a)] = root(b)
         comp[1] = [root(i) for i in range(len(sets))]
-        front = [s[:jaccard._prefix_size(len(s), percent)] for s in sets]
-        ends = [len(x) for x in front], [int(x[-1]) for x in front]
-        may = set(jaccard.may_link(range(len(sets)), [len(s) for s in sets], front, ends, range(len(sets)), 0, percent))
+        off = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+        sketches = jaccard._sketches(np.concatenate(sets), off, percent).to_pylist()
+        parts = [set(p.tolist()) for p in jaccard.screened([len(s) for s in sets], sketches, range(len(sets)), percent)]
         for a in range(len(sets)):
             for b in range(a):
                 i = len(np.intersect1d(sets[a], sets[b]))
                 if 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
-                    assert comp[1][a] == comp[1][b] and {a, b} <= may
+                    assert comp[1][a] == comp[1][b] and any({a, b} <= p for p in parts)
         for a, b in links:
             i = len(np.intersect1d(sets[a], sets[b]))
             assert 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i)

@@ -228,3 +228,70 @@ def test_stages(spark, edge, empty, tmp_path):
 def test_registry():
     names = [*registry.queries()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+
+
+def brute_components(texts, n, percent):
+    """Smallest id that each text reaches, texts being {id: text}."""
+    sets = {}
+    for i, t in texts.items():
+        w = words(t)
+        sets[i] = frozenset(tuple(w[k:k + n]) for k in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else frozenset())
+    parent = {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    inverted = {}
+    for i, s in sets.items():
+        for g in s:
+            inverted.setdefault(g, []).append(i)
+    for i, s in sets.items():
+        common = {}
+        for g in s:
+            for j in inverted[g]:
+                common[j] = common.get(j, 0) + 1
+        for j, c in common.items():
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in texts}
+
+
+def family_texts(seed, families, members):
+    """Families of copies, each with a few words changed, a passage that all share, and lone texts."""
+    import random
+    r = random.Random(seed)
+    passage = prose(99, 15)
+    out = []
+    for f in range(families):
+        base = prose(1000 + f, r.randint(30, 120)).split() + passage.split()
+        for _ in range(members if f else 6 * members):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, 3, 5])):
+                w[r.randrange(len(w))] = r.choice(["changed", "other", f"w{r.random()}"])
+            out.append(" ".join(w))
+    out += [prose(5000 + i, 80) + " " + passage for i in range(200)] + ["one two", "one two", "", "x"] * 3
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("n,percent,block,whole", [(3, 90, 8192, 1 << 24), (3, 90, 17, 9000), (5, 80, 40, 1 << 24), (2, 50, 60, 20000)])
+def test_join_equals_brute_force(spark, monkeypatch, n, percent, block, whole):
+    monkeypatch.setattr(jaccard, "WHOLE", whole)
+    texts = dict(enumerate(family_texts(n * percent, 36, 40)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in jaccard.classes(df, n, percent, block).collect()}
+    assert got == brute_components(texts, n, percent)
+
+
+def test_rows_that_share_an_id(spark):
+    t, u, v = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, t, 1), (5, t, 1), (5, u, 2), (5, u, 2), (6, v, 3), (6, v + " more", 4), (None, u, 5), (7, "", 6), (7, None, 7), (7, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t long")
+    kept = sorted(((r.doc_id, r.text, r.t) for r in jaccard.keep_one(df, 5, 80).collect()), key=str)
+    first = min(((6, v, 3), (6, v + " more", 4)), key=lambda r: [x for x in kept if x[1] == r[1]] == [])
+    assert kept == sorted([(1, t, 1), (5, u, 2), first, (None, u, 5), (7, "", 6), (7, None, 7)], key=str)
+    by = sorted((r.doc_id, r.component_id) for r in jaccard.classes(df, 5, 80).collect() if r.doc_id == 5)
+    assert by == [(5, 1), (5, 5), (5, 5)]
