@@ -3,9 +3,9 @@
 File format, one block after another (Parquet is only the container, so that any
 store Spark reads will do): a block holds whole documents in ascending doc_id order,
 
-    magic "GWHF", version u16, interval u16, documents u32, tokens u64, checkpoints u32
+    magic "GWHF", version u16 (2), interval u16, documents u32, tokens u64, checkpoints u32
     tokens of each document, u32 each
-    bit offset of every interval-th token, u32 each
+    bit offset of every interval-th token, u64 each
     code bits, padded by 4 bytes
 
 with little-endian numbers. Block -1 holds the code length of each id, one byte each;
@@ -13,14 +13,15 @@ a canonical code needs no more. Every block decodes alone, and within a block ev
 checkpoint: a decoder runs all checkpoints of a block side by side, one table look-up
 a token.
 
-Job: rows are range-partitioned and sorted by doc_id, tokenised once and kept as
+Job: rows are range-partitioned and sorted by doc_id (equal ids by a hash of the text, so that
+many rows of one id are several ranges), tokenised once and kept as
 blocks of ids in the shared folder; ids are counted (at most the vocabulary reaches
 the driver), code lengths come from package-merge, blocks are coded and written, and
 read back for the result.
 
 Defined cases: null or empty text is the end id alone; no rows give no blocks and no
-result; repeated rows and rows that share a doc_id follow each other by text, nulls
-first; a null doc_id sorts first; a text of any length stays in one block; further
+result; repeated rows and rows that share a doc_id follow each other by a hash of the
+text; a null doc_id sorts first; a text of any length stays in one block; further
 columns are ignored.
 """
 
@@ -38,7 +39,7 @@ from gradewell.llm.common import documents, partitions, store
 
 LONGEST = 18          # bits of the longest code
 INTERVAL = 256        # tokens from checkpoint to checkpoint
-BLOCK_TOKENS = 1 << 17
+BLOCK_TOKENS = 1 << 19
 HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("interval", "<u2"), ("docs", "<u4"), ("tokens", "<u8"), ("points", "<u4")])
 
 
@@ -90,15 +91,15 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def decode_table(lengths: np.ndarray):
-    """(id, code length) of every window of the longest code's bits, and that length."""
+    """(id << 5 | code length of every window of the longest code's bits, and that length)."""
     top = int(lengths.max()) if len(lengths) else 0
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     span = np.left_shift(np.int64(1), top - lengths[order].astype(np.int64))
-    ids, size = np.zeros(1 << top, np.uint32), np.ones(1 << top, np.uint8)
+    entry = np.ones(1 << top, np.uint32)
     used = int(span.sum())
-    ids[:used], size[:used] = np.repeat(order, span), np.repeat(lengths[order], span)
-    return ids, size, top
+    entry[:used] = np.repeat((order << 5) | lengths[order], span)
+    return entry, top
 
 
 def encode_block(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
@@ -107,40 +108,47 @@ def encode_block(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, codes:
     if len(ids) and not ln.min():
         raise ValueError("an id has no code")
     end = np.cumsum(ln)
+    start = end - ln
     total = int(end[-1]) if len(ids) else 0
-    if total >= 1 << 32:
-        raise ValueError("a block is limited to 2^32 bits")
-    bits = []
-    for a in range(0, len(ids), 1 << 18):  # bits as bytes, some tokens at a time
-        n = ln[a:a + (1 << 18)]
-        left = np.repeat(np.cumsum(n), n) - np.arange(int(n.sum())) - 1
-        bits.append(((np.repeat(codes[ids[a:a + (1 << 18)]], n) >> left.astype(np.uint32)) & 1).astype(np.uint8))
-    points = (end - ln)[::INTERVAL].astype("<u4")
-    head = np.array([(b"GWHF", 1, INTERVAL, len(docs), len(ids), len(points))], HEAD)
-    payload = np.packbits(np.concatenate(bits)).tobytes() if bits else b""
-    return b"".join((head.tobytes(), docs.astype("<u4").tobytes(), points.tobytes(), payload, bytes(4)))
+    head = np.array([(b"GWHF", 2, INTERVAL, len(docs), len(ids), len(range(0, len(ids), INTERVAL)))], HEAD)
+    return b"".join((head.tobytes(), docs.astype("<u4").tobytes(), start[::INTERVAL].astype("<u8").tobytes(),
+                     packed(codes[ids].astype(np.uint64), start, ln)[:(total + 7) // 8], bytes(4)))
+
+
+def packed(codes: np.ndarray, start: np.ndarray, ln: np.ndarray) -> bytes:
+    """Codes that follow each other without gaps, as bits in words of 64."""
+    if not len(codes):
+        return b""
+    word = start >> 6
+    room = 64 - (start & 63) - ln  # bits left of the code's word; negative: that many belong to the next
+    head = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))  # a word has a code's start, as no code fills one
+    over = np.flatnonzero(room < 0)
+    own = codes << np.maximum(room, 0).astype(np.uint64)
+    own[over] = codes[over] >> (-room[over]).astype(np.uint64)
+    words = np.append(np.add.reduceat(own, head), np.uint64(0))
+    words[word[over] + 1] |= codes[over] << (64 + room[over]).astype(np.uint64)
+    return words.astype(">u8").tobytes()
 
 
 def decode_block(raw: bytes, table) -> tuple[np.ndarray, np.ndarray]:
     """(ids, tokens of each document) of a block."""
     head = np.frombuffer(raw, HEAD, 1)[0]
-    if head["magic"] != b"GWHF" or head["version"] != 1:
+    if head["magic"] != b"GWHF" or head["version"] != 2:
         raise ValueError("not a block of this format")
     at, n, step = HEAD.itemsize, int(head["tokens"]), int(head["interval"])
     docs = np.frombuffer(raw, "<u4", int(head["docs"]), at)
-    pos = np.frombuffer(raw, "<u4", int(head["points"]), at + 4 * len(docs)).astype(np.int64)
-    data = np.frombuffer(raw, np.uint8, offset=at + 4 * len(docs) + 4 * len(pos))
-    ids, size, top = table
+    pos = np.frombuffer(raw, "<u8", int(head["points"]), at + 4 * len(docs)).astype(np.int64)
+    data = np.frombuffer(raw, np.uint8, offset=at + 4 * len(docs) + 8 * len(pos)).astype(np.uint32)
+    entry, top = table
+    window = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]  # the 32 bits from each byte on
     out = np.zeros((step, len(pos)), np.uint32)
-    mask, last = (1 << top) - 1, len(data) - 4
+    mask, last, shift = np.uint32((1 << top) - 1), len(window) - 1, 32 - top
     for k in range(min(step, n)):
-        b = np.minimum(pos >> 3, last)
-        w = ((data[b].astype(np.int64) << 24) | (data[b + 1].astype(np.int64) << 16)
-             | (data[b + 2].astype(np.int64) << 8) | data[b + 3])
-        w = (w >> (32 - top - (pos & 7))) & mask
-        out[k] = ids[w]
-        pos += size[w]
-    return out.T.reshape(-1)[:n], docs
+        w = window[np.minimum(pos >> 3, last)] >> (shift - (pos & 7)).astype(np.uint32)
+        found = entry[w & mask]
+        out[k] = found
+        pos += found & 31
+    return (out.T.reshape(-1)[:n] >> 5), docs
 
 
 def _tokenise(path: str, block_tokens: int):
@@ -212,8 +220,9 @@ def write(docs: DataFrame, path: str | None = None, block_tokens: int = BLOCK_TO
     """Write ``docs`` in the file format; returns the written blocks (part, at, doc_ids, block).
     A block's place: its partition in doc_id order, and the ids of that partition before it."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    key = ["doc_id", "h", "row"]
+    rows = rows.repartitionByRange(partitions(spark), *key).sortWithinPartitions(*key).select("doc_id", "text")
     ids = store(rows.mapInArrow(_tokenise(path or T.default_path(), block_tokens),
                                 "part long, at long, doc_ids array<long>, docs binary, ids binary, n long"), "ids")
     found = ids.select("ids", "n").mapInArrow(_count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect()

@@ -18,6 +18,7 @@ from gradewell.llm import kernels as K
 
 BATCH = 6 << 20
 KNOWN = 800_000  # distinct spans remembered between batches
+WORDS = 150_000  # of their parts
 
 
 def byte_symbols() -> list[str]:
@@ -44,11 +45,12 @@ class Encoder:
         import public_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.table = dict(enumerate(byte_symbols()))
         self.joined_table = self.table | {0: "\0"}
-        self.signs: dict[str, tuple] = {}
+        self.words: dict[str, tuple] = {}  # ids of parts that several spans may have
         self._clear()
 
     def _clear(self):
@@ -59,27 +61,30 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _model(self, symbols: str) -> tuple:
-        return tuple(t.id for t in self.tokenizer.model.tokenize(symbols))
+        return tuple([t.id for t in self.tokenize(symbols)])
+
+    def _part(self, symbols: str) -> tuple:
+        found = self.words.get(symbols)
+        if found is None:
+            if len(self.words) > WORDS:
+                self.words.clear()
+            found = self.words[symbols] = self._model(symbols)
+        return found
 
     def _span(self, text: str, symbols: str) -> tuple:
         """Ids of one span; ``symbols`` is its byte-level form."""
         if text.isalpha() or text[0] == " " and text[1:].isalpha():
             if text.isascii() or max(text) <= "ɏ":
-                return self._model(symbols)
+                return self._part(symbols)
         elif text[-1] in ",.;:!?" and text[:-1].lstrip(" ").isalpha() and text.isascii():
-            return self._model(symbols[:-1]) + self._sign(symbols[-1])
+            return self._part(symbols[:-1]) + self._part(symbols[-1])
         if not text.isascii() and max(text) > "ɏ":
             return tuple(self.whole(text))
         ids: tuple = ()
         for piece in self.pieces(text):
-            ids += self._model(piece.encode().decode("latin-1").translate(self.table))
+            ids += self._part(piece.encode().decode("latin-1").translate(self.table))
         return ids
 
-    def _sign(self, sign: str) -> tuple:
-        if sign not in self.signs:
-            self.signs[sign] = self._model(sign)
-        return self.signs[sign]
-
     def _new(self, raw: list[bytes]) -> None:
         """Add spans to what is known, in order."""
         joined = b"\0".join(raw)
