@@ -24,8 +24,9 @@ A byte is removed if a string of ``length`` bytes that covers it also starts ear
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all; repeated rows
 (same doc_id and text) count as one document and get one result row each; rows that
-share a doc_id but not the text take each other's spans; a null doc_id comes before all
-others; further columns are ignored. Hash clashes only add work: repeats are compared
+share a doc_id but not the text are documents of their own, in the order of a hash of the
+text; a null doc_id comes before all others; a text of any length is worked on in blocks;
+further columns are ignored. Hash clashes only add work: repeats are compared
 byte by byte.
 """
 
@@ -39,10 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.llm import kernels as K
-from gradewell.llm.common import documents, partitions
+from gradewell.llm.common import documents, partitions, store
 
 LENGTH, GRAM = 100, 24
-FIRST = -(1 << 63)
+STARTS = 1 << 18   # window starts that are worked on at once
+RECORDS = 20_000   # records that are held at once
 INVERSE = pow(int(K.BASE), -1, 1 << 64)
 
 
@@ -90,7 +92,14 @@ def window_least(h: np.ndarray, w: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
     """(hash, document, place, first start, last start, prints of the right and left context,
-    0 for none) of the anchors; places in ``data``."""
+    0 for none) of the anchors; places in ``data``. Windows go by blocks of starts, so that the
+    temporaries are those of a block; an anchor of windows in two blocks comes twice, each time
+    with its own."""
+    found = [_anchors(data[x:x + STARTS + length - 1], x, off, length, gram) for x in range(0, max(1, len(data) - length + 1), STARTS)]
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _anchors(data: np.ndarray, base: int, off: np.ndarray, length: int, gram: int):
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.astype(np.uint64), none, none, none, none, none, none
@@ -98,8 +107,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
     h = spans.grams(gram)
     at = window_least(h, length - gram + 1)
     start = np.arange(len(at))
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[:len(at)]
-    ok = start + length <= off[doc + 1]
+    doc = np.searchsorted(off, start + base, "right") - 1
+    ok = start + base + length <= off[doc + 1]
     start, at, doc = start[ok], at[ok], doc[ok]
     head = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))) if len(at) else none
     last = np.append(head[1:], len(at))[:len(head)] - 1
@@ -110,7 +119,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
         v = np.zeros(len(at), np.int64)
         v[ok] = 1 + (spans.of(a[ok], b[ok]) % np.uint64(65535)).astype(np.int64)
         prints.append(v)
-    return h[at], doc, at, s1, s2, *prints
+    return h[at], doc, at + base, s1 + base, s2 + base, *prints
 
 
 ASKS, TOLD, SENT = 0, 1, 2  # not repeated here; stands for those sent; known to be repeated
@@ -185,26 +194,28 @@ def _records(length: int, gram: int):
             wanted = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
             go = np.flatnonzero(np.isin((doc << 40) | (at - off[doc]), (owner << 40) | wanted))
-            found: dict = {}
-            spans = set()
-            base = off[doc[go]]
-            for a, d, p, x, y in zip(h[go].view(np.int64).tolist(), names[doc[go]].tolist(), (at[go] - base).tolist(),
-                                     zip(s1[go].tolist(), (s2[go] + length).tolist()), at[go].tolist()):
-                key = (a, raw[y:x[1]], raw[x[0]:y])
-                old = found.get(key)
-                if old is None:
-                    found[key] = (d, p)
-                elif old != (d, p):
-                    late = max(old, (d, p))
-                    found[key] = min(old, (d, p))
-                    spans.add((late[0], late[1] - (y - x[0]), late[1] + x[1] - y))
-            rows = [(a, s, x, d, at) for (a, s, x), (d, at) in found.items()]
-            rows += [(e, b"", b"", d, s) for d, s, e in spans]
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], ["a", "suffix", "left", "d", "at"])
+            for piece in range(0, len(go), RECORDS):
+                yield _distinct(raw, *(x[go[piece:piece + RECORDS]] for x in (h.view(np.int64), names[doc], at, off[doc], s1, s2 + length)))
     return run
 
 
+def _distinct(raw: bytes, anchor, name, at, base, first, end) -> pa.RecordBatch:
+    """Records of anchors, equal ones once; the later ones are spans already."""
+    found: dict = {}
+    spans = set()
+    for a, d, y, o, x, z in zip(*(c.tolist() for c in (anchor, name, at, base, first, end))):
+        key, own = (a, raw[y:z], raw[x:y]), (d, y - o)
+        old = found.setdefault(key, own)
+        if old != own:
+            late = max(old, own)
+            found[key] = min(old, own)
+            spans.add((late[0], late[1] - (y - x), late[1] + z - y))
+    rows = [(a, s, x, d, p) for (a, s, x), (d, p) in found.items()]
+    rows += [(e, b"", b"", d, s) for d, s, e in spans]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], ["a", "suffix", "left", "d", "at"])
+
+
 def common(x: bytes, y: bytes) -> int:
     """Length of the common prefix."""
     n = min(len(x), len(y))
@@ -332,7 +343,8 @@ def _cut(batches):
 
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Spans to remove as (d, start << BITS | length), in bytes; docs: (d, text) with d the id, nulls as the least number."""
+    """Spans to remove as (d, start << BITS | length), in bytes; docs: (d, text) with d the document's
+    number, in the order of the documents."""
     n = partitions(docs.sparkSession)
     rows = docs.select("d", "text").mapInArrow(_anchor_rows(length, gram), "a long, d long, at long, kind long")
     salt = F.when(F.col("kind").bitwiseAND(3) == SENT, F.col("d")).otherwise(F.lit(0))
@@ -344,12 +356,24 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     return records.repartition(n, "a", spread).sortWithinPartitions("a", "suffix").mapInArrow(_spans(length), "d long, span long")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a number d of each document, in the order of the ids. Ids that are unique are
+    their own numbers; else rows are numbered by (doc_id, hash of the text), nulls first."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = own.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        return own.withColumn("d", F.col("doc_id"))
+    own = own.withColumn("id", F.struct(F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h")))
+    order = store(own.select("id").distinct().repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id")
+                  .select("id", F.monotonically_increasing_id().alias("d")), "numbers")
+    return own.join(order, "id").select("doc_id", "text", "d")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("d"), "text")
-    spans = repeat_spans(own, length, gram).groupBy("d").agg(F.collect_list("span").alias("spans"))
-    doc_id = F.when(F.col("d") != FIRST, F.col("d")).alias("doc_id")
-    return own.join(spans, "d", "left").select(doc_id, "text", "spans").mapInArrow(  # the texts' exchange serves both joins
+    own = numbered(docs)
+    spans = repeat_spans(own.select("d", "text"), length, gram).groupBy("d").agg(F.collect_list("span").alias("spans"))
+    return own.join(spans, "d", "left").select("doc_id", "text", "spans").mapInArrow(  # the texts' exchange serves both joins
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

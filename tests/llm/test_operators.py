@@ -295,3 +295,35 @@ def test_rows_that_share_an_id(spark):
     assert kept == sorted([(1, t, 1), (5, u, 2), first, (None, u, 5), (7, "", 6), (7, None, 7)], key=str)
     by = sorted((r.doc_id, r.component_id) for r in jaccard.classes(df, 5, 80).collect() if r.doc_id == 5)
     assert by == [(5, 1), (5, 5), (5, 5)]
+
+
+def brute_repeats(rows, length=100):
+    """(doc_id, kept bytes) of (doc_id, text), documents in the given order; repeated rows are one document."""
+    seen, out = set(), []
+    for i, t in dict.fromkeys((i, t or "") for i, t in rows):
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            if b[s:s + length] in seen:
+                gone[s:s + length] = True
+            seen.add(b[s:s + length])
+        out += [(i, bytes(x for x, g in zip(b, gone) if not g))] * sum((j, u or "") == (i, t) for j, u in rows)
+    return out
+
+
+@pytest.mark.parametrize("starts,records", [(1 << 18, 20_000), (64, 3)])
+def test_repeats_in_blocks_and_rows_that_share_an_id(spark, monkeypatch, starts, records):
+    monkeypatch.setattr(repeats, "STARTS", starts)
+    monkeypatch.setattr(repeats, "RECORDS", records)
+    a, b, c = prose(21, 90), prose(22, 400), prose(23, 60)
+    unique = [(1, a), (2, b + " " + a), (3, prose(24, 30) + a[50:300] + c), (4, "ab" * 400), (5, c + b[100:900]), (6, "x" * 700)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, bytes(r.kept)) for r in repeats.remove_repeats(df(unique)).collect()) == sorted(brute_repeats(unique))
+    alone = [(None, prose(31, 70)), (None, prose(32, 80)), (7, prose(33, 60)), (7, prose(34, 60)), (8, None)]
+    got = repeats.remove_repeats(df(alone)).collect()
+    assert sorted(bytes(r.kept).decode() for r in got) == sorted(t or "" for _, t in alone) and all(r.n_removed == 0 for r in got)
+    # one shared id: the order of its rows is open, so one of both
+    rows = [(None, c), (3, a), (9, b), (9, b + a), (9, b), (10, c)]
+    got = sorted(((str(r.doc_id), bytes(r.kept)) for r in repeats.remove_repeats(df(rows)).collect()))
+    orders = [rows, [rows[0], rows[1], rows[3], rows[2], *rows[4:]]]
+    assert got in [sorted((str(i), k) for i, k in brute_repeats(o)) for o in orders]
