@@ -3,8 +3,9 @@
 Features are character 1- to 4-grams of the lower-cased text (everything but letters
 is one space), hashed to 2^16; their value is the share in the text times the inverse
 document frequency, which is counted over all training documents. Weights are fitted by follow-the-regularised-
-leader with elastic-net penalties on at most about ``sample`` training documents (drawn by
-hash of doc_id, whole texts); a temperature fitted on a fifth of them, kept out of the
+leader with elastic-net penalties on about ``sample`` training documents, the same number of
+each language and ``least`` of it or all (drawn by hash of doc_id, whole texts, ``sample_bytes`` together
+at most); the bias then takes back what the drawing changed in the languages' shares. A temperature fitted on a fifth of them, kept out of the
 fit, calibrates the scores. Weights are broadcast (2^16 x languages, zero for most).
 
 Defined cases: null text or text without a letter is "und" with score 0; so is every
@@ -32,6 +33,8 @@ SCALE = 30.0
 @dataclass(frozen=True)
 class Params:
     sample: int = 4000
+    least: int = 50
+    sample_bytes: int = 64 << 20
     orders: tuple = (1, 2, 3, 4)
     epochs: int = 4
     alpha: float = 0.3
@@ -166,22 +169,32 @@ def fit(examples: list, idf: np.ndarray, p: Params = Params()) -> Model:
 def train(docs: DataFrame, p: Params = Params()) -> Model:
     """Fit on the rows of ``docs`` with a lang."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    total = known.count()
+    size = {r["lang"]: r for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
+    total = sum(r["n"] for r in size.values())
     df = np.zeros(1 << BITS, np.int64)
     counts = known.select("text").mapInArrow(_frequencies(p.orders), "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
     for r in counts.collect():  # at most 2^16 rows
         df[r[0]] = r[1]
     idf = np.log((1 + total) / (1 + df)) + 1
+    quota = max(p.least, -(-p.sample // max(1, len(size))))
+    share = {x: min(1.0, quota / r["n"]) for x, r in size.items()}
+    over = sum(share[x] * r["b"] for x, r in size.items()) / p.sample_bytes
+    share = {x: v / max(1.0, over) for x, v in share.items()}
     space = 1 << 30
-    limit = space if total <= p.sample else int(space * p.sample / total)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < limit).select("lang", "text")
+    limits = docs.sparkSession.createDataFrame([(x, int(space * v)) for x, v in share.items()], "lang string, below int")
+    drawn = (known.join(F.broadcast(limits), "lang")  # one row a language
+             .where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < F.col("below")).select("lang", "text"))
     rows = drawn.mapInArrow(_counted(p.orders), "lang string, f array<int>, n array<int>").toArrow()
     lang, f, n = (rows.column(i).combine_chunks() for i in range(3))
     off = f.offsets.to_numpy()
     fv, nv = f.values.to_numpy(), n.values.to_numpy()
     examples = [(x, fv[a:b].astype(np.int64), nv[a:b].astype(np.float64)) for x, a, b in zip(lang.to_pylist(), off, off[1:])]
     examples.sort(key=lambda e: (e[0], len(e[1]), e[1].tobytes(), e[2].tobytes()))  # the same model however rows arrive
-    return fit(examples, idf, p)
+    model = fit(examples, idf, p)
+    if model.langs:  # languages drawn more often than they occur lose what the drawing gave them
+        shift = -np.log(np.maximum([share[x] for x in model.langs], 1e-300))
+        model.bias = model.bias + model.temperature * (shift - shift.max())
+    return model
 
 
 def _predict(model, orders):

@@ -3,15 +3,17 @@
 Each document's character classes and common words are two histograms. Both are
 compared by Jensen-Shannon distance with references of every language, learned
 from all documents with that ``lang``; the nearest language counts, so a wrong or
-missing ``lang`` does no harm. Short documents scatter around any reference by
+missing ``lang`` does no harm. A ``lang`` needs ``reference_documents`` documents and
+``reference_letters`` letters for a reference, so that a few junk documents are not their own measure;
+documents of rarer languages are held against the others' references. Short documents scatter around any reference by
 chance alone and are not judged by divergence (``min_letters``, ``min_words``).
 
 Main path: split, sort and higher-order array functions on each row, one small
 aggregation (language, word) for the references; no Python, no join of texts.
 
 Defined cases: null or empty text has no words, fails the base rule and has null
-distances; repeated rows are judged one by one; no row with a ``lang`` means no
-reference, null distances and the base rule alone; further columns are ignored
+distances; repeated rows are judged one by one; no row with a ``lang`` or none
+of that mass means no reference, null distances and the base rule alone; further columns are ignored
 (``keep_documents`` returns them untouched, whatever their names).
 """
 
@@ -31,7 +33,8 @@ CLASSES = ("space", "upper", "lower", "digit", "symbol", "other")
 @dataclass(frozen=True)
 class Params:
     common_words: int = 50        # words of a language's reference
-    max_languages: int = 64       # languages of the oracle's SQL only, most words first
+    reference_documents: int = 20     # languages of fewer documents
+    reference_letters: int = 20_000   # or letters have no reference
     min_letters: int = 200        # character classes of shorter documents are not judged
     min_words: int = 50           # common words of documents with fewer letter words are not judged
     max_char_distance: float = 0.32
@@ -114,13 +117,16 @@ def references(docs: DataFrame, params: Params = Params()) -> dict:
     q = "_"
     known = docs.where("lang IS NOT NULL").select("lang", "text")
     chars = _counts(known, q).groupBy("lang").agg(
-        *(F.sum(q + c).alias(c) for c in CLASSES), F.sum(F.size(q + "l")).alias("total"))
-    top = chars.where("total > 0").orderBy(F.desc("total"), "lang").collect()
+        *(F.sum(q + c).alias(c) for c in CLASSES), F.sum(F.size(q + "l")).alias("total"),
+        F.sum(q + "n_letters").alias("letters"), F.count(F.lit(1)).alias("documents"))
+    enough = (F.col("documents") >= params.reference_documents) & (F.col("letters") >= params.reference_letters)
+    top = chars.where(enough & (F.col("total") > 0)).orderBy(F.desc("total"), "lang").collect()
     if not top:
         return {"chars": {}, "words": {}}
     share = lambda r: {c: r[c] / max(1, sum(r[x] for x in CLASSES)) for c in CLASSES}
     text = F.coalesce(F.col("text"), F.lit(""))
-    each = known.select(
+    own = docs.sparkSession.createDataFrame([(r["lang"],) for r in top], "lang string")
+    each = known.join(F.broadcast(own), "lang", "left_semi").select(  # one row a language
         "lang", F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counted = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -256,7 +262,7 @@ rep AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT win.doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN rep USING (doc_id, g)) GROUP BY doc_id),
 langs AS (
   SELECT lang, {sums}, sum(tot) AS tot, sum(len(l)) AS words FROM c WHERE lang IS NOT NULL GROUP BY lang
-  HAVING sum(len(l)) > 0 ORDER BY words DESC, lang LIMIT {params.max_languages}),
+  HAVING sum(len(l)) > 0 AND count(*) >= {params.reference_documents} AND sum(n_letters) >= {params.reference_letters}),
 refw AS (
   SELECT lang, word, n / words::DOUBLE AS q FROM (
     SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r

@@ -5,8 +5,8 @@ the document's is their noisy-or, 1 - prod(1 - p): one bad sentence is enough, a
 the label of the document alone teaches which sentences are bad. Words are hashed to
 2^18 features; words, sentences and bags are built by numpy over whole Arrow batches.
 
-The model is fitted on at most about ``sample`` labelled documents (drawn by hash of
-doc_id, whole texts), whose hashed words reach the driver; its 1 MB of weights is
+The model is fitted on at most about ``sample`` labelled documents of ``sample_bytes``
+together (drawn by hash of doc_id, whole texts), whose hashed words reach the driver; its 1 MB of weights is
 broadcast and scores every whole text.
 
 Defined cases: null, empty or wordless text has no sentence and the score 0; a text
@@ -37,6 +37,7 @@ ENDS[[ord(c) for c in ".!?\n"]] = True
 @dataclass(frozen=True)
 class Params:
     sample: int = 16000
+    sample_bytes: int = 128 << 20
     least_documents: int = 8     # words of fewer sample documents have no weight,
     evidence: float = 4.0        # nor those whose share of toxic documents exceeds the usual by fewer standard deviations
     epochs: int = 40
@@ -136,12 +137,13 @@ def _features(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    """Fit on the documents of ``docs`` that ``labels`` (doc_id, toxic) covers."""
+    """Fit on the documents of ``docs`` that ``labels`` (doc_id, toxic) covers: all, or a share that is
+    expected to hold ``sample`` documents and ``sample_bytes`` of text at most."""
+    docs = docs.select("doc_id", "text")
     known = labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("y"))
-    ids = docs.select("doc_id").join(known, "doc_id")
-    n = ids.count()
+    size = docs.select("doc_id", F.octet_length("text").alias("b")).join(known.select("doc_id"), "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
     space = 1 << 30
-    limit = space if n <= p.sample else int(space * p.sample / n)
+    limit = int(space * min(1.0, p.sample / max(1, size["n"]), p.sample_bytes / max(1, size["b"] or 0)))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < limit)
     rows = docs.join(drawn, "doc_id").select("text", "y").mapInArrow(_features, "f array<int>, s array<int>, y int").toArrow()
     f, s, y = (rows.column(k).combine_chunks() for k in range(3))

@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, as further columns of their input.
-CLASH = "n long, d long, token long, rep long, _w string, _qkept boolean, places string, held_out boolean, m string"
+CLASH = "n long, d long, token long, rep long, _w string, _qkept boolean, places string, held_out boolean, m string, y int, f string, s string, b int, below int, h string, row long, t long, node long, id long"
 
 
 def prose(seed: int, n: int, lang: str = "en") -> str:

@@ -327,3 +327,14 @@ def test_repeats_in_blocks_and_rows_that_share_an_id(spark, monkeypatch, starts,
     got = sorted(((str(r.doc_id), bytes(r.kept)) for r in repeats.remove_repeats(df(rows)).collect()))
     orders = [rows, [rows[0], rows[1], rows[3], rows[2], *rows[4:]]]
     assert got in [sorted((str(i), k) for i, k in brute_repeats(o)) for o in orders]
+
+
+def test_rare_language_is_learned(spark):
+    rows = [(i, prose(i, 40), "en") for i in range(3000)] + [(10_000 + i, prose(i, 120, "de"), "de") for i in range(40)]
+    rows += [(20_000 + i, "pqzw xkqj zzqw " * 12, "zz") for i in range(3)]
+    p = langid.Params(sample=600, least=8)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, p)
+    assert model.langs == ["de", "en", "zz"]
+    new = spark.createDataFrame([(1, prose(90, 200, "de")), (2, prose(91, 200)), (3, "pqzw zzqw xkqj " * 9)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(new, model, p=p).collect()} == {1: "de", 2: "en", 3: "zz"}
