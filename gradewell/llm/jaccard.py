@@ -4,9 +4,9 @@ A document's set holds its distinct word n-grams (A-Z folded; a text of fewer
 words is one n-gram). Two documents link when 100 * |intersection| >= percent *
 |union|. The result is one row per document with its class (connected component).
 
-* One 64-bit token per n-gram is also its place in the global order: six bits of class,
-  four of length (long words first, as n-grams of short words are often shared by
-  chance), then 54 hash bits. The first n-grams in the order of length, a share of
+* One token per n-gram is also its place in an order that all sets share: four bits of
+  length (long words first, as n-grams of short words are often shared by
+  chance), then 54 hash bits. For the groups, the first n-grams in the order of length, a share of
   ``COUNTED`` times what a set can differ by, are put in the order of their exact counts
   over all sets, rare ones first; the others follow uncounted. So the counting shuffle
   carries that share only, and shared passages stand late.
@@ -15,10 +15,10 @@ words is one n-gram). Two documents link when 100 * |intersection| >= percent *
   Sets that share such a token meet in its group. There a screen goes first: every set has
   the parities of its tokens' counts in a number of cells that follows its size. Cells whose
   parities differ hold at least one token each that only one of two sets has, so pairs with more
-  such cells than their sizes allow can't link; the others do with few exceptions. Sets that are left
-  are parted by what the screen connects, and only these travel whole.
-* Each such part is a trie of ordered sets, kept as the sorted sets and their common
-  prefixes. One walk in order serves all sets of the part as queries: a run that sets share
+  such cells than their sizes allow can't link; the others do with few exceptions. What screens
+  connect over all groups is a family; a set travels whole only if it is in one, and once.
+* Each family is a trie of ordered sets (long words first, then by hash), kept as the sorted sets and their common
+  prefixes. One walk in order serves all sets of the family as queries: a run that sets share
   is counted once, for all queries at a time, and a subtree loses those queries that the
   remaining lengths keep from the overlap that its smallest set would need. Sets that already
   hang together are not compared, so m near copies cost about m steps and emit m - 1 links.
@@ -28,7 +28,7 @@ words is one n-gram). Two documents link when 100 * |intersection| >= percent *
 * A token group of more than ``block`` sets is dealt into blocks by salt. The first round joins
   within blocks; then one set of each component and block meets the others, again and
   again until one block holds them. In the second round every pair of blocks meets where components
-  still differ, so no pair is lost. A part of more than ``WHOLE`` bytes is cut, and every
+  still differ, so no pair is lost. A family of more than ``WHOLE`` bytes is cut, and every
   pair of its cuts meets; so a task holds two blocks of screens, or two cuts of sets, at a time.
 
 Defined cases: null, empty or blank text has the empty set, n_shingles 0 and its own
@@ -50,8 +50,8 @@ from gradewell.llm import kernels as K
 from gradewell.llm.common import Bitmap, bitmap, components, cut, discard, documents, partitions, store
 
 BLOCK = 8192       # sets of one token that one task screens
-WHOLE = 16 << 20   # bytes of whole sets in a cut of a part
-CELLS = 1 << 25    # of the table of queries and shared tokens that a walk holds
+WHOLE = 8 << 20    # bytes of whole sets in a cut of a family
+CELLS = 1 << 24    # of the table of queries and shared tokens that a walk holds
 LONGEST_SKETCH = 1 << 14
 
 
@@ -179,23 +179,10 @@ def _maybe_shared(shared: Bitmap):
 
 
 def _classes(val: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Tokens of counted hashes that m sets share."""
+    """Places in the order of counted hashes that m sets share."""
     return ((1 + np.minimum(4 * np.log2(m), 60)).astype(np.uint64) << np.uint64(58)) | val
 
 
-def _tokens(val: np.ndarray, known, below: int) -> np.ndarray:
-    """Tokens of hashes, in global order; known: (hash, count) of those that several sets share."""
-    out = np.where(val < np.uint64(below), val, val | np.uint64(62 << 58))
-    if known:
-        h, m = np.array([k["token"] for k in known], np.int64).view(np.uint64), np.array([k["m"] for k in known], np.float64)
-        order = np.argsort(h)
-        h, m = h[order], m[order]
-        at = np.minimum(np.searchsorted(h, val), len(h) - 1)
-        hit = (h[at] == val) & (val < np.uint64(below))
-        out[hit] = _classes(val[hit], m[at[hit]])
-    return np.sort(out)
-
-
 def _places(percent: int, block: int, below: int):
     """The groups of each set, in the order of its tokens: the shared ones of its first tokens, each with
     its number of blocks and the set's own."""
@@ -224,40 +211,32 @@ def _places(percent: int, block: int, below: int):
 PLACE = ["token", "node", "i", "blocks", "salt"]
 
 
-def _wanted_sets(n: int, percent: int, wanted: Bitmap):
-    """(doc_id, first sum, set) of the documents that may be wanted."""
+def _wanted(wanted: Bitmap):
+    """The documents whose texts may be wanted."""
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id").fill_null(0).to_numpy()
-            b = b.filter(pa.array(wanted(K.mix(ids.view(np.uint64)))))
-            for x in K.slices([b], 1 << 20):
-                val, off = _sets(x.column("text"), n)
-                first, _ = _sums(val, off)
-                raw = pa.BinaryArray.from_buffers(pa.binary(), x.num_rows, [None, pa.py_buffer((8 * off).astype(np.int32)), pa.py_buffer(val.tobytes())])
-                yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(first), raw], ["rep", "s1", "set"])
+            yield b.filter(pa.array(wanted(b.column("t").to_numpy().view(np.uint64))))
     return run
 
 
-def _members(below: int):
-    """Each set in global order, once for every part it goes to."""
+def _members(n: int):
+    """Each set, once for every cut of its family that it goes to."""
     def run(batches):
-        for b in batches:
-            rows, held = [], 0
-            for node, raw, known, parts in zip(*(b.column(k).to_pylist() for k in ("node", "set", "known", "parts"))):
-                raw = _tokens(np.frombuffer(raw, np.uint64), known, below).tobytes()
-                for g in parts:
-                    rows.append((g, node, raw))
-                    held += len(raw)
-                    if held > 4 << 20:
-                        yield _named(rows)
-                        rows, held = [], 0
-            yield _named(rows)
+        for b in K.slices(batches, 1 << 20):
+            val, off = _sets(b.column("text"), n)
+            raw, own = val.tobytes(), b.column("cuts")
+            times = np.diff(own.offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), times)
+            for a in range(0, len(row), 500):
+                part = row[a:a + 500]
+                at = pa.array(part)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("family").take(at), own.flatten().slice(a, 500), b.column("node").take(at), b.column("comp").take(at),
+                     pa.array([raw[8 * off[i]:8 * off[i + 1]] for i in part.tolist()], pa.binary())], MEMBER)
     return run
 
 
-def _named(rows):
-    kinds = [pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 3, kinds)], ["part", "node", "tokens"])
+MEMBER = ["family", "cut", "node", "comp", "tokens"]
 
 
 def _folded(raw: bytes, cells: int) -> np.ndarray:
@@ -308,21 +287,77 @@ def screened(n, sketches: list, comps, percent: int):
             yield order[part]
 
 
+SMALL = 64  # sets of a group whose pairs are looked at together with those of other groups
+
+
+def screened_small(first: np.ndarray, size: np.ndarray, n: np.ndarray, sketches: list, comps: np.ndarray, percent: int):
+    """The same for many small groups at once, given by first row and size: (label, row), a label being a row of the same list."""
+    label = np.arange(len(n))
+    hit = np.zeros(len(n), bool)
+    edges = []
+    rows = K.ragged(first, size)
+    end = np.repeat(first + size, size)
+    cells = _cells(n, percent)
+    for a in range(0, len(rows), 2000):
+        i0 = rows[a:a + 2000]
+        more = end[a:a + 2000] - i0 - 1
+        i, j = np.repeat(i0, more), K.ragged(i0 + 1, more)
+        ok = (comps[i] != comps[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        own = np.minimum(cells[i], cells[j])
+        for c in np.unique(own):
+            x, y = i[own == c], j[own == c]
+            used = np.unique(np.concatenate((x, y)))
+            words = np.stack([_folded(sketches[k], int(c)) for k in used])
+            step = max(1, (1 << 20) // words.shape[1])
+            for q in range(0, len(x), step):
+                u, v = x[q:q + step], y[q:q + step]
+                differ = np.bitwise_count(words[np.searchsorted(used, u)] ^ words[np.searchsorted(used, v)]).sum(axis=1, dtype=np.int64)
+                near = differ <= _apart(n[u] + n[v], percent)
+                edges.append((u[near], v[near]))
+    if not edges:
+        return label[:0], label[:0]
+    u, v = (np.concatenate(x) for x in zip(*edges))
+    hit[u] = hit[v] = True
+    while True:
+        before = label.copy()
+        np.minimum.at(label, u, label[v])
+        np.minimum.at(label, v, label[u])
+        label = label[label]
+        if (label == before).all():
+            return label[hit], np.flatnonzero(hit)
+
+
 def _screen(percent: int):
-    """(part, set) for the tries, from the rows of the groups in order."""
+    """(head, set): the sets that may link, with one that stands for those they may hang together with."""
+    def out(rows):
+        token, block, node, n, comp = (rows.column(k).to_numpy() for k in range(5))
+        sketches = rows.column(5).to_pylist()
+        first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (block[1:] != block[:-1]))))
+        size = np.diff(np.append(first, len(token)))
+        small = size <= SMALL
+        label, at = screened_small(first[small], size[small], n, sketches, comp, percent)
+        found = [(node[label], node[at])]
+        for a, m in zip(first[~small].tolist(), size[~small].tolist()):
+            for members in screened(n[a:a + m], sketches[a:a + m], comp[a:a + m], percent):
+                own = node[a + members]
+                found.append((np.full(len(own), own[0]), own))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["head", "node"])
+
     def run(batches):
-        for (t, block), (node, n, comp, sketch) in _groups(batches):
-            rows = []
-            for members in screened(n, sketch, comp, percent):
-                bytes_to = np.cumsum([8 * n[i] for i in members])
-                cut_of = bytes_to // WHOLE
-                last = int(cut_of[-1])
-                pairs = [(x, y) for x in range(last + 1) for y in range(x, last + 1) if last == 0 or x < y]
-                for x, y in pairs:
-                    seed = np.array([t, block, node[int(members[0])], x * (last + 1) + y], np.int64).view(np.uint64)
-                    part = int(K.mix(np.array([(K.mix(seed) * K.ORDER[:4]).sum()], np.uint64)).view(np.int64)[0])
-                    rows += [(part, node[i]) for i, c in zip(members, cut_of) if c in (x, y)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows)) or [()] * 2], ["part", "node"])
+        held = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            same = (b.column(0).to_numpy() == b.column(0)[-1].as_py()) & (b.column(1).to_numpy() == b.column(1)[-1].as_py())
+            closed = b.num_rows - int(same.sum())  # the last group waits for the rest of its rows
+            if held and not closed and held[-1].column(0)[-1] == b.column(0)[0] and held[-1].column(1)[-1] == b.column(1)[0]:
+                held.append(b)
+                continue
+            yield from out(pa.Table.from_batches([*held, b.slice(0, closed)]).combine_chunks())
+            held = [b.slice(closed)]
+        if held:
+            yield from out(pa.Table.from_batches(held).combine_chunks())
     return run
 
 
@@ -339,8 +374,8 @@ def _branches(common: list[int]) -> list[list[int]]:
     return out
 
 
-def trie_links(names, sets, percent: int, chunk: int = 64):
-    """Links (a, b) that join the sets of one part into its components."""
+def trie_links(names, sets, percent: int, comps=None, chunk: int = 64):
+    """Links (a, b) that join the sets of one part into its components; comps: those they are in already."""
     m = len(sets)
     order = sorted(range(m), key=lambda i: sets[i].astype(">u8").tobytes())
     names, sets = [names[i] for i in order], [sets[i] for i in order]
@@ -357,7 +392,7 @@ def trie_links(names, sets, percent: int, chunk: int = 64):
         common[i] = int(k) if same.all() else int(np.argmin(same))
     leaves = _branches(common)
     low, high = _extremes(size, common, leaves)
-    comp = np.arange(m)
+    comp = np.arange(m) if comps is None else np.unique(np.asarray(comps)[order], return_inverse=True)[1]
     rows = max(1, CELLS // max(1, width))
     for a in range(0, m, rows):  # queries a .. a + rows
         own = np.arange(a, min(m, a + rows))
@@ -419,67 +454,69 @@ def _extremes(size: np.ndarray, common: list[int], leaves: list[list[int]]):
     return low, high
 
 
-def _groups(batches):
-    """((token, block), columns of its rows without the key) of sorted rows."""
-    key, rows = None, []
-    for batch in batches:
-        for t, blk, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-            if key is not None and (t, blk) != key:
-                yield key, list(zip(*rows))
-                rows = []
-            key = (t, blk)
-            rows.append(rest)
-    if key is not None:
-        yield key, list(zip(*rows))
-
-
 def _join(percent: int):
     def run(batches):
-        part, names, sets = None, [], []
+        key, rows = None, []
         for b in batches:
             out = []
-            for g, node, raw in zip(*(b.column(k).to_pylist() for k in ("part", "node", "tokens"))):
-                if g != part:
-                    out += trie_links(names, sets, percent) if len(sets) > 1 else []
-                    part, names, sets = g, [], []
-                names.append(node)
-                sets.append(np.frombuffer(raw, np.uint64))
+            for family, part, *row in zip(*(b.column(k).to_pylist() for k in MEMBER)):
+                if (family, part) != key:
+                    out += _links(rows, percent)
+                    key, rows = (family, part), []
+                rows.append(row)
             yield _edges(out)
-        yield _edges(list(trie_links(names, sets, percent)) if len(sets) > 1 else [])
+        yield _edges(_links(rows, percent))
     return run
 
 
+def _links(rows: list, percent: int) -> list:
+    if len(rows) < 2:
+        return []
+    names, comps, sets = zip(*rows)
+    return list(trie_links(names, [np.frombuffer(x, np.uint64) for x in sets], percent, comps))
+
+
 def _edges(found):
     a, b = zip(*found) if found else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 class Join:
-    """The links between the sets of a table ``nodes`` (node, rep, n, s1, counted, head, sketch) over ``docs``."""
+    """The links between the sets of a table ``nodes`` (node, rep, t, n, counted, sketch), whose first tokens are in ``heads``
+    (node, head), over ``docs`` (doc_id, t, text)."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, percent: int, below: int, block: int):
+    def __init__(self, docs: DataFrame, nodes: DataFrame, heads: DataFrame, n: int, percent: int, below: int, block: int):
         self.spark, self.docs, self.nodes = docs.sparkSession, docs, nodes
-        self.n, self.percent, self.below, self.block = n, percent, below, block
-        shared = cut(nodes.select(F.explode("head").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+        self.n, self.percent, self.block = n, percent, block
+        shared = cut(heads.select(F.explode("head").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         may = bitmap(shared.select(F.col("token").alias("key")), shared.count())
-        known = nodes.select("node", "head").mapInArrow(_maybe_shared(may), "node long, token long, at int").join(shared, "token")
-        self.known = cut(known.groupBy("node").agg(F.collect_list(F.struct("token", "m", "at")).alias("known"))  # of one document
-                         .join(nodes.select("node", "rep", "s1", "n", "counted"), "node"))
-        self.places = cut(self.known.mapInArrow(_places(percent, block, below), "token long, node long, i long, blocks long, salt long"))
-
-    def _dealt(self, df: DataFrame, *key: str) -> DataFrame:
-        return df.repartition(partitions(self.spark), *key).sortWithinPartitions(*key, "node")
-
-    def within(self, groups: DataFrame) -> DataFrame:
-        """Links within groups of rows (token, block, node, comp), by screens and then by tries."""
-        rows = groups.join(self.nodes.select("node", "n", "sketch"), "node").select("token", "block", "node", "n", "comp", "sketch")
-        left = cut(self._dealt(rows, "token", "block").mapInArrow(_screen(self.percent), "part long, node long"))
-        wanted = left.groupBy("node").agg(F.collect_list("part").alias("parts")).join(self.known, "node")  # of one document
-        ids = left.select("node").distinct().join(self.known.select("node", "rep"), "node").select("rep").distinct()
-        may = bitmap(_mixed(ids), ids.count())
-        sets = (self.docs.mapInArrow(_wanted_sets(self.n, self.percent, may), "rep long, s1 long, set binary").dropDuplicates(["rep", "s1"])
-                .join(wanted, ["rep", "s1"]).mapInArrow(_members(self.below), "part long, node long, tokens binary"))
-        return cut(self._dealt(sets, "part").mapInArrow(_join(self.percent), "a long, b long"))
+        known = heads.mapInArrow(_maybe_shared(may), "node long, token long, at int").join(shared, "token")
+        known = (known.groupBy("node").agg(F.collect_list(F.struct("token", "m", "at")).alias("known"))  # of one document
+                 .join(nodes.select("node", "n", "counted"), "node"))
+        self.places = cut(known.mapInArrow(_places(percent, block, below), "token long, node long, i long, blocks long, salt long"))
+
+    def within(self, groups: DataFrame, once: bool) -> DataFrame:
+        """Links within groups of rows (token, block, node, comp), by screens and then by tries; ``once``: a set is in
+        one group at most. What screens connect, over all groups, is a family, and a set travels to its family once."""
+        key = ["token", "block"]
+        rows = groups.join(self.nodes.select("node", "n", "sketch"), "node").select(*key, "node", "n", "comp", "sketch")
+        left = cut(rows.repartition(partitions(self.spark), *key).sortWithinPartitions(*key).mapInArrow(_screen(self.percent), "head long, node long"))
+        family = (left.select("node", F.col("head").alias("family")) if once
+                  else components(left, "head", "node").select("node", F.col("component").alias("family")))
+        comps = groups.select("node", "comp").distinct()
+        own = family.join(self.nodes.select("node", "rep", "t", "n"), "node").join(comps, "node")
+        # a family of more than WHOLE bytes is cut by salt, and every pair of its cuts meets
+        size = own.groupBy("family").agg(F.ceil(F.sum("n") * 8 / WHOLE).alias("of"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("of") - 1),
+                            lambda o: F.least("salt", o) * F.col("of") + F.greatest("salt", o))
+        wanted = cut(own.join(size, "family").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("of")))
+                     .select("family", pairs.alias("cuts"), "node", "comp", F.col("rep").alias("doc_id"), "t"))
+        may = bitmap(wanted.select(F.col("t").alias("key")), wanted.count())
+        texts = self.docs.mapInArrow(_wanted(may), self.docs.schema).dropDuplicates(["doc_id", "t"])
+        sets = (texts.join(wanted, ["doc_id", "t"]).select("text", "family", "cuts", "node", "comp")
+                .mapInArrow(_members(self.n), "family long, cut long, node long, comp long, tokens binary"))
+        key = ["family", "cut"]
+        return cut(sets.repartition(partitions(self.spark), *key).sortWithinPartitions(*key, "node").mapInArrow(_join(self.percent), "a long, b long"))
 
     def components(self, edges: DataFrame) -> DataFrame:
         return components(edges).select("node", F.col("component").alias("comp"))
@@ -489,7 +526,7 @@ class Join:
         # First round: the rarest shared token of each set alone, within blocks.
         few = self.places.where("i = 0").select("token", F.col("salt").alias("block"), "node", F.col("node").alias("comp"))
         met = _mixed_groups(few)
-        found = self.within(few.join(met, ["token", "block"]))
+        found = self.within(few.join(met, ["token", "block"]), True)
         # One set of each component and block stands for it, until one block holds them all.
         several = self.places.where("i = 0 AND blocks > 1").select("token", "node").limit(1).count() > 0
         while several:
@@ -498,7 +535,7 @@ class Join:
             heads = own.groupBy("token", "block", "comp").agg(F.min("node").alias("node")).groupBy("token", "comp").agg(F.min("node").alias("node"))
             size = heads.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
             heads = cut(heads.join(size, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / self.block))))
-            more = self.within(heads.select("token", "block", "node", "comp"))
+            more = self.within(heads.select("token", "block", "node", "comp"), False)
             fresh = more.limit(1).count() > 0
             several = fresh and heads.where(F.col("m") > self.block).limit(1).count() > 0
             found = cut(found.unionAll(more))
@@ -511,15 +548,7 @@ class Join:
                                       lambda o: F.least("salt", o) * F.col("blocks") + F.greatest("salt", o)))
         rows = one.select("token", pairs.alias("block"), "node", "comp")
         rows = rows.join(_mixed_groups(rows), ["token", "block"])
-        return found.unionAll(self.within(rows))
-
-
-def _mixed(ids: DataFrame) -> DataFrame:
-    """Keys of a bitmap from document ids."""
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(K.mix(b.column("rep").to_numpy().view(np.uint64)).view(np.int64))], ["key"])
-    return ids.mapInArrow(run, "key long")
+        return found.unionAll(self.within(rows, False))
 
 
 def _mixed_groups(rows: DataFrame) -> DataFrame:
@@ -536,10 +565,10 @@ def _classified(docs: DataFrame, n: int, percent: int, block: int = BLOCK) -> Da
     base = store(heads.select("doc_id", "t", "n", "s1", "s2"), "signatures")
     key = ["n", "s1", "s2"]
     nodes = store(heads.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(
-        F.min("doc_id").alias("rep"), F.first("counted").alias("counted"), F.first("head").alias("head"), F.first("sketch").alias("sketch"))
-        .withColumn("node", F.monotonically_increasing_id()), "nodes")
+        F.min(F.struct("doc_id", "t")).alias("rep"), F.first("counted").alias("counted"), F.first("head").alias("head"), F.first("sketch").alias("sketch"))
+        .select(*key, "rep.doc_id", "rep.t", "counted", "head", "sketch", F.monotonically_increasing_id().alias("node")).withColumnRenamed("doc_id", "rep"), "nodes")
     discard(heads)
-    join = Join(docs.select("doc_id", "text"), nodes, n, percent, below, block)
+    join = Join(docs, nodes.drop("head"), nodes.select("node", "head"), n, percent, below, block)
     found = components(join.links())
     named = (nodes.select(*key, "node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = named.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("least"))

@@ -128,6 +128,8 @@ def test_trie_links_find_all_components():
         off = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
         sketches = jaccard._sketches(np.concatenate(sets), off, percent).to_pylist()
         parts = [set(p.tolist()) for p in jaccard.screened([len(s) for s in sets], sketches, range(len(sets)), percent)]
+        label, at = jaccard.screened_small(np.array([0]), np.array([len(sets)]), np.array([len(s) for s in sets]), sketches, np.arange(len(sets)), percent)
+        assert {frozenset(at[label == x].tolist()) for x in label} == {frozenset(p) for p in parts}
         for a in range(len(sets)):
             for b in range(a):
                 i = len(np.intersect1d(sets[a], sets[b]))
