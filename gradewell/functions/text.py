@@ -16,9 +16,23 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(c: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
+def before_last(c: Column, mark: str, body) -> Column:
+    """``body`` of the text up to and with the last ``mark`` ('' without one) and of the rest."""
+    def parts(t):
+        after = F.instr(F.reverse(t), mark[::-1])
+        return let(F.when(after > 0, F.length(t) - after + 1).otherwise(0),
+                   lambda n: body(F.substring(t, F.lit(1), n), F.substring(t, n + 1, F.length(t))))
+    return let(c, parts)
+
+
 def strip(c) -> Column:
     """``str.strip()``: Spark ``trim`` only removes spaces, this removes all whitespace."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), r"(?U)^\s+|(?<!\s)\s+$", "")  # a run is tried once, from its start
 
 
 def lstrip(c) -> Column:
@@ -26,7 +40,7 @@ def lstrip(c) -> Column:
 
 
 def rstrip(c) -> Column:
-    return F.regexp_replace(_c(c), r"(?U)\s+$", "")
+    return F.regexp_replace(_c(c), r"(?U)(?<!\s)\s+$", "")
 
 
 def indent(c) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradewell.functions.text import NL, lines, nonempty, splitlines, strip
+from gradewell.functions.text import NL, before_last, let, lines, nonempty, splitlines, strip
 from gradewell.operators.explode import regroup
 from gradewell.operators.extract import from_first, paragraphs
 from gradewell.operators.rules import COM_BLOCKLIST
@@ -141,10 +141,10 @@ def comments_of(code: Column, lang: Column, ls: Column, fh: Column, fs: Column)
     """struct(comments array<string>, n_lines int) per language family (``ls`` = splitlines(code),
     ``fh``/``fs`` = line flags for ``#`` / ``//``, all precomputed columns)."""
     py_blocks = F.regexp_extract_all(code, F.lit(r"('''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\")"), 1)
-    py_block_txt = F.transform(py_blocks, lambda b: F.regexp_replace(F.regexp_replace(b, r"^'+|'+$", ""), r'^"+|"+$', ""))
-    cj_blocks = F.regexp_extract_all(code, F.lit(r"(/\*[\s\S]*?\*/|/\*\*[\s\S]*?\*/)"), 1)
-    cj_block_txt = F.transform(cj_blocks, lambda b: strip(F.regexp_replace(F.regexp_replace(b, r"^[/*]+|[/*]+$", ""),
-                                                                           r"^[*/]+|[*/]+$", "")))
+    py_block_txt = F.transform(py_blocks, lambda b: F.regexp_replace(F.regexp_replace(b, r"^'+|(?<!')'+$", ""), r'^"+|(?<!")"+$', ""))
+    cj_blocks = before_last(code, "*/", lambda head, tail: F.regexp_extract_all(head, F.lit(r"(/\*[\s\S]*?\*/)"), 1))
+    cj_block_txt = F.transform(cj_blocks, lambda b: strip(F.regexp_replace(F.regexp_replace(b, r"^[/*]+|(?<![/*])[/*]+$", ""),
+                                                                           r"^[*/]+|(?<![*/])[*/]+$", "")))
 
     def block_lines(bs):
         return F.aggregate(bs, F.lit(0), lambda acc, b: acc + F.size(F.split(b, NL, -1)))
@@ -161,13 +161,19 @@ def comments_of(code: Column, lang: Column, ls: Column, fh: Column, fs: Column)
 
 
 def pure_code(code: Column, lang: Column) -> Column:
-    cj = F.regexp_replace(F.regexp_replace(F.regexp_replace(code, r"//.*", ""), r"/\*[\s\S]*?\*/", ""), r"/\*\*[\s\S]*?\*/", "")
+    """Code without comments. Blocks are sought up to the last closing mark, beyond which none can end."""
+    def without(c, block):
+        return before_last(c, "*/", lambda head, tail: F.concat(F.regexp_replace(head, block, ""), tail))
+    cj = without(without(F.regexp_replace(code, r"//.*", ""), r"/\*[\s\S]*?\*/"), r"/\*\*[\s\S]*?\*/")
     py = F.regexp_replace(F.regexp_replace(F.regexp_replace(code, r"#.*", ""), r"'''[\s\S]*?'''", ""), r'"""[\s\S]*?"""', "")
     return F.when(lang == "python", py).otherwise(cj)
 
 
 def identifiers(code: Column, lang: Column) -> Column:
-    pc = pure_code(code, lang)
+    return let(pure_code(code, lang), lambda pc: _identifiers(pc, lang))
+
+
+def _identifiers(pc: Column, lang: Column) -> Column:
     whole = F.regexp_extract_all(pc, F.lit(r"(?U)\b[a-zA-Z_][a-zA-Z0-9_]*\b"), 0)
     camel = F.regexp_extract_all(pc, F.lit(r"[a-zA-Z][a-z]*"), 0)
     snake = F.regexp_extract_all(F.replace(pc, F.lit("_"), F.lit(" ")), F.lit(r"[a-zA-Z]+"), 0)

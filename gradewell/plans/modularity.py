@@ -12,12 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradewell.functions.text import lines, strip
+from gradewell.functions.text import let, lines, strip
+from gradewell.operators.blocks import code_blocks, longest_fence, loose_text
 from gradewell.operators.explode import regroup
 from gradewell.operators.facts import code_facts
 from gradewell.session import checkpoint_dir
 
-# Fence patterns tried in order (longest match of the first that qualifies).
+# Fence patterns tried in order (longest match of the first that qualifies); the first
+# two are found line by line (operators/blocks.py).
 MOD_FENCES = [r"(?s)```(?:python|java|cpp|c\+\+|javascript|js|.*?)?\s*\n([\s\S]*?)\n\s*```",
               r"(?s)```\s*\n([\s\S]*?)\n\s*```", r"(?s)```([\s\S]*?)```"]
 # Language aliases of the modularity scorer (alias -> parser).
@@ -40,15 +42,12 @@ def _longest(arr: Column) -> Column:
 
 
 def extract_mod(response: Column) -> Column:
-    """First fence pattern whose longest match is >10 chars stripped and spans a newline; else ''."""
-    out = None
-    # A pattern needs two fences; an open one would make its lazy parts try every pair of places.
-    text = F.when(F.regexp_count(response, F.lit("```")) > 1, response).otherwise(F.lit(""))
-    for p in MOD_FENCES:
-        best = _longest(F.regexp_extract_all(text, F.lit(p), 1))
-        ok = best.isNotNull() & (F.length(strip(best)) > 10) & best.contains("\n")
-        out = F.when(ok, strip(best)) if out is None else out.when(ok, strip(best))
-    return out.otherwise(F.lit(""))
+    """First fence pattern whose longest match is >10 chars stripped and spans a newline; else the longest
+    run of code-like lines; else the text without markup if it looks like code; else ''."""
+    def fits(best):
+        return let(best, lambda b: F.when((F.length(strip(b)) > 10) & b.contains("\n"), strip(b)))
+    fences = [longest_fence(response, False), longest_fence(response, True), _longest(F.regexp_extract_all(response, F.lit(MOD_FENCES[2]), 1))]
+    return F.coalesce(*map(fits, fences), code_blocks(response), loose_text(response), F.lit(""))
 
 
 def mod_language(field: Column) -> Column:

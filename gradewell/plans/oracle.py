@@ -529,6 +529,42 @@ FROM fun_k"""
 
 
 # --- modularity -----------------------------------------------------------------------
+def _sql_without_markup(x: str) -> str:
+    from gradewell.operators.blocks import MARKUP_LINES, MARKUP_SPANS
+    for p in MARKUP_LINES + MARKUP_SPANS:
+        x = f"regexp_replace({x}, {q(p)}, '', 'g')"
+    return x
+
+
+def _sql_code_signs(x: str) -> str:
+    from gradewell.operators.blocks import HEADED, SIGNS
+    patterns = [unicode_words(p) for p in SIGNS] + [rf"\b{w}\s+.*:" for w in HEADED]
+    return "(" + " + ".join(f"CAST(regexp_matches({x}, {q('(?m)' + p)}) AS INTEGER)" for p in patterns) + ")"
+
+
+def _sql_code_block() -> str:
+    """A fold with one struct as state and element: the run that is open and the best so far."""
+    from gradewell.operators.blocks import CODE_MARKERS
+    marked = q("|".join(f"(?:{unicode_words(p)})" for p in CODE_MARKERS))
+    ls = f"string_split(coalesce(response, ''), {N})"
+    element = (f"{{'i': i, 'ind': {sql_indent('l')}, 'blank': {sql_strip('l')} = '', 'fit': regexp_matches({sql_strip('l')}, {marked}), 'size': length(l) + 1, "
+               "'start': 0, 'base': 0, 'len': 0, 'best': 0, 'n': 0, 'chars': 0}")
+    first = "{'i': 0, 'ind': 0, 'blank': false, 'fit': false, 'size': 0, 'start': 0, 'base': 0, 'len': 0, 'best': 0, 'n': 0, 'chars': 0}"
+    last = f"{{'i': len({ls}) + 1, 'ind': -1, 'blank': false, 'fit': false, 'size': 0, 'start': 0, 'base': 0, 'len': 0, 'best': 0, 'n': 0, 'chars': 0}}"
+    on = "(a.start > 0 AND (x.blank OR x.ind >= a.base OR x.fit))"
+    win = f"(a.start > 0 AND NOT {on} AND x.i - a.start > 5 AND a.len > a.chars)"
+    step = (f"{{'i': x.i, 'ind': x.ind, 'blank': x.blank, 'fit': x.fit, 'size': x.size, "
+            f"'start': CASE WHEN {on} THEN a.start WHEN a.start = 0 AND x.fit THEN x.i ELSE 0 END, "
+            f"'base': CASE WHEN a.start = 0 AND x.fit THEN x.ind ELSE a.base END, "
+            f"'len': CASE WHEN {on} THEN a.len + x.size WHEN a.start = 0 AND x.fit THEN x.size ELSE 0 END, "
+            f"'best': CASE WHEN {win} THEN a.start ELSE a.best END, 'n': CASE WHEN {win} THEN x.i - a.start ELSE a.n END, "
+            f"'chars': CASE WHEN {win} THEN a.len ELSE a.chars END}}")
+    kind = "STRUCT(i BIGINT, ind BIGINT, blank BOOLEAN, fit BOOLEAN, size BIGINT, start BIGINT, base BIGINT, len BIGINT, best BIGINT, n BIGINT, chars BIGINT)"
+    rows = f"list_concat([CAST({first} AS {kind})], list_transform({ls}, lambda l, i: CAST({element} AS {kind})), [CAST({last} AS {kind})])"
+    found = f"list_reduce({rows}, lambda a, x: CAST({step} AS {kind}))"
+    return f"(SELECT CASE WHEN b.best > 0 THEN array_to_string(list_slice({ls}, b.best, b.best + b.n - 1), {N}) END FROM (SELECT {found} AS b))"
+
+
 def modularity_inputs() -> str:
     from gradewell.plans.modularity import API_WORDS, CPP_INCLUDE, JAVA_IMPORT, MOD_ALIASES, MOD_FENCES, PY_IMPORT_RE
     alias = ("CASE WHEN lower(coalesce(programming_language, '')) = '' THEN 'python' ELSE CASE lower(programming_language) "
@@ -537,7 +573,7 @@ def modularity_inputs() -> str:
     for p in MOD_FENCES:
         best = _sql_longest(f"regexp_extract_all(coalesce(response, ''), {q(p)}, 1)")
         ladder.append(f"WHEN {best} IS NOT NULL AND length({sql_strip(best)}) > 10 AND contains({best}, {N}) THEN {sql_strip(best)}")
-    code = "CASE " + " ".join(ladder) + " ELSE '' END"
+    code = "CASE " + " ".join(ladder) + " WHEN block IS NOT NULL THEN block WHEN signs THEN loose ELSE '' END"
     cl = f"list_filter(string_split(code, {N}), lambda l: {sql_strip('l')} <> '' AND NOT starts_with({sql_strip('l')}, '#'))"
     mi = f"coalesce(list_max(list_transform({cl}, lambda l: length(l) - length(regexp_replace(l, '^\\s+', '')))), 0)"
     funcs = "len(regexp_extract_all(code, 'def\\s+\\w+\\s*\\(', 0))"
@@ -548,7 +584,9 @@ def modularity_inputs() -> str:
     py_imp = (f"list_distinct(list_filter(list_concat(regexp_extract_all(code, {q(PY_IMPORT_RE)}, 1), "
               f"regexp_extract_all(code, {q(PY_IMPORT_RE)}, 2)), lambda x: x <> ''))")
     return oracle_with(f"""
-mod_c AS (SELECT idx, pos, model, programming_language, {alias} AS lang, {code} AS code FROM responses)""") + f"""
+mod_l AS (SELECT *, {_sql_code_block()} AS block, {_sql_without_markup("coalesce(response, '')")} AS loose FROM responses),
+mod_s AS (SELECT *, length({sql_strip("loose")}) > 30 AND {_sql_code_signs("loose")} >= 3 AS signs FROM mod_l),
+mod_c AS (SELECT idx, pos, model, programming_language, {alias} AS lang, {code} AS code FROM mod_s)""") + f"""
 SELECT *, round(CAST({factor} AS DOUBLE), 6) AS factor,
   CAST(len(list_distinct(regexp_extract_all(code, {q(JAVA_IMPORT)}, 1))) AS BIGINT) AS java_ce,
   CAST(len(list_distinct(regexp_extract_all(code, {q(CPP_INCLUDE)}, 1))) AS BIGINT) AS cpp_ce,
