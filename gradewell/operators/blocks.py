@@ -1,12 +1,12 @@
 """Code in free text for the modularity scorer: fenced blocks, runs of code-like lines, whole texts
-with enough signs of code. Folds over the lines of one answer that carry a few numbers, so an answer
+with enough signs of code; and the repair of Python code before it is parsed. Folds over the lines of one answer that carry a few numbers, so an answer
 of any length takes linear time."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gradewell.functions.text import NL, before_last, indent, let, lines, strip
+from gradewell.functions.text import NL, before_last, count_sub, indent, let, lines, strip
 
 # What makes a stripped line look like code.
 CODE_MARKERS = [
@@ -108,3 +108,31 @@ def has_code_indicators(text: Column) -> Column:
 def loose_text(text: Column) -> Column:
     """The text without markup if that is long enough and looks like code, else NULL."""
     return let(without_markup(text), lambda t: F.when((F.length(strip(t)) >= LEAST_TEXT) & has_code_indicators(t), t))
+
+
+def repaired(code: Column) -> Column:
+    """Python code as it is parsed: lines that leave a string open go, unless they end in three quotes (then
+    the string stays open over the next line); brackets left open, of whatever kind, are closed by as many ')'.
+
+    Only a line after one that ends in three quotes can begin inside a string, and such lines always stay. So
+    lines are taken in runs that end with the first line without that end: a fold over a run's quotes says
+    whether its last line stays."""
+    def quotes(line, state):
+        """The quote that is open after a line; a quote behind a backslash does not close."""
+        found = F.regexp_extract_all(line, F.lit(r"(\\?['\"])"), 1)
+        return F.aggregate(found, state, lambda s, t: F.when(s == "", F.right(t, F.lit(1))).when(s == t, F.lit("")).otherwise(s))
+
+    def kept(ls, triple):
+        heads = F.filter(F.transform(ls, lambda l, i: F.when((i == 0) | ~F.get(triple, i - 1), i)), lambda i: i.isNotNull())
+
+        def run(head, k, starts):
+            n = F.coalesce(F.get(starts, k + 1), F.size(ls)) - head
+            return let(F.slice(ls, head + 1, n), lambda r: F.when(
+                F.get(triple, head + n - 1) | (F.aggregate(r, F.lit(""), lambda s, l: quotes(l, s)) == ""), r).otherwise(F.slice(r, F.lit(1), n - 1)))
+        return let(heads, lambda starts: F.flatten(F.transform(starts, lambda h, k: run(h, k, starts))))
+
+    def closed(text):
+        open_ = sum((count_sub(text, c) for c in "([{"), F.lit(0)) - sum((count_sub(text, c) for c in ")]}"), F.lit(0))
+        return F.concat(text, F.repeat(F.lit(")"), F.greatest(open_, F.lit(0)).cast("int")))
+    return let(lines(code), lambda ls: let(
+        F.transform(ls, lambda l: l.rlike(r"(?U)(?:\"{3}|'{3})\s*$")), lambda t: let(F.array_join(kept(ls, t), NL), closed)))

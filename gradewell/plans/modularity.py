@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradewell.functions.text import let, lines, strip
-from gradewell.operators.blocks import code_blocks, longest_fence, loose_text
+from gradewell.operators.blocks import code_blocks, longest_fence, loose_text, repaired
 from gradewell.operators.explode import regroup
 from gradewell.operators.facts import code_facts
 from gradewell.session import checkpoint_dir
@@ -69,21 +69,44 @@ def complexity_factor(code: Column) -> Column:
     return f
 
 
+def feature_metrics(imports: Column, code: Column) -> list[Column]:
+    """CE, CA and LCOM2 estimated from a text that no parser takes."""
+    funcs, classes = F.regexp_count(code, F.lit(r"(?U)def\s+\w+\s*\(")), F.regexp_count(code, F.lit(r"(?U)class\s+\w+"))
+    ce = F.when(imports > 0, imports).otherwise(F.greatest(F.lit(1), F.least(F.lit(15), F.floor(F.size(lines(code)) / 20))))
+    ca = (F.lit(4) + F.when(classes > 0, F.least(classes * 2, F.lit(6))).otherwise(0)
+          + F.when(funcs > 3, F.least(F.floor(funcs / 2), F.lit(4))).otherwise(0))
+    each = funcs / F.greatest(classes, F.lit(1))
+    lcom2 = F.when(classes == 0, 0.4 + funcs / 20).when(each < 3, F.lit(0.2)).otherwise(0.3 + each / 20)
+    return [ce.cast("long").alias("feature_ce"), ca.cast("long").alias("feature_ca"),
+            F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.9), lcom2)), 6).alias("feature_lcom2")]
+
+
 def modularity_inputs(responses: DataFrame) -> DataFrame:
-    """Per answer: code, parser language, size factor and the regex metrics (all SQL-expressible)."""
+    """Per answer: code, what is parsed of it, parser language, size factor, the regex metrics and the
+    estimates for code that no parser takes (all SQL-expressible)."""
     r = responses.select("idx", "pos", "model", "programming_language",
                          mod_language(F.col("programming_language")).alias("lang"),
                          extract_mod(F.col("response")).alias("code"))
-    c = F.col("code")
-    py_imports = F.array_distinct(F.filter(F.concat(F.regexp_extract_all(c, F.lit(PY_IMPORT_RE), 1),
-                                                    F.regexp_extract_all(c, F.lit(PY_IMPORT_RE), 2)), lambda x: x != ""))
+    r = r.select("*", F.when(F.col("lang") == "python", repaired(F.col("code"))).otherwise(F.col("code")).alias("parsed_code"))
+    c, p = F.col("code"), F.col("parsed_code")
+    py_imports = F.array_distinct(F.filter(F.concat(F.regexp_extract_all(p, F.lit(PY_IMPORT_RE), 1),
+                                                    F.regexp_extract_all(p, F.lit(PY_IMPORT_RE), 2)), lambda x: x != ""))
     return r.select(
         "*", F.round(complexity_factor(c), 6).alias("factor"),
         F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(JAVA_IMPORT), 1))).cast("long").alias("java_ce"),
         F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(CPP_INCLUDE), 1))).cast("long").alias("cpp_ce"),
         F.size(py_imports).cast("long").alias("py_regex_ce"),
-        F.regexp_count(c, F.lit(r"def\s+(\w+)\s*\(")).cast("long").alias("def_count"),
-        c.rlike(API_WORDS).alias("api_words"))
+        F.regexp_count(p, F.lit(r"def\s+(\w+)\s*\(")).cast("long").alias("def_count"),
+        p.rlike(API_WORDS).alias("api_words"), *feature_metrics(F.size(py_imports), p))
+
+
+def balance_repair(responses: DataFrame) -> DataFrame:
+    """Per Python answer: its code's lines, how many the repair drops, and the brackets that it adds."""
+    m = modularity_inputs(responses).where("lang = 'python'").select("idx", "model", "code", "parsed_code")
+    tail = lambda x: F.length(x) - F.length(F.rtrim(x, F.lit(")")))
+    return m.select("idx", "model", "parsed_code", F.size(lines(F.col("code"))).cast("long").alias("code_lines"),
+                    (F.size(lines(F.col("code"))) - F.size(lines(F.col("parsed_code")))).cast("long").alias("dropped_lines"),
+                    tail(F.col("parsed_code")).cast("long").alias("closing_brackets"))
 
 
 def python_structure(facts: DataFrame) -> DataFrame:
@@ -105,13 +128,14 @@ def python_structure(facts: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.coalesce(F.col("loads"), F.array().cast("array<string>"))).alias("fs"))
     base = facts.groupBy("idx", "model").agg(
         (F.count_if(k.isin("SyntaxError", "ParseError")) == 0).alias("parses"),
+        (F.count_if(k == "ParseError") > 0).alias("unparsable"),
         F.count_distinct(F.when(((k == "alias") & (F.col("parent_kind") == "Import")) | (k == "ImportFrom"),
                                 F.col("name"))).alias("ce"),
         F.count_if(k == "ClassDef").alias("n_classes"))
     per_class = m.select("idx", "model", F.size("ms").alias("n_methods"), _disjoint_share(F.col("ms"), 0.0).alias("lcom2"))
     cls_agg = per_class.groupBy("idx", "model").agg(F.sum("n_methods").alias("class_methods"), F.sum("lcom2").alias("lcom2_sum"))
     out = base.join(cls_agg, ["idx", "model"], "left").join(f, ["idx", "model"], "left")
-    return out.select("idx", "model", "parses", "ce", "n_classes", F.coalesce("class_methods", F.lit(0)).alias("class_methods"),
+    return out.select("idx", "model", "parses", "unparsable", "ce", "n_classes", F.coalesce("class_methods", F.lit(0)).alias("class_methods"),
                       F.when(F.col("n_classes") > 0, F.coalesce("lcom2_sum", F.lit(0.0)) / F.col("n_classes"))
                       .otherwise(_disjoint_share(F.coalesce(F.col("fs"), F.array().cast("array<array<string>>")), 0.3))
                       .alias("lcom2"))
@@ -144,23 +168,24 @@ def lcom2_band(v: Column) -> Column:
 
 def score_modularity(responses: DataFrame) -> DataFrame:
     inp = modularity_inputs(responses)
-    py = inp.filter((F.col("lang") == "python") & (F.col("code") != "")).select("idx", "model", "code")
+    py = inp.filter((F.col("lang") == "python") & (F.col("code") != "")).select("idx", "model", F.col("parsed_code").alias("code"))
     checkpoint_dir(responses.sparkSession)
     st = python_structure(code_facts(py).checkpoint())  # five aggregations read the facts; the trees are walked once
     j = inp.select("idx", "pos", "model", "programming_language", "lang", (F.col("code") == "").alias("no_code"),
-                   "factor", "java_ce", "cpp_ce", "py_regex_ce", "def_count", "api_words") \
+                   "factor", "java_ce", "cpp_ce", "py_regex_ce", "def_count", "api_words", "feature_ce", "feature_ca", "feature_lcom2") \
         .join(st, ["idx", "model"], "left")
     lg = F.col("lang")
     parsed = (lg == "python") & F.coalesce(F.col("parses"), F.lit(False))
+    guessed = (lg == "python") & F.coalesce(F.col("unparsable"), F.lit(False))
     methods = F.when(F.col("n_classes") > 0, F.col("class_methods")).otherwise(F.col("def_count"))
     ca_py = F.greatest(F.lit(1), F.lit(4) + F.when(F.col("n_classes") > 2, F.col("n_classes")).otherwise(0)
                        + F.when(methods > 5, F.least(F.floor(methods / 3), F.lit(5))).otherwise(0)
                        + F.when(F.col("api_words"), 2).otherwise(0))
-    ce = (F.when(parsed, F.col("ce")).when(lg == "python", F.when(F.col("py_regex_ce") > 0, F.col("py_regex_ce"))
+    ce = (F.when(parsed, F.col("ce")).when(guessed, F.col("feature_ce")).when(lg == "python", F.when(F.col("py_regex_ce") > 0, F.col("py_regex_ce"))
                                            .otherwise(FALLBACK_CE))
           .when(lg == "java", F.col("java_ce")).otherwise(F.col("cpp_ce")))
-    ca = F.when(parsed, ca_py).when(lg == "python", F.lit(FALLBACK_CA)).when(lg == "java", F.lit(6)).otherwise(F.lit(4))
-    lcom = (F.when(parsed, F.col("lcom2")).when(lg == "python", F.lit(FALLBACK_LCOM2))
+    ca = F.when(parsed, ca_py).when(guessed, F.col("feature_ca")).when(lg == "python", F.lit(FALLBACK_CA)).when(lg == "java", F.lit(6)).otherwise(F.lit(4))
+    lcom = (F.when(parsed, F.col("lcom2")).when(guessed, F.col("feature_lcom2")).when(lg == "python", F.lit(FALLBACK_LCOM2))
             .when(lg == "java", F.lit(0.3)).otherwise(F.lit(0.4)))
     base = ce_band(ce) * 0.4 + ca_band(ca) * 0.2 + lcom2_band(lcom) * 0.4
     total = F.greatest(F.lit(10.0), F.least(F.lit(30.0), F.round(base * 6 * F.col("factor"), 1)))

@@ -565,6 +565,20 @@ def _sql_code_block() -> str:
     return f"(SELECT CASE WHEN b.best > 0 THEN array_to_string(list_slice({ls}, b.best, b.best + b.n - 1), {N}) END FROM (SELECT {found} AS b))"
 
 
+def _sql_repaired(x: str) -> str:
+    """A fold whose state is the open quote and the lines kept so far."""
+    triple = "regexp_matches(x.line, '(?:\"{3}|''{3})\\s*$')"
+    quote = "list_reduce(list_concat([a.open], regexp_extract_all(x.line, '(\\\\?[''\"])', 1)), lambda s, t: CASE WHEN s = '' THEN right(t, 1) WHEN s = t THEN '' ELSE s END)"
+    keep = f"({quote} = '' OR {triple})"
+    kind = "STRUCT(line VARCHAR, open VARCHAR, kept VARCHAR[])"
+    rows = f"list_concat([CAST({{'line': '', 'open': '', 'kept': []}} AS {kind})], list_transform(string_split({x}, {N}), lambda l: CAST({{'line': l, 'open': '', 'kept': []}} AS {kind})))"
+    step = f"CAST({{'line': '', 'open': CASE WHEN {keep} THEN {quote} ELSE '' END, 'kept': CASE WHEN {keep} THEN list_append(a.kept, x.line) ELSE a.kept END}} AS {kind})"
+    text = f"array_to_string(list_reduce({rows}, lambda a, x: {step}).kept, {N})"
+    count = lambda chars: f"(length(t) - length(regexp_replace(t, '[{chars}]', '', 'g')))"
+    opening, closing = count("(\\[{"), count(")\\]}")
+    return f"(SELECT t || repeat(')', CAST(greatest(0, {opening} - {closing}) AS BIGINT)) FROM (SELECT {text} AS t))"
+
+
 def modularity_inputs() -> str:
     from gradewell.plans.modularity import API_WORDS, CPP_INCLUDE, JAVA_IMPORT, MOD_ALIASES, MOD_FENCES, PY_IMPORT_RE
     alias = ("CASE WHEN lower(coalesce(programming_language, '')) = '' THEN 'python' ELSE CASE lower(programming_language) "
@@ -581,20 +595,32 @@ def modularity_inputs() -> str:
     factor = (f"(CASE WHEN len({cl}) < 20 THEN 0.85 WHEN len({cl}) > 100 THEN 1.05 ELSE 1.0 END) "
               f"* (CASE WHEN {mi} > 16 THEN 0.95 ELSE 1.0 END) "
               f"* (CASE WHEN {funcs} > 5 OR {classes} > 2 THEN 1.08 WHEN {funcs} <= 1 AND {classes} = 0 THEN 0.9 ELSE 1.0 END)")
-    py_imp = (f"list_distinct(list_filter(list_concat(regexp_extract_all(code, {q(PY_IMPORT_RE)}, 1), "
-              f"regexp_extract_all(code, {q(PY_IMPORT_RE)}, 2)), lambda x: x <> ''))")
+    py_imp = (f"list_distinct(list_filter(list_concat(regexp_extract_all(parsed_code, {q(PY_IMPORT_RE)}, 1), "
+              f"regexp_extract_all(parsed_code, {q(PY_IMPORT_RE)}, 2)), lambda x: x <> ''))")
+    fn, cn = (f"len(regexp_extract_all(parsed_code, {q(unicode_words(p))}, 0))" for p in (r"def\s+\w+\s*\(", r"class\s+\w+"))
+    lcom2 = f"CASE WHEN {cn} = 0 THEN 0.4 + {fn} / 20 WHEN {fn} / {cn} < 3 THEN 0.2 ELSE 0.3 + {fn} / {cn} / 20 END"
     return oracle_with(f"""
 mod_l AS (SELECT *, {_sql_code_block()} AS block, {_sql_without_markup("coalesce(response, '')")} AS loose FROM responses),
 mod_s AS (SELECT *, length({sql_strip("loose")}) > 30 AND {_sql_code_signs("loose")} >= 3 AS signs FROM mod_l),
-mod_c AS (SELECT idx, pos, model, programming_language, {alias} AS lang, {code} AS code FROM mod_s)""") + f"""
+mod_x AS (SELECT idx, pos, model, programming_language, {alias} AS lang, {code} AS code FROM mod_s),
+mod_c AS (SELECT *, CASE WHEN lang = 'python' THEN {_sql_repaired("code")} ELSE code END AS parsed_code FROM mod_x)""") + f"""
 SELECT *, round(CAST({factor} AS DOUBLE), 6) AS factor,
   CAST(len(list_distinct(regexp_extract_all(code, {q(JAVA_IMPORT)}, 1))) AS BIGINT) AS java_ce,
   CAST(len(list_distinct(regexp_extract_all(code, {q(CPP_INCLUDE)}, 1))) AS BIGINT) AS cpp_ce,
   CAST(len({py_imp}) AS BIGINT) AS py_regex_ce,
-  CAST({funcs} AS BIGINT) AS def_count, regexp_matches(code, {q(API_WORDS)}) AS api_words
+  CAST(len(regexp_extract_all(parsed_code, 'def\\s+\\w+\\s*\\(', 0)) AS BIGINT) AS def_count, regexp_matches(parsed_code, {q(API_WORDS)}) AS api_words,
+  CAST(CASE WHEN len({py_imp}) > 0 THEN len({py_imp}) ELSE greatest(1, least(15, len(string_split(parsed_code, {N})) // 20)) END AS BIGINT) AS feature_ce,
+  CAST(4 + CASE WHEN {cn} > 0 THEN least(2 * {cn}, 6) ELSE 0 END + CASE WHEN {fn} > 3 THEN least({fn} // 2, 4) ELSE 0 END AS BIGINT) AS feature_ca,
+  round(CAST(greatest(0.1, least(0.9, {lcom2})) AS DOUBLE), 6) AS feature_lcom2
 FROM mod_c"""
 
 
+def balance_repair() -> str:
+    n = lambda x: f"len(string_split({x}, {N}))"
+    return f"""SELECT idx, model, parsed_code, CAST({n("code")} AS BIGINT) AS code_lines, CAST({n("code")} - {n("parsed_code")} AS BIGINT) AS dropped_lines,
+  CAST(length(parsed_code) - length(rtrim(parsed_code, ')')) AS BIGINT) AS closing_brackets FROM ({modularity_inputs()}) WHERE lang = 'python'"""
+
+
 TASKS = "SELECT idx, max(programming_language) AS programming_language, max(instruction) AS instruction, count(*) AS n FROM responses GROUP BY idx"
 
 

@@ -92,6 +92,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "score_functionality": (_fun_score, O.score_functionality),
     "test_case_plan": (_on_tasks(FUN.test_case_plan), O.test_case_plan),
     "modularity_inputs": (_on_responses(MOD.modularity_inputs), O.modularity_inputs),
+    "balance_repair": (_on_responses(MOD.balance_repair), O.balance_repair),
     "score_modularity": (_on_responses(MOD.score_modularity), None),
     "scorecard": (SC.scorecard, None),
     "model_ranking": (SC.model_ranking, None),

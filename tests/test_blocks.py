@@ -110,3 +110,26 @@ def test_hard_shapes_take_linear_time(spark):
     t0 = time.time()
     assert len(COM.comment_metrics(rows).collect()) == len(M.modularity_inputs(rows).collect()) == len(shapes)
     assert time.time() - t0 < 150
+
+
+def repair_model(code):
+    kept, balance, state = [], 0, ""
+    for line in code.split("\n"):
+        for j, c in enumerate(line):
+            if not state and c in "'\"":
+                state = c
+            elif state == c and (j == 0 or line[j - 1] != "\\"):
+                state = ""
+        if state and not line.strip().endswith(('"""', "'''")):
+            state = ""
+            continue
+        balance += sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}")
+        kept.append(line)
+    return "\n".join(kept) + ")" * max(0, balance)
+
+
+def test_repair_equals_the_loop(spark):
+    parts = ['"""', "'''", '"', "'", "\\", "\n", "\n", "x = f(", ")", "[", "}", "def g(a):", "  ", "word "]
+    rows = texts(13, parts, 3000, 16) + ['"""a"""\n' * 300 + "'", ""]
+    for r in frame(spark, rows).select("t", B.repaired(F.col("t")).alias("r")).collect():
+        assert r["r"] == repair_model(r["t"]), repr(r["t"])
