@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradewell.functions.text import NL, before_last, let, lines, nonempty, splitlines, strip
 from gradewell.operators.explode import regroup
 from gradewell.operators.extract import from_first, paragraphs
+from gradewell.operators.guards import graded
 from gradewell.operators.rules import COM_BLOCKLIST
 
 # Language aliases of the comment scorer (alias -> family).
@@ -231,13 +232,15 @@ def comment_ratio(responses: DataFrame) -> DataFrame:
     return m.select("*", F.round(ccrs(F.col("comment_lines"), F.col("total_lines")), 6).alias("ccrs"))
 
 
-def score_comment(responses: DataFrame) -> DataFrame:
+def graded_comment(responses: DataFrame) -> DataFrame:
     m = comment_metrics(responses)
     raw = F.round((F.lit(0.7) * F.col("cic") + F.lit(0.3) * F.col("cls")) * 30, 1)
-    score = (F.when(F.col("idx").isin(*COM_BLOCKLIST), 0.0)
-             .when(~nonempty(F.col("code")), 0.0).otherwise(raw))
-    return m.select("idx", "pos", "model", F.coalesce(F.col("programming_language"), F.lit("python"))
-                    .alias("programming_language"), score.alias("score"))
+    rungs = [("skipped_task", F.col("idx").isin(*COM_BLOCKLIST), 0.0), ("no_code", ~nonempty(F.col("code")), 0.0)]
+    return m.select("idx", "pos", "model", F.coalesce(F.col("programming_language"), F.lit("python")).alias("programming_language"), *graded(rungs, raw))
+
+
+def score_comment(responses: DataFrame) -> DataFrame:
+    return graded_comment(responses).drop("reason", "raw")
 
 
 def comment_report(responses: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradewell.functions.text import NL, count_sub, lines, strip
 from gradewell.operators.explode import regroup
 from gradewell.operators.facts import code_facts, efficiency_facts
+from gradewell.operators.guards import graded
 from gradewell.operators.rules import EFF_BLOCKLIST
 
 # Regexes of the Java / C++ analyzers (Python spelling).
@@ -113,7 +114,15 @@ def regex_ecc(responses: DataFrame) -> DataFrame:
                       ecc_score(F.col("ecc")).alias("ecc_score"))
 
 
+def efficiency_rungs() -> list:
+    return [("skipped_task", F.col("idx").isin(*EFF_BLOCKLIST), 0.0), ("error_response", F.col("is_error"), 0.0), ("no_code", F.col("no_code"), 0.0)]
+
+
 def score_efficiency(responses: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    return graded_efficiency(responses, facts).drop("reason", "raw")
+
+
+def graded_efficiency(responses: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Final score. Python answers join their syntax facts; unknown languages score 30."""
     inp = efficiency_inputs(responses)
     if facts is None:
@@ -132,12 +141,9 @@ def score_efficiency(responses: DataFrame, facts: DataFrame | None = None) -> Da
            .when(a == "cpp", F.col("cpp_methods") + F.col("regex_statements") + F.col("regex_max_inputs") + F.col("cpp_outputs"))
            .otherwise(F.lit(0)))
     ecc = F.when(F.col("loc") == 0, F.lit(0.0)).otherwise(num / F.col("loc"))
-    score = (F.when(F.col("idx").isin(*EFF_BLOCKLIST), 0.0).when(F.col("is_error"), 0.0)
-             .when(F.col("no_code"), 0.0)
-             .when((a == "python") & ~F.coalesce(F.col("parses"), F.lit(False)), 0.0)
-             .otherwise(ecc_score(ecc)))
-    return j.select("idx", "pos", "model", F.coalesce(F.col("programming_language"), F.lit("python"))
-                    .alias("programming_language"), score.alias("score"))
+    rungs = [*efficiency_rungs(), ("unparsable", (a == "python") & ~F.coalesce(F.col("parses"), F.lit(False)), 0.0)]
+    return j.select("idx", "pos", "model", F.coalesce(F.col("programming_language"), F.lit("python")).alias("programming_language"),
+                    *graded(rungs, ecc_score(ecc)))
 
 
 def efficiency_report(responses: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradewell.functions.text import NL, lines, nonempty, strip
 from gradewell.operators.explode import KNOWN_MODELS, explode_models
+from gradewell.operators import guards
+from gradewell.operators.guards import graded
 from gradewell.operators.rules import FUN_BLOCKLIST
 from gradewell.sources.tables import read_table
 
@@ -146,6 +148,18 @@ def pass_rates(outcomes: DataFrame) -> DataFrame:
 
 
 def score_functionality(tasks: DataFrame, semantic: DataFrame, outcomes: DataFrame) -> DataFrame:
+    return graded_functionality(tasks, semantic, outcomes).drop("reason", "raw")
+
+
+def task_rungs(guard: Column) -> list:
+    return [("skipped_task", F.col("idx").isin(*FUN_BLOCKLIST), 0.0), ("guarded_instruction", guard, 15.0)]
+
+
+def answer_rungs(x) -> list:
+    return [("no_code", ~x["has_code"], 0.0), ("division_by_zero", x["divzero"], 10.0), ("too_long", x["too_long"], 10.0)]
+
+
+def graded_functionality(tasks: DataFrame, semantic: DataFrame, outcomes: DataFrame) -> DataFrame:
     comp = functionality_components(tasks)
     rates = pass_rates(outcomes)
     j = comp.join(semantic, ["idx", "model"], "left").join(rates, ["idx", "model"], "left")
@@ -161,27 +175,27 @@ def score_functionality(tasks: DataFrame, semantic: DataFrame, outcomes: DataFra
         return F.coalesce(F.try_element_at(seen, F.lit(-1)), F.col("task_lang"))
 
     scored = F.transform(F.col("e"), lambda x, i: F.struct(x["pos"].alias("pos"), x["model"].alias("model"),
-                                                           _score(x, carried(i)).alias("score")))
+                                                           *graded(answer_rungs(x), _measured(x, carried(i)))))
     all_seen = F.filter(dets, lambda d: d.isNotNull())
     task_lang = F.coalesce(F.try_element_at(all_seen, F.lit(-1)), F.col("task_lang"))
     # Fixed-score tasks keep the task language; scored tasks report the last carried one.
     lang_out = F.when(F.col("idx").isin(*FUN_BLOCKLIST) | F.col("instr_guard"), F.col("task_lang")).otherwise(task_lang)
     out = g.select("idx", lang_out.alias("programming_language"), F.col("instr_guard"), F.explode(scored).alias("s"))
-    out = out.withColumn("task_lang", F.col("task_lang")) if "task_lang" in out.columns else out
-    score = (F.when(F.col("idx").isin(*FUN_BLOCKLIST), 0.0).when(F.col("instr_guard"), 15.0).otherwise(F.col("s.score")))
-    return out.select("idx", F.col("s.pos").alias("pos"), F.col("s.model").alias("model"),
-                      "programming_language", score.alias("score"))
+    rungs = task_rungs(F.col("instr_guard"))
+    first = guards.reason(rungs)
+    return out.select("idx", F.col("s.pos").alias("pos"), F.col("s.model").alias("model"), "programming_language",
+                      guards.score(rungs, F.col("s.score")).alias("score"),
+                      F.when(first == guards.SCORED, F.col("s.reason")).otherwise(first).alias("reason"), F.col("s.raw").alias("raw"))
 
 
-def _score(x, lang: Column) -> Column:
+def _measured(x, lang: Column) -> Column:
     danger = (F.when(lang == "python", x["danger_python"]).when(lang == "cpp", x["danger_cpp"])
               .when(lang == "java", x["danger_java"]).otherwise(F.lit(False)))
     runnable = lang.isin("python", "cpp", "c++", "java") & ~danger
     test = F.when(runnable, F.coalesce(x["pass_rate"], F.lit(0.0))).otherwise(F.lit(0.0))
     ran = F.when(runnable, F.coalesce(x["ran"], F.lit(False))).otherwise(F.lit(False)).cast("double")
     cov = F.when((lang == "python") & ~x["coverage_danger"], F.lit(0.5)).otherwise(F.lit(0.0))
-    raw = F.round((F.lit(0.4) * x["semantic"] + F.lit(0.3) * test + F.lit(0.2) * cov + F.lit(0.1) * ran) * 30, 1)
-    return (F.when(~x["has_code"], 0.0).when(x["divzero"], 10.0).when(x["too_long"], 10.0).otherwise(raw))
+    return F.round((F.lit(0.4) * x["semantic"] + F.lit(0.3) * test + F.lit(0.2) * cov + F.lit(0.1) * ran) * 30, 1)
 
 
 def test_case_plan(tasks: DataFrame) -> DataFrame:

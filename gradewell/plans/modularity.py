@@ -16,6 +16,7 @@ from gradewell.functions.text import let, lines, strip
 from gradewell.operators.blocks import code_blocks, longest_fence, loose_text, repaired
 from gradewell.operators.explode import regroup
 from gradewell.operators.facts import code_facts
+from gradewell.operators.guards import graded
 from gradewell.session import checkpoint_dir
 
 # Fence patterns tried in order (longest match of the first that qualifies); the first
@@ -167,6 +168,14 @@ def lcom2_band(v: Column) -> Column:
 
 
 def score_modularity(responses: DataFrame) -> DataFrame:
+    return graded_modularity(responses).drop("reason", "raw")
+
+
+def modularity_rungs() -> list:
+    return [("no_code", F.col("no_code"), 0.0)]
+
+
+def graded_modularity(responses: DataFrame) -> DataFrame:
     inp = modularity_inputs(responses)
     py = inp.filter((F.col("lang") == "python") & (F.col("code") != "")).select("idx", "model", F.col("parsed_code").alias("code"))
     checkpoint_dir(responses.sparkSession)
@@ -190,7 +199,7 @@ def score_modularity(responses: DataFrame) -> DataFrame:
     base = ce_band(ce) * 0.4 + ca_band(ca) * 0.2 + lcom2_band(lcom) * 0.4
     total = F.greatest(F.lit(10.0), F.least(F.lit(30.0), F.round(base * 6 * F.col("factor"), 1)))
     return j.select("idx", "pos", "model", lg.alias("programming_language"),
-                    F.when(F.col("no_code"), F.lit(0.0)).otherwise(total).alias("score"))
+                    *graded(modularity_rungs(), total))
 
 
 def modularity_report(responses: DataFrame) -> DataFrame:

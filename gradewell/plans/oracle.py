@@ -621,6 +621,27 @@ def balance_repair() -> str:
   CAST(length(parsed_code) - length(rtrim(parsed_code, ')')) AS BIGINT) AS closing_brackets FROM ({modularity_inputs()}) WHERE lang = 'python'"""
 
 
+def score_reasons() -> str:
+    from gradewell.operators.rules import COM_BLOCKLIST, EFF_BLOCKLIST, FUN_BLOCKLIST, ROB_BLOCKLIST
+    skipped = lambda b: f"WHEN idx IN ({', '.join(map(str, b))}) THEN 'skipped_task'"
+    parts = {
+        "functionality": f"""SELECT CASE {skipped(FUN_BLOCKLIST)} WHEN bool_or(instr_guard) OVER (PARTITION BY idx) THEN 'guarded_instruction'
+            WHEN NOT has_code THEN 'no_code' WHEN divzero THEN 'division_by_zero' WHEN too_long THEN 'too_long' ELSE 'scored' END AS reason
+          FROM ({functionality_components()})""",
+        "modularity": f"SELECT CASE WHEN code = '' THEN 'no_code' ELSE 'scored' END AS reason FROM ({modularity_inputs()})",
+        "simplicity": _sim_base() + f"SELECT CASE WHEN NOT ({nonempty_sql('response')}) THEN 'empty_answer' WHEN code = '' THEN 'no_code' ELSE 'scored' END AS reason FROM sim_s",
+        "standardization": _std_base() + """SELECT CASE WHEN code = '' THEN 'no_code' ELSE 'scored' END AS reason FROM std_scored
+          UNION ALL SELECT 'empty_answer' FROM responses WHERE response IS NULL OR response = ''""",
+        "robustness": f"""SELECT CASE {skipped(ROB_BLOCKLIST)} WHEN code = '' THEN 'no_code' WHEN too_short THEN 'too_short'
+            WHEN lang = 'unknown' THEN 'unknown_language' ELSE 'scored' END AS reason FROM ({robustness_components()})""",
+        "efficiency": f"""SELECT CASE {skipped(EFF_BLOCKLIST)} WHEN coalesce(starts_with(response, 'Error:'), false) THEN 'error_response'
+            WHEN code = '' THEN 'no_code' ELSE 'scored' END AS reason FROM ({efficiency_inputs()})""",
+        "comment": f"SELECT CASE {skipped(COM_BLOCKLIST)} WHEN code IS NULL OR code = '' THEN 'no_code' ELSE 'scored' END AS reason FROM ({comment_metrics()})",
+    }
+    return "SELECT dimension, reason, count(*) AS n_answers FROM (" + " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, reason FROM ({x})" for d, x in parts.items()) + ") GROUP BY ALL"
+
+
 TASKS = "SELECT idx, max(programming_language) AS programming_language, max(instruction) AS instruction, count(*) AS n FROM responses GROUP BY idx"
 
 

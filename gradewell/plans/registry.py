@@ -15,6 +15,7 @@ from gradewell.plans import comment as COM
 from gradewell.plans import functionality as FUN
 from gradewell.plans import modularity as MOD
 from gradewell.plans import scorecard as SC
+from gradewell.plans.reasons import score_reasons
 from gradewell.sources import jsonl as J
 from gradewell.operators.explode import dedupe_last, explode_models, regroup, tasks_from_responses
 from gradewell.sources.corpus import responses, case_outcomes
@@ -94,6 +95,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "modularity_inputs": (_on_responses(MOD.modularity_inputs), O.modularity_inputs),
     "balance_repair": (_on_responses(MOD.balance_repair), O.balance_repair),
     "score_modularity": (_on_responses(MOD.score_modularity), None),
+    "score_reasons": (score_reasons, O.score_reasons),
     "scorecard": (SC.scorecard, None),
     "model_ranking": (SC.model_ranking, None),
     "scan_lenient": (_scan_lenient, O.scan_lenient),

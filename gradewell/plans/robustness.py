@@ -10,6 +10,7 @@ from gradewell.operators.explode import regroup
 from gradewell.operators.extract import extract_rob
 from gradewell.operators.metrics import (MI_WORDS, braces_balanced, error_handling, input_validation,
                                          lang_feature_vote, mi_estimate, resource_mgmt)
+from gradewell.operators.guards import graded
 from gradewell.operators.rules import ROB_BLOCKLIST
 
 # Fixed value: the mixed-language label some task files carry.
@@ -46,8 +47,8 @@ def robustness_components(responses: DataFrame) -> DataFrame:
         mi_estimate(c, MI_WORDS["short"]).alias("mi_cpp"))
 
 
-def score_robustness(responses: DataFrame, py_facts: DataFrame | None = None,
-                     comp: DataFrame | None = None) -> DataFrame:
+def graded_robustness(responses: DataFrame, py_facts: DataFrame | None = None,
+                      comp: DataFrame | None = None) -> DataFrame:
     """Final score. ``py_facts`` (idx, model, parses, mi) supplies the Python-parse branch;
     without it every Python answer takes the syntax-error estimate."""
     comp = robustness_components(responses) if comp is None else comp
@@ -67,10 +68,17 @@ def score_robustness(responses: DataFrame, py_facts: DataFrame | None = None,
           .when(lg == "java", F.col("mi_java")).otherwise(F.col("mi_cpp")))
     rob = F.least(F.lit(50) + F.col("error_handling") + F.col("input_validation") + F.col("resource_mgmt"), F.lit(100))
     final = F.round((mi + rob) / 2 / 100 * 30, 1)
-    blocked = F.col("idx").isin(*ROB_BLOCKLIST)
-    score = (F.when(blocked, 0.0).when(F.col("no_code"), 0.0)
-             .when(F.col("too_short"), 0.0).when(lg == "unknown", 0.0).when(mi <= 0, 0.0).otherwise(final))
-    return comp.select("idx", "pos", "model", "programming_language", score.alias("score"))
+    rungs = [*robustness_rungs(), ("no_maintainability", mi <= 0, 0.0)]
+    return comp.select("idx", "pos", "model", "programming_language", *graded(rungs, final))
+
+
+def robustness_rungs() -> list:
+    return [("skipped_task", F.col("idx").isin(*ROB_BLOCKLIST), 0.0), ("no_code", F.col("no_code"), 0.0),
+            ("too_short", F.col("too_short"), 0.0), ("unknown_language", F.col("lang") == "unknown", 0.0)]
+
+
+def score_robustness(responses: DataFrame, py_facts: DataFrame | None = None, comp: DataFrame | None = None) -> DataFrame:
+    return graded_robustness(responses, py_facts, comp).drop("reason", "raw")
 
 
 def python_mi(responses: DataFrame, comp: DataFrame | None = None) -> DataFrame:

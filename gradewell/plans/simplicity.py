@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from gradewell.functions.text import nonempty
 from gradewell.operators.explode import explode_models, regroup
 from gradewell.operators.extract import extract_sim
+from gradewell.operators.guards import graded
 from gradewell.operators.metrics import cc_sim, halstead_est, loc_sim, mi_band, mi_sim
 
 
@@ -30,11 +31,14 @@ def simplicity_metrics(tasks: DataFrame) -> DataFrame:
     return r.select("*", mi_sim(F.col("loc"), F.col("cc"), F.col("hv")).alias("mi"))
 
 
-def score_simplicity(tasks: DataFrame) -> DataFrame:
+def graded_simplicity(tasks: DataFrame) -> DataFrame:
     m = simplicity_metrics(tasks)
-    ok = nonempty(F.col("response")) & (F.col("code") != "")
-    return m.select("idx", "pos", "model", "programming_language",
-                    F.when(ok, F.round(mi_band(F.col("mi")) * 6, 1)).otherwise(F.lit(0.0)).alias("score"))
+    rungs = [("empty_answer", ~nonempty(F.col("response")), 0.0), ("no_code", F.col("code") == "", 0.0)]
+    return m.select("idx", "pos", "model", "programming_language", *graded(rungs, F.round(mi_band(F.col("mi")) * 6, 1)))
+
+
+def score_simplicity(tasks: DataFrame) -> DataFrame:
+    return graded_simplicity(tasks).drop("reason", "raw")
 
 
 def simplicity_report(tasks: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradewell.functions.text import indent, lines, nonempty, strip
 from gradewell.operators.explode import regroup, flatten_known
 from gradewell.operators.extract import extract_std
+from gradewell.operators.guards import graded
 from gradewell.operators.language import lang_instruction
 from gradewell.operators.rules import STD_RULES, java_regex
 
@@ -58,15 +59,19 @@ def std_score(code: Column, lang: Column) -> Column:
     return F.when(code == "", F.lit(0.0)).otherwise((clamped * 3).cast("double"))
 
 
-def score_standardization(responses: DataFrame) -> DataFrame:
-    """Long form: idx, pos, model, programming_language, score — answers that are empty are omitted."""
+def graded_standardization(responses: DataFrame) -> DataFrame:
+    """Long form: idx, pos, model, programming_language, score, reason, raw — answers that are empty are omitted."""
     lang = lang_instruction(F.col("instruction"))
     df = (responses.filter(nonempty(F.col("response")))
           .select("idx", "pos", "model",
                   F.coalesce(F.col("programming_language"), lang).alias("programming_language"),
                   lang.alias("lang"), extract_std(F.col("response")).alias("code")))
     return df.select("idx", "pos", "model", "programming_language",
-                     std_score(F.col("code"), F.col("lang")).alias("score"))
+                     *graded([("no_code", F.col("code") == "", 0.0)], std_score(F.col("code"), F.col("lang"))))
+
+
+def score_standardization(responses: DataFrame) -> DataFrame:
+    return graded_standardization(responses).drop("reason", "raw")
 
 
 def standardization_report(responses: DataFrame) -> DataFrame:
