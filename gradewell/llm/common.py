@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,13 +75,41 @@ def bitmap(keys: DataFrame, rows: int) -> Bitmap:
     return Bitmap(bits, got["w"].to_numpy(), got["b"].to_numpy().view(np.uint64))
 
 
+LOCAL_EDGES = 1 << 20  # edges that one task joins (about 16 MB); more go by rounds over all tasks
+
+
+def _united(a: str, b: str):
+    """(node, component) of the edges that one task reads, by union-find."""
+    def run(batches):
+        parent: dict = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = parent[up]
+            return x
+        for batch in batches:
+            for u, v in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist()):
+                u, v = root(u), root(v)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+        nodes = list(parent)
+        for i in range(0, max(1, len(nodes)), 1 << 16):
+            own = nodes[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([root(x) for x in own], pa.int64())], ["node", "component"])
+    return run
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list as (node, component), component
-    being the smallest node. Alternating large-star and small-star rounds; each round
+    being the smallest node. Up to LOCAL_EDGES distinct edges are joined by one task; beyond that,
+    alternating large-star and small-star rounds go over all tasks; each round
     aggregates minima (map-side combined) and joins them back, so a hub's neighbours
     are never gathered. Nulls and self loops are ignored; no edges give no rows."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut(e)
+    if e.count() <= LOCAL_EDGES:
+        return cut(e.coalesce(1).mapInArrow(_united("u", "v"), "node long, component long"))
     last = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -70,7 +70,9 @@ def test_jaccard_keeps_one(edge, empty):
     assert jaccard.keep_one(empty).count() == 0
 
 
-def test_components(spark, empty):
+@pytest.mark.parametrize("local", [1 << 20, 0])
+def test_components(spark, empty, monkeypatch, local):
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
     common.cut(spark.range(1))
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (2, 2), (7, None), (10, 9), (10, 9)], "a long, b long")
     assert sorted(map(tuple, common.components(edges).collect())) == [(2, 2), (3, 2), (4, 2), (5, 2), (8, 8), (9, 8), (10, 8)]
@@ -277,9 +279,10 @@ def family_texts(seed, families, members):
     return out
 
 
-@pytest.mark.parametrize("n,percent,block,whole", [(3, 90, 8192, 1 << 24), (3, 90, 17, 9000), (5, 80, 40, 1 << 24), (2, 50, 60, 20000)])
-def test_join_equals_brute_force(spark, monkeypatch, n, percent, block, whole):
+@pytest.mark.parametrize("n,percent,block,whole,local", [(3, 90, 8192, 1 << 24, 1 << 20), (3, 90, 17, 9000, 1 << 20), (5, 80, 40, 1 << 24, 0), (2, 50, 60, 20000, 1 << 20)])
+def test_join_equals_brute_force(spark, monkeypatch, n, percent, block, whole, local):
     monkeypatch.setattr(jaccard, "WHOLE", whole)
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
     texts = dict(enumerate(family_texts(n * percent, 36, 40)))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in jaccard.classes(df, n, percent, block).collect()}
