@@ -666,6 +666,11 @@ def scan_counts() -> str:
   CAST(0 AS BIGINT) AS bad_shape, count(*) AS ok FROM ({TASKS})"""
 
 
+def completeness_check() -> str:
+    return oracle_with() + f"""SELECT count(*) AS lines_read, count(*) AS valid_tasks, count(n) AS rows_written,
+  count(*) - count(n) AS missing, count(*) = count(n) AS complete FROM ({TASKS})"""
+
+
 def comment_ratio() -> str:
     total = f"CASE WHEN code IS NULL THEN 0 ELSE len({_sql_splitlines('code')}) END"
     return f"""SELECT idx, model, comment_lines, total_lines, {sql_round("CASE WHEN total_lines = 0 THEN 0.0 WHEN r < 0.2 THEN power(r / 0.2, 3.0) WHEN r <= 0.3 THEN 1.0 ELSE exp(-5 * (r - 0.3)) END", 6)} AS ccrs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from gradewell.plans.reasons import score_reasons
 from gradewell.sources import jsonl as J
 from gradewell.operators.explode import dedupe_last, explode_models, regroup, tasks_from_responses
 from gradewell.sources.corpus import responses, case_outcomes
+from gradewell.session import scratch_path
 from gradewell.sources.tables import read_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +76,11 @@ def _scan_lenient(spark, sf_dir):
     return t.select("index", "programming_language", "instruction", F.size("results").alias("n_models"))
 
 
+def _completeness(spark, sf_dir):
+    path = scratch_path(spark, f"completeness-{uuid.uuid4().hex[:12]}")
+    return J.completeness(_corpus_lines(spark, sf_dir), SIM.simplicity_report, path)
+
+
 REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "responses": (lambda spark, sf: responses(spark, sf),
                   lambda: O.oracle_with() + "SELECT * FROM responses"),
@@ -100,6 +107,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "model_ranking": (SC.model_ranking, None),
     "scan_lenient": (_scan_lenient, O.scan_lenient),
     "scan_quarantine": (lambda spark, sf: J.scan_counts(_corpus_lines(spark, sf)), O.scan_counts),
+    "completeness_check": (_completeness, O.completeness_check),
     "comment_metrics": (_on_responses(COM.comment_metrics), O.comment_metrics),
     "comment_ratio": (_on_responses(COM.comment_ratio), O.comment_ratio),
     "regex_ecc": (_on_responses(EFF.regex_ecc), O.regex_ecc),

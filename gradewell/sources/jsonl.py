@@ -8,7 +8,9 @@ VARIANT parse only to tell malformed JSON from valid JSON.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
+
+from gradewell.session import checkpoint_dir
 
 TASK_SCHEMA = T.StructType([
     T.StructField("index", T.StringType()), T.StructField("id", T.StringType()),
@@ -26,9 +28,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_line_ordinal(lines: DataFrame) -> DataFrame:
-    """0-based line position (for keys that are missing); zipWithIndex needs no global sort."""
-    schema = T.StructType(lines.schema.fields + [T.StructField("line_no", T.LongType())])
-    return lines.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])).toDF(schema)
+    """Adds ``line_no``, the 0-based place of each line (for keys that are missing): in file order for a scan
+    of files, whose splits may be read in any order; in partition order otherwise.
+
+    Two phases, both in the JVM: lines are counted by split, the counts are added up in file order (one row a
+    split), and a line's place within its split is added. Nothing is sorted but the splits."""
+    names = lines.columns
+    place = F.monotonically_increasing_id()
+    if "_metadata" in lines._jdf.queryExecution().analyzed().metadataOutput().toString():
+        rows = lines.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), place.alias("_row"))
+    else:  # no files below: the partitions are the splits, fixed by a checkpoint
+        checkpoint_dir(lines.sparkSession)
+        rows = lines.checkpoint().select(*names, F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_from"), place.alias("_row"))
+    split = ["_file", "_from"]
+    count = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1))
+    start = count.select(*split, "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(start, split).select(*names, (F.col("_before") + F.col("_row") - F.col("_first")).alias("line_no"))
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -56,8 +72,12 @@ def index_json(js: Column) -> Column:
 
 def scan_lenient(lines: DataFrame) -> DataFrame:
     """Valid task rows only: idx (index, else id, else line number), language field, instruction, results."""
-    c = classify(lines if "line_no" in lines.columns else with_line_ordinal(lines)).filter(F.col("reason") == "ok")
-    p = F.col("parsed")
+    return tasks_of(classify(lines if "line_no" in lines.columns else with_line_ordinal(lines)).filter(F.col("reason") == "ok"))
+
+
+def tasks_of(classified: DataFrame) -> DataFrame:
+    """Task rows of classified lines."""
+    c, p = classified, F.col("parsed")
     lang = F.coalesce(p["programming_language"], p["language"], p["code_language"])
     return c.select(F.coalesce(p["index"], p["id"], F.col("line_no").cast("string")).alias("index"),
                     F.lower(lang).alias("programming_language"),
@@ -118,3 +138,19 @@ def sink_jsonl(regrouped: DataFrame, path: str, mode: str = "overwrite") -> None
 def preview(lines: DataFrame, n: int = 10, width: int = 100) -> DataFrame:
     """First lines, cut to ``width`` characters (a limit is the feature here)."""
     return lines.limit(n).select(F.substring("value", 1, width).alias("value"))
+
+
+def completeness(lines: DataFrame, plan, path: str, mode: str = "overwrite") -> DataFrame:
+    """Score the valid tasks of ``lines`` by ``plan`` (tasks -> one row a task), write them to ``path`` and
+    compare what went in with what came out: lines_read, valid_tasks, rows_written, missing, complete. The counts
+    are observed on both ends of the one job that writes; nothing is read again."""
+    read, written = Observation(), Observation()
+    classified = classify(with_line_ordinal(lines))
+    ok = F.col("reason") == "ok"
+    tasks = tasks_of(classified.observe(read, F.count(F.lit(1)).alias("lines"), F.count_if(ok).alias("tasks")).filter(ok))
+    out = result_lines(plan(tasks.withColumnRenamed("index", "idx"))).observe(written, F.count(F.lit(1)).alias("rows"))
+    out.write.mode(mode).text(path)
+    n, rows = read.get, written.get["rows"]
+    return lines.sparkSession.createDataFrame(
+        [(n["lines"], n["tasks"], rows, n["tasks"] - rows, n["tasks"] == rows)],
+        "lines_read long, valid_tasks long, rows_written long, missing long, complete boolean")
