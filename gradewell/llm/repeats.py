@@ -140,7 +140,8 @@ def _anchor_rows(length: int, gram: int):
         for b in K.slices(batches):
             data, off = K.buffer(b.column("text"))
             h, doc, at, _, _, right, left = anchors(data, off, length, gram)
-            a, prints, names = h.view(np.int64), (right << 16) | left, b.column("d").to_numpy()
+            # half of the hash will do to bring anchors together: a clash has to hit a print, too, and only adds work
+            a, prints, names = (h >> np.uint64(32)).astype(np.int64), (right << 16) | left, b.column("d").to_numpy()
             sent = shared(a, prints)
             many = np.flatnonzero(sent)
             _, first = np.unique(K.mix(h[many]) ^ prints[many].astype(np.uint64), return_index=True)
@@ -356,25 +357,28 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     return records.repartition(n, "a", spread).sortWithinPartitions("a", "suffix").mapInArrow(_spans(length), "d long, span long")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a number d of each document, in the order of the ids. Ids that are unique are
-    their own numbers; else rows are numbered by (doc_id, hash of the text), nulls first."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = own.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+def numbered(docs: DataFrame):
+    """(d, text) with a number d of each document, in the order of the ids, and (d, doc_id) or None: ids that
+    are unique are their own numbers; else rows are numbered by (doc_id, hash of the text), nulls first."""
+    own = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
+    n = own.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("d").alias("ids")).first()
     if n["rows"] == n["ids"]:
-        return own.withColumn("d", F.col("doc_id"))
-    own = own.withColumn("id", F.struct(F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h")))
+        return own, None
+    own = own.select("text", F.struct(F.col("d").isNotNull().alias("named"), F.coalesce("d", F.lit(0)).alias("id"), F.xxhash64("text").alias("h")).alias("id"))
     order = store(own.select("id").distinct().repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id")
                   .select("id", F.monotonically_increasing_id().alias("d")), "numbers")
-    return own.join(order, "id").select("doc_id", "text", "d")
+    return own.join(order, "id").select("d", "text"), order.select("d", F.when(F.col("id.named"), F.col("id.id")).alias("doc_id"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row."""
-    own = numbered(docs)
-    spans = repeat_spans(own.select("d", "text"), length, gram).groupBy("d").agg(F.collect_list("span").alias("spans"))
-    return own.join(spans, "d", "left").select("doc_id", "text", "spans").mapInArrow(  # the texts' exchange serves both joins
+    own, names = numbered(docs)
+    spans = repeat_spans(own, length, gram).groupBy("d").agg(F.collect_list("span").alias("spans"))
+    out = own.join(spans, "d", "left").select(F.col("d").alias("doc_id"), "text", "spans").mapInArrow(  # the texts' exchange serves both joins
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    if names is None:
+        return out
+    return out.withColumnRenamed("doc_id", "d").join(names, "d").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def op6_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
