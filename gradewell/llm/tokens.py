@@ -17,8 +17,8 @@ import numpy as np
 from gradewell.llm import kernels as K
 
 BATCH = 6 << 20
-KNOWN = 800_000  # distinct spans remembered between batches
-WORDS = 150_000  # of their parts
+KNOWN = 400_000  # distinct spans remembered between batches
+WORDS = 100_000  # of their parts
 
 
 def byte_symbols() -> list[str]:
