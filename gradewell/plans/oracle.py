@@ -666,6 +666,15 @@ def scan_counts() -> str:
   CAST(0 AS BIGINT) AS bad_shape, count(*) AS ok FROM ({TASKS})"""
 
 
+def answer_kinds() -> str:
+    return oracle_with() + """SELECT idx, CAST(pos AS INTEGER) AS pos, model,
+  CASE WHEN s = 0 AND response IS NULL THEN 'null' WHEN s = 0 THEN 'text' WHEN s <= 3 THEN 'object' WHEN s = 4 THEN 'number' ELSE 'list' END AS kind,
+  CASE WHEN s <= 2 THEN response WHEN s = 4 AND length(response) > 0 THEN CAST(length(response) AS VARCHAR)
+    WHEN s = 5 THEN '[' || idx || ',' || pos || ']' END AS unwrapped,
+  CASE WHEN s = 0 THEN response END AS text
+FROM (SELECT *, (idx + pos) % 6 AS s FROM responses)"""
+
+
 def completeness_check() -> str:
     return oracle_with() + f"""SELECT count(*) AS lines_read, count(*) AS valid_tasks, count(n) AS rows_written,
   count(*) - count(n) AS missing, count(*) = count(n) AS complete FROM ({TASKS})"""

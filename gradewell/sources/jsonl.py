@@ -75,14 +75,14 @@ def scan_lenient(lines: DataFrame) -> DataFrame:
     return tasks_of(classify(lines if "line_no" in lines.columns else with_line_ordinal(lines)).filter(F.col("reason") == "ok"))
 
 
-def tasks_of(classified: DataFrame) -> DataFrame:
-    """Task rows of classified lines."""
+def tasks_of(classified: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Task rows of classified lines, with the columns to ``keep``."""
     c, p = classified, F.col("parsed")
     lang = F.coalesce(p["programming_language"], p["language"], p["code_language"])
     return c.select(F.coalesce(p["index"], p["id"], F.col("line_no").cast("string")).alias("index"),
                     F.lower(lang).alias("programming_language"),
                     instruction_of(p).alias("instruction"),
-                    p["results"].alias("results"), "line_no")
+                    p["results"].alias("results"), "line_no", *(keep or []))
 
 
 def scan_strict(lines: DataFrame) -> DataFrame:
