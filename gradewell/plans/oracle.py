@@ -666,6 +666,30 @@ def scan_counts() -> str:
   CAST(0 AS BIGINT) AS bad_shape, count(*) AS ok FROM ({TASKS})"""
 
 
+def task_keys() -> str:
+    from gradewell.operators.rules import COM_BLOCKLIST, EFF_BLOCKLIST, FUN_BLOCKLIST, ROB_BLOCKLIST
+    skips = {"functionality": FUN_BLOCKLIST, "efficiency": EFF_BLOCKLIST, "comment": COM_BLOCKLIST, "robustness": ROB_BLOCKLIST}
+    missing = {"item": ("'number'", "CAST(item_no AS VARCHAR)"), "none": ("'null'", "CAST(NULL AS VARCHAR)"), "zero": ("'number'", "'0'")}
+    parts = []
+    for d, policy in (("functionality", "item"), ("efficiency", "item"), ("comment", "item"), ("modularity", "line"),
+                      ("robustness", "none"), ("simplicity", "none"), ("standardization", "zero")):
+        if policy == "line":
+            kind = "CASE s WHEN 0 THEN 'number' WHEN 1 THEN 'text' WHEN 2 THEN 'text' ELSE 'number' END"
+            key = "CASE s WHEN 0 THEN i WHEN 1 THEN i WHEN 2 THEN 'MERGED_' || i || '_java' ELSE CAST(line_no + 1 AS VARCHAR) END"
+        else:
+            k, v = missing[policy]
+            kind = f"CASE WHEN s = 0 THEN 'number' WHEN s = 1 THEN 'text' WHEN s >= 4 THEN 'null' ELSE {k} END"
+            key = f"CASE WHEN s <= 1 THEN i WHEN s < 4 THEN {v} END"
+        skip = f"kind = 'number' AND CAST(key AS BIGINT) IN ({', '.join(map(str, skips[d]))})" if d in skips else "false"
+        language = "CASE WHEN s IN (0, 3) THEN 'java' WHEN s = 2 THEN 'java' ELSE 'python' END" if d == "modularity" else "CAST(NULL AS VARCHAR)"
+        parts.append(f"SELECT line_no, '{d}' AS dimension, kind, key, coalesce({skip}, false) AS skipped, {language} AS language "
+                     f"FROM (SELECT *, {kind} AS kind, {key} AS key FROM keyed)")
+    return oracle_with("""
+keyed AS (SELECT idx % 6 AS s, CAST(idx AS VARCHAR) AS i, row_number() OVER (ORDER BY idx) - 1 AS item_no,
+  row_number() OVER (ORDER BY idx) - 1 + sum(CASE WHEN idx % 7 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY idx) AS line_no
+  FROM (SELECT DISTINCT idx FROM responses))""") + " UNION ALL ".join(parts).replace("SELECT line_no,", "SELECT CAST(line_no AS BIGINT) AS line_no,")
+
+
 def answer_kinds() -> str:
     return oracle_with() + """SELECT idx, CAST(pos AS INTEGER) AS pos, model,
   CASE WHEN s = 0 AND response IS NULL THEN 'null' WHEN s = 0 THEN 'text' WHEN s <= 3 THEN 'object' WHEN s = 4 THEN 'number' ELSE 'list' END AS kind,

@@ -20,6 +20,7 @@ from gradewell.plans.reasons import score_reasons
 from gradewell.sources import jsonl as J
 from gradewell.operators.explode import dedupe_last, explode_models, regroup, tasks_from_responses
 from gradewell.sources.answers import answer_kinds
+from gradewell.sources.keys import key_report
 from gradewell.sources.corpus import responses, case_outcomes
 from gradewell.session import scratch_path
 from gradewell.sources.tables import read_table
@@ -108,6 +109,7 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "model_ranking": (SC.model_ranking, None),
     "scan_lenient": (_scan_lenient, O.scan_lenient),
     "scan_quarantine": (lambda spark, sf: J.scan_counts(_corpus_lines(spark, sf)), O.scan_counts),
+    "task_keys": (_on_responses(key_report), O.task_keys),
     "answer_kinds": (_on_responses(answer_kinds), O.answer_kinds),
     "completeness_check": (_completeness, O.completeness_check),
     "comment_metrics": (_on_responses(COM.comment_metrics), O.comment_metrics),

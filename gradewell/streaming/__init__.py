@@ -1,3 +1,4 @@
-from gradewell.streaming.stream_score import stream_lines, stream_standardization, stream_tasks
+from gradewell.streaming.stream_score import (read_reports, read_totals, stream_lines, stream_reports, stream_standardization,
+                                              stream_tasks, stream_totals)
 
-__all__ = ["stream_lines", "stream_standardization", "stream_tasks"]
+__all__ = ["read_reports", "read_totals", "stream_lines", "stream_reports", "stream_standardization", "stream_tasks", "stream_totals"]
