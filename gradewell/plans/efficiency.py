@@ -14,6 +14,7 @@ from gradewell.operators.explode import regroup
 from gradewell.operators.facts import code_facts, efficiency_facts
 from gradewell.operators.guards import graded
 from gradewell.operators.rules import EFF_BLOCKLIST
+from gradewell.session import checkpoint_dir
 
 # Regexes of the Java / C++ analyzers (Python spelling).
 JAVA_METHOD = r"(public|private|protected|static|\s) +[\w\<\>\[\]]+\s+(\w+) *\([^\)]*\) *(\{?|[^;])"
@@ -123,8 +124,10 @@ def score_efficiency(responses: DataFrame, facts: DataFrame | None = None) -> Da
 
 
 def graded_efficiency(responses: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Final score. Python answers join their syntax facts; unknown languages score 30."""
-    inp = efficiency_inputs(responses)
+    """Final score. Python answers join their syntax facts; unknown languages score 30. The inputs are worked out
+    once and cut from their lineage: the facts and the score both read them."""
+    checkpoint_dir(responses.sparkSession)
+    inp = efficiency_inputs(responses).checkpoint()
     if facts is None:
         py = inp.filter((F.col("analyzer") == "python") & (F.col("code") != "")).select("idx", "model", "code")
         facts = code_facts(py)

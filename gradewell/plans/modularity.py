@@ -176,9 +176,9 @@ def modularity_rungs() -> list:
 
 
 def graded_modularity(responses: DataFrame) -> DataFrame:
-    inp = modularity_inputs(responses)
-    py = inp.filter((F.col("lang") == "python") & (F.col("code") != "")).select("idx", "model", F.col("parsed_code").alias("code"))
     checkpoint_dir(responses.sparkSession)
+    inp = modularity_inputs(responses).checkpoint()  # read by the facts and by the score
+    py = inp.filter((F.col("lang") == "python") & (F.col("code") != "")).select("idx", "model", F.col("parsed_code").alias("code"))
     st = python_structure(code_facts(py).checkpoint())  # five aggregations read the facts; the trees are walked once
     j = inp.select("idx", "pos", "model", "programming_language", "lang", (F.col("code") == "").alias("no_code"),
                    "factor", "java_ce", "cpp_ce", "py_regex_ce", "def_count", "api_words", "feature_ce", "feature_ca", "feature_lcom2") \
