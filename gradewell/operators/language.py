@@ -18,3 +18,16 @@ def lang_instruction(instr: Column) -> Column:
             .when(contains_any(raw, ["public class", "System.out"]), "java")
             .when(contains_any(raw, ["cout <<", "#include"]), "cpp")
             .otherwise("python"))
+
+
+# What code of each language shows, in order; python where nothing does.
+CODE_SIGNS = [("python", r"(?U)def\s+\w+\s*\(|import\s+\w+|print\("), ("java", r"(?U)public\s+class|System\.out\.|public\s+static\s+void\s+main"),
+              ("cpp", r"(?U)#include|std::|cout\s*<<")]
+
+
+def lang_code_rules(code: Column) -> Column:
+    """The language that a piece of code shows; unknown without code."""
+    out = F.when(code.isNull() | (code == ""), "unknown")
+    for lang, pattern in CODE_SIGNS:
+        out = out.when(code.rlike(pattern), lang)
+    return out.otherwise("python")

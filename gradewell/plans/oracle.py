@@ -690,6 +690,19 @@ keyed AS (SELECT idx % 6 AS s, CAST(idx AS VARCHAR) AS i, row_number() OVER (ORD
   FROM (SELECT DISTINCT idx FROM responses))""") + " UNION ALL ".join(parts).replace("SELECT line_no,", "SELECT CAST(line_no AS BIGINT) AS line_no,")
 
 
+def error_records() -> str:
+    return oracle_with() + """SELECT CASE WHEN s < 3 THEN CAST(idx AS VARCHAR) END AS index, CASE WHEN s = 2 THEN 'Java' ELSE 'python' END AS programming_language,
+  CASE s WHEN 1 THEN 'results missing' WHEN 2 THEN 'results is array' ELSE 'task is array' END AS error
+FROM (SELECT DISTINCT idx, idx % 4 AS s FROM responses) WHERE s > 0"""
+
+
+def code_languages() -> str:
+    from gradewell.operators.language import CODE_SIGNS
+    signs = " ".join(f"WHEN regexp_matches(code, {q(unicode_words(p.replace('(?U)', '')))}) THEN '{lang}'" for lang, p in CODE_SIGNS)
+    return oracle_with() + f"""SELECT idx, model, CASE WHEN code IS NULL OR code = '' THEN 'unknown' {signs} ELSE 'python' END AS shown
+FROM (SELECT idx, model, {sql_extract_std()} AS code FROM responses)"""
+
+
 def answer_kinds() -> str:
     return oracle_with() + """SELECT idx, CAST(pos AS INTEGER) AS pos, model,
   CASE WHEN s = 0 AND response IS NULL THEN 'null' WHEN s = 0 THEN 'text' WHEN s <= 3 THEN 'object' WHEN s = 4 THEN 'number' ELSE 'list' END AS kind,

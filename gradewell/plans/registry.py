@@ -78,6 +78,16 @@ def _scan_lenient(spark, sf_dir):
     return t.select("index", "programming_language", "instruction", F.size("results").alias("n_models"))
 
 
+def _error_records(spark, sf_dir):
+    """Lines of four shapes by idx mod 4: a task, one without results, one whose results are a list, a list."""
+    from pyspark.sql import functions as F
+    i = F.col("idx").cast("string")
+    shape = F.pmod(F.col("idx"), F.lit(4))
+    line = (F.when(shape == 0, F.concat(F.lit('{"index":'), i, F.lit(',"results":{"base":"x"}}'))).when(shape == 1, F.concat(F.lit('{"index":"'), i, F.lit('"}')))
+            .when(shape == 2, F.concat(F.lit('{"index":'), i, F.lit(',"programming_language":"Java","results":[1]}'))).otherwise(F.concat(F.lit("["), i, F.lit("]"))))
+    return J.error_records(responses(spark, sf_dir).select("idx").distinct().select(line.alias("value")))
+
+
 def _completeness(spark, sf_dir):
     path = scratch_path(spark, f"completeness-{uuid.uuid4().hex[:12]}")
     return J.completeness(_corpus_lines(spark, sf_dir), SIM.simplicity_report, path)
@@ -109,6 +119,8 @@ REGISTRY: dict[str, tuple[Builder, Callable[[], str] | None]] = {
     "model_ranking": (SC.model_ranking, None),
     "scan_lenient": (_scan_lenient, O.scan_lenient),
     "scan_quarantine": (lambda spark, sf: J.scan_counts(_corpus_lines(spark, sf)), O.scan_counts),
+    "error_records": (_error_records, O.error_records),
+    "code_languages": (_on_responses(STD.code_languages), O.code_languages),
     "task_keys": (_on_responses(key_report), O.task_keys),
     "answer_kinds": (_on_responses(answer_kinds), O.answer_kinds),
     "completeness_check": (_completeness, O.completeness_check),

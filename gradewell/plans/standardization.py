@@ -14,7 +14,7 @@ from gradewell.functions.text import indent, lines, nonempty, strip
 from gradewell.operators.explode import regroup, flatten_known
 from gradewell.operators.extract import extract_std
 from gradewell.operators.guards import graded
-from gradewell.operators.language import lang_instruction
+from gradewell.operators.language import lang_code_rules, lang_instruction
 from gradewell.operators.rules import STD_RULES, java_regex
 
 DEC = "decimal(6,1)"
@@ -100,3 +100,8 @@ def indent_break_counts(responses: DataFrame) -> DataFrame:
     code = extract_std(F.col("response"))
     return (responses.filter(nonempty(F.col("response")))
             .select("idx", "model", indent_breaks(code).alias("indent_breaks")))
+
+
+def code_languages(responses: DataFrame) -> DataFrame:
+    """L5 per answer: the language its code shows."""
+    return responses.select("idx", "model", lang_code_rules(extract_std(F.col("response"))).alias("shown"))

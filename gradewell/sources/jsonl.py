@@ -27,6 +27,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", "*.jsonl").text(path)
 
 
+def find_input(spark: SparkSession, folder: str, candidates: list[str]) -> str:
+    """The first of ``candidates`` in ``folder``, else its first ``*.jsonl`` by name, on any store Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in candidates:
+        if fs.exists(path(folder, name)):
+            return f"{folder.rstrip('/')}/{name}"
+    found = sorted(x.getPath().getName() for x in fs.listStatus(path(folder)) if x.getPath().getName().endswith(".jsonl"))
+    if not found:
+        raise FileNotFoundError(f"no task file in {folder}")
+    return f"{folder.rstrip('/')}/{found[0]}"
+
+
 def with_line_ordinal(lines: DataFrame) -> DataFrame:
     """Adds ``line_no``, the 0-based place of each line (for keys that are missing): in file order for a scan
     of files, whose splits may be read in any order; in partition order otherwise.
@@ -85,6 +98,25 @@ def tasks_of(classified: DataFrame, keep: list[str] | None = None) -> DataFrame:
                     p["results"].alias("results"), "line_no", *(keep or []))
 
 
+def error_records(lines: DataFrame) -> DataFrame:
+    """P20: one row a line that is JSON but no task: index (as text, null without one), programming_language, error."""
+    bad = classify(lines).filter(F.col("reason") == "bad_shape").select(F.try_parse_json("value").alias("v"))
+    name = lambda v: F.lower(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
+    v, results = F.col("v"), F.variant_get("v", "$.results", "variant")
+    error = (F.when(name(v) != "object", F.concat(F.lit("task is "), name(v))).when(results.isNull(), "results missing")
+             .otherwise(F.concat(F.lit("results is "), name(results))))
+    own = name(v) == "object"
+    field = lambda f: F.when(own, F.try_variant_get(v, f"$.{f}", "string"))
+    return bad.select(field("index").alias("index"), F.coalesce(field("programming_language"), F.lit("python")).alias("programming_language"), error.alias("error"))
+
+
+def with_error_lines(scored: DataFrame, errors: DataFrame) -> DataFrame:
+    """Result lines of the scored tasks and of the error records, for one sink: a bad task yields its own line and
+    stops no other."""
+    js = F.to_json(F.struct("index", "programming_language", F.create_map(F.lit("error"), F.col("error")).alias("results")))
+    return result_lines(scored).unionAll(errors.select(index_json(js).alias("value")))
+
+
 def scan_strict(lines: DataFrame) -> DataFrame:
     """All lines must be valid tasks; raises on the first bad or blank line."""
     bad = classify(lines).filter(F.col("reason") != "ok").limit(1).collect()

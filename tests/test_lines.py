@@ -45,3 +45,24 @@ def test_completeness_of_a_run(spark, tmp_path):
     lossy = J.completeness(lines, lambda t: simplicity_report(t.where("idx <> '2'")), str(tmp_path / "out2")).first()
     assert (lossy.missing, lossy.complete) == (1, False)
     assert spark.read.text(str(tmp_path / "out")).count() == 3
+
+
+def test_bad_tasks_yield_their_own_lines(spark, tmp_path):
+    good = json.dumps({"index": 1, "results": {"base": "```python\nx = 1\n```"}})
+    rows = [good, '{"index":7,"results":"text"}', '{"index":"k","programming_language":"Java"}', "[1]", "{broken", "", good.replace("1,", "2,", 1)]
+    lines = spark.createDataFrame([(r,) for r in rows], "value string")
+    errors = J.error_records(lines)
+    assert sorted(map(tuple, errors.collect()), key=str) == sorted([("7", "python", "results is string"), ("k", "Java", "results missing"), (None, "python", "task is array")], key=str)
+    scored = simplicity_report(J.scan_lenient(lines).withColumnRenamed("index", "idx"))
+    out = [json.loads(r.value) for r in J.with_error_lines(scored, errors).collect()]
+    assert sorted((str(r.get("index")), "error" in r["results"]) for r in out) == [("1", False), ("2", False), ("7", True), ("None", True), ("k", True)]
+
+
+def test_input_is_found(spark, tmp_path):
+    import pytest
+    with pytest.raises(FileNotFoundError):
+        J.find_input(spark, str(tmp_path), ["a.jsonl"])
+    for name in ("z.jsonl", "b.jsonl", "c.txt"):
+        (tmp_path / name).write_text("")
+    assert J.find_input(spark, str(tmp_path), ["a.jsonl", "z.jsonl"]).endswith("/z.jsonl")
+    assert J.find_input(spark, str(tmp_path), ["a.jsonl"]).endswith("/b.jsonl")
