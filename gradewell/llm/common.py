@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewell.llm import kernels
 from gradewell.session import scratch_path
 
 
@@ -78,26 +79,13 @@ def bitmap(keys: DataFrame, rows: int) -> Bitmap:
 LOCAL_EDGES = 1 << 20  # edges that one task joins (about 16 MB); more go by rounds over all tasks
 
 
-def _united(a: str, b: str):
-    """(node, component) of the edges that one task reads, by union-find."""
-    def run(batches):
-        parent: dict = {}
-
-        def root(x):
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = parent[up]
-                x = parent[up]
-            return x
-        for batch in batches:
-            for u, v in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist()):
-                u, v = root(u), root(v)
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-        nodes = list(parent)
-        for i in range(0, max(1, len(nodes)), 1 << 16):
-            own = nodes[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([root(x) for x in own], pa.int64())], ["node", "component"])
-    return run
+def _united(batches):
+    """(node, component) of the edges (u, v) that one task reads."""
+    rows = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["u", "v"])])
+    u, v = (rows.column(k).to_numpy() for k in ("u", "v"))
+    node, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    label = kernels.least_labels(len(node), at[:len(u)], at[len(u):])
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[label])], ["node", "component"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -109,7 +97,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut(e)
     if e.count() <= LOCAL_EDGES:
-        return cut(e.coalesce(1).mapInArrow(_united("u", "v"), "node long, component long"))
+        return cut(e.coalesce(1).mapInArrow(_united, "node long, component long"))
     last = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -89,7 +89,7 @@ def _sets(text_column, n: int):
 def _count_lengths(n: int):
     def run(batches):
         total = np.zeros(16, np.int64)
-        for b in K.slices(batches):
+        for b in K.slices(batches, 1 << 20):
             data, off = K.buffer(b.column("text"))
             start, end, _, woff = K.words(data, off)
             total += np.bincount(_lengths(start, end, woff, n), minlength=16)
@@ -150,7 +150,7 @@ def _sums(val: np.ndarray, off: np.ndarray):
 def _signatures(n: int, percent: int, below: int):
     def run(batches):
         limit = np.uint64(below)
-        for b in K.slices(batches):
+        for b in K.slices(batches, 1 << 20):
             val, off = _sets(b.column("text"), n)
             size = np.diff(off)
             counted = np.diff(np.concatenate(([0], np.cumsum(val < limit)))[off])
@@ -292,7 +292,6 @@ SMALL = 64  # sets of a group whose pairs are looked at together with those of o
 
 def screened_small(first: np.ndarray, size: np.ndarray, n: np.ndarray, sketches: list, comps: np.ndarray, percent: int):
     """The same for many small groups at once, given by first row and size: (label, row), a label being a row of the same list."""
-    label = np.arange(len(n))
     hit = np.zeros(len(n), bool)
     edges = []
     rows = K.ragged(first, size)
@@ -316,16 +315,10 @@ def screened_small(first: np.ndarray, size: np.ndarray, n: np.ndarray, sketches:
                 near = differ <= _apart(n[u] + n[v], percent)
                 edges.append((u[near], v[near]))
     if not edges:
-        return label[:0], label[:0]
+        return rows[:0], rows[:0]
     u, v = (np.concatenate(x) for x in zip(*edges))
     hit[u] = hit[v] = True
-    while True:
-        before = label.copy()
-        np.minimum.at(label, u, label[v])
-        np.minimum.at(label, v, label[u])
-        label = label[label]
-        if (label == before).all():
-            return label[hit], np.flatnonzero(hit)
+    return K.least_labels(len(n), u, v)[hit], np.flatnonzero(hit)
 
 
 def _screen(percent: int):

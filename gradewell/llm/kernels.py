@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 WS = np.zeros(256, bool)
 WS[[9, 10, 11, 12, 13, 32]] = True
@@ -59,6 +59,19 @@ def buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def least_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of each of n places the least that it hangs together with by the edges (u, v)."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, u, label[v])
+        np.minimum.at(label, v, label[u])
+        np.minimum.at(label, before, label)  # what a place's old least has found is news to it as well
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def slices(batches, limit: int = BLOCK):
     """Record batches cut into runs of rows of about ``limit`` text bytes (column "text")."""
     for b in batches:
