@@ -235,13 +235,12 @@ def leaks(docs: DataFrame, bench: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of ``docs`` without a leak, with all their columns (rows without a doc_id
-    are judged too: they go by their text)."""
-    found = leaks(docs.where("doc_id IS NOT NULL"), bench, p).select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_anti").select(*docs.columns)
-    loose = docs.where("doc_id IS NULL").select(*docs.columns)
-    texts = leaks(loose.select(F.xxhash64("text").alias("doc_id"), "text"), bench, p).select(F.col("doc_id").alias("h")).distinct()
-    return kept.unionAll(loose.join(texts, F.xxhash64("text") == F.col("h"), "left_anti").select(*docs.columns))
+    """The rows of ``docs`` without a leak, with all their columns. A row is judged by its own text, whether it
+    has a doc_id, shares one or not."""
+    key = F.xxhash64("doc_id", "text")
+    found = leaks(docs.select(key.alias("doc_id"), "text"), bench, p).select(F.col("doc_id").alias("key")).distinct()
+    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
+    return rows.join(found, "key", "left_anti").select("row.*")
 
 
 def op2_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -362,8 +362,8 @@ def numbered(docs: DataFrame):
     are unique are their own numbers; else rows are numbered by (doc_id, hash of the text), nulls first."""
     own = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
     n = own.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("d").alias("ids")).first()
-    if n["rows"] == n["ids"]:
-        return own, None
+    if n["rows"] == n["ids"]:  # never null, and known to be: so both joins read one exchange of the texts
+        return own.select(F.coalesce("d", F.lit(0)).alias("d"), "text"), None
     own = own.select("text", F.struct(F.col("d").isNotNull().alias("named"), F.coalesce("d", F.lit(0)).alias("id"), F.xxhash64("text").alias("h")).alias("id"))
     order = store(own.select("id").distinct().repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id")
                   .select("id", F.monotonically_increasing_id().alias("d")), "numbers")

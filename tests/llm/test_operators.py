@@ -229,7 +229,7 @@ def test_stages(spark, edge, empty, tmp_path):
 
 def test_registry():
     names = [*registry.queries()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(registry.oracle_sql()) <= set(names)
 
 
 def brute_components(texts, n, percent):
