@@ -125,8 +125,7 @@ def references(docs: DataFrame, params: Params = Params()) -> dict:
         return {"chars": {}, "words": {}}
     share = lambda r: {c: r[c] / max(1, sum(r[x] for x in CLASSES)) for c in CLASSES}
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.sparkSession.createDataFrame([(r["lang"],) for r in top], "lang string")
-    each = known.join(F.broadcast(own), "lang", "left_semi").select(  # one row a language
+    each = known.where(F.col("lang").isin([r["lang"] for r in top])).select(
         "lang", F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counted = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
