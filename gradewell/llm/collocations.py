@@ -95,9 +95,10 @@ def _merged(prefix, nxt, last, n):
     return prefix[head], nxt[head], last[head], np.add.reduceat(n, head) if len(head) else n
 
 
-def _sent(held):
-    """Stripes (prefix, part, next, last, count) of a task's entries."""
+def _sent(held, m: int = 3):
+    """Stripes (prefix, part, next, last, count) of a task's entries; of two words the last is the next one and stays behind."""
     prefix, nxt, last, n = _merged(*(np.concatenate(x) for x in zip(*held)))
+    last = np.zeros_like(last) if m == 2 else last
     part = (nxt & np.uint64(SPREAD - 1)).astype(np.int64)
     order = np.lexsort((part, prefix))
     prefix, nxt, last, n, part = prefix[order], nxt[order], last[order], n[order], part[order]
@@ -131,19 +132,19 @@ def _stripes(m: int, frequent: Bitmap):
             held.append(_merged(g[at], word[at + m - 1], g[at + 1], np.ones(len(at), np.int64)))
             size += len(held[-1][0])
             if size > HELD:
-                yield from _sent(held)
+                yield from _sent(held, m)
                 held, size = [], 0
         if held:
-            yield from _sent(held)
+            yield from _sent(held, m)
     return run
 
 
-def _merge(least: int):
+def _merge(least: int, m: int = 3):
     """Extensions of ``least`` occurrences or more, from stripes sorted by (prefix, part)."""
     def entries(b):
         n = np.diff(b.column("next").offsets.to_numpy())
         flat = [b.column(k).flatten().to_numpy() for k in ("next", "last", "n")]
-        return np.repeat(b.column("prefix").to_numpy().view(np.uint64), n), flat[0].view(np.uint64), flat[1].view(np.uint64), flat[2]
+        return np.repeat(b.column("prefix").to_numpy().view(np.uint64), n), flat[0].view(np.uint64), flat[0 if m == 2 else 1].view(np.uint64), flat[2]
 
     def out(prefix, nxt, last, n):
         ok = n >= least
@@ -191,7 +192,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST):
             break
         dealt = (docs.mapInArrow(_stripes(m, bitmap(table.select("key"), rows)), STRIPE_SCHEMA)
                  .repartition(partitions(spark), "prefix", "part").sortWithinPartitions("prefix", "part"))
-        found = dealt.mapInArrow(_merge(least), "key long, prefix long, suffix long, a long")
+        found = dealt.mapInArrow(_merge(least, m), "key long, prefix long, suffix long, a long")
         p = table.select(F.col("key").alias("prefix"), "lang", F.col("phrase").alias("p"), F.col("a").alias("pa"), "lefts")
         s = table.select(F.col("key").alias("suffix"), F.col("phrase").alias("s"), F.col("a").alias("sa"), "rights")
         table = store(found.join(p, "prefix").join(s, "suffix").select(
