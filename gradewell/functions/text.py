@@ -7,9 +7,20 @@ any shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 NL = "\n"
+# Unicode's white space, the characters that ``(?U)\\s`` matches and ``str.strip`` removes from prose.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def until(mark: str) -> str:
+    """Pattern of the text up to the next ``mark`` (two characters or more), which the caller's pattern goes on with.
+    It matches what ``[\\s\\S]*?`` before the mark does, in one pass that keeps no way back."""
+    first, rest = re.escape(mark[0]), re.escape(mark[1:])
+    return rf"[^{first}]*+(?:{first}(?!{rest})[^{first}]*+)*+"
 
 
 def _c(x) -> Column:
@@ -32,20 +43,20 @@ def before_last(c: Column, mark: str, body) -> Column:
 
 def strip(c) -> Column:
     """``str.strip()``: Spark ``trim`` only removes spaces, this removes all whitespace."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|(?<!\s)\s+$", "")  # a run is tried once, from its start
+    return F.btrim(_c(c), F.lit(WHITE))
 
 
 def lstrip(c) -> Column:
-    return F.regexp_replace(_c(c), r"(?U)^\s+", "")
+    return F.ltrim(_c(c), F.lit(WHITE))
 
 
 def rstrip(c) -> Column:
-    return F.regexp_replace(_c(c), r"(?U)(?<!\s)\s+$", "")
+    return F.rtrim(_c(c), F.lit(WHITE))
 
 
 def indent(c) -> Column:
     """``len(s) - len(s.lstrip())``."""
-    return F.length(F.regexp_extract(_c(c), r"(?U)^\s*", 0))
+    return F.length(_c(c)) - F.length(lstrip(c))
 
 
 def lines(c) -> Column:

@@ -10,31 +10,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gradewell.functions.text import NL, lines, strip, nonempty
+from gradewell.functions.text import NL, let, lines, nonempty, strip, until
 
 FENCE = "```"
+INNER = f"({until(FENCE)})"  # what stands before the next fence
 
 
 def _join_all(c: Column, pattern: str, group: int = 1) -> Column:
     """All non-overlapping matches of ``pattern`` joined by newline; NULL when none."""
-    m = F.regexp_extract_all(c, F.lit(pattern), group)
-    return F.when(F.size(m) > 0, F.array_join(m, NL))
+    return let(F.regexp_extract_all(c, F.lit(pattern), group), lambda m: F.when(F.size(m) > 0, F.array_join(m, NL)))
 
 
 def _suffix_from_first(c: Column, line_pred) -> Column:
     """Lines from the first one satisfying ``line_pred`` to the end, newline-joined; NULL if none."""
     ls = lines(c)
-    hit = F.filter(F.transform(ls, lambda l, i: F.when(line_pred(l), i)), lambda x: x.isNotNull())
-    first = F.element_at(hit, 1)
-    return F.when(F.size(hit) > 0, F.array_join(F.slice(ls, first + 1, F.size(ls) - first), NL))
+    at = F.array_position(F.transform(ls, lambda l: F.coalesce(line_pred(l), F.lit(False))), F.lit(True)).cast("int")
+    return let(at, lambda k: F.when(k > 0, F.array_join(F.slice(ls, k, F.size(ls)), NL)))
 
 
 # --- X4: standardization ---------------------------------------------------
 def extract_std(response: Column) -> Column:
     """All tagged newline-delimited blocks, else all fence pairs, else the whole answer."""
     # The two fence patterns.
-    tagged = _join_all(response, r"```(?:python|java|cpp|c\+\+)?\n([\s\S]*?)\n```")
-    bare = _join_all(response, r"```([\s\S]*?)```")
+    tagged = _join_all(response, r"```(?:python|java|cpp|c\+\+)?\n(" + until(NL + FENCE) + r")\n```")
+    bare = _join_all(response, f"```{INNER}```")
     return F.when(~nonempty(response), F.lit("")).otherwise(F.coalesce(tagged, bare, response))
 
 
@@ -47,9 +46,9 @@ SIM_START_CJ = ("public ", "private ", "class ", "import ", "package ", "#includ
 def extract_sim(response: Column, lang: Column) -> Column:
     """All fenced blocks (optional ``lang`` tag, case-insensitive) joined, not stripped;
     else the text from the first line that starts like code; else ''."""
-    py = _join_all(response, r"(?i)```(?:python)?[\s\n]*([\s\S]*?)```")
-    java = _join_all(response, r"(?i)```(?:java)?[\s\n]*([\s\S]*?)```")
-    cpp = _join_all(response, r"(?i)```(?:c\+\+)?[\s\n]*([\s\S]*?)```")
+    py = _join_all(response, rf"(?i)```(?:python)?\s*{INNER}```")
+    java = _join_all(response, rf"(?i)```(?:java)?\s*{INNER}```")
+    cpp = _join_all(response, rf"(?i)```(?:c\+\+)?\s*{INNER}```")
     blocks = F.when(lang == "java", java).when(lang == "c++", cpp).otherwise(py)
     suffix = F.when(lang == "python", _suffix_from_first(response, lambda l: _starts_any(strip(l), SIM_START_PY))) \
         .otherwise(_suffix_from_first(response, lambda l: _starts_any(strip(l), SIM_START_CJ)))
@@ -66,11 +65,7 @@ def _starts_any(c: Column, words) -> Column:
 # --- X5: robustness --------------------------------------------------------
 # Fixed value: what makes a line look like code.
 CODE_LIKE = r"(?U)\b(def|class|if|for|while|return|import|function)\b|[{}\[\]();=]"
-
-
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+CODE_LIKE_FIRST = r"(?U)[{}\[\]();=]|(?=[cdfirw])\b(?:def|class|if|for|while|return|import|function)\b"  # the same, cheap tests first
 
 
 def paragraphs(text: Column) -> Column:
@@ -108,7 +103,7 @@ def _rob_lines(response: Column) -> Column:
             F.slice(tails, last + 2, F.size(tails))))
 
     def filtered(ps):
-        return let(F.transform(ps, lambda p: from_first(p, lambda l: l.rlike(CODE_LIKE))), lambda tails: let(
+        return let(F.transform(ps, lambda p: from_first(p, lambda l: l.rlike(CODE_LIKE_FIRST))), lambda tails: let(
             F.array_position(F.transform(tails, lambda t: F.size(t) > 0), F.lit(True)).cast("int") - 1,
             lambda first: F.when(first >= 0, F.array_join(F.flatten(kept(ps, tails, first)), NL)).otherwise(F.lit(""))))
     return let(paragraphs(response), filtered)
@@ -116,6 +111,6 @@ def _rob_lines(response: Column) -> Column:
 
 def extract_rob(response: Column) -> Column:
     """First fence pair (optional tag) stripped; else the line filter; '' when nothing."""
-    pat = r"(?s)```(?:python|java|cpp|c\+\+)?\s*([\s\S]*?)```"
+    pat = rf"```(?:python|java|cpp|c\+\+)?\s*{INNER}```"
     first = F.when(response.rlike(pat), strip(F.regexp_extract(response, pat, 1)))
     return F.when(~nonempty(response), F.lit("")).otherwise(F.coalesce(first, _rob_lines(response)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gradewell.functions.text import contains_any
+from gradewell.functions.text import contains_any, let
 
 
 def lang_instruction(instr: Column) -> Column:
@@ -26,8 +26,10 @@ CODE_SIGNS = [("python", r"(?U)def\s+\w+\s*\(|import\s+\w+|print\("), ("java", r
 
 
 def lang_code_rules(code: Column) -> Column:
-    """The language that a piece of code shows; unknown without code."""
-    out = F.when(code.isNull() | (code == ""), "unknown")
-    for lang, pattern in CODE_SIGNS:
-        out = out.when(code.rlike(pattern), lang)
-    return out.otherwise("python")
+    """The language that a piece of code shows; unknown without code. The code, itself a search, is worked out once."""
+    def shown(c):
+        out = F.when(c.isNull() | (c == ""), "unknown")
+        for lang, pattern in CODE_SIGNS:
+            out = out.when(c.rlike(pattern), lang)
+        return out.otherwise("python")
+    return let(code, shown)
