@@ -10,7 +10,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradewell.functions.text import indent, lines, nonempty, strip
+from gradewell.functions.text import indent, let, lines, nonempty, strip
 from gradewell.operators.explode import regroup, flatten_known
 from gradewell.operators.extract import extract_std
 from gradewell.operators.guards import graded
@@ -45,12 +45,11 @@ def rule_penalty(code: Column, lang: Column) -> Column:
 
 def indent_breaks(code: Column) -> Column:
     """Adjacent non-blank line pairs whose indents differ by neither 0 nor 4."""
-    ls = lines(code)
-    n = F.size(ls)
-    prev, cur = F.slice(ls, 1, n - 1), F.slice(ls, 2, n - 1)
-    bad = F.zip_with(prev, cur, lambda a, b: (strip(a) != "") & (strip(b) != "")
-                     & ~F.abs(indent(a) - indent(b)).isin(0, 4))
-    return F.size(F.filter(bad, lambda x: x)).cast("long")
+    def broken(at):  # the indent of each line, null where it is blank
+        n = F.size(at)
+        pairs = F.zip_with(F.slice(at, 1, n - 1), F.slice(at, 2, n - 1), lambda a, b: ~F.abs(a - b).isin(0, 4))
+        return F.size(F.filter(pairs, lambda x: x)).cast("long")
+    return let(F.transform(lines(code), lambda l: F.when(strip(l) != "", indent(l))), broken)
 
 
 def std_score(code: Column, lang: Column) -> Column:
