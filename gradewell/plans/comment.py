@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradewell.functions.text import NL, before_last, let, lines, nonempty, splitlines, strip
+from gradewell.functions.text import NL, before_last, let, lines, nonempty, splitlines, strip, until
 from gradewell.operators.explode import regroup
-from gradewell.operators.extract import from_first, paragraphs
+from gradewell.operators.extract import INNER, from_first, paragraphs
 from gradewell.operators.guards import graded
 from gradewell.operators.rules import COM_BLOCKLIST
 
@@ -52,8 +52,11 @@ KEYWORDS = {"java": JAVA_KEYWORDS, "cpp": CPP_KEYWORDS, "python": PYTHON_KEYWORD
 
 # Fence patterns in order, and what makes a line look like code.
 FENCE_PATTERNS = [r"```[\s\S]*?\n([\s\S]*?)```", r"```([\s\S]*?)```", r"`{3,}([\s\S]*?)`{3,}"]
+ONE_PASS_FENCES = [rf"```[^\n]*+\n{INNER}```", f"```{INNER}```", rf"`{{3,}}{INNER}`{{3,}}"]  # the same matches
 CODE_LIKE_COM = [r"(?U)\b(def|class|if|for|while|return|import|function|print|var|let|const)\b", r"[{}\[\]();=]",
                  r"^\s*[a-zA-Z_][a-zA-Z0-9_]*\s*[=:]"]
+WORDS_FIRST = r"(?U)(?=[cdfilprvw])\b(?:def|class|if|for|while|return|import|function|print|var|let|const)\b"  # of the first, a letter before the boundary
+SINGLE, DOUBLE = "'" * 3, '"' * 3
 
 
 def _longest(arr: Column) -> Column:
@@ -85,7 +88,7 @@ def _until_last_blank(text: Column) -> Column:
 def _com_lines(text: Column) -> Column:
     """Code-like lines start a run, non-blank lines continue it, a blank line ends it."""
     def like(l):
-        return l.rlike(CODE_LIKE_COM[0]) | l.rlike(CODE_LIKE_COM[1]) | l.rlike(CODE_LIKE_COM[2])
+        return l.rlike(CODE_LIKE_COM[1]) | l.rlike(CODE_LIKE_COM[2]) | l.rlike(WORDS_FIRST)
     kept = F.flatten(F.transform(paragraphs(text), lambda p: from_first(p, like)))
     return F.when(F.size(kept) > 0, F.array_join(kept, NL))
 
@@ -99,7 +102,7 @@ def with_code(df: DataFrame, response: str = "response") -> DataFrame:
     else the line filter, cleaned; NULL if nothing. Candidates are staged as columns
     so each is computed once per row."""
     text = F.coalesce(F.col(response), F.lit("None"))
-    cands = [strip(_longest(F.regexp_extract_all(text, F.lit(p), 1))) for p in FENCE_PATTERNS]
+    cands = [strip(_longest(F.regexp_extract_all(text, F.lit(p), 1))) for p in ONE_PASS_FENCES]
     cands += [strip(_indented_tail(text)), strip(_until_last_blank(text))]
     names = [f"_c{i}" for i in range(len(cands))]
     staged = df.select("*", *[c.alias(n) for c, n in zip(cands, names)])
@@ -141,9 +144,9 @@ def _runs(ls: Column, flags: Column, marker: str) -> Column:
 def comments_of(code: Column, lang: Column, ls: Column, fh: Column, fs: Column) -> Column:
     """struct(comments array<string>, n_lines int) per language family (``ls`` = splitlines(code),
     ``fh``/``fs`` = line flags for ``#`` / ``//``, all precomputed columns)."""
-    py_blocks = F.regexp_extract_all(code, F.lit(r"('''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\")"), 1)
+    py_blocks = F.regexp_extract_all(code, F.lit(f"({SINGLE}{until(SINGLE)}{SINGLE}|{DOUBLE}{until(DOUBLE)}{DOUBLE})"), 1)
     py_block_txt = F.transform(py_blocks, lambda b: F.regexp_replace(F.regexp_replace(b, r"^'+|(?<!')'+$", ""), r'^"+|(?<!")"+$', ""))
-    cj_blocks = before_last(code, "*/", lambda head, tail: F.regexp_extract_all(head, F.lit(r"(/\*[\s\S]*?\*/)"), 1))
+    cj_blocks = before_last(code, "*/", lambda head, tail: F.regexp_extract_all(head, F.lit(rf"(/\*{until('*/')}\*/)"), 1))
     cj_block_txt = F.transform(cj_blocks, lambda b: strip(F.regexp_replace(F.regexp_replace(b, r"^[/*]+|(?<![/*])[/*]+$", ""),
                                                                            r"^[*/]+|(?<![*/])[*/]+$", "")))
 
@@ -165,8 +168,8 @@ def pure_code(code: Column, lang: Column) -> Column:
     """Code without comments. Blocks are sought up to the last closing mark, beyond which none can end."""
     def without(c, block):
         return before_last(c, "*/", lambda head, tail: F.concat(F.regexp_replace(head, block, ""), tail))
-    cj = without(without(F.regexp_replace(code, r"//.*", ""), r"/\*[\s\S]*?\*/"), r"/\*\*[\s\S]*?\*/")
-    py = F.regexp_replace(F.regexp_replace(F.regexp_replace(code, r"#.*", ""), r"'''[\s\S]*?'''", ""), r'"""[\s\S]*?"""', "")
+    cj = without(without(F.regexp_replace(code, r"//.*", ""), rf"/\*{until('*/')}\*/"), rf"/\*\*{until('*/')}\*/")
+    py = F.regexp_replace(F.regexp_replace(F.regexp_replace(code, r"#.*", ""), f"{SINGLE}{until(SINGLE)}{SINGLE}", ""), f"{DOUBLE}{until(DOUBLE)}{DOUBLE}", "")
     return F.when(lang == "python", py).otherwise(cj)
 
 

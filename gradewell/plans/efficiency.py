@@ -2,7 +2,7 @@
 ECC = (methods + executable statements + max inputs + max outputs) / lines of code.
 
 Java and C++ are measured with regex counts (row-local); Python with the
-syntax-facts table (one mapInPandas stage, then a partial aggregation).
+syntax-facts table (one mapInArrow stage, then a partial aggregation).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradewell.functions.text import NL, count_sub, lines, strip
 from gradewell.operators.explode import regroup
+from gradewell.operators.extract import INNER
 from gradewell.operators.facts import code_facts, efficiency_facts
 from gradewell.operators.guards import graded
 from gradewell.operators.rules import EFF_BLOCKLIST
@@ -27,6 +28,7 @@ CPP_OUT = r"std::cout|printf|cout"
 RETURN = r"\breturn\s+"
 EFF_TAGGED = r"(?s)```(\w+)?\n(.*?)```"
 EFF_BARE = r"(?s)```(.*?)```"
+TAGGED_ONE_PASS, BARE_ONE_PASS = rf"```(\w+)?\n{INNER}```", f"```{INNER}```"  # the same matches
 EFF_LINE_START = [r"^\s*\w+\s*[=({:]", r"^\s*(def|class|if|for|while|import)\s+"]
 GUESS = [("python", r"\bdef\s+|import\s+|class\s+.*:"), ("java", r"public\s+class|void\s+main|System\.out"),
          ("cpp", r"#include|std::|int\s+main")]
@@ -51,11 +53,11 @@ def extract_eff(response: Column) -> Column:
                    lambda x: x.isNotNull())
     first = F.element_at(hit, 1)
     suffix = F.array_join(F.slice(ls, first + 1, F.size(ls) - first), NL)
-    return (F.when(response.rlike(EFF_TAGGED),
-                   F.struct(F.regexp_extract(response, EFF_TAGGED, 2).alias("code"),
-                            F.lower(F.regexp_extract(response, EFF_TAGGED, 1)).alias("tag")))
-            .when(response.rlike(EFF_BARE),
-                  F.struct(F.regexp_extract(response, EFF_BARE, 1).alias("code"), F.lit("").alias("tag")))
+    return (F.when(response.rlike(TAGGED_ONE_PASS),
+                   F.struct(F.regexp_extract(response, TAGGED_ONE_PASS, 2).alias("code"),
+                            F.lower(F.regexp_extract(response, TAGGED_ONE_PASS, 1)).alias("tag")))
+            .when(response.rlike(BARE_ONE_PASS),
+                  F.struct(F.regexp_extract(response, BARE_ONE_PASS, 1).alias("code"), F.lit("").alias("tag")))
             .when(F.size(hit) > 0, F.struct(suffix.alias("code"), lang_guess(suffix).alias("tag")))
             .otherwise(F.struct(F.lit("").alias("code"), F.lit("").alias("tag"))))
 

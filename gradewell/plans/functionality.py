@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradewell.functions.text import NL, lines, nonempty, strip
+from gradewell.functions.text import NL, lines, nonempty, strip, until
 from gradewell.operators.explode import KNOWN_MODELS, explode_models
 from gradewell.operators import guards
+from gradewell.operators.extract import FENCE, INNER
 from gradewell.operators.guards import graded
 from gradewell.operators.rules import FUN_BLOCKLIST
 from gradewell.sources.tables import read_table
@@ -78,7 +79,7 @@ def _fallback_extract(r: Column) -> Column:
 
 
 def extract_fun(response: Column, model: Column) -> Column:
-    r1, r2 = r"(?s)```(?:python|java|cpp|c\+\+)?\n(.*?)\n```", r"(?s)```(.*?)```"
+    r1, r2 = r"```(?:python|java|cpp|c\+\+)?\n(" + until(NL + FENCE) + r")\n```", f"```{INNER}```"
     fenced = response.contains("```")
     c1 = (F.when(fenced & response.rlike(r1), strip(F.regexp_extract(response, r1, 1)))
           .when(fenced & response.rlike(r2), strip(F.regexp_extract(response, r2, 1))))

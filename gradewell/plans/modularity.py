@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradewell.functions.text import let, lines, strip
 from gradewell.operators.blocks import code_blocks, longest_fence, loose_text, repaired
 from gradewell.operators.explode import regroup
+from gradewell.operators.extract import INNER
 from gradewell.operators.facts import code_facts
 from gradewell.operators.guards import graded
 from gradewell.session import checkpoint_dir
@@ -47,7 +48,7 @@ def extract_mod(response: Column) -> Column:
     run of code-like lines; else the text without markup if it looks like code; else ''."""
     def fits(best):
         return let(best, lambda b: F.when((F.length(strip(b)) > 10) & b.contains("\n"), strip(b)))
-    fences = [longest_fence(response, False), longest_fence(response, True), _longest(F.regexp_extract_all(response, F.lit(MOD_FENCES[2]), 1))]
+    fences = [longest_fence(response, False), longest_fence(response, True), _longest(F.regexp_extract_all(response, F.lit(f"```{INNER}```"), 1))]
     return F.coalesce(*map(fits, fences), code_blocks(response), loose_text(response), F.lit(""))
 
 
