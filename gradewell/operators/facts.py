@@ -1,7 +1,7 @@
 """Python syntax facts: the only Python that runs on executors.
 
 ``code_facts`` turns (idx, model, code) rows into flat node rows — one per
-syntax-tree node — with ``mapInPandas`` (Arrow batches in, Arrow batches
+syntax-tree node — with ``mapInArrow`` (Arrow batches in, Arrow batches
 out). Everything downstream (method counts, statement counts, arg maxima,
 imports, class/method/attribute sets, pair joins) is Spark SQL over this
 table, so the per-row Python is a small tree walk and nothing else.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import ast
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 FACT_SCHEMA = ("idx long, model string, node_id int, parent_id int, func_id int, class_id int, "
@@ -65,7 +65,10 @@ def walk_facts(idx, model, code):
         return [(idx, model, -1, -1, -1, -1, "SyntaxError", None, None, None, None, None, None, [])]
     except Exception:  # noqa: BLE001 - e.g. null bytes, recursion depth
         return [(idx, model, -1, -1, -1, -1, "ParseError", None, None, None, None, None, None, [])]
-    out = []
+    return _walk(tree, idx, model)
+
+
+def _walk(tree, idx, model):
     stack = [(tree, -1, [], -1, None)]
     nid = 0
     while stack:
@@ -77,32 +80,41 @@ def walk_facts(idx, model, code):
             base = node.value.id
         ctx = type(node.ctx).__name__ if hasattr(node, "ctx") else None
         has_value = getattr(node, "value", None) is not None if isinstance(node, ast.Return) else None
-        out.append((idx, model, me, parent, path[-1] if path else -1, cls, type(node).__name__, _name_of(node),
-                    _n_args(node), has_value, ctx, base, parent_kind, path))
+        yield (idx, model, me, parent, path[-1] if path else -1, cls, type(node).__name__, _name_of(node),
+               _n_args(node), has_value, ctx, base, parent_kind, path)
         child_path = [*path, me] if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else path
         child_cls = me if isinstance(node, ast.ClassDef) else cls
         kids = list(ast.iter_child_nodes(node))
         for k in reversed(kids):
             stack.append((k, me, child_path, child_cls, type(node).__name__))
-    return out
 
 
 def _facts_batches(batches):
-    for pdf in batches:
+    """Answers are taken from the Arrow batch one at a time, node rows leave by CHUNK: neither the texts of a
+    batch nor the nodes of many answers, or of a long one, stand in Python at once."""
+    kinds = [pa.int64(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.int32(), pa.bool_(), *[pa.string()] * 3, pa.list_(pa.int32())]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _COLS)
+
+    for b in batches:
         rows = []
-        for idx, model, code in zip(pdf["idx"], pdf["model"], pdf["code"]):
+        for i in range(b.num_rows):
+            code = b.column(2)[i].as_py()
             if code is None or code == "":
                 continue
-            rows.extend(walk_facts(None if pd.isna(idx) else int(idx), model, code))
-            if len(rows) >= CHUNK:  # node rows of many answers never wait for the whole batch
-                yield pd.DataFrame(rows, columns=_COLS)
-                rows = []
-        yield pd.DataFrame(rows, columns=_COLS)
+            for row in walk_facts(b.column(0)[i].as_py(), b.column(1)[i].as_py(), code):
+                rows.append(row)
+                if len(rows) >= CHUNK:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
 
 
 def code_facts(code_df: DataFrame) -> DataFrame:
     """(idx, model, code) -> node facts. Rows with empty code produce nothing."""
-    return code_df.select("idx", "model", "code").mapInPandas(_facts_batches, FACT_SCHEMA)
+    return code_df.select("idx", "model", "code").mapInArrow(_facts_batches, FACT_SCHEMA)
 
 
 # Node kinds the efficiency score counts.
