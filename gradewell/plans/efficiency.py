@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradewell.functions.text import NL, count_sub, lines, strip
+from gradewell.functions.text import NL, count_sub, let, lines, strip
 from gradewell.operators.explode import regroup
-from gradewell.operators.extract import INNER
+from gradewell.operators.extract import FENCE, INNER
 from gradewell.operators.facts import code_facts, efficiency_facts
 from gradewell.operators.guards import graded
 from gradewell.operators.rules import EFF_BLOCKLIST
@@ -48,18 +48,20 @@ def lang_guess(code: Column) -> Column:
 def extract_eff(response: Column) -> Column:
     """struct(code, tag): first tagged block; else first fence pair (tag ''); else the text from
     the first code-looking line, tag guessed from it; else ('', '')."""
-    ls = lines(response)
-    hit = F.filter(F.transform(ls, lambda l, i: F.when(l.rlike(EFF_LINE_START[0]) | l.rlike(EFF_LINE_START[1]), i)),
-                   lambda x: x.isNotNull())
-    first = F.element_at(hit, 1)
-    suffix = F.array_join(F.slice(ls, first + 1, F.size(ls) - first), NL)
-    return (F.when(response.rlike(TAGGED_ONE_PASS),
-                   F.struct(F.regexp_extract(response, TAGGED_ONE_PASS, 2).alias("code"),
-                            F.lower(F.regexp_extract(response, TAGGED_ONE_PASS, 1)).alias("tag")))
-            .when(response.rlike(BARE_ONE_PASS),
-                  F.struct(F.regexp_extract(response, BARE_ONE_PASS, 1).alias("code"), F.lit("").alias("tag")))
-            .when(F.size(hit) > 0, F.struct(suffix.alias("code"), lang_guess(suffix).alias("tag")))
-            .otherwise(F.struct(F.lit("").alias("code"), F.lit("").alias("tag"))))
+    def pair(code, tag):
+        return F.struct(code.alias("code"), tag.alias("tag"))
+
+    def tagged(m):  # the match: three marks, the tag, a line end, the code, three marks
+        at = F.instr(m, NL)
+        return F.when(m != "", pair(F.substring(m, at + 1, F.length(m) - at - 3), F.lower(F.substring(m, F.lit(4), at - 4))))
+
+    def tail(ls):
+        like = F.transform(ls, lambda l: l.rlike(EFF_LINE_START[0]) | l.rlike(EFF_LINE_START[1]))
+        suffix = let(F.array_position(like, F.lit(True)).cast("int"), lambda k: F.when(k > 0, F.array_join(F.slice(ls, k, F.size(ls)), NL)))
+        return let(suffix, lambda c: F.when(c.isNotNull(), pair(c, lang_guess(c))))
+    fenced = F.coalesce(let(F.regexp_extract(response, TAGGED_ONE_PASS, 0), tagged), let(
+        F.regexp_extract(response, BARE_ONE_PASS, 0), lambda m: F.when(m != "", pair(F.substring(m, F.lit(4), F.length(m) - 6), F.lit("")))))
+    return F.coalesce(F.when(response.contains(FENCE), fenced), let(lines(response), tail), pair(F.lit(""), F.lit("")))
 
 
 def loc_eff(code: Column) -> Column:
@@ -74,8 +76,8 @@ def max_inputs_regex(code: Column) -> Column:
     return F.coalesce(F.array_max(counts), F.lit(0).cast("long")).cast("long")
 
 
-def efficiency_inputs(responses: DataFrame) -> DataFrame:
-    """Extraction, language and the regex metrics of every answer (all SQL-expressible)."""
+def _answers(responses: DataFrame) -> DataFrame:
+    """Extraction, language and analyzer of every answer."""
     r = responses.select("idx", "pos", "model", "programming_language", "response",
                          F.when(F.col("response").isNull(), F.struct(F.lit("").alias("code"), F.lit("").alias("tag")))
                          .otherwise(extract_eff(F.col("response"))).alias("x"))
@@ -84,15 +86,22 @@ def efficiency_inputs(responses: DataFrame) -> DataFrame:
     lang = F.lower(F.when(lang0 == "", lang_guess(F.col("x.code"))).otherwise(lang0))
     r = r.select("idx", "pos", "model", "programming_language", "response",
                  F.col("x.code").alias("code"), F.col("x.tag").alias("tag"), lang.alias("lang"))
-    c = F.col("code")
-    stmts = sum((_cnt(c, p) for p in STATEMENT_PATTERNS), F.lit(0).cast("long"))
     return r.select(
-        "*",
-        F.when(F.col("lang") == "python", "python").when(F.col("lang") == "java", "java")
-         .when(F.col("lang").isin("cpp", "c++"), "cpp").otherwise("base").alias("analyzer"),
-        loc_eff(c).alias("loc"),
+        "*", F.when(F.col("lang") == "python", "python").when(F.col("lang") == "java", "java")
+        .when(F.col("lang").isin("cpp", "c++"), "cpp").otherwise("base").alias("analyzer"))
+
+
+def _statements(c: Column) -> Column:
+    return sum((_cnt(c, p) for p in STATEMENT_PATTERNS), F.lit(0).cast("long"))
+
+
+def efficiency_inputs(responses: DataFrame) -> DataFrame:
+    """Extraction, language and the regex metrics of every answer (all SQL-expressible)."""
+    c = F.col("code")
+    return _answers(responses).select(
+        "*", loc_eff(c).alias("loc"),
         _cnt(c, JAVA_METHOD).alias("java_methods"), _cnt(c, CPP_METHOD).alias("cpp_methods"),
-        stmts.alias("regex_statements"), max_inputs_regex(c).alias("regex_max_inputs"),
+        _statements(c).alias("regex_statements"), max_inputs_regex(c).alias("regex_max_inputs"),
         (_cnt(c, JAVA_OUT) + _cnt(c, RETURN)).alias("java_outputs"),
         (_cnt(c, CPP_OUT) + _cnt(c, RETURN)).alias("cpp_outputs"))
 
@@ -127,23 +136,24 @@ def score_efficiency(responses: DataFrame, facts: DataFrame | None = None) -> Da
 
 def graded_efficiency(responses: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Final score. Python answers join their syntax facts; unknown languages score 30. The inputs are worked out
-    once and cut from their lineage: the facts and the score both read them."""
+    once and cut from their lineage: the facts and the score both read them. Of the regex metrics each answer gets
+    those that its analyzer reads."""
     checkpoint_dir(responses.sparkSession)
-    inp = efficiency_inputs(responses).checkpoint()
+    a, c = F.col("analyzer"), F.col("code")
+    java = _cnt(c, JAVA_METHOD) + _cnt(c, JAVA_OUT) + _cnt(c, RETURN) + _statements(c) + max_inputs_regex(c)
+    cpp = _cnt(c, CPP_METHOD) + _cnt(c, CPP_OUT) + _cnt(c, RETURN) + _statements(c) + max_inputs_regex(c)
+    inp = _answers(responses).select(
+        "idx", "pos", "model", "programming_language", "analyzer", F.when(a == "python", c).alias("code"), loc_eff(c).alias("loc"),
+        F.when(a == "java", java).when(a == "cpp", cpp).alias("regex_total"),
+        F.coalesce(F.col("response").startswith("Error:"), F.lit(False)).alias("is_error"), (c == "").alias("no_code")).checkpoint()
     if facts is None:
         py = inp.filter((F.col("analyzer") == "python") & (F.col("code") != "")).select("idx", "model", "code")
         facts = code_facts(py)
     ef = efficiency_facts(facts)
     # Only small columns cross the join's shuffle: flags and counts, never the text.
-    inp = inp.select("idx", "pos", "model", "programming_language", "analyzer", "loc", "java_methods", "cpp_methods",
-                     "regex_statements", "regex_max_inputs", "java_outputs", "cpp_outputs",
-                     F.coalesce(F.col("response").startswith("Error:"), F.lit(False)).alias("is_error"),
-                     (F.col("code") == "").alias("no_code"))
-    j = inp.join(ef, ["idx", "model"], "left")
-    a = F.col("analyzer")
+    j = inp.drop("code").join(ef, ["idx", "model"], "left")
     num = (F.when(a == "python", F.col("num_methods") + F.col("exec_statements") + F.col("max_inputs") + F.col("max_outputs"))
-           .when(a == "java", F.col("java_methods") + F.col("regex_statements") + F.col("regex_max_inputs") + F.col("java_outputs"))
-           .when(a == "cpp", F.col("cpp_methods") + F.col("regex_statements") + F.col("regex_max_inputs") + F.col("cpp_outputs"))
+           .when(a.isin("java", "cpp"), F.col("regex_total"))
            .otherwise(F.lit(0)))
     ecc = F.when(F.col("loc") == 0, F.lit(0.0)).otherwise(num / F.col("loc"))
     rungs = [*efficiency_rungs(), ("unparsable", (a == "python") & ~F.coalesce(F.col("parses"), F.lit(False)), 0.0)]

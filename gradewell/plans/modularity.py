@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradewell.functions.text import let, lines, strip
+from gradewell.functions.text import indent, let, lines, strip
 from gradewell.operators.blocks import code_blocks, longest_fence, loose_text, repaired
 from gradewell.operators.explode import regroup
-from gradewell.operators.extract import INNER
+from gradewell.operators.extract import FENCE, INNER
 from gradewell.operators.facts import code_facts
 from gradewell.operators.guards import graded
 from gradewell.session import checkpoint_dir
@@ -49,7 +49,8 @@ def extract_mod(response: Column) -> Column:
     def fits(best):
         return let(best, lambda b: F.when((F.length(strip(b)) > 10) & b.contains("\n"), strip(b)))
     fences = [longest_fence(response, False), longest_fence(response, True), _longest(F.regexp_extract_all(response, F.lit(f"```{INNER}```"), 1))]
-    return F.coalesce(*map(fits, fences), code_blocks(response), loose_text(response), F.lit(""))
+    fenced = F.when(response.contains(FENCE), F.coalesce(*map(fits, fences)))
+    return F.coalesce(fenced, code_blocks(response), loose_text(response), F.lit(""))
 
 
 def mod_language(field: Column) -> Column:
@@ -61,7 +62,7 @@ def mod_language(field: Column) -> Column:
 def complexity_factor(code: Column) -> Column:
     cl = F.filter(lines(code), lambda l: (strip(l) != "") & ~strip(l).startswith("#"))
     n = F.size(cl)
-    max_indent = F.coalesce(F.array_max(F.transform(cl, lambda l: F.length(l) - F.length(F.regexp_replace(l, r"(?U)^\s+", "")))),
+    max_indent = F.coalesce(F.array_max(F.transform(cl, indent)),
                             F.lit(0))
     funcs = F.regexp_count(code, F.lit(r"def\s+\w+\s*\("))
     classes = F.regexp_count(code, F.lit(r"class\s+\w+"))
@@ -83,9 +84,11 @@ def feature_metrics(imports: Column, code: Column) -> list[Column]:
             F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.9), lcom2)), 6).alias("feature_lcom2")]
 
 
-def modularity_inputs(responses: DataFrame) -> DataFrame:
+def modularity_inputs(responses: DataFrame, own_only: bool = False) -> DataFrame:
     """Per answer: code, what is parsed of it, parser language, size factor, the regex metrics and the
-    estimates for code that no parser takes (all SQL-expressible)."""
+    estimates for code that no parser takes (all SQL-expressible); ``own_only``: those that the language reads."""
+    def own(lang, metric):
+        return F.when(F.col("lang") == lang, metric) if own_only else metric
     r = responses.select("idx", "pos", "model", "programming_language",
                          mod_language(F.col("programming_language")).alias("lang"),
                          extract_mod(F.col("response")).alias("code"))
@@ -95,11 +98,12 @@ def modularity_inputs(responses: DataFrame) -> DataFrame:
                                                     F.regexp_extract_all(p, F.lit(PY_IMPORT_RE), 2)), lambda x: x != ""))
     return r.select(
         "*", F.round(complexity_factor(c), 6).alias("factor"),
-        F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(JAVA_IMPORT), 1))).cast("long").alias("java_ce"),
-        F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(CPP_INCLUDE), 1))).cast("long").alias("cpp_ce"),
-        F.size(py_imports).cast("long").alias("py_regex_ce"),
-        F.regexp_count(p, F.lit(r"def\s+(\w+)\s*\(")).cast("long").alias("def_count"),
-        p.rlike(API_WORDS).alias("api_words"), *feature_metrics(F.size(py_imports), p))
+        own("java", F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(JAVA_IMPORT), 1))).cast("long")).alias("java_ce"),
+        own("c++", F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(CPP_INCLUDE), 1))).cast("long")).alias("cpp_ce"),
+        own("python", F.size(py_imports).cast("long")).alias("py_regex_ce"),
+        own("python", F.regexp_count(p, F.lit(r"def\s+(\w+)\s*\(")).cast("long")).alias("def_count"),
+        own("python", p.rlike(API_WORDS)).alias("api_words"),
+        *(own("python", m).alias(n) for m, n in zip(feature_metrics(F.size(py_imports), p), ("feature_ce", "feature_ca", "feature_lcom2"))))
 
 
 def balance_repair(responses: DataFrame) -> DataFrame:
@@ -178,7 +182,7 @@ def modularity_rungs() -> list:
 
 def graded_modularity(responses: DataFrame) -> DataFrame:
     checkpoint_dir(responses.sparkSession)
-    inp = modularity_inputs(responses).checkpoint()  # read by the facts and by the score
+    inp = modularity_inputs(responses, own_only=True).checkpoint()  # read by the facts and by the score
     py = inp.filter((F.col("lang") == "python") & (F.col("code") != "")).select("idx", "model", F.col("parsed_code").alias("code"))
     st = python_structure(code_facts(py).checkpoint())  # five aggregations read the facts; the trees are walked once
     j = inp.select("idx", "pos", "model", "programming_language", "lang", (F.col("code") == "").alias("no_code"),

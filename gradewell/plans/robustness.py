@@ -29,22 +29,24 @@ def lang_choice_rob(field: F.Column, code: F.Column) -> F.Column:
             .otherwise("unknown"))
 
 
-def robustness_components(responses: DataFrame) -> DataFrame:
-    """Every SQL-expressible input of the score, per answer."""
+def robustness_components(responses: DataFrame, own_only: bool = False) -> DataFrame:
+    """Every SQL-expressible input of the score, per answer; ``own_only``: of the estimates the one that the
+    answer's language reads."""
     r = responses.select("idx", "pos", "model", "programming_language", "response",
                          extract_rob(F.col("response")).alias("code"))
     r = r.select("*", lang_choice_rob(F.col("programming_language"), F.col("code")).alias("lang"))
     c, lg = F.col("code"), F.col("lang")
+    own = (lambda known, estimate: F.when(known, estimate)) if own_only else (lambda known, estimate: estimate)
     return r.select(
         "idx", "pos", "model", "programming_language", "lang", "code",
         (F.length(strip(c)) < 20).alias("too_short"),
         error_handling(c, lg).cast("int").alias("error_handling"),
         input_validation(c, lg).cast("int").alias("input_validation"),
         resource_mgmt(c, lg).cast("int").alias("resource_mgmt"),
-        mi_estimate(c, MI_WORDS["python_fallback"]).alias("mi_python_fallback"),
-        F.when(braces_balanced(c), mi_estimate(c, MI_WORDS["java_parsed"]))
-         .otherwise(mi_estimate(c, MI_WORDS["short"])).alias("mi_java"),
-        mi_estimate(c, MI_WORDS["short"]).alias("mi_cpp"))
+        own(lg == "python", mi_estimate(c, MI_WORDS["python_fallback"])).alias("mi_python_fallback"),
+        own(lg == "java", F.when(braces_balanced(c), mi_estimate(c, MI_WORDS["java_parsed"]))
+            .otherwise(mi_estimate(c, MI_WORDS["short"]))).alias("mi_java"),
+        own(~lg.isin("python", "java"), mi_estimate(c, MI_WORDS["short"])).alias("mi_cpp"))
 
 
 def graded_robustness(responses: DataFrame, py_facts: DataFrame | None = None,
@@ -98,7 +100,7 @@ def score_robustness_full(responses: DataFrame) -> DataFrame:
     shared checkpoint dir): the score, the facts stage and the comment counts all read them."""
     from gradewell.session import checkpoint_dir
     checkpoint_dir(responses.sparkSession)
-    comp = robustness_components(responses).checkpoint(eager=True)
+    comp = robustness_components(responses, own_only=True).checkpoint(eager=True)
     return score_robustness(responses, python_mi(responses, comp), comp)
 
 

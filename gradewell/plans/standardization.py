@@ -18,6 +18,8 @@ from gradewell.operators.language import lang_code_rules, lang_instruction
 from gradewell.operators.rules import STD_RULES, java_regex
 
 DEC = "decimal(6,1)"
+# Patterns that occur in the same texts as a rule's own and don't go over a word from each of its letters.
+SAME_HITS = {r"[a-zA-Z_][a-zA-Z0-9_]*\s*=": r"[a-zA-Z_][0-9]*\s*=", r"[a-z][a-zA-Z0-9]*[A-Z]": r"[a-z][0-9]*[A-Z]"}
 
 
 def rule_hits(code: Column, lang: Column) -> Column:
@@ -37,7 +39,7 @@ def rule_penalty(code: Column, lang: Column) -> Column:
     """Sum of the penalties of every rule that hits (once per rule, however often it matches)."""
     total = None
     for lg, rules in STD_RULES.items():
-        s = sum((F.when(code.rlike(java_regex(p)), F.lit(Decimal(pen))).otherwise(F.lit(Decimal("0.0")))
+        s = sum((F.when(code.rlike(java_regex(SAME_HITS.get(p, p))), F.lit(Decimal(pen))).otherwise(F.lit(Decimal("0.0")))
                  for p, pen, _ in rules), F.lit(Decimal("0.0")))
         total = F.when(lang == lg, s) if total is None else total.when(lang == lg, s)
     return total.otherwise(F.lit(Decimal("0.0"))).cast(DEC)

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradewell.session import file_signature, materialize
+from gradewell.session import file_length, file_signature, materialize
 from gradewell.sources.tables import read_table
 
 # The corpus definition (portable SQL, `documents` as input).
@@ -82,11 +82,27 @@ def oracle_with(body_ctes: str = "") -> str:
     return "WITH " + CORPUS_CTES.strip() + extra + "\n"
 
 
+# Bytes of `documents` (compressed) in one file of the corpus: at most SLICE, at least LEAST where the cores would not all have one.
+SLICE, LEAST = 16 << 20, 256 << 10
+
+
+def slices(length: int, cores: int) -> int:
+    """Files of the corpus, for an input of this length."""
+    return max(1, -(-length // SLICE), min(2 * cores, -(-length // LEAST)))
+
+
+def _dealt(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """The documents dealt over many equal parts, so that the plans' stages don't follow the files and row groups of
+    the input (one row group is one task). By id and text: rows that share an id, or have none, are spread, too."""
+    n = slices(file_length(spark, f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism)
+    return docs.repartition(n, "doc_id", F.xxhash64("text"))
+
+
 def _documents_view(spark: SparkSession, sf_dir: str) -> str:
     name = "gw_documents_" + hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
     if not spark.catalog.tableExists(name):
         # Only the two columns the corpus reads reach the parquet scan.
-        read_table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView(name)
+        _dealt(spark, sf_dir, read_table(spark, sf_dir, "documents").select("doc_id", "text")).createOrReplaceTempView(name)
     return name
 
 
@@ -115,7 +131,6 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def case_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (task, model, case) pass/run flags of the generated tests (three cases per answer),
     derived from the stored corpus row-locally."""
-    from pyspark.sql import functions as F
     r = responses(spark, sf_dir).select("idx", "pos", "model")
     r = r.select("idx", "pos", "model", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("case_no"))
     return r.select("idx", "model", "case_no",
