@@ -74,9 +74,9 @@ def splitlines(c) -> Column:
 
 
 def count_sub(c, sub: str) -> Column:
-    """``s.count(sub)`` — non-overlapping occurrences, as length arithmetic."""
+    """``s.count(sub)`` — non-overlapping occurrences, as arithmetic on lengths in bytes (which need no pass over the text)."""
     c = _c(c)
-    return ((F.length(c) - F.length(F.replace(c, F.lit(sub), F.lit("")))) / F.lit(len(sub))).cast("long")
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(sub), F.lit("")))) / F.lit(len(sub.encode()))).cast("long")
 
 
 def contains_any(c, subs) -> Column:

@@ -16,6 +16,7 @@ CODE_MARKERS = [
 ]
 # Signs of code in a whole text; INDICATORS of them make it code.
 SIGNS = [r"\bdef\s+\w+\s*\(", r"\bclass\s+\w+", r"\bimport\s+\w+", r"\bfrom\s+\w+\s+import", r":\s*$", r"\breturn\s+", r"=\s*[\w\[\{\(]", r"^\s{4}"]
+SIGN_PARTS = ["def", "class", "import", "import", ":", "return", "=", ""]  # what a text with the sign contains
 HEADED = ["if", "for"]  # r"\b<word>\s+.*:"
 INDICATORS = 3
 LEAST_LINES, LEAST_TEXT = 6, 31
@@ -88,20 +89,21 @@ def code_blocks(text: Column) -> Column:
 def without_markup(text: Column) -> Column:
     """Text without headings, quotes and emphasis."""
     out = text
-    for p in MARKUP_LINES:  # beyond the last line end nothing can match
-        out = before_last(out, NL, lambda head, tail: F.concat(F.regexp_replace(head, "(?d)(?U)" + p, ""), tail))
+    for p in MARKUP_LINES:  # beyond the last line end nothing can match; nor does anything without the first mark
+        out = let(out, lambda t: F.when(t.contains(p[0]), before_last(t, NL, lambda head, tail: F.concat(  # noqa: B023
+            F.regexp_replace(head, "(?d)(?U)" + p, ""), tail))).otherwise(t))  # noqa: B023
     for p in MARKUP_SPANS:
-        out = F.regexp_replace(out, "(?d)(?U)" + p, "")
+        out = let(out, lambda t: F.when(t.contains("*"), F.regexp_replace(t, "(?d)(?U)" + p, "")).otherwise(t))  # noqa: B023
     return out
 
 
 def has_code_indicators(text: Column) -> Column:
     """Whether INDICATORS signs of code occur."""
-    n = sum((F.when(text.rlike("(?U)(?d)(?m)" + p), 1).otherwise(0) for p in SIGNS), F.lit(0))
+    n = sum((F.when(text.contains(part) & text.rlike("(?U)(?d)(?m)" + p), 1).otherwise(0) for p, part in zip(SIGNS, SIGN_PARTS)), F.lit(0))
     for word in HEADED:  # a word, white space and a colon on the line that follows it
         own = F.regexp_replace(text, rf"(?U)\b{word}\s*\n\s*", word + " ")
         hit = F.exists(lines(own), lambda l: before_last(l, ":", lambda head, tail: head).rlike(rf"(?U)\b{word}\s"))  # noqa: B023
-        n = n + F.when(hit, 1).otherwise(0)
+        n = n + F.when(text.contains(word) & text.contains(":") & hit, 1).otherwise(0)
     return n >= INDICATORS
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradewell.functions.text import NL, before_last, let, lines, nonempty, splitlines, strip, until
 from gradewell.operators.explode import regroup
-from gradewell.operators.extract import INNER, from_first, paragraphs
+from gradewell.operators.extract import FENCE, INNER, from_first, paragraphs
 from gradewell.operators.guards import graded
 from gradewell.operators.rules import COM_BLOCKLIST
 
@@ -99,20 +99,14 @@ def clean_code(code: Column) -> Column:
 
 def with_code(df: DataFrame, response: str = "response") -> DataFrame:
     """Adds ``code``: the longest match of the first pattern that yields non-blank text,
-    else the line filter, cleaned; NULL if nothing. Candidates are staged as columns
-    so each is computed once per row."""
+    else the line filter, cleaned; NULL if nothing. Each candidate is worked out once, and only if those before it give nothing."""
     text = F.coalesce(F.col(response), F.lit("None"))
-    cands = [strip(_longest(F.regexp_extract_all(text, F.lit(p), 1))) for p in ONE_PASS_FENCES]
-    cands += [strip(_indented_tail(text)), strip(_until_last_blank(text))]
-    names = [f"_c{i}" for i in range(len(cands))]
-    staged = df.select("*", *[c.alias(n) for c, n in zip(cands, names)])
-    picked = None
-    for n in names:
-        cond = F.col(n).isNotNull() & (F.col(n) != "")
-        picked = F.when(cond, F.col(n)) if picked is None else picked.when(cond, F.col(n))
-    found = picked.otherwise(_com_lines(text))
+    def full(candidate):
+        return let(strip(candidate), lambda s: F.when(s != "", s))
+    fences = [full(_longest(F.regexp_extract_all(text, F.lit(p), 1))) for p in ONE_PASS_FENCES]
+    found = F.coalesce(F.when(text.contains(FENCE), F.coalesce(*fences)), full(_indented_tail(text)), full(_until_last_blank(text)), _com_lines(text))
     code = F.when(text == "", F.lit(None).cast("string")).otherwise(clean_code(found))
-    return staged.select(*df.columns, code.alias("code"))
+    return df.select("*", code.alias("code"))
 
 
 def normalize_com_language(field: Column) -> Column:
