@@ -17,8 +17,8 @@ import numpy as np
 from gradewell.llm import kernels as K
 
 BATCH = 6 << 20
-KNOWN = 400_000  # distinct spans remembered between batches
-WORDS = 100_000  # of their parts
+KNOWN = 1_000_000  # distinct spans remembered between batches
+WORDS = 200_000  # of their parts
 
 
 def byte_symbols() -> list[str]:
@@ -54,7 +54,7 @@ class Encoder:
         self._clear()
 
     def _clear(self):
-        self.known: dict[int, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of the spans, ascending, and their numbers
         self.pool, self.offset = array("I"), array("q", [0])
 
     def whole(self, text: str) -> list[int]:
@@ -106,13 +106,17 @@ class Encoder:
         start, end = _spans(data, off)
         h = K.span_hash(data, start, end, False) if len(start) else np.zeros(0, np.uint64)
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        slot = np.fromiter(map(self.known.get, uniq.tolist(), [-1] * len(uniq)), np.int64, len(uniq))
+        slot = np.full(len(uniq), -1, np.int64)
+        if len(self.known):
+            near = np.minimum(np.searchsorted(self.known, uniq), len(self.known) - 1)
+            slot = np.where(self.known[near] == uniq, self.slot[near], slot)
         raw = data.tobytes()
         new = np.flatnonzero(slot < 0)
         if len(new):
             slot[new] = np.arange(len(new)) + len(self.offset) - 1
             at = first[new]
-            self.known.update(zip(uniq[new].tolist(), slot[new].tolist()))
+            place = np.searchsorted(self.known, uniq[new])
+            self.known, self.slot = np.insert(self.known, place, uniq[new]), np.insert(self.slot, place, slot[new])
             self._new([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
         pool, offset = np.array(self.pool, np.uint32), np.array(self.offset, np.int64)
         slot = slot[inverse]
