@@ -40,6 +40,15 @@ def find_input(spark: SparkSession, folder: str, candidates: list[str]) -> str:
     return f"{folder.rstrip('/')}/{found[0]}"
 
 
+def _scan_of_files(lines: DataFrame) -> bool:
+    """Whether the rows are those of a scan of files, in its order: beyond a shuffle the file of a row says nothing
+    about its place (and asked for below a ``distinct`` it would make one row several)."""
+    node = lines._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "Generate", "SubqueryAlias", "View"):
+        node = node.children().apply(0)
+    return node.children().isEmpty() and "_metadata" in node.metadataOutput().toString()
+
+
 def with_line_ordinal(lines: DataFrame) -> DataFrame:
     """Adds ``line_no``, the 0-based place of each line (for keys that are missing): in file order for a scan
     of files, whose splits may be read in any order; in partition order otherwise.
@@ -48,7 +57,7 @@ def with_line_ordinal(lines: DataFrame) -> DataFrame:
     split), and a line's place within its split is added. Nothing is sorted but the splits."""
     names = lines.columns
     place = F.monotonically_increasing_id()
-    if "_metadata" in lines._jdf.queryExecution().analyzed().metadataOutput().toString():
+    if _scan_of_files(lines):
         rows = lines.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), place.alias("_row"))
     else:  # no files below: the partitions are the splits, fixed by a checkpoint
         checkpoint_dir(lines.sparkSession)

@@ -54,3 +54,11 @@ def test_rule_hits_by_the_cheap_patterns(spark):
         assert all(a == b for a, b in df.select(F.col("t").rlike(java_regex(slow)), F.col("t").rlike(java_regex(fast))).collect())
     n = df.select(count_sub(F.concat(F.col("t"), F.lit("aaé aaé")), "é")).collect()
     assert [r[0] for r in n] == [t.count("é") + 2 for t in texts]
+
+
+def test_lines_of_distinct_rows_of_many_files(spark, tmp_path):
+    from gradewell.sources.jsonl import with_line_ordinal
+    spark.range(40).select((F.col("id") % 10).alias("idx")).repartition(4).write.parquet(str(tmp_path / "t"))
+    lines = spark.read.parquet(str(tmp_path / "t")).select("idx").distinct().repartitionByRange("idx").sortWithinPartitions("idx")
+    rows = with_line_ordinal(lines.select(F.col("idx").cast("string").alias("value"))).collect()
+    assert sorted((r["line_no"], r["value"]) for r in rows) == [(i, str(i)) for i in range(10)]
