@@ -16,7 +16,7 @@ import numpy as np
 
 from gradewell.llm import kernels as K
 
-BATCH = 6 << 20
+BATCH = 4 << 20
 KNOWN = 1_000_000  # distinct spans remembered between batches
 WORDS = 200_000  # of their parts
 
@@ -50,7 +50,7 @@ class Encoder:
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.table = dict(enumerate(byte_symbols()))
         self.joined_table = self.table | {0: "\0"}
-        self.words: dict[str, tuple] = {}  # ids of parts that several spans may have
+        self.words: dict[str, bytes] = {}  # ids (u32) of parts that several spans may have
         self._clear()
 
     def _clear(self):
@@ -60,10 +60,10 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _model(self, symbols: str) -> tuple:
-        return tuple([t.id for t in self.tokenize(symbols)])
+    def _model(self, symbols: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(symbols)]).tobytes()
 
-    def _part(self, symbols: str) -> tuple:
+    def _part(self, symbols: str) -> bytes:
         found = self.words.get(symbols)
         if found is None:
             if len(self.words) > WORDS:
@@ -71,7 +71,7 @@ class Encoder:
             found = self.words[symbols] = self._model(symbols)
         return found
 
-    def _span(self, text: str, symbols: str) -> tuple:
+    def _span(self, text: str, symbols: str) -> bytes:
         """Ids of one span; ``symbols`` is its byte-level form."""
         if text.isalpha() or text[0] == " " and text[1:].isalpha():
             if text.isascii() or max(text) <= "ɏ":
@@ -79,8 +79,8 @@ class Encoder:
         elif text[-1] in ",.;:!?" and text[:-1].lstrip(" ").isalpha() and text.isascii():
             return self._part(symbols[:-1]) + self._part(symbols[-1])
         if not text.isascii() and max(text) > "ɏ":
-            return tuple(self.whole(text))
-        ids: tuple = ()
+            return array("I", self.whole(text)).tobytes()
+        ids = b""
         for piece in self.pieces(text):
             ids += self._part(piece.encode().decode("latin-1").translate(self.table))
         return ids
@@ -95,7 +95,7 @@ class Encoder:
             texts = [r.decode("utf-8", "replace") for r in raw]
             symbols = [r.decode("latin-1").translate(self.table) for r in raw]
         for text, sym in zip(texts, symbols):
-            self.pool.extend(self._span(text, sym))
+            self.pool.frombytes(self._span(text, sym))
             self.offset.append(len(self.pool))
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +118,7 @@ class Encoder:
             place = np.searchsorted(self.known, uniq[new])
             self.known, self.slot = np.insert(self.known, place, uniq[new]), np.insert(self.slot, place, slot[new])
             self._new([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
-        pool, offset = np.array(self.pool, np.uint32), np.array(self.offset, np.int64)
+        pool, offset = np.frombuffer(self.pool, np.uint32) if self.pool else np.zeros(0, np.uint32), np.frombuffer(self.offset, np.int64)
         slot = slot[inverse]
         count = (offset[1:] - offset[:-1])[slot]
         ids = pool[K.ragged(offset[slot], count)]
