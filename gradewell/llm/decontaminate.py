@@ -47,6 +47,10 @@ class Params:
     block_bytes: int = 2 << 20
 
 
+SLICE = 1 << 20   # bytes of texts that are searched at a time
+SHARED = 1 << 18  # about so many shared q-grams are counted at a time
+
+
 def fold(data: np.ndarray, off: np.ndarray):
     """(folded bytes, place of each in ``data``, offsets of the documents in the folded bytes)."""
     ws = K.WS[data]
@@ -140,7 +144,7 @@ class Index:
         each = self.first[k + 1] - self.first[k]
         upto = np.cumsum(each)
         while at < len(pos):  # documents by the piece, so that frequent q-grams stay bounded
-            to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 20), "right"))
+            to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SHARED, "right"))
             to = max(to, at + 1)
             to = int(np.searchsorted(doc, doc[to - 1], "right"))
             parts.append(self._count(pos[at:to], k[at:to], doc[at:to], off, p))
@@ -198,7 +202,7 @@ class Index:
 def _run(index, p: Params):
     def run(batches):
         ix = index.value
-        for b in K.slices(batches):
+        for b in K.slices(batches, SLICE):
             raw, off = K.buffer(b.column("text"))
             data, at, foff = fold(raw, off)
             d, item, lo, hi, cost = ix.search(data, foff, p)

@@ -9,11 +9,14 @@ about 2^-64 per pair.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 2 << 20
+HASHED = 1 << 19  # bytes whose hashes are worked out at a time
 
 WS = np.zeros(256, bool)
 WS[[9, 10, 11, 12, 13, 32]] = True
@@ -72,8 +75,19 @@ def least_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return label
 
 
+def release() -> None:
+    """Give back to the system what this worker has freed. Workers wait for later tasks beside the executor's JVM, and
+    the allocators would keep what the largest batch took until then."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches, limit: int = BLOCK):
-    """Record batches cut into runs of rows of about ``limit`` text bytes (column "text")."""
+    """Record batches cut into runs of rows of about ``limit`` text bytes (column "text"); at the
+    end of a task's batches freed memory goes back to the system."""
+    b = off = None
     for b in batches:
         i = b.schema.get_field_index("text")
         _, off = buffer(b.column(i))
@@ -83,11 +97,12 @@ def slices(batches, limit: int = BLOCK):
             end = min(end, b.num_rows)
             yield b.slice(at, end - at)
             at = end
+    del b, off
+    release()
 
 
-def words(data: np.ndarray, off: np.ndarray, fold: bool = True, ws: np.ndarray = WS):
-    """(start, end, hash, per-document word offsets) of all words, split at the bytes of ``ws``
-    and at documents' ends."""
+def bounds(data: np.ndarray, off: np.ndarray, ws: np.ndarray = WS):
+    """(start, end) of all words, split at the bytes of ``ws`` and at documents' ends."""
     n = len(data)
     solid = ~ws[data]
     edge = np.zeros(n + 1, bool)
@@ -103,15 +118,26 @@ def words(data: np.ndarray, off: np.ndarray, fold: bool = True, ws: np.ndarray =
         follow[-1] = False
         follow[:-1] = solid[1:]
         follow &= ~edge[1:]
-    end = np.flatnonzero(solid & ~follow) + 1
+    return start, np.flatnonzero(solid & ~follow) + 1
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
+    """Hashes of spans in order, by blocks of whole spans, which keep the 8-byte temporaries small."""
     h = np.empty(len(start), np.uint64)
     at = 0
-    while at < len(start):  # blocks of whole words keep the 8-byte temporaries small
-        to = max(at + 1, int(np.searchsorted(end, start[at] + BLOCK, "right")))
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + HASHED, "right")))
         s, e = start[at:to], end[at:to]
         h[at:to] = span_hash(data[s[0]:e[-1]], s - s[0], e - s[0], fold)
         at = to
-    return start, end, h, np.searchsorted(start, off)
+    return h
+
+
+def words(data: np.ndarray, off: np.ndarray, fold: bool = True, ws: np.ndarray = WS):
+    """(start, end, hash, per-document word offsets) of all words, split at the bytes of ``ws``
+    and at documents' ends."""
+    start, end = bounds(data, off, ws)
+    return start, end, hashes(data, start, end, fold), np.searchsorted(start, off)
 
 
 def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray, fold: bool) -> np.ndarray:

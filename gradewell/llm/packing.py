@@ -30,6 +30,7 @@ from gradewell.llm import tokens as T
 from gradewell.llm.common import documents, store
 
 SIZE = 2048
+SLICE = 1 << 20  # bytes of texts that are encoded at a time
 GROUP_ITEMS = 1 << 16
 FAN = 8
 CARRY = 1 << 13
@@ -39,24 +40,29 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long, fill long, open boolean, grp long"
 
 
+def _cut(doc_ids: list, ids: np.ndarray, off: np.ndarray, size: int, with_ids: bool) -> pa.RecordBatch:
+    """The pieces of the documents ``doc_ids``, whose ids stand between the offsets."""
+    rows = []
+    for name, a, e in zip(doc_ids, off[:-1].tolist(), off[1:].tolist()):
+        own = np.append(ids[a:e], 0).astype("<u4")
+        first = len(own) % size or size
+        cuts = [0, *range(first, len(own), size), len(own)]
+        for k, (s, t) in enumerate(zip(cuts, cuts[1:])):
+            raw = own[s:t].tobytes()
+            rows.append((name, k, s, t - s, zlib.crc32(raw), *[raw] * with_ids))
+    n = 5 + with_ids
+    cols = list(zip(*rows)) or [()] * n
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names[:n])
+
+
 def _pieces(path: str, size: int, with_ids: bool):
     def run(batches):
         enc = T.encoder(path)
-        for b in K.slices(batches, T.BATCH):
-            ids, off = enc.encode(b.column("text"))
-            rows = []
-            for name, a, e in zip(b.column("doc_id").to_pylist(), off[:-1].tolist(), off[1:].tolist()):
-                own = np.append(ids[a:e], 0).astype("<u4")
-                first = len(own) % size or size
-                cuts = [0, *range(first, len(own), size), len(own)]
-                for k, (s, t) in enumerate(zip(cuts, cuts[1:])):
-                    raw = own[s:t].tobytes()
-                    rows.append((name, k, s, t - s, zlib.crc32(raw), raw))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 5 + with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols[:n], kinds)], names[:n])
+        for b in K.slices(batches, SLICE):
+            # no ids are held between slices, so that all but what the encoder knows is freed when they end
+            yield _cut(b.column("doc_id").to_pylist(), *enc.encode(b.column("text")), size, with_ids)
     return run
 
 

@@ -19,6 +19,7 @@ from gradewell.llm import kernels as K
 BATCH = 4 << 20
 KNOWN = 1_000_000  # distinct spans remembered between batches
 WORDS = 200_000  # of their parts
+NEW = 1 << 15  # new spans that are taken apart at a time
 
 
 def byte_symbols() -> list[str]:
@@ -104,7 +105,7 @@ class Encoder:
         if len(self.known) > KNOWN:
             self._clear()
         start, end = _spans(data, off)
-        h = K.span_hash(data, start, end, False) if len(start) else np.zeros(0, np.uint64)
+        h = K.hashes(data, start, end, False)
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         slot = np.full(len(uniq), -1, np.int64)
         if len(self.known):
@@ -117,7 +118,9 @@ class Encoder:
             at = first[new]
             place = np.searchsorted(self.known, uniq[new])
             self.known, self.slot = np.insert(self.known, place, uniq[new]), np.insert(self.slot, place, slot[new])
-            self._new([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
+            for k in range(0, len(at), NEW):
+                own = at[k:k + NEW]
+                self._new([raw[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())])
         pool, offset = np.frombuffer(self.pool, np.uint32) if self.pool else np.zeros(0, np.uint32), np.frombuffer(self.offset, np.int64)
         slot = slot[inverse]
         count = (offset[1:] - offset[:-1])[slot]
@@ -134,7 +137,8 @@ class Encoder:
 
 def _spans(data, off):
     """Starts and ends of the spans, which follow each other without gaps."""
-    s, e, _, woff = K.words(data, off)
+    s, e = K.bounds(data, off)
+    woff = np.searchsorted(s, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(woff))
     before = np.empty(len(s), np.int64)  # the end of the word before, or the document's start
     before[1:] = e[:-1]
