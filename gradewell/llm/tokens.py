@@ -1,8 +1,9 @@
 """Byte-level BPE ids of whole Arrow batches.
 
 The tokenizer's pattern never joins text across the end of a word that white space
-follows, so a text is a sequence of independent spans: words (with the one space
-before them) and runs of white space. Each distinct span of a batch is given to the
+follows, nor across most changes between letters, digits and signs, so a text is a
+sequence of independent spans: such parts of words (a word's first with the one space
+before it) and runs of white space. Each distinct span is given to the
 library's model once; texts are put together from the results by numpy. Texts with
 white space outside ASCII or the string of an added token (which is one id) go through
 the library whole. Ids equal those of encoding each text whole (tests compare them).
@@ -20,6 +21,29 @@ BATCH = 4 << 20
 KNOWN = 1_000_000  # distinct spans remembered between batches
 WORDS = 200_000  # of their parts
 NEW = 1 << 15  # new spans that are taken apart at a time
+SHORT = 64  # bytes of the spans that are hashed by words of eight
+
+# What a byte is: a space, other white space, a letter, a digit, a sign, an apostrophe (a contraction may
+# follow), or something that the pattern decides on (bytes outside ASCII, control characters).
+SPACE, WHITE, LETTER, DIGIT, SIGN, APOSTROPHE, OTHER = range(7)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[33:127] = SIGN
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[48:58] = DIGIT
+KIND[9:14] = WHITE
+KIND[32] = SPACE
+KIND[39] = APOSTROPHE
+#: Whether a span starts at a byte, by the kinds of the byte before it (times 8) and its own.
+CUT = np.zeros(64, bool)
+for _a in range(LETTER, OTHER + 1):
+    CUT[[8 * _a + SPACE, 8 * _a + WHITE, 8 * WHITE + _a]] = True
+for _a, _b in ((LETTER, DIGIT), (LETTER, SIGN), (LETTER, APOSTROPHE), (DIGIT, LETTER), (DIGIT, SIGN), (DIGIT, APOSTROPHE),
+               (SIGN, LETTER), (SIGN, DIGIT), (APOSTROPHE, DIGIT)):
+    CUT[8 * _a + _b] = True
+BLANK = np.zeros(64, bool)
+BLANK[[8 * _a + _b for _a in (SPACE, WHITE) for _b in (SPACE, WHITE)]] = True
+ODD = np.zeros(256, bool)  # first bytes of white space outside ASCII
+ODD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def byte_symbols() -> list[str]:
@@ -72,19 +96,11 @@ class Encoder:
             found = self.words[symbols] = self._model(symbols)
         return found
 
-    def _span(self, text: str, symbols: str) -> bytes:
-        """Ids of one span; ``symbols`` is its byte-level form."""
-        if text.isalpha() or text[0] == " " and text[1:].isalpha():
-            if text.isascii() or max(text) <= "ɏ":
-                return self._part(symbols)
-        elif text[-1] in ",.;:!?" and text[:-1].lstrip(" ").isalpha() and text.isascii():
-            return self._part(symbols[:-1]) + self._part(symbols[-1])
+    def _pieces(self, text: str) -> bytes:
+        """Ids of a span that the pattern takes apart."""
         if not text.isascii() and max(text) > "ɏ":
             return array("I", self.whole(text)).tobytes()
-        ids = b""
-        for piece in self.pieces(text):
-            ids += self._part(piece.encode().decode("latin-1").translate(self.table))
-        return ids
+        return b"".join([self._part(piece.encode().decode("latin-1").translate(self.table)) for piece in self.pieces(text)])
 
     def _new(self, raw: list[bytes]) -> None:
         """Add spans to what is known, in order."""
@@ -95,9 +111,17 @@ class Encoder:
         else:  # spans that hold the separator
             texts = [r.decode("utf-8", "replace") for r in raw]
             symbols = [r.decode("latin-1").translate(self.table) for r in raw]
+        pool, offset, tokenize = self.pool, self.offset, self.tokenize
         for text, sym in zip(texts, symbols):
-            self.pool.frombytes(self._span(text, sym))
-            self.offset.append(len(self.pool))
+            if text.isascii():
+                one = text.isprintable() and "'" not in text
+            else:
+                one = (text[1:] if text[0] == " " else text).isalpha() and max(text) <= "ɏ"
+            if one:  # for the pattern one piece
+                pool.extend([t.id for t in tokenize(sym)])
+            else:
+                pool.frombytes(self._pieces(text))
+            offset.append(len(pool))
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids, per-text offsets) of a string column; null is empty."""
@@ -105,24 +129,21 @@ class Encoder:
         if len(self.known) > KNOWN:
             self._clear()
         start, end = _spans(data, off)
-        h = K.hashes(data, start, end, False)
-        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        slot = np.full(len(uniq), -1, np.int64)
-        if len(self.known):
-            near = np.minimum(np.searchsorted(self.known, uniq), len(self.known) - 1)
-            slot = np.where(self.known[near] == uniq, self.slot[near], slot)
+        h = _hashes(data, start, end)
+        slot = _found(self.known, self.slot, h)
         raw = data.tobytes()
         new = np.flatnonzero(slot < 0)
         if len(new):
-            slot[new] = np.arange(len(new)) + len(self.offset) - 1
-            at = first[new]
-            place = np.searchsorted(self.known, uniq[new])
-            self.known, self.slot = np.insert(self.known, place, uniq[new]), np.insert(self.slot, place, slot[new])
+            uniq, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            number = np.arange(len(uniq)) + len(self.offset) - 1
+            slot[new] = number[inverse]
+            place = np.searchsorted(self.known, uniq)
+            self.known, self.slot = np.insert(self.known, place, uniq), np.insert(self.slot, place, number)
+            at = new[first]
             for k in range(0, len(at), NEW):
                 own = at[k:k + NEW]
                 self._new([raw[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())])
         pool, offset = np.frombuffer(self.pool, np.uint32) if self.pool else np.zeros(0, np.uint32), np.frombuffer(self.offset, np.int64)
-        slot = slot[inverse]
         count = (offset[1:] - offset[:-1])[slot]
         ids = pool[K.ragged(offset[slot], count)]
         upto = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(start, off)]
@@ -135,42 +156,85 @@ class Encoder:
         return ids, upto
 
 
+def _found(known, slot, h):
+    """The slot of each hash, -1 if it isn't known: looked for from the first known hash with the same top bits on."""
+    if not len(known):
+        return np.full(len(h), -1, np.int64)
+    last, bits = len(known) - 1, np.uint64(64 - len(known).bit_length())
+    begin = np.zeros((1 << len(known).bit_length()) + 1, np.int32)
+    np.cumsum(np.bincount((known >> bits).view(np.int64), minlength=len(begin) - 1), out=begin[1:])
+    at = np.minimum(begin[(h >> bits).view(np.int64)], last)
+    key = known[at]
+    out = np.where(key == h, slot[at], np.int32(-1)).astype(np.int64)
+    rest = np.flatnonzero((key < h) & (at < last))
+    at = at[rest]
+    while len(rest):
+        at += 1
+        key, own = known[at], h[rest]
+        hit = key == own
+        out[rest[hit]] = slot[at[hit]]
+        more = (key < own) & (at < last)
+        rest, at = rest[more], at[more]
+    return out
+
+
+def _hashes(data, start, end):
+    """Hashes of the spans, by their length and words of eight bytes; of spans over SHORT bytes by the kernel."""
+    ln = end - start
+    word = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    h = K.mix(ln.astype(np.uint64) * K.ORDER[0])
+    left, own = ln, slice(None)
+    for k in range(0, SHORT, 8):
+        unused = np.maximum(8 - left, 0).astype(np.uint64) << np.uint64(3)
+        h[own] = K.mix((h[own] ^ (word[start[own] + k] << unused)) * K.ORDER[1])
+        own = np.flatnonzero(ln > k + 8)
+        if not len(own):
+            break
+        left = ln[own] - (k + 8)
+    if len(own):
+        long = np.flatnonzero(ln > SHORT)
+        if len(long):
+            h[long] = K.hashes(data, start, end, False)[long]
+    return h
+
+
 def _spans(data, off):
     """Starts and ends of the spans, which follow each other without gaps."""
-    s, e = K.bounds(data, off)
-    woff = np.searchsorted(s, off)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(woff))
-    before = np.empty(len(s), np.int64)  # the end of the word before, or the document's start
-    before[1:] = e[:-1]
-    heads = woff[:-1][np.diff(woff) > 0]
-    before[heads] = off[doc[heads]]
-    gap = s - before
-    lead = (gap > 0) & (data[np.maximum(s - 1, 0)] == 32)
-    many = np.flatnonzero(gap > 1)                       # all but the last byte of a run
-    single = np.flatnonzero((gap > 0) & ~lead)           # a last byte that is no space
-    last = off[:-1].copy()
-    full = np.diff(woff) > 0
-    last[full] = e[woff[1:][full] - 1]
-    tail = np.flatnonzero(last < off[1:])
-    start = np.concatenate((s - lead, before[many], s[single] - 1, last[tail]))
-    end = np.concatenate((e, s[many] - 1, s[single], off[1:][tail]))
-    order = np.argsort(start, kind="stable")
-    return start[order], end[order]
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = KIND[data]
+    latin = np.flatnonzero(data[:-1] == 0xC3)  # À to ÿ are letters but for the signs × and ÷
+    if len(latin):
+        follow = data[latin + 1]
+        latin = latin[(follow != 0x97) & (follow != 0xB7)]
+        kind[latin] = kind[latin + 1] = LETTER
+    pair = kind.copy()
+    pair[1:] |= kind[:-1] << 3
+    cut = CUT[pair]
+    heads = off[:-1][off[:-1] < off[1:]]
+    first = np.zeros(n + 1, bool)
+    first[heads] = first[n] = True
+    blank = np.flatnonzero(BLANK[pair] & ~first[:-1])  # the last byte of a run goes with the word or alone
+    blank = blank[~first[blank + 1]]
+    cut[blank[kind[blank + 1] > WHITE]] = True
+    cut[heads] = True
+    start = np.flatnonzero(cut)
+    return start, np.append(start[1:], n)
 
 
 def _odd_space(data, off):
     """Documents that hold white space outside ASCII."""
-    n = len(data)
-    b1 = np.append(data[1:], 0) if n else data
-    b2 = np.append(data[2:], [0, 0])[:n] if n else data
-    hit = (data == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
-    rare = np.flatnonzero((data == 0xE1) | (data == 0xE2) | (data == 0xE3))
-    if len(rare):
-        x, y, z = data[rare], b1[rare], b2[rare]
-        hit[rare] |= (((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
-                      | ((x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)))
-                      | ((x == 0xE2) & (y == 0x81) & (z == 0x9F)))
-    return np.unique(np.searchsorted(off, np.flatnonzero(hit), "right") - 1).tolist()
+    rare = np.flatnonzero(ODD[data])
+    if not len(rare):
+        return []
+    last = len(data) - 1
+    x, y, z = data[rare], data[np.minimum(rare + 1, last)], data[np.minimum(rare + 2, last)]
+    hit = (((x == 0xC2) & ((y == 0x85) | (y == 0xA0)))
+           | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+           | ((x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)))
+           | ((x == 0xE2) & (y == 0x81) & (z == 0x9F)))
+    return np.unique(np.searchsorted(off, rare[hit], "right") - 1).tolist()
 
 
 def _holding(raw: bytes, off, strings):
